@@ -40,7 +40,7 @@ QUERIES = {"p1_found": p1_found, "p1_compacted_files": p1_compacted_files, "p4_f
 ORACLES = {
     "p1_found": r"""
 WITH files AS (
-  SELECT file_id, coalesce(name, list_filter(string_split("Path", '/'), x -> x <> '')[-2]) AS series, columns, "index" AS labels,
+  SELECT file_id, coalesce(name, list_filter(string_split("Path", '/'), lambda x: x <> '')[-2]) AS series, columns, "index" AS labels,
          string_split(content, chr(10)) AS lines
   FROM feature_files WHERE content <> ''),
 records AS (SELECT file_id, series, columns, labels, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM files),
