@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from wellforge.llm import queries_vectors
+
+MODULES = [queries_vectors]
 
 
 def queries() -> dict:
