@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wellforge.llm import queries_vectors
+from wellforge.llm import queries_leaks, queries_vectors
 
-MODULES = [queries_vectors]
+MODULES = [queries_vectors, queries_leaks]
 
 
 def queries() -> dict:
