@@ -24,7 +24,7 @@ class LeafFeatures:
     """The leaf level of a CF tree under a root wide enough for `max_leaves` entries.
 
     A feature is absorbed by the nearest leaf if its centre lies within `threshold` of the leaf's; else it opens a leaf. When
-    there are too many leaves the threshold grows and the leaves themselves are inserted anew.
+    there are too many leaves, the largest three quarters stay and each of the others is added to the nearest of them.
     """
 
     def __init__(self, dim: int, max_leaves: int, threshold: float):
@@ -34,12 +34,20 @@ class LeafFeatures:
     def add(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
         for s in range(0, len(n), 512):
             self._insert(n[s : s + 512], ls[s : s + 512], ss[s : s + 512])
-            while len(self.n) > self.most:
-                old = self.n, self.ls, self.ss
-                self.threshold *= 1.15
-                self.n, self.ls, self.ss = np.empty(0), np.empty((0, self.dim)), np.empty(0)
-                for t in range(0, len(old[0]), 512):
-                    self._insert(*(x[t : t + 512] for x in old))
+            if len(self.n) > self.most:
+                self._condense()
+
+    def _condense(self) -> None:
+        # raising the threshold would join everything at once where distances are all alike, as in many dimensions
+        order = np.argsort(-self.n, kind="stable")
+        kept, rest = order[: self.most * 3 // 4], order[self.most * 3 // 4 :]
+        centre = self.ls / self.n[:, None]
+        to = squared(centre[rest], centre[kept]).argmin(1)
+        n, ls, ss = self.n[kept], self.ls[kept], self.ss[kept]
+        np.add.at(n, to, self.n[rest])
+        np.add.at(ls, to, self.ls[rest])
+        np.add.at(ss, to, self.ss[rest])
+        self.n, self.ls, self.ss = n, ls, ss
 
     def _insert(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
         centre, reach = ls / n[:, None], self.threshold**2
@@ -196,9 +204,11 @@ def _block_links(radius: float, dim: int):
         # two visitors are compared where one of them is at home
         near &= home[:, None] | home[None, :]
         label = np.arange(n)
-        while True:  # smallest row within reach, with pointer jumping
-            low = np.array([label[r].min() if r.any() else n for r in near]) if n else label
-            new = np.minimum(label, low)
+        i, j = np.nonzero(near)
+        rows_with, start = np.unique(i, return_index=True)
+        while len(j):  # smallest row within reach, with pointer jumping
+            new = label.copy()
+            new[rows_with] = np.minimum(new[rows_with], np.minimum.reduceat(label[j], start))
             new = new[new]
             if (new == label).all():
                 break
