@@ -122,6 +122,11 @@ class Best:
 
     def offer(self, at: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
         keep = self.d.shape[1]
+        closer = d.min(1) <= self.radius2(at) * SLACK + 1e-12
+        if not closer.all():
+            at, d = at[closer], d[closer]
+        if not len(at):
+            return
         if d.shape[1] > keep:
             part = np.argpartition(d, keep - 1, axis=1)[:, :keep]
             d, cand = np.take_along_axis(d, part, 1), rows[part]
@@ -136,6 +141,9 @@ class Best:
 def search(tree: VpNode, data: np.ndarray, q: np.ndarray, k: int, keep: int, relax: float, ball: np.ndarray | None) -> Best:
     """The `keep` nearest rows of `data` for each row of `q`; branches beyond the k-th distance, or the ball, are pruned."""
     best = Best(len(q), keep, k, ball)
+    # |q|^2 - 2 q.x + |x|^2 as one product
+    left = np.hstack([-2 * q, np.ones((len(q), 1)), (q * q).sum(1)[:, None]])
+    right = np.hstack([data, (data * data).sum(1)[:, None], np.ones((len(data), 1))])
 
     def go(node: VpNode, at: np.ndarray) -> None:
         if not len(at):
@@ -143,7 +151,7 @@ def search(tree: VpNode, data: np.ndarray, q: np.ndarray, k: int, keep: int, rel
         if node.rows is not None:
             for s in range(0, len(at), 2048):
                 part = at[s : s + 2048]
-                best.offer(part, squared(q[part], data[node.rows]), node.rows)
+                best.offer(part, np.maximum(left[part] @ right[node.rows].T, 0), node.rows)
             return
         gap = np.sqrt(squared(node.point[None], q[at])[0]) - node.radius
         for first, second, sign in ((node.near, node.far, -1.0), (node.far, node.near, 1.0)):
