@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wellforge.llm import queries_leaks, queries_vectors
+from wellforge.llm import queries_leaks, queries_percentiles, queries_texts, queries_vectors
 
-MODULES = [queries_vectors, queries_leaks]
+MODULES = [queries_vectors, queries_percentiles, queries_leaks, queries_texts]
 
 
 def queries() -> dict:
