@@ -168,7 +168,7 @@ def search(tree: VpNode, data: np.ndarray, q: np.ndarray, k: int, keep: int, rel
     return best
 
 
-def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_rows: int = 4096, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_rows: int = 16384, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """(id, neighbour, distance): for each row of `points` (id, vec) its k nearest other rows, equal distances by id.
 
     Equal vectors are searched once: a vector comes with its k+1 smallest ids, which are all that can be among anyone's k
@@ -205,7 +205,7 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
 
     def at_home(g: pd.DataFrame) -> pd.DataFrame:
         data, ids = matrix(g["vec"], dim), g["ids"].tolist()
-        own = build(data, 256, np.random.default_rng(seed))
+        own = build(data, 1024, np.random.default_rng(seed))
         best = search(own, data, data, min(k + 1, keep), keep, relax, None)
         # the ball only counts on k other vectors; with fewer in the shard it is unbounded
         ball = np.sqrt(best.d[:, k])
@@ -227,7 +227,7 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
             if not len(m) or not len(v):
                 return pd.DataFrame({"vid": [], "near": []})
             data, q, ids = matrix(m["vec"], dim), matrix(v["vec"], dim), m["ids"].tolist()
-            best = search(build(data, 256, np.random.default_rng(seed)), data, q, k, keep, relax, v["ball"].to_numpy())
+            best = search(build(data, 1024, np.random.default_rng(seed)), data, q, k, keep, relax, v["ball"].to_numpy())
             best.d[best.d > (v["ball"].to_numpy() ** 2 * SLACK + 1e-12)[:, None]] = np.inf
             some = np.isfinite(best.d[:, 0])
             best.d, best.i = best.d[some], best.i[some]
