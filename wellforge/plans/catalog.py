@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wellforge.plans import data_problems
+from wellforge.plans import data_problems, tables
 
-MODULES = [data_problems]
+MODULES = [data_problems, tables]
 
 
 def queries() -> dict:
