@@ -59,7 +59,8 @@ def qc_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.aggregate(table(spark, sf_dir, "cells"), ["WellIndex"], "mean", CELL_VALUES), *CELL_VALUES)
+    means = ops.aggregate(table(spark, sf_dir, "cells"), ["WellIndex"], "mean", CELL_VALUES)
+    return means.withColumns({c: F.round(c, 9) for c in CELL_VALUES})
 
 
 def aggregate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +224,7 @@ SELECT channel, files, min(files) OVER () = max(files) OVER () AS balanced FROM
 UNION ALL SELECT "WellIndex", NULL, NULL, NULL, "Sample", "Tissue" FROM platemap""",
     "qc_clean": f"""WITH q AS (SELECT plate, "WellIndex", "row", "column", "FOV", round({_nan('ch1_percent_max')}, 6) AS ch1_percent_max, round({_nan('ch1_percent_median2sd')}, 6) AS ch1_percent_median2sd,
   round({_nan('ch1_loglog_slope')}, 6) AS ch1_loglog_slope FROM imageqc) SELECT * FROM q WHERE coalesce(ch1_percent_max, ch1_percent_median2sd, ch1_loglog_slope) IS NOT NULL""",
-    "aggregate_mean": 'SELECT "WellIndex", ' + ", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in CELL_VALUES) + f' FROM ({_CELLS}) WHERE "WellIndex" IS NOT NULL GROUP BY 1',
+    "aggregate_mean": 'SELECT "WellIndex", ' + ", ".join(f'round(avg("{c}"), 9) AS "{c}"' for c in CELL_VALUES) + f' FROM ({_CELLS}) WHERE "WellIndex" IS NOT NULL GROUP BY 1',
     "aggregate_median": 'SELECT "WellIndex", ' + ", ".join(f'round(median("{c}"), 6) AS "{c}"' for c in CELL_VALUES) + f' FROM ({_CELLS}) WHERE "WellIndex" IS NOT NULL GROUP BY 1',
     "aggregate_unique": 'SELECT "Sample", ' + ", ".join(f'CASE WHEN count(DISTINCT "{c}") = 1 THEN max("{c}") END AS "{c}"' for c in ("WellIndex", "Age", "Tissue", "Condition", "Row", "Column", "FieldOfView")) + ' FROM platemap WHERE "Sample" IS NOT NULL GROUP BY 1',
     "single_valued": """WITH o AS (SELECT year(o_orderdate)::INT AS y, 'open' AS state, o_orderstatus FROM orders)
