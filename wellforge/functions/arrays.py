@@ -32,15 +32,6 @@ def clean(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _mean(a: Column) -> Column:
-    return total(a) / F.size(a)
-
-
-def _centred(a: Column) -> Column:
-    # a struct keeps the mean from being computed anew for every element
-    return F.transform(a, lambda x: x - _mean(a))
-
-
 def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 3.0) -> Column:
     """Distance of two vectors. Metrics: euclidean, sqeuclidean, cityblock, chebyshev, cosine, correlation, minkowski (`p`),
     hamming, canberra, braycurtis. Divisions by zero give null, except that canberra counts 0/0 as 0."""
@@ -58,7 +49,9 @@ def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 3.0) ->
     if metric == "cosine":
         return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
     if metric == "correlation":
-        return distance(_centred(a), _centred(b), "cosine")
+        n, sa, sb = F.size(a), total(a), total(b)
+        square = lambda x, s: n * dot(x, x) - s * s
+        return 1 - F.try_divide(n * dot(a, b) - sa * sb, F.sqrt(square(a, sa) * square(b, sb)))
     if metric == "hamming":
         return total(F.transform(gap, lambda x: F.when(x != 0, 1.0).otherwise(0.0))) / F.size(a)
     if metric == "canberra":

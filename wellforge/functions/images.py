@@ -46,20 +46,22 @@ def mode_mask(px: Column, mean: Column, mode: int, percent: int) -> Column:
     return F.transform(px, bit)
 
 
-def neighbour_counts(bits: Column, width: int) -> Column:
-    """For each white pixel (1) of a flat image the number of white pixels among its eight neighbours."""
-    height = (F.size(bits) / F.lit(width)).cast("int")
+def bordered(bits: Column, width: int) -> Column:
+    """The flat image with a border of one pixel of 0."""
+    rows = F.transform(F.sequence(F.lit(0), (F.size(bits) / F.lit(width)).cast("int") - 1), lambda r: F.concat(F.array(F.lit(0)), F.slice(bits, r * width + 1, width), F.array(F.lit(0))))
+    edge = F.array_repeat(F.lit(0), width + 2)
+    return F.concat(edge, F.flatten(rows), edge)
 
-    def at(r: Column, c: Column) -> Column:
-        inside = (r >= 0) & (r < height) & (c >= 0) & (c < width)
-        return F.when(inside, F.get(bits, r * width + c)).otherwise(0)
 
-    def count(i: Column) -> Column:
-        r, c = F.floor(i / width).cast("int"), (i % width).cast("int")
-        return sum((at(r + dr, c + dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc), F.lit(0))
+def neighbour_counts(padded: Column, width: int) -> Column:
+    """For each white pixel (1) of a bordered image the number of white pixels among its eight neighbours.
 
-    where = F.filter(F.sequence(F.lit(0), F.size(bits) - 1), lambda i: F.get(bits, i) == 1)
-    return F.transform(where, count)
+    `padded` must be a stored column: an expression would be computed anew for every pixel.
+    """
+    w = width + 2
+    around = [dr * w + dc for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+    white = F.filter(F.sequence(F.lit(w), F.size(padded) - w - 1), lambda i: F.get(padded, i) == 1)
+    return F.transform(white, lambda i: sum((F.get(padded, i + k) for k in around), F.lit(0)))
 
 
 def adjacency_fractions(counts: Column) -> Column:

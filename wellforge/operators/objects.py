@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellforge.functions.images import PERCENTS, adjacency_fractions, foreground_mean, mode_mask, neighbour_counts
+from wellforge.functions.images import PERCENTS, adjacency_fractions, bordered, foreground_mean, mode_mask, neighbour_counts
 
 
 def pixels(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
@@ -72,7 +72,7 @@ def adjacency_features(images: DataFrame, id_col: str, px: str, width: int, mode
     """
     base = images.select(F.col(id_col).alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px")).withColumn("mean", foreground_mean(F.col("px")))
     wanted = [(m, p) for m in modes if m < 3 for p in percents] + ([(3, 0)] if 3 in modes else [])
-    masks = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(p).alias("percent"), mode_mask(F.col("px"), F.col("mean"), m, p).alias("bits")) for m, p in wanted))
+    masks = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(p).alias("percent"), bordered(mode_mask(F.col("px"), F.col("mean"), m, p), width).alias("bits")) for m, p in wanted))
     one = base.select("id", F.explode(masks).alias("x")).select("id", "x.*")
     counted = one.withColumn("counts", neighbour_counts(F.col("bits"), width))
     return counted.select("id", "mode", "percent", adjacency_fractions(F.col("counts")).alias("tas"))

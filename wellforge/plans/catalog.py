@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wellforge.plans import data_problems, tables
+from wellforge.plans import data_problems, images, statistics, tables, vectors
 
-MODULES = [data_problems, tables]
+MODULES = [data_problems, tables, statistics, vectors, images]
 
 
 def queries() -> dict:
