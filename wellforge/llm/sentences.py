@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellforge.session import stored
+
 #: Brackets and quotation marks that enclose, by their opening mark.
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "‹": "›"}
 CLOSE = frozenset(PAIRS.values()) | {'"'}
@@ -31,31 +33,30 @@ DAMAGED = (("â€œ", "“¨¨"), ("â€ž", "„¨¨"), ("â€\x9d", "””
 WIDE = "。！？．｡"
 STOPS = ".!?…।॥|؟" + WIDE
 #: Words that tell languages in Latin letters apart.
-HINTS = {"en": ("the", "of", "is", "and", "by"), "de": ("der", "den", "und", "ein", "wird"), "fr": ("le", "du", "est", "un", "que"), "es": ("el", "del", "es", "que", "se")}
+HINTS = {"en": (" the ", " of ", " is "), "de": (" der ", " den ", " und "), "fr": (" le ", " du ", " est "), "es": (" el ", " del ", " es ")}
 
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
+_OTHER = re.compile("[^\x00-ɏ\u2000-\u206f]")
+_CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*")
 _MARK = re.compile(r"[\[\](){}（）［］【】〔〕「」『』《》〈〉«»“”„‹›\"]")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
-_END = re.compile(r"(?:\s(?=[!?…»]))?[" + re.escape(STOPS) + r"]+(?:\s?[»]|[\"”“»」』）)\]】］›])*")
-_LABEL = re.compile(r"(?<![^\s。．.!?|।」）)])(?:\[\s*\w+\s+(\d{1,4})\s*\]|【[^\d\s】]{1,6}(\d{1,4})】|(\d{1,4})\s?(?:\.\s?[-–]|\.|\)|、|．))(?=\s|[^\W\d])")
-_SHORT = re.compile(r"(?<!\w)([^\W\d_]{1,6})(\.(?=[^\S\n]?(?:[a-zà-ÿа-яё,ऀ-ॿ฀-๿]|\d++(?!\s?(?:\.[\s-]|\))))))?(?!\w)")
+_END = re.compile(r"[" + re.escape(STOPS) + r"]+(?:\s?[»]|[\"”“»」』）)\]】］›])*")
+_LABEL = re.compile(r"(?<![^\s。．.!?|।」）)])(?:\[\s*(\w+)\s+(\d{1,4})\s*\]|【([^\d\s】]{1,6})(\d{1,4})】|(\d{1,4})\s?(\.\s?[-–]|\.|\)|、|．))(?=\s|[^\W\d])")
+_GOES_ON = re.compile(r"\.(?=[^\S\n]?(?:[a-zà-ÿа-яё,ऀ-ॿ฀-๿]|\d++(?!\s?(?:\.[\s-]|\)))))")
 _NUMBER = re.compile(r"\d[\d.,  ]*$")
-_WORD_BEFORE = re.compile(r"[^\W\d_]+$")
 _WORD_AFTER = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"\s+")
 
 
 def language(text: str) -> str:
     """The script, or for Latin letters the language with the most hint words; text without letters counts as 'en'."""
-    if not text.isascii():
-        sample = text if len(text) < 4000 else text[:2000] + text[-2000:]
+    if not text.isascii() and len(_OTHER.findall(text)) > 0.08 * len(text):
         for name, script in _SCRIPTS:
-            n = len(script.findall(sample))
-            if n > (0.08 if name == "ja" else 0.15) * len(sample):
+            n = len(script.findall(text))
+            if n > (0.08 if name == "ja" else 0.15) * len(text):
                 return name
-    seen = Counter(text.lower().split())
-    return max(HINTS, key=lambda k: sum(seen[w] for w in HINTS[k]))
+    return max(HINTS, key=lambda k: sum(text.count(w) for w in HINTS[k]))
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,7 @@ class Model:
     starter: dict[tuple[str, str], float]
     headings: frozenset[str]
     gaps: dict[tuple[str, str], float]
+    first: frozenset[str] = frozenset()
 
 
 def _first_line(text: str, at: int) -> str:
@@ -87,61 +89,82 @@ def _char_class(c: str) -> str:
     return "sign"
 
 
-def _counts(text: str) -> Iterator[tuple[str, str, str]]:
-    """Observations of one document: (kind, language, what)."""
+def _last_word(before: str) -> str:
+    """The letters at the end of a piece of text."""
+    k = len(before)
+    while k and before[k - 1].isalpha():
+        k -= 1
+    return before[k:]
+
+
+def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
+    """Observations of one document: ((kind, language, what), how often)."""
     lang = language(text)
-    for word, goes_on in _SHORT.findall(text):
-        yield ("dot" if goes_on else "word"), lang, word.lower()
-    starts = [0, *(m.end() for m in _PARAGRAPH.finditer(text))]
-    for s in starts:
+    for m in _GOES_ON.finditer(text):
+        if 0 < len(last := _last_word(text[max(0, m.start() - 8) : m.start()])) <= 6:
+            yield ("dot", lang, last.lower()), 1
+    for token, n in Counter(text.split()).items():
+        bare = token.strip(".!?,;:()[]“”„«»\"'")  # stripped of its signs
+        if not bare.isalpha():
+            continue
+        if len(bare) <= 6:
+            yield ("word", lang, bare.lower()), n
+        if len(bare) <= 32 and bare[0].isupper():
+            yield ("inside", lang, bare), n
+    for s in (0, *(m.end() for m in _PARAGRAPH.finditer(text))):
         line = _first_line(text, s)
         form = _heading_form(line) if line else ""
         if form and len(form) <= 60 and form[-1] not in STOPS + ",;":
-            yield "alone", "", form
-        if word := re.match(r"\S+", text[s : s + 60]):
-            yield "begins", "", re.sub(r"\d+", "9", word.group())
+            yield ("alone", "", form), 1
+        if (word := re.match(r"\S+", text[s : s + 25])) and word.end() < 25:
+            yield ("begins", "", re.sub(r"\d+", "9", word.group())), 1
         skip = text.find("\n", s, s + 80)  # the word after a heading begins a sentence as well
         for at in (s, skip + 1) if skip > 0 else (s,):
-            if first := _WORD_AFTER.match(text, at):
-                yield "start", lang, first.group()
-    for word in _WORD_AFTER.findall(text):  # the signs are stripped: only words are left
-        if word[0].isupper():
-            yield "inside", lang, word
+            if first := _CAPITAL.match(text, at):
+                yield ("start", lang, first.group()), 1
     if lang == "th":
         for m in _GAP.finditer(text):
             a, b = _char_class(text[m.start() - 1 : m.start()]), _char_class(text[m.end() : m.end() + 1])
-            yield ("line" if "\n" in m.group() else "space"), a, b
+            yield (("line" if "\n" in m.group() else "space"), a, b), 1
 
 
-def learn(documents: DataFrame, min_count: int = 3, most_rows: int = 200_000) -> Model:
-    """Counts over all documents, added up in the tasks first; only forms seen `min_count` times or more come to the driver.
+def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5) -> Model:
+    """Counts over all documents, added up in the tasks first; what comes to the driver is bounded.
 
-    Made-up words are many, but the counted ones are short, begin paragraphs or stand alone; beyond `most_rows` of a kind the rarest,
-    which weigh least, are left out of the model (not of the documents).
+    A form counts if it is seen at least `min_count` times and once in 1 / `min_share` documents, so there are some thousand of
+    them whatever the number of documents. Words are only fetched where a stop, a start or a line alone has been seen as well.
     """
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: dict[tuple[str, str, str], int] = {}
         for b in batches:
+            seen["documents", "", ""] = seen.get(("documents", "", ""), 0) + len(b)
             for text in b["text"]:
                 if text:
-                    seen.update(_counts(text))
-            if len(seen) > 200_000:
+                    for k, n in _counts(text):
+                        seen[k] = seen.get(k, 0) + n
+            if len(seen) > 300_000:
                 yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
-                seen = Counter()
+                seen = {}
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
 
     rows = documents.select("text").mapInPandas(observe, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    kept = rows.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "kind", "a", "b").limit(6 * most_rows).collect()
+    rows = stored(rows, "sentence_counts")
+    total = rows.filter("kind = 'documents'").agg(F.sum("n")).first()[0] or 0
+    often = rows.filter(F.col("n") >= max(min_count, int(min_share * total)))
+    few = often.filter(F.col("kind").isin("dot", "start", "alone", "line", "space"))
+    same = {"word": few.filter("kind = 'dot'").select("a", "b"), "inside": few.filter("kind = 'start'").select("a", "b"), "begins": few.filter("kind = 'alone'").select("a", F.split("b", " ")[0].alias("b")).distinct()}
+    for kind, wanted in same.items():
+        few = few.unionByName(rows.filter(F.col("kind") == kind).join(wanted, ["a", "b"], "left_semi"))
     table: dict[str, dict[tuple[str, str], int]] = {}
-    for r in kept:
+    for r in few.collect():
         table.setdefault(r["kind"], {})[r["a"], r["b"]] = r["n"]
 
     def odds(p: float, q: float, prior: float = 0.5) -> float:
         return math.log((p + prior) / (q + prior))
 
     dots, plain = table.get("dot", {}), table.get("word", {})
-    abbreviation = {k: odds(n, plain.get(k, 0)) for k, n in dots.items()}
+    abbreviation = {k: odds(n, max(0, plain.get(k, 0) - n)) for k, n in dots.items()}
     inside = table.get("inside", {})
     starter = {k: odds(n, 0.02 * max(0, inside.get(k, n) - n)) for k, n in table.get("start", {}).items() if k[1][0].isupper()}
     for learned in (abbreviation, starter):  # passages in another language than their document's
@@ -151,7 +174,7 @@ def learn(documents: DataFrame, min_count: int = 3, most_rows: int = 200_000) ->
     headings = {f for (_, f), n in table.get("alone", {}).items() if n >= 0.3 * begins.get(("", f.split(" ")[0]), n)}
     line, space = table.get("line", {}), table.get("space", {})
     gaps = {k: odds(line.get(k, 0), 0.05 * space.get(k, 0)) for k in {*line, *space}}
-    return Model(abbreviation, starter, frozenset(headings), gaps)
+    return Model(abbreviation, starter, frozenset(headings), gaps, frozenset(h[0] for h in headings) | (frozenset("0123456789") if any(h[0] == "9" for h in headings) else frozenset()))
 
 
 def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
@@ -188,17 +211,17 @@ def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
     return outer
 
 
-def _claims(text: str, sure: list[int]) -> dict[int, int]:
+def _claims(text: str, sure: set[int]) -> dict[int, int]:
     """Start -> number of the claims: the last run of labels 1, 2, 3 ... whose first begins a paragraph or line."""
-    labels = [(m.start(), int(m.group(1) or m.group(2) or m.group(3))) for m in _LABEL.finditer(text)]
+    labels = [(m.start(), int(m.group(2) or m.group(4) or m.group(5)), m.group(1) or m.group(3) or m.group(6)) for m in _LABEL.finditer(text)]
     best: dict[int, int] = {}
     for k in range(len(labels) - 1, -1, -1):
-        at, n = labels[k]
+        at, n, style = labels[k]
         if n != 1 or not (at == 0 or text[:at].rstrip(" \t　").endswith("\n")):
             continue
         run, want = {at: 1}, 2
-        for p, v in labels[k + 1 :]:
-            if v == want and _opens_claim(text, p):
+        for p, v, own in labels[k + 1 :]:
+            if v == want and own == style and _opens_claim(text, p):
                 run[p] = v
                 want += 1
         before = text[:at].rstrip()
@@ -265,16 +288,22 @@ def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
             continue
         put(p, _weight(text, m, group, lang, model))
     sure = {p for p, w in weight.items() if w >= 20} | set(headed)
-    numbers = _claims(text, sorted(sure))
-    out = []
+    numbers = _claims(text, sure)
+    out, k = [], 0
     for p in sorted({*weight, *numbers}):
-        inside = any(a < p < b for a, b in spans) if p in weight and weight[p] < 20 else False
-        out.append((p, UNLIKELY if inside else weight.get(p, UNLIKELY), p in numbers))
+        w = weight.get(p, UNLIKELY)
+        while k < len(spans) and spans[k][1] <= p:
+            k += 1
+        if w < 20 and k < len(spans) and spans[k][0] < p:
+            w = UNLIKELY
+        out.append((p, w, p in numbers))
     return out
 
 
 def _heading_end(text: str, s: int, model: Model) -> int:
     """The end of the heading at `s`, 0 if there is none. A heading may be broken over two lines."""
+    if text[s : s + 1] not in model.first:
+        return 0
     end = text.find("\n", s, s + 80)
     for _ in range(2):
         if end < 0:
@@ -324,6 +353,8 @@ def _weight(text: str, m: re.Match, group: tuple[int, int] | None, lang: str, mo
         return 6.0
     if after in ",;:%)]":
         return -5.0
+    if stop == "." and text[m.start() - 1 : m.start()].isspace():  # a number or formula torn apart
+        return -3.0
     before = text[max(0, m.start() - 24) : m.start()]
     if _CJK.match(before[-1:] or " "):
         return 5.0 if stop in "!?" or not after.isascii() or gap else -2.0
@@ -334,16 +365,15 @@ def _weight(text: str, m: re.Match, group: tuple[int, int] | None, lang: str, mo
         return 5.0 if gap or after.isupper() or lang in ("ko", "hi") else -3.0
     if len(mark) > 1 and mark[:2] == ".." or stop == "…":
         return -3.0 if after.islower() else 2.0
-    prev = _WORD_BEFORE.search(before)
-    last = prev.group() if prev else ""
+    last = _last_word(before)
     abbr = _known(model.abbreviation, lang, last.lower(), -3.0) if 0 < len(last) <= 6 else -3.0
-    number = _NUMBER.search(before)
+    number = _NUMBER.search(before) if before[-1:].isdigit() else None
     if not gap:
         if not (len(last) >= 2 or number or closed) or not (after.isupper() or after in "“„«¿¡([" or ord(after) > 0x0E00):
             return 1.5 if len(last) >= 4 and abbr < -1 and word and len(nxt) >= 2 and not after.isdigit() and before[-1:].islower() else -5.0
         if after in "([" and not re.match(r"\[\d+\]", rest):
             return -2.0
-        return 3.0 if abbr < 0 and (start > -1.0 or len(last) > 4 or number) else -3.0
+        return 3.0 if start > 0 or abbr < 0 and (start > -1.0 or len(last) > 4 or number) else -3.0
     if number and not last:
         digits = number.group().strip()
         plain = digits.isdigit() and len(digits) <= 2
@@ -356,6 +386,8 @@ def _weight(text: str, m: re.Match, group: tuple[int, int] | None, lang: str, mo
         return -4.0 if abbr > -1.0 else 2.0
     if nxt[:1].islower():
         return -4.0 if abbr > -0.5 else (2.0 if len(last) > 1 else -2.0)
+    if abbr > -0.5 and re.search(r"[A-ZА-Я]\.[A-ZА-Я]$", before) and (start > -1.5 and nxt[:1].isupper() and nxt[1:2].islower() or after == "("):
+        return 1.0  # an acronym may end a sentence
     if nxt[:1].isupper():
         if start > 0:
             return 4.0
