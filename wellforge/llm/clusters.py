@@ -87,7 +87,8 @@ def leaf_features(unique: DataFrame, dim: int, max_leaves: int, threshold: float
         for b in batches:
             x = matrix(b["vec"], dim)
             leaves.add(np.ones(len(x)), x, (x * x).sum(1))
-        yield leaves.frame(TaskContext.get().partitionId())
+        if len(leaves.n):
+            yield leaves.frame(TaskContext.get().partitionId())
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         leaves = LeafFeatures(dim, max_leaves, float(g["threshold"].max()))

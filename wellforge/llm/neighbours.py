@@ -225,7 +225,7 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
 
         def abroad(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(m) or not len(v):
-                return pd.DataFrame({"vid": [], "near": []})
+                return pd.DataFrame({"vid": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object)})
             data, q, ids = matrix(m["vec"], dim), matrix(v["vec"], dim), m["ids"].tolist()
             best = search(build(data, 1024, np.random.default_rng(seed)), data, q, k, keep, relax, v["ball"].to_numpy())
             best.d[best.d > (v["ball"].to_numpy() ** 2 * SLACK + 1e-12)[:, None]] = np.inf

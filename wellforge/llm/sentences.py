@@ -39,6 +39,7 @@ _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
 _OTHER = re.compile("[^\x00-ɏ\u2000-\u206f]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*")
+_DEVANAGARI = re.compile("[ऀ-ॣ]+$")
 _MARK = re.compile(r"[\[\](){}（）［］【】〔〕「」『』《》〈〉«»“”„‹›\"]")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _END = re.compile(r"[" + re.escape(STOPS) + r"]+(?:\s?[»]|[\"”“»」』）)\]】］›])*")
@@ -68,6 +69,7 @@ class Model:
     headings: frozenset[str]
     gaps: dict[tuple[str, str], float]
     first: frozenset[str] = frozenset()
+    ordinary: frozenset[tuple[str, str]] = frozenset()
 
 
 def _first_line(text: str, at: int) -> str:
@@ -92,7 +94,7 @@ def _char_class(c: str) -> str:
 def _last_word(before: str) -> str:
     """The letters at the end of a piece of text."""
     k = len(before)
-    while k and before[k - 1].isalpha():
+    while k and (before[k - 1].isalpha() or "ऀ" <= before[k - 1] <= "ॣ"):  # vowel signs are no letters to Python
         k -= 1
     return before[k:]
 
@@ -105,10 +107,12 @@ def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
             yield ("dot", lang, last.lower()), 1
     for token, n in Counter(text.split()).items():
         bare = token.strip(".!?,;:()[]“”„«»\"'")  # stripped of its signs
-        if not bare.isalpha():
+        if not bare.isalpha() and not (lang == "hi" and _DEVANAGARI.match(bare)):
             continue
         if len(bare) <= 6:
             yield ("word", lang, bare.lower()), n
+            if token[-1] == ".":
+                yield ("ends", lang, bare.lower()), n
         if len(bare) <= 32 and bare[0].isupper():
             yield ("inside", lang, bare), n
     for s in (0, *(m.end() for m in _PARAGRAPH.finditer(text))):
@@ -152,8 +156,8 @@ def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5) ->
     rows = stored(rows, "sentence_counts")
     total = rows.filter("kind = 'documents'").agg(F.sum("n")).first()[0] or 0
     often = rows.filter(F.col("n") >= max(min_count, int(min_share * total)))
-    few = often.filter(F.col("kind").isin("dot", "start", "alone", "line", "space"))
-    same = {"word": few.filter("kind = 'dot'").select("a", "b"), "inside": few.filter("kind = 'start'").select("a", "b"), "begins": few.filter("kind = 'alone'").select("a", F.split("b", " ")[0].alias("b")).distinct()}
+    few = often.filter(F.col("kind").isin("dot", "word", "ends", "start", "alone", "line", "space"))
+    same = {"inside": few.filter("kind = 'start'").select("a", "b"), "begins": few.filter("kind = 'alone'").select("a", F.split("b", " ")[0].alias("b")).distinct()}
     for kind, wanted in same.items():
         few = few.unionByName(rows.filter(F.col("kind") == kind).join(wanted, ["a", "b"], "left_semi"))
     table: dict[str, dict[tuple[str, str], int]] = {}
@@ -165,6 +169,8 @@ def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5) ->
 
     dots, plain = table.get("dot", {}), table.get("word", {})
     abbreviation = {k: odds(n, max(0, plain.get(k, 0) - n)) for k, n in dots.items()}
+    ends = table.get("ends", {})
+    ordinary = frozenset(k for k, n in plain.items() if ends.get(k, 0) < 0.7 * n)
     inside = table.get("inside", {})
     starter = {k: odds(n, 0.02 * max(0, inside.get(k, n) - n)) for k, n in table.get("start", {}).items() if k[1][0].isupper()}
     for learned in (abbreviation, starter):  # passages in another language than their document's
@@ -174,7 +180,7 @@ def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5) ->
     headings = {f for (_, f), n in table.get("alone", {}).items() if n >= 0.3 * begins.get(("", f.split(" ")[0]), n)}
     line, space = table.get("line", {}), table.get("space", {})
     gaps = {k: odds(line.get(k, 0), 0.05 * space.get(k, 0)) for k in {*line, *space}}
-    return Model(abbreviation, starter, frozenset(headings), gaps, frozenset(h[0] for h in headings) | (frozenset("0123456789") if any(h[0] == "9" for h in headings) else frozenset()))
+    return Model(abbreviation, starter, frozenset(headings), gaps, frozenset(h[0] for h in headings) | (frozenset("0123456789") if any(h[0] == "9" for h in headings) else frozenset()), ordinary)
 
 
 def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
@@ -391,7 +397,8 @@ def _weight(text: str, m: re.Match, group: tuple[int, int] | None, lang: str, mo
     if nxt[:1].isupper():
         if start > 0:
             return 4.0
-        return -3.0 if len(last) <= 4 and abbr > -1.5 or 0 < len(last) <= 3 else 2.5
+        short = 0 < len(last) <= 3 and (lang, last.lower()) not in model.ordinary
+        return -3.0 if len(last) <= 4 and abbr > -1.5 or short else 2.5
     return -3.0 if abbr > 0.5 and after not in "“„«[¿¡" else 3.0
 
 
@@ -448,6 +455,7 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
         known = fitted.value
         for b in batches:
             out = [(doc, s, e) for doc, text in zip(b["doc_id"], b["text"]) if text for s, e in split(text, known)]
-            yield pd.DataFrame(out, columns=["doc_id", "sent_start", "sent_end"])
+            frame = pd.DataFrame(out, columns=["doc_id", "sent_start", "sent_end"])
+            yield frame.astype({"doc_id": "Int64"}) if frame["doc_id"].dtype.kind == "f" else frame
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tag, "doc_id long, sent_start int, sent_end int")
