@@ -9,6 +9,7 @@ from wellforge.operators import sampling as ops
 from wellforge.operators.tables import with_group, without_nan
 from wellforge.plans.tables import CELL_VALUES, _CELLS
 from wellforge.session import table
+from wellforge.streaming.arrivals import hourly_scores as hourly
 
 def r8(c) -> F.Column:
     """Means of few decimals have finite expansions; at eight places they are not cut at a tie."""
@@ -104,6 +105,12 @@ def category_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("Group", "Sample").agg(F.count("*").alias("n"), r8(F.avg("miel_distance")).alias("mean"), r8(F.stddev_samp("miel_distance")).alias("std"))
 
 
+def hourly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregation, run as a batch."""
+    h = hourly(table(spark, sf_dir, "df_distance"))
+    return h.select("hour", "Group", "n", r8("total").alias("total"), F.round("squares", 4).alias("squares"))
+
+
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells per size class of 100 pixels, with the diameters at its ends."""
     low = F.floor(F.col(SIZE) / 100) * 100
@@ -131,7 +138,7 @@ QUERIES = {
     "size_threshold_diameter": _size("median", 0.8, 1.2, True),
     "bootstrap_mean": _bootstrap("mean"),
     "bootstrap_std": _bootstrap("std"),
-} | {f.__name__: f for f in (zscore, bin_cells, bin_means, sample_centroids, group_centroids_sem, cv, anova_oneway, anova_regression, fitted_curves, box_statistics, category_statistics, size_histogram, group_labels, otsu_thresholds)}
+} | {f.__name__: f for f in (zscore, bin_cells, bin_means, sample_centroids, group_centroids_sem, cv, anova_oneway, anova_regression, fitted_curves, box_statistics, category_statistics, hourly_scores, size_histogram, group_labels, otsu_thresholds)}
 
 _S = """s AS (SELECT dist_id, "Group", "Sample", miel_distance, miel_orthogonal FROM df_distance
   WHERE CAST(miel_distance AS VARCHAR) NOT IN ('nan', 'inf', '-inf') AND CAST(miel_orthogonal AS VARCHAR) NOT IN ('nan', 'inf', '-inf'))"""
@@ -185,6 +192,8 @@ round(n * ln(2 * pi() * sse / n) + 6 + n, 4) AS aic, round(n * ln(2 * pi() * sse
 SELECT q."Group", any_value(n) AS n, round(any_value(mean), 8) AS mean, round(any_value(std), 8) AS std, round(any_value(q1), 8) AS q1, round(any_value(q2), 8) AS q2, round(any_value(q3), 8) AS q3, round(min(miel_distance), 8) AS low, round(max(miel_distance), 8) AS high
 FROM q JOIN s ON s."Group" = q."Group" AND miel_distance BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""",
     "category_statistics": f'WITH {_S} SELECT "Group", "Sample", count(*) AS n, round(avg(miel_distance), 8) AS mean, round(stddev_samp(miel_distance), 8) AS std FROM s WHERE "Group" IS NOT NULL AND "Sample" IS NOT NULL GROUP BY 1, 2',
+    "hourly_scores": """SELECT date_trunc('hour', measured_at)::TIMESTAMP AS hour, "Group", count(*) AS n, round(sum(miel_distance), 8) AS total, round(sum(miel_distance ** 2), 4) AS squares FROM df_distance
+  WHERE measured_at IS NOT NULL AND CAST(miel_distance AS VARCHAR) NOT IN ('nan', 'inf', '-inf') GROUP BY 1, 2""",
     "size_histogram": f"""WITH {_C}, h AS (SELECT (floor("{SIZE}" / 100) * 100)::BIGINT AS low, count(*) AS n FROM c WHERE "{SIZE}" IS NOT NULL GROUP BY 1)
 SELECT low, n, round(sqrt(4 * low / pi()), 8) AS from_diameter, round(sqrt(4 * (low + 100) / pi()), 8) AS to_diameter FROM h""",
     "group_labels": """SELECT coalesce("Group", 'nan') || '_' || coalesce("Sample", 'nan') AS label, count(*) AS n, contains(coalesce("Group", 'nan') || '_' || coalesce("Sample", 'nan'), 'ave') AS centroid FROM df_distance GROUP BY 1""",
