@@ -1,0 +1,176 @@
+"""Non-linear embeddings by landmarks: a layout fitted on a bounded sample, and every row placed against it in its own task.
+
+The original methods move all points at once over all pairs, which no cluster can hold. Here at most `landmarks` rows (a
+documented parameter) are laid out by gradient descent, and each other row then minimises the same cost against the landmarks
+alone. Placing is independent per row, so it is one narrow pass over any number of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]).clip(0)
+
+
+def conditional(d2: np.ndarray, perplexity: float, rounds: int = 40) -> np.ndarray:
+    """Row-wise Gaussian weights whose entropy is log(perplexity), found by bisection for all rows at once."""
+    low, high = np.full(len(d2), 1e-12), np.full(len(d2), 1e12)
+    d2 = d2 - d2.min(1, keepdims=True)
+    for _ in range(rounds):
+        beta = np.sqrt(low * high)
+        w = np.exp(-d2 * beta[:, None])
+        p = w / w.sum(1, keepdims=True)
+        entropy = -(p * np.log(p + 1e-300)).sum(1)
+        wide = entropy > np.log(perplexity)
+        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
+    return p
+
+
+def joint(x: np.ndarray, perplexity: float) -> np.ndarray:
+    """Symmetric neighbour probabilities of all pairs of rows; they sum to 1."""
+    d2 = _squares(x, x)
+    np.fill_diagonal(d2, 1e300)
+    p = conditional(d2, min(perplexity, (len(x) - 1) / 3))
+    np.fill_diagonal(p, 0)
+    return (p + p.T) / (2 * len(x))
+
+
+def divergence(p: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Kullback-Leibler divergence of Student-t neighbourhoods from `p`, and its gradient."""
+    near = 1 / (1 + _squares(y, y))
+    np.fill_diagonal(near, 0)
+    q = np.maximum(near / near.sum(), 1e-12)
+    cost = float((p * np.log(np.maximum(p, 1e-12) / q)).sum())
+    force = (p - q) * near
+    return cost, 4 * (force.sum(1)[:, None] * y - force @ y)
+
+
+def descend(gradient, y: np.ndarray, rounds: int, rate: float, momentum: float = 0.8) -> np.ndarray:
+    """Momentum with a gain per coordinate: up where step and gradient disagree in sign, down where they agree."""
+    step, gain = np.zeros_like(y), np.ones_like(y)
+    for _ in range(rounds):
+        g = gradient(y)
+        gain = np.where(g * step < 0, gain + 0.1, gain * 0.9).clip(0.01)
+        step = momentum * step - rate * gain * g
+        y = y + step
+    return y
+
+
+def hyperbolic(y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Distances between rows of radius and angle in the hyperbolic plane."""
+    c = np.cosh(y[:, :1]) * np.cosh(z[:, 0])[None, :] - np.sinh(y[:, :1]) * np.sinh(z[:, 0])[None, :] * np.cos(y[:, 1:2] - z[:, 1][None, :])
+    return np.arccosh(np.maximum(c, 1.0))
+
+
+def hyperbolic_stress(d: np.ndarray, y: np.ndarray, z: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Kruskal's stress of hyperbolic distances against `d`, and the gradient of its raw sum in radius and angle of `y`."""
+    own = z is None
+    z = y if own else z
+    c = np.cosh(y[:, :1]) * np.cosh(z[:, 0])[None, :] - np.sinh(y[:, :1]) * np.sinh(z[:, 0])[None, :] * np.cos(y[:, 1:2] - z[:, 1][None, :])
+    e = np.arccosh(np.maximum(c, 1.0))
+    slope = 2 * (e - d) / np.sqrt(np.maximum(c * c - 1, 1e-9))
+    if own:
+        np.fill_diagonal(slope, 0)
+    turn = y[:, 1:2] - z[:, 1][None, :]
+    dr = np.sinh(y[:, :1]) * np.cosh(z[:, 0])[None, :] - np.cosh(y[:, :1]) * np.sinh(z[:, 0])[None, :] * np.cos(turn)
+    da = np.sinh(y[:, :1]) * np.sinh(z[:, 0])[None, :] * np.sin(turn)
+    g = np.stack([(slope * dr).sum(1), (slope * da).sum(1)], 1) * (2 if own else 1)
+    return float(np.sqrt(((e - d) ** 2).sum() / (d * d).sum())), g
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Landmarks in the original space and in the layout; `kind` is 'neighbours' or 'hyperbolic'."""
+
+    x: np.ndarray
+    y: np.ndarray
+    kind: str
+    perplexity: float
+    scale: float
+
+    def place(self, df: DataFrame, id_col: str, vec: str, rounds: int = 30) -> DataFrame:
+        """(id, position) of every row: the weighted mean of its nearest landmarks, then descent against all of them."""
+        x, y, kind, perplexity, scale = self.x, self.y, self.kind, self.perplexity, self.scale
+
+        def near(p: np.ndarray, start: np.ndarray) -> np.ndarray:
+            def gradient(at: np.ndarray) -> np.ndarray:
+                w = 1 / (1 + _squares(at, y))
+                force = (p - w / w.sum(1, keepdims=True)) * w
+                return 2 * (force.sum(1)[:, None] * at - force @ y)
+
+            return descend(gradient, start, rounds, 1.0, 0.5)
+
+        def curved(d: np.ndarray, start: np.ndarray) -> np.ndarray:
+            def gradient(at: np.ndarray) -> np.ndarray:
+                g = hyperbolic_stress(d, at, y)[1] / len(y)
+                return np.stack([g[:, 0], g[:, 1] / np.maximum(np.sinh(at[:, 0]) ** 2, 0.05)], 1)
+
+            at = start
+            for _ in range(rounds):
+                at = at - 0.1 * gradient(at).clip(-1, 1)
+                at = np.stack([np.abs(at[:, 0]), at[:, 1]], 1)
+            return at
+
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    d2 = _squares(np.vstack(b["vec"].to_numpy()).astype(float), x)
+                    p = conditional(d2, min(perplexity, max(2.0, len(x) / 4)))
+                    if kind == "neighbours":
+                        at = near(p, p @ y)
+                    else:
+                        flat = p @ np.stack([y[:, 0] * np.cos(y[:, 1]), y[:, 0] * np.sin(y[:, 1])], 1)
+                        at = curved(np.sqrt(d2) * scale, np.stack([np.hypot(*flat.T), np.arctan2(flat[:, 1], flat[:, 0])], 1))
+                    yield pd.DataFrame({"id": b["id"], "position": list(at)})
+
+        return df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).mapInPandas(go, "id long, position array<double>")
+
+
+def _sample(df: DataFrame, vec: str, landmarks: int, seed: int) -> np.ndarray:
+    few = df.select(vec).filter(F.col(vec).isNotNull()).orderBy(F.xxhash64(F.lit(seed), vec)).limit(landmarks).toPandas()
+    return np.vstack(few[vec].to_numpy()).astype(float)
+
+
+def _flat_start(x: np.ndarray) -> np.ndarray:
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    start = u[:, :2] * s[:2]
+    return start / max(start.std(), 1e-12)
+
+
+def fit_neighbours(df: DataFrame, vec: str, perplexity: float = 30.0, landmarks: int = 512, rounds: int = 300, exaggeration: float = 4.0, seed: int = 0) -> Layout:
+    """Neighbour embedding in two dimensions: the layout whose Student-t neighbourhoods diverge least from those of the rows."""
+    x = _sample(df, vec, landmarks, seed)
+    p = joint(x, perplexity)
+    y = 1e-2 * _flat_start(x)
+    rate = max(len(x) / 12.0, 10.0)
+    y = descend(lambda at: divergence(exaggeration * p, at)[1], y, rounds // 3, rate, 0.5)
+    y = descend(lambda at: divergence(p, at)[1], y, rounds - rounds // 3, rate)
+    return Layout(x, y - y.mean(0), "neighbours", perplexity, 1.0)
+
+
+def fit_hyperbolic(df: DataFrame, vec: str, radius: float = 3.0, landmarks: int = 256, rounds: int = 300, seed: int = 0) -> Layout:
+    """Metric scaling in the hyperbolic plane; distances are scaled so that the largest is twice `radius`."""
+    x = _sample(df, vec, landmarks, seed)
+    d = np.sqrt(_squares(x, x))
+    scale = 2 * radius / max(float(d.max()), 1e-12)
+    flat = _flat_start(x)
+    y = np.stack([np.hypot(*flat.T), np.arctan2(flat[:, 1], flat[:, 0])], 1)
+    y[:, 0] *= radius / max(y[:, 0].max(), 1e-12)
+    best = (np.inf, y)
+    for k in range(rounds):
+        stress, g = hyperbolic_stress(d * scale, y)
+        if stress < best[0]:
+            best = (stress, y)
+        g = g / (2 * len(x))
+        step = np.stack([g[:, 0], g[:, 1] / np.maximum(np.sinh(y[:, 0]) ** 2, 0.05)], 1).clip(-1, 1)
+        y = y - 0.2 / (1 + 3 * k / rounds) * step
+        y = np.stack([np.abs(y[:, 0]).clip(0, radius), y[:, 1]], 1)
+    return Layout(x, best[1], "hyperbolic", 10.0, scale)

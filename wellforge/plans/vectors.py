@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellforge.functions.arrays import METRICS, doubles, hyperbolic_distance, polar, wrapped
+from wellforge.operators import layouts
 from wellforge.operators import projections as proj
 from wellforge.operators import scores as ops
 from wellforge.session import cut, table
@@ -161,6 +162,20 @@ def mds_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proj.stress(_pairs(spark, sf_dir), q).select(r6("raw_stress").alias("raw_stress"), r6("stress1").alias("stress1"))
 
 
+def neighbour_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbour embedding (as t-SNE and UMAP draw it) of every vector."""
+    v = vectors(spark, sf_dir)
+    placed = layouts.fit_neighbours(v, "vec").place(v, "vec_id", "vec")
+    return placed.select(F.col("id").alias("vec_id"), F.col("position")[0].alias("x"), F.col("position")[1].alias("y"))
+
+
+def hyperbolic_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius and angle of every vector in the hyperbolic plane."""
+    v = vectors(spark, sf_dir)
+    placed = layouts.fit_hyperbolic(v, "vec").place(v, "vec_id", "vec")
+    return placed.select(F.col("id").alias("vec_id"), F.col("position")[0].alias("radius"), F.col("position")[1].alias("angle"))
+
+
 def logistic_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     scored, _ = proj.logistic_scores(v.filter("label < 2"), v, "vec_id", "vec", "label", c=10.0)
@@ -171,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         axis_model_score, axis_model_predict, axis_projection, centroid_vector_distance, roc_curve, roc_auc, event_auc, confusion, miel_1d, miel_2d, trustworthiness,
-        hyperbolic_distances, polar_coordinates, wrapped_angles, pca_scores, pca_loadings, ica_scores, mds_positions, mds_stress, logistic_l1,
+        hyperbolic_distances, polar_coordinates, wrapped_angles, pca_scores, pca_loadings, ica_scores, mds_positions, mds_stress, neighbour_layout, hyperbolic_layout, logistic_l1,
     )
 } | {f"pdist_{m}": _pdist(m) for m in METRICS}
 
