@@ -188,8 +188,15 @@ def multi_otsu(df: DataFrame, column: str, classes: int = 3, bins_: int = 256) -
     best, came = [gain(0, j) for j in range(bins_ + 1)], []
     for _ in range(classes - 1):
         # of equal cuts, as in a gap without values, the lowest
-        step = [max(((best[i] + gain(i, j), -i) for i in range(j)), default=(0.0, 0)) for j in range(bins_ + 1)]
-        best, back = [s[0] for s in step], [-s[1] for s in step]
+        step, back = [0.0], [0]
+        for j in range(1, bins_ + 1):
+            total, cut = -1.0, 0
+            for i in range(j):
+                if (value := best[i] + gain(i, j)) > total * (1 + 1e-12):
+                    total, cut = value, i
+            step.append(total)
+            back.append(cut)
+        best = step
         came.append(back)
     cuts, j = [], bins_
     for back in reversed(came):
