@@ -79,6 +79,14 @@ def test_distances_are_symmetric_and_zero_on_themselves(spark, metric):
     assert math.isclose(ab, ba) and ab > 0 and abs(aa) < 1e-12
 
 
+def test_query_distances_sent_or_joined(spark):
+    x, df = cloud(spark, 60, 3)
+    want = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for sent in (1000, 1):
+        got = sc.query_distances(df, df.filter("id % 20 = 0"), block=2, sent_rows=sent, salts=5).collect()
+        assert len(got) == 180 and all(abs(r["d"] - want[r["i"], r["j"]]) < 1e-9 for r in got)
+
+
 def test_hyperbolic_distance_on_a_ray(spark):
     assert math.isclose(one(spark, a.hyperbolic_distance(F.lit(3.0), F.lit(1.0), F.lit(0.5), F.lit(1.0)), t="x"), 2.5, rel_tol=1e-9)
     with pytest.raises(ValueError):
@@ -136,6 +144,17 @@ def test_auc_is_the_share_of_ordered_pairs(spark):
     assert sc.auc(perfect.filter("label = 1")).first()["auc"] is None
 
 
+def test_segments_illumination_and_sizes(spark):
+    px = [[1, 1, 0, 1], [0, 0, 0, 1], [1, 0, 1, 0]]
+    df = spark.createDataFrame([(1, [float(v) for r in px for v in r]), (2, [0.0] * 12)], "id long, px array<double>")
+    got = {r["id"]: list(r["labels"]) for r in ob.segment(df, "id", "px", 4, 0.5).collect()}
+    assert got == {1: [1, 1, 0, 4, 0, 0, 0, 4, 9, 0, 11, 0], 2: [0] * 12}
+    grown = {r["id"]: r["px"] for r in ob.resized(df, "id", "px", 4, 5, 7).collect()}
+    assert grown[1][0] == 1 and grown[1][1] == 1 and grown[1][5] == 0.5 and grown[1][7] == 0.5 and grown[1][34] == 0
+    flat = ob.illumination(df.filter("id = 1").select("px", F.lit("a").alias("g")), ["g"], "px").orderBy("k").collect()
+    assert math.isclose(sum(r["flat"] for r in flat), 12)
+
+
 def test_axis_model(spark):
     rows = [(0, s, [float(s), 0.0, 1.0]) for s in range(4)] + [(1, s, [10.0 + s, 0.0, 1.0]) for s in range(4)]
     df = spark.createDataFrame(rows, "g int, s int, v array<double>")

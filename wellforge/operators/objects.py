@@ -105,3 +105,64 @@ def power_rings(images: DataFrame, id_col: str, px: str, width: int) -> DataFram
 def power_slope(rings: DataFrame) -> DataFrame:
     """(id, slope): slope of log10 power over log10 wave number."""
     return rings.groupBy("id").agg(F.regr_slope(F.log10("power"), F.log10("k")).alias("slope"))
+
+
+def illumination(images: DataFrame, by: Sequence[str], px: str) -> DataFrame:
+    """(by.., k, flat, dark): per pixel the median over the images relative to its mean over pixels, and the 5 % quantile.
+
+    A robust stand-in for a fitted shading model: medians ignore what single images show.
+    """
+    pixel = images.select(*by, F.posexplode(px).alias("k", "v"))
+    per = pixel.groupBy(*by, "k").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.05)).alias("dark"))
+    whole = per.groupBy(*by).agg(F.avg("m").alias("_mean"))
+    return per.join(whole, list(by)).select(*by, "k", F.try_divide("m", "_mean").alias("flat"), "dark")
+
+
+def resized(images: DataFrame, id_col: str, px: str, width: int, rows: int, columns: int) -> DataFrame:
+    """(id, px): images of `rows` x `columns` whose corners are those of the originals, linear in between. No shuffle."""
+
+    def grow(x: Column, k: Column) -> Column:
+        height = F.size(x) / F.lit(width)
+        y = F.floor(k / columns) * ((height - 1) / max(rows - 1, 1))
+        c = (k % columns) * ((width - 1) / max(columns - 1, 1))
+        y0, c0 = F.least(F.floor(y), height.cast("int") - 2), F.least(F.floor(c), F.lit(width - 2))
+        at = lambda i, j: F.get(x, ((y0 + i) * width + c0 + j).cast("int"))
+        u, v = y - y0, c - c0
+        return at(0, 0) * (1 - u) * (1 - v) + at(0, 1) * (1 - u) * v + at(1, 0) * u * (1 - v) + at(1, 1) * u * v
+
+    grid = F.sequence(F.lit(0), F.lit(rows * columns - 1))
+    return images.select(F.col(id_col).alias("id"), F.col(px).alias("_x")).select("id", F.transform(grid, lambda k: grow(F.col("_x"), k)).alias("px"))
+
+
+def segment(images: DataFrame, id_col: str, px: str, width: int, threshold: float) -> DataFrame:
+    """(id, labels): 0 for background; pixels above `threshold` that touch along rows or columns share 1 + their first position.
+
+    A classical substitute for a trained segmenter. All images of a batch are labelled together: each pass takes the smallest
+    label among neighbours, until none changes.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def label(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["px"].to_numpy()).reshape(len(b), -1, width)
+            inside = np.pad(x > threshold, ((0, 0), (1, 1), (1, 1)))
+            big = x.shape[1] * width + 1
+            own = np.pad(np.arange(1, big).reshape(1, -1, width), ((0, 0), (1, 1), (1, 1)))
+            now = np.where(inside, own, big)
+            while True:
+                new = now.copy()
+                for axis in (1, 2):
+                    for by in (-1, 1):
+                        new = np.minimum(new, np.roll(now, by, axis))
+                new = np.where(inside, new, big)
+                if (new == now).all():
+                    break
+                now = new
+            flat = np.where(inside, now, 0)[:, 1:-1, 1:-1].reshape(len(b), -1)
+            yield pd.DataFrame({"id": b["id"], "labels": list(flat.astype("int32"))})
+
+    one = images.select(F.col(id_col).alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px"))
+    return one.mapInPandas(label, "id long, labels array<int>")

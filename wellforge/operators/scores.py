@@ -11,22 +11,30 @@ from pyspark.sql import functions as F
 from wellforge.functions.arrays import distance, dot, minus, norm
 
 
-def query_distances(rows: DataFrame, queries: DataFrame, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", blocks: int = 8) -> DataFrame:
+def query_distances(rows: DataFrame, queries: DataFrame, metric: str = "euclidean", id_col: str = "id", vec_col: str = "vec", block: int = 1024, sent_rows: int = 16_384, salts: int = 64) -> DataFrame:
     """(i, j, d): the distance of every query i to every row j, itself included.
 
-    The queries are a stated set. They go in `blocks` parts to the rows' partitions, so a part is all that a task holds beside the
-    rows it streams over; the rows are not shuffled. The result has queries x rows rows by its nature.
+    The queries are a stated set, packed into blocks of about `block`. Up to `sent_rows` queries are counted and sent to all tasks,
+    and the rows are not shuffled. More queries are joined by block and salt: each row meets each block once, and a block's rows
+    are spread over `salts` keys. The result has queries x rows rows by its nature.
     """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
     q = queries.select(F.col(id_col).alias("i"), F.col(vec_col).alias("_q")).withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+    packed = q.groupBy("_b").agg(F.collect_list(F.struct("i", "_q")).alias("_qs"))
     r = rows.select(F.col(id_col).alias("j"), F.col(vec_col).alias("_r"))
-    gathered = q.groupBy("_b").agg(F.collect_list(F.struct("i", "_q")).alias("_qs"))
-    pairs = r.crossJoin(F.broadcast(gathered)).select("j", "_r", F.explode("_qs").alias("_x"))
+    if n <= sent_rows:
+        met = r.crossJoin(F.broadcast(packed))
+    else:
+        spread = packed.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        met = r.withColumn("_s", F.pmod(F.xxhash64("j"), F.lit(salts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(spread, ["_b", "_s"])
+    pairs = met.select("j", "_r", F.explode("_qs").alias("_x"))
     return pairs.select(F.col("_x.i").alias("i"), "j", distance(F.col("_x._q"), F.col("_r"), metric).alias("d"))
 
 
 def mean_distance_to(pairs: DataFrame, reference: DataFrame, name: str) -> DataFrame:
     """(j, name): the mean distance of every row j to the reference rows (i), a row's distance 0 to itself included."""
-    return pairs.join(F.broadcast(reference.select("i").distinct()), "i", "left_semi").groupBy("j").agg(F.avg("d").alias(name))
+    return pairs.join(reference.select("i").distinct(), "i", "left_semi").groupBy("j").agg(F.avg("d").alias(name))
 
 
 def group_axes(pairs: DataFrame, members: DataFrame, a: str, b: str) -> DataFrame:

@@ -104,14 +104,34 @@ def mask_roundness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).select("vec_id", bits.alias("bits")).select("vec_id", r6(ops.roundness(F.col("bits"), WIDTH)).alias("roundness"))
 
 
+def illumination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat and dark field of the images of each label."""
+    f = ops.illumination(images(spark, sf_dir), ["label"], "px")
+    return f.select("label", "k", r6("flat").alias("flat"), r6("dark").alias("dark"))
+
+
+def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image at half its size, by linear interpolation between pixels."""
+    p = ops.resized(images(spark, sf_dir), "vec_id", "px", WIDTH, 5, 5)
+    return p.select(F.col("id").alias("vec_id"), F.posexplode("px").alias("k", "v")).select("vec_id", "k", r6("v").alias("v"))
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of each image: pixels above 0.05 that touch along rows or columns, named by their first pixel."""
+    s = ops.segment(images(spark, sf_dir), "vec_id", "px", WIDTH, 0.05)
+    one = s.select(F.col("id").alias("vec_id"), F.posexplode("labels").alias("k", "object")).filter("object > 0")
+    return one.groupBy("vec_id", "object").agg(F.count("*").alias("pixel_count"), F.max("k").alias("last"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        illumination, resized, segmented,
         max_projection, gray_rescale, clip_above, image_quality, image_shapes, power_spectrum, power_slope, tas_features, bounding_boxes, object_crops, object_measures, sized_objects, mask_roundness,
     )
 } | {"tas_mode0": _tas((0,), PERCENTS), "tas_mode1": _tas((1,), PERCENTS), "tas_mode2": _tas((2,), PERCENTS), "tas_mode3": _tas((3,), ())}
 
-_PX = "p AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), g AS (SELECT *, k // 8 AS r, k % 8 AS c, (1 + 2 * (k // 32) + (k % 8) // 4)::INT AS object FROM p)"
+_PX = "p AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INT AS k FROM embeddings), g AS (SELECT *, k // 8 AS r, k % 8 AS c, (1 + 2 * (k // 32) + (k % 8) // 4)::INT AS object FROM p)"
 _OBJ = f"{_PX}, o AS (SELECT * FROM g WHERE v > 0)"
 
 
@@ -122,7 +142,7 @@ def _tas_sql(mode: int) -> str:
 w AS (SELECT g.id, percent, r, c FROM g JOIN m USING (id), q WHERE {test}),
 a AS (SELECT w.id, w.percent, w.r, w.c, count(x.id) AS n FROM w LEFT JOIN w x ON x.id = w.id AND x.percent = w.percent AND abs(x.r - w.r) <= 1 AND abs(x.c - w.c) <= 1 AND NOT (x.r = w.r AND x.c = w.c) GROUP BY 1, 2, 3, 4),
 h AS (SELECT id, percent, n, count(*) AS k FROM a GROUP BY 1, 2, 3), t AS (SELECT id, percent, sum(k) AS t FROM h GROUP BY 1, 2)
-SELECT e.vec_id, {mode} AS mode, q.percent, z.n, round(coalesce(h.k / t.t, 0), 6) AS share FROM embeddings e, q, range(9) z(n) LEFT JOIN h ON h.id = e.vec_id AND h.percent = q.percent AND h.n = z.n
+SELECT e.vec_id, {mode} AS mode, q.percent, z.n::INT AS n, round(coalesce(h.k / t.t, 0), 6) AS share FROM embeddings e, q, range(9) z(n) LEFT JOIN h ON h.id = e.vec_id AND h.percent = q.percent AND h.n = z.n
 LEFT JOIN t ON t.id = e.vec_id AND t.percent = q.percent"""
 
 
@@ -131,12 +151,21 @@ f AS (SELECT id, u, w, any_value(u.k) AS k, sum(v * cos(2 * pi() * (u * r + w *
 s AS (SELECT id, k, avg(re * re + im * im) * pi() * ((k + 0.5) ** 2 - (k - 0.5) ** 2) AS power FROM f GROUP BY 1, 2)"""
 
 ORACLES = {
+    "illumination": f"""WITH {_PX}, q AS (SELECT label, k, median(v) AS m, quantile_cont(v, 0.05) AS dark FROM g GROUP BY 1, 2)
+SELECT label, k, round(m / avg(m) OVER (PARTITION BY label), 6) AS flat, round(dark, 6) AS dark FROM q""",
+    "resized": f"""WITH {_PX}, t AS (SELECT i * 7 / 4.0::DOUBLE AS y, j * 7 / 4.0::DOUBLE AS x, (i * 5 + j)::INT AS k FROM range(5) a(i), range(5) b(j)),
+w AS (SELECT k, y, x, least(floor(y), 6)::INT AS y0, least(floor(x), 6)::INT AS x0 FROM t)
+SELECT g.id AS vec_id, w.k, round(sum(v * (1 - abs(g.r - y)) * (1 - abs(g.c - x))), 6) AS v FROM w JOIN g ON g.r BETWEEN y0 AND y0 + 1 AND g.c BETWEEN x0 AND x0 + 1 GROUP BY 1, 2""",
+    "segmented": """WITH RECURSIVE p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INT AS k FROM embeddings), o AS (SELECT vec_id, k, k // 8 AS r, k % 8 AS c FROM p WHERE v > 0.05),
+w AS (SELECT vec_id, k, k AS root FROM o UNION SELECT b.vec_id, b.k, w.root FROM w JOIN o a ON a.vec_id = w.vec_id AND a.k = w.k JOIN o b ON b.vec_id = a.vec_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE w.root < b.k),
+m AS (SELECT vec_id, k, min(root) + 1 AS object FROM w GROUP BY 1, 2)
+SELECT vec_id, object, count(*) AS pixel_count, max(k) AS last FROM m GROUP BY 1, 2""",
     "max_projection": f"WITH {_PX} SELECT label, k, round(max(v), 6) AS v FROM g GROUP BY 1, 2",
     "gray_rescale": f"WITH {_PX} SELECT id AS vec_id, k, round((least(greatest(v, -0.1), 0.2) + 0.1) / (0.2::DOUBLE - -0.1::DOUBLE) * 255, 6) AS v FROM g",
     "clip_above": f"WITH {_PX} SELECT id AS vec_id, k, round(least(v, 0.1), 6) AS v FROM g",
     "image_quality": f"""WITH {_PX}, m AS (SELECT id, max(v) AS x, median(v) + 2 * stddev_pop(v) AS t FROM g GROUP BY 1)
 SELECT id AS vec_id, round(100.0 * count(*) FILTER (WHERE v = x) / count(*), 6) AS percent_max, round(100.0 * count(*) FILTER (WHERE v > t) / count(*), 6) AS percent_median2sd FROM g JOIN m USING (id) GROUP BY 1""",
-    "image_shapes": "SELECT label, min(len(embedding)) AS least, min(len(embedding)) = max(len(embedding)) AS equal FROM embeddings GROUP BY 1",
+    "image_shapes": "SELECT label, min(len(embedding))::INT AS least, min(len(embedding)) = max(len(embedding)) AS equal FROM embeddings GROUP BY 1",
     "power_spectrum": f"WITH {_RINGS} SELECT id AS vec_id, k, round(power, 6) AS power FROM s",
     "power_slope": f"WITH {_RINGS} SELECT id AS vec_id, round(regr_slope(log10(power), log10(k)), 6) AS slope FROM s GROUP BY 1",
     "tas_features": f"WITH x AS (WITH {_tas_sql(3)}) SELECT vec_id, " + ", ".join(f'max(share) FILTER (WHERE n = {k}) AS "Ch1_TXT_TAS_{28 + k}"' for k in range(9)) + " FROM x GROUP BY 1",

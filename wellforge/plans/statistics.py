@@ -95,7 +95,7 @@ def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a box plot and error bars show: per group mean, deviation, quartiles and whiskers within 1.5 interquartile ranges."""
     s = scores(spark, sf_dir).filter("Group IS NOT NULL")
     q = s.groupBy("Group").agg(F.count("*").alias("n"), F.avg("miel_distance").alias("mean"), F.stddev_samp("miel_distance").alias("std"), *(F.percentile("miel_distance", F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
-    far = s.join(F.broadcast(q.select("Group", "q1", "q3")), "Group").filter(F.col("miel_distance").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
+    far = s.join(q.select("Group", "q1", "q3"), "Group").filter(F.col("miel_distance").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     ends = far.groupBy("Group").agg(F.min("miel_distance").alias("low"), F.max("miel_distance").alias("high"))
     return rounded(q.join(ends, "Group"), "mean", "std", "q1", "q2", "q3", "low", "high")
 
@@ -159,7 +159,7 @@ def _boot(f: str) -> str:
   FROM s WHERE "Group" IS NOT NULL AND "Sample" IS NOT NULL),
 g AS (SELECT "Group", max(size) AS size FROM r GROUP BY 1),
 d AS (SELECT "Group", b AS bootstrap, ('0x' || substr(md5('5|' || "Group" || '|' || b || '|' || j), 1, 8))::BIGINT % size AS pos FROM g, range(1, 21) x(b), range(1, 101) y(j))
-SELECT "Group", bootstrap, round({f}(miel_distance), 8) AS miel_distance, round({f}(miel_orthogonal), 8) AS miel_orthogonal FROM d JOIN r USING ("Group", pos) GROUP BY 1, 2"""
+SELECT "Group", bootstrap::INT AS bootstrap, round({f}(miel_distance), 8) AS miel_distance, round({f}(miel_orthogonal), 8) AS miel_orthogonal FROM d JOIN r USING ("Group", pos) GROUP BY 1, 2"""
 
 
 _CENT = f"""WITH {_S}, m AS (SELECT "Group", "Sample", avg(miel_distance) AS d, avg(miel_orthogonal) AS o, stddev_samp(miel_distance) / sqrt(200) AS ds, stddev_samp(miel_orthogonal) / sqrt(200) AS os FROM s GROUP BY 1, 2)"""

@@ -190,7 +190,7 @@ _CELLS = "SELECT cell_id, \"WellIndex\", " + ", ".join(f"{_nan(c)} AS \"{c}\"" f
 _WELLS = 'SELECT "WellIndex", min("Row") AS "Row", min("Column") AS "Column" FROM platemap GROUP BY 1'
 _LIFE = r"B(\d\d-\d\d-\d{4})_D(\d\d-\d\d-\d{4})"
 _DAYS = f"""coalesce(CASE WHEN regexp_matches("Age", '{_LIFE}') THEN date_diff('day', try_strptime(regexp_extract("Age", '{_LIFE}', 1), '%m-%d-%Y')::DATE,
-  try_strptime(regexp_extract("Age", '{_LIFE}', 2), '%m-%d-%Y')::DATE) END,
+  try_strptime(regexp_extract("Age", '{_LIFE}', 2), '%m-%d-%Y')::DATE)::INT END,
   CASE WHEN regexp_matches("Age", '\\d?\\d?\\d ?(day)s?') THEN regexp_extract("Age", '(\\d?\\d?\\d) ?(day)s?', 1)::INT END)"""
 _AGE = f"""coalesce(({_DAYS}) || ' days', "Age")"""
 

@@ -227,7 +227,7 @@ def _auc(t: str) -> str:
 ORACLES = {
     "axis_model_score": f"WITH {_AXIS} SELECT vec_id, label, round(s, 6) AS score, round(sqrt(greatest(q - s * s, 0)), 6) AS orthogonal FROM s",
     "axis_model_predict": f"WITH {_BEST} SELECT vec_id, s > cut AS prob_b FROM s, b",
-    "axis_projection": f"WITH {_AXIS} SELECT vec_id, k - 1 AS k, round(s * (b - a) / n, 6) AS along, round(v - a - s * (b - a) / n, 6) AS across FROM e JOIN c USING (k) JOIN s USING (vec_id), n",
+    "axis_projection": f"WITH {_AXIS} SELECT vec_id, (k - 1)::INT AS k, round(s * (b - a) / n, 6) AS along, round(v - a - s * (b - a) / n, 6) AS across FROM e JOIN c USING (k) JOIN s USING (vec_id), n",
     "centroid_vector_distance": f"""WITH {_E}, c AS (SELECT k, avg(v) FILTER (WHERE label = 2) AS a, avg(v) FILTER (WHERE label = 3) AS b FROM e GROUP BY 1), n AS (SELECT sqrt(sum((b - a) ** 2)) AS n FROM c),
 s AS (SELECT vec_id, sum((v - a) * (b - a)) / any_value(n) AS s, sum((v - a) ** 2) AS q FROM e JOIN c USING (k), n GROUP BY 1)
 SELECT vec_id, round(s, 6) AS distance, round(sqrt(greatest(q - s * s, 0)), 6) AS orthogonal FROM s""",
