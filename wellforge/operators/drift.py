@@ -345,22 +345,22 @@ def _name_model(parts: DataFrame, before: dict[int, tuple]) -> NameModel:
     """Profiles and replacement counts over all files. Its size follows the number of different names, not of files."""
 
     def events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(batches), ignore_index=True) if (batches := list(batches)) else None
-        if whole is None or whole.empty:
-            return
         counts: dict[tuple[str, str], list[float]] = {}
-        for names, profiles in zip(whole["names"], whole["profiles"]):
-            for c, p in zip(names, profiles):
-                sums = counts.setdefault(("", name_key(c)), [0.0] * 5)
-                for i in range(5):
-                    sums[i] += p[i]
-        for _, _, old, new, _ in _steps(whole, before.get(TaskContext.get().partitionId())):
-            if old is not None:
-                gone, come = _pairs(old, new)
-                for b in come:
-                    counts.setdefault(("+", name_key(b)), [0.0] * 5)[0] += 1
-                    for a in gone:
-                        counts.setdefault((name_key(a) + "\x01", name_key(b)), [0.0] * 5)[0] += 1
+        old = before.get(TaskContext.get().partitionId())
+        for part in batches:
+            for names, profiles in zip(part["names"], part["profiles"]):
+                for c, p in zip(names, profiles):
+                    sums = counts.setdefault(("", name_key(c)), [0.0] * 5)
+                    for i in range(5):
+                        sums[i] += p[i]
+            for series, _, last, new, _ in _steps(part, old):
+                old = (series, new)
+                if last is not None:
+                    gone, come = _pairs(last, new)
+                    for b in come:
+                        counts.setdefault(("+", name_key(b)), [0.0] * 5)[0] += 1
+                        for a in gone:
+                            counts.setdefault((name_key(a) + "\x01", name_key(b)), [0.0] * 5)[0] += 1
         yield pd.DataFrame([(a, b, v) for (a, b), v in counts.items()], columns=["a", "b", "v"])
 
     sums = parts.select("series", "file_id", "names", "kinds", "profiles").mapInPandas(events, "a string, b string, v array<double>")
