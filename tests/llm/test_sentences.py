@@ -101,3 +101,9 @@ def test_viterbi_is_the_best_of_all_taggings():
                 if w > best + 1e-9:
                     best, tag = w, [p[0] for p, x in zip(places, marks) if x]
         assert s.viterbi(places) == tag
+
+
+def test_numbers_in_wide_digits_and_thai_claims_in_line(model):
+    assert units("平均値は４８.２である。次の文。", model) == ["平均値は４８.２である。", "次の文。"]
+    th = ["1. โรเตอร์กลวงซึ่งประกอบด้วยลูกปืน (123) และลูกกลิ้ง", "2. หัวฉีดตามข้อถือสิทธิ 1 ซึ่งสัมผัสท่อ"]
+    assert units("ข้อถือสิทธิ\n" + " ".join(th), model) == ["ข้อถือสิทธิ", *th]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,8 +36,10 @@ STOPS = ".!?…।॥|؟" + WIDE
 #: Words that tell languages in Latin letters apart.
 HINTS = {"en": (" the ", " of ", " is "), "de": (" der ", " den ", " und "), "fr": (" le ", " du ", " est "), "es": (" el ", " del ", " es ")}
 
+#: A bracket that closes later than this was never meant to: in damaged formulas one of the two is missing.
+MOST_ENCLOSED = 1000
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
+_SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯ᄀ-ᇿ]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
 _OTHER = re.compile("[^\x00-ɏ\u2000-\u206f]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*")
 _DEVANAGARI = re.compile("[ऀ-ॣ]+$")
@@ -92,11 +95,12 @@ def _char_class(c: str) -> str:
 
 
 def _last_word(before: str) -> str:
-    """The letters at the end of a piece of text."""
+    """The letters at the end of a piece of text, composed; vowel signs and accents are no letters to Python."""
     k = len(before)
-    while k and (before[k - 1].isalpha() or "ऀ" <= before[k - 1] <= "ॣ"):  # vowel signs are no letters to Python
+    while k and (before[k - 1].isalpha() or "ऀ" <= before[k - 1] <= "ॣ" or "\u0300" <= before[k - 1] <= "\u036f"):
         k -= 1
-    return before[k:]
+    word = before[k:]
+    return word if word.isascii() else unicodedata.normalize("NFC", word)
 
 
 def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
@@ -107,6 +111,8 @@ def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
             yield ("dot", lang, last.lower()), 1
     for token, n in Counter(text.split()).items():
         bare = token.strip(".!?,;:()[]“”„«»\"'")  # stripped of its signs
+        if not bare.isascii():
+            bare = unicodedata.normalize("NFC", bare)
         if not bare.isalpha() and not (lang == "hi" and _DEVANAGARI.match(bare)):
             continue
         if len(bare) <= 6:
@@ -207,7 +213,8 @@ def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
             if c in PAIRS or c == '"':
                 stack.append((c, p))
             continue
-        out.append((stack[found][1], p + 1))
+        if p - stack[found][1] <= MOST_ENCLOSED:
+            out.append((stack[found][1], p + 1))
         del stack[found:]
     out.sort(key=lambda s: (s[0], -s[1]))
     outer: list[tuple[int, int]] = []
@@ -241,6 +248,8 @@ def _claims(text: str, sure: set[int]) -> dict[int, int]:
 
 def _opens_claim(text: str, p: int) -> bool:
     head = text[:p].rstrip()
+    if "ก" <= head[-1:] <= "๎":  # Thai sentences end without a sign
+        return True
     return text[p - 1 : p] == "\n" or head[-1:] in STOPS or head[-1:] in CLOSE or text[p] in "[【" or "\n" in text[len(head) : p]
 
 
@@ -351,6 +360,8 @@ def _weight(text: str, m: re.Match, group: tuple[int, int] | None, lang: str, mo
         # a closing mark that belongs to a span ending earlier in the run, or to none
         if after in ",;:":
             return -5.0
+    if stop == "." and not gap and after.isdigit() and text[m.start() - 1 : m.start()].isdigit():
+        return -5.0
     if any(c in WIDE + "।॥|" for c in mark):
         if "．" in mark and after.isdigit() and not gap and text[m.start() - 1 : m.start()].isdigit():
             return -5.0
