@@ -104,3 +104,9 @@ def test_unified_table(spark):
     got = d.unified_table(df, q)
     assert sorted(got.columns) == ["Area", "FOV", "file_id", "label", "series"]
     assert sorted((r["file_id"], r["label"], r["Area"], r["FOV"]) for r in got.collect()) == [(1, "o1", "100", "1"), (1, "o2", "120", None), (2, "o1", "110", "3")]
+
+
+def test_two_values_are_enough_for_a_name_that_is_otherwise_unlike(spark):
+    rows = [(i, "s", i, ["ecc", "area"], "\n".join(f"-{5 + (i * 7 + k) % 40 / 10:.3f}\t{900 + k}" for k in range(30))) for i in range(5)]
+    rows += [(9, "s", 9, ["area", "elongation", "Sample"], "950\t-5.123\tS12\n990\t-6.051\tS7")]
+    assert changes(spark, rows) == [(9, "added", "", "Sample"), (9, "renamed", "ecc", "elongation")]

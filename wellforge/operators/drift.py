@@ -185,9 +185,13 @@ def value_kind(values: Iterable[str]) -> str | None:
     return kind
 
 
-def _profile(values: Iterable[str]) -> tuple[float, float, float, float, float]:
-    """Over the values that are not missing: count, numbers, their sum and sum of squares, digits after the point."""
-    n = numbers = total = squares = digits = 0.0
+PROFILE = 7
+
+
+def _profile(values: Iterable[str]) -> tuple[float, ...]:
+    """Over the values that are not missing: count; of numbers, with or without a unit, their count, sum, sum of squares and
+    digits after the point; of other texts the sum of lengths and how many hold a digit."""
+    n = numbers = total = squares = digits = length = mixed = 0.0
     for v in values:
         if v in MISSING:
             continue
@@ -201,7 +205,10 @@ def _profile(values: Iterable[str]) -> tuple[float, float, float, float, float]:
                 if "e" not in v.lower():
                     body = re.split(r"[.,]", m.group(1))
                     digits += len(body[1].rstrip("0")) if len(body) > 1 else 0
-    return n, numbers, total, squares, digits
+        else:
+            length += len(v)
+            mixed += any(c.isdigit() for c in v)
+    return n, numbers, total, squares, digits, length, mixed
 
 
 FILE_SCHEMA = T.StructType(
@@ -254,8 +261,11 @@ class NameModel:
         if (p[1] > 0.5 * p[0]) != (q[1] > 0.5 * q[0]):
             return 1.5
         if p[1] <= 0.5 * p[0]:
-            return 0.25
+            (a1, d1), (a2, d2) = ((x[5] / max(1.0, x[0] - x[1]), x[6] / max(1.0, x[0] - x[1])) for x in (p, q))
+            return min(1.5, 0.25 + abs(a1 - a2) / 3 + 1.5 * abs(d1 - d2))
         (m, s), (n, t) = ((x[2] / x[1], max(x[3] / x[1] - (x[2] / x[1]) ** 2, 1e-12 + 1e-6 * (x[2] / x[1]) ** 2)) for x in (p, q))
+        # a handful of values says little of its own spread
+        s, t = (p[1] * s + 4 * t) / (p[1] + 4), (q[1] * t + 4 * s) / (q[1] + 4)
         apart = 0.25 * math.log(0.25 * (s / t + t / s + 2)) + 0.25 * (m - n) ** 2 / (s + t)
         return min(1.5, 2.5 * apart + 0.15 * min(3.0, abs(p[4] / p[1] - q[4] / q[1])))
 
@@ -350,25 +360,25 @@ def _name_model(parts: DataFrame, before: dict[int, tuple]) -> NameModel:
         for part in batches:
             for names, profiles in zip(part["names"], part["profiles"]):
                 for c, p in zip(names, profiles):
-                    sums = counts.setdefault(("", name_key(c)), [0.0] * 5)
-                    for i in range(5):
+                    sums = counts.setdefault(("", name_key(c)), [0.0] * PROFILE)
+                    for i in range(PROFILE):
                         sums[i] += p[i]
             for series, _, last, new, _ in _steps(part, old):
                 old = (series, new)
                 if last is not None:
                     gone, come = _pairs(last, new)
                     for b in come:
-                        counts.setdefault(("+", name_key(b)), [0.0] * 5)[0] += 1
+                        counts.setdefault(("+", name_key(b)), [0.0] * PROFILE)[0] += 1
                         for a in gone:
-                            counts.setdefault((name_key(a) + "\x01", name_key(b)), [0.0] * 5)[0] += 1
+                            counts.setdefault((name_key(a) + "\x01", name_key(b)), [0.0] * PROFILE)[0] += 1
         yield pd.DataFrame([(a, b, v) for (a, b), v in counts.items()], columns=["a", "b", "v"])
 
     sums = parts.select("series", "file_id", "names", "kinds", "profiles").mapInPandas(events, "a string, b string, v array<double>")
-    rows = sums.groupBy("a", "b").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(5))).collect()
+    rows = sums.groupBy("a", "b").agg(*(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(PROFILE))).collect()
     profiles, together, added = {}, {}, {}
     for r in rows:
         if r["a"] == "":
-            profiles[r["b"]] = tuple(r[f"v{i}"] for i in range(5))
+            profiles[r["b"]] = tuple(r[f"v{i}"] for i in range(PROFILE))
         elif r["a"] == "+":
             added[r["b"]] = int(r["v0"])
         else:
