@@ -34,7 +34,7 @@ DAMAGED = (("â€œ", "“¨¨"), ("â€ž", "„¨¨"), ("â€\x9d", "””
 WIDE = "。！？．｡"
 STOPS = ".!?…।॥|؟" + WIDE
 #: Words that tell languages in Latin letters apart.
-HINTS = {"en": (" the ", " of ", " is "), "de": (" der ", " den ", " und "), "fr": (" le ", " du ", " est "), "es": (" el ", " del ", " es ")}
+HINTS = {"en": ("the", "of", "is"), "de": ("der", "den", "und"), "fr": ("le", "du", "est"), "es": ("el", "del", "es")}
 
 #: A bracket that closes later than this was never meant to: in damaged formulas one of the two is missing.
 MOST_ENCLOSED = 1000
@@ -42,6 +42,7 @@ _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯ᄀ-ᇿ]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
 _OTHER = re.compile("[^\x00-ɏ\u2000-\u206f]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*")
+_SIGNS = ".!?,;:()[]“”„«»\"'"
 _DEVANAGARI = re.compile("[ऀ-ॣ]+$")
 _MARK = re.compile(r"[\[\](){}（）［］【】〔〕「」『』《》〈〉«»“”„‹›\"]")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
@@ -53,14 +54,16 @@ _WORD_AFTER = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"\s+")
 
 
-def language(text: str) -> str:
+def language(text: str, tokens: Counter | None = None) -> str:
     """The script, or for Latin letters the language with the most hint words; text without letters counts as 'en'."""
     if not text.isascii() and len(_OTHER.findall(text)) > 0.08 * len(text):
         for name, script in _SCRIPTS:
             n = len(script.findall(text))
             if n > (0.08 if name == "ja" else 0.15) * len(text):
                 return name
-    return max(HINTS, key=lambda k: sum(text.count(w) for w in HINTS[k]))
+    if tokens is None:
+        tokens = Counter(text.split())
+    return max(HINTS, key=lambda k: sum(tokens[w] for w in HINTS[k]))
 
 
 @dataclass(frozen=True)
@@ -105,21 +108,25 @@ def _last_word(before: str) -> str:
 
 def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
     """Observations of one document: ((kind, language, what), how often)."""
-    lang = language(text)
+    tokens = Counter(text.split())
+    lang = language(text, tokens)
     for m in _GOES_ON.finditer(text):
         if 0 < len(last := _last_word(text[max(0, m.start() - 8) : m.start()])) <= 6:
             yield ("dot", lang, last.lower()), 1
-    for token, n in Counter(text.split()).items():
-        bare = token.strip(".!?,;:()[]“”„«»\"'")  # stripped of its signs
-        if not bare.isascii():
-            bare = unicodedata.normalize("NFC", bare)
-        if not bare.isalpha() and not (lang == "hi" and _DEVANAGARI.match(bare)):
-            continue
+    for token, n in tokens.items():
+        bare = token
+        if not token.isalpha():
+            bare = token.strip(_SIGNS)  # stripped of its signs
+            if not bare.isascii():
+                bare = unicodedata.normalize("NFC", bare)
+            if not bare.isalpha() and not (lang == "hi" and _DEVANAGARI.match(bare)):
+                continue
         if len(bare) <= 6:
-            yield ("word", lang, bare.lower()), n
+            small = bare.lower()
+            yield ("word", lang, small), n
             if token[-1] == ".":
-                yield ("ends", lang, bare.lower()), n
-        if len(bare) <= 32 and bare[0].isupper():
+                yield ("ends", lang, small), n
+        if bare[0].isupper() and len(bare) <= 32:
             yield ("inside", lang, bare), n
     for s in (0, *(m.end() for m in _PARAGRAPH.finditer(text))):
         line = _first_line(text, s)
