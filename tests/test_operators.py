@@ -45,6 +45,18 @@ def test_square_of_pixels(spark):
     assert im.feature_name("Ch1", 1, 40, 2) == "Ch1_TXT_TAS_12_40" and im.feature_name("Ch1", 3, 0, 8) == "Ch1_TXT_TAS_36"
 
 
+def test_cube_of_voxels(spark):
+    px = [1.0 if z < 10 and r < 10 and c < 10 else 0.0 for z in range(12) for r in range(12) for c in range(12)]
+    tas = ob.adjacency_features(spark.createDataFrame([(1, px)], "id long, px array<double>"), "id", "px", 12, (3,), height=12).first()["tas"]
+    assert {k: round(v, 9) for k, v in enumerate(tas) if v} == {26: 0.512, 17: 0.384, 11: 0.096, 7: 0.008}
+    same = ob.resized_volume(spark.createDataFrame([(1, px)], "id long, px array<double>"), "id", "px", (12, 12, 12), (12, 12, 12)).first()["px"]
+    assert np.allclose(same, px)
+
+
+def test_chance_of_an_f_value(spark):
+    assert math.isclose(1 - sa.f_test_p(spark.range(1), 3.0, 2, 8), 0.8934, abs_tol=1e-4)
+
+
 def test_adjacency_against_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6, 30))

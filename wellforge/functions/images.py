@@ -53,22 +53,32 @@ def bordered(bits: Column, width: int) -> Column:
     return F.concat(edge, F.flatten(rows), edge)
 
 
-def neighbour_counts(padded: Column, width: int) -> Column:
+def bordered_volume(bits: Column, width: int, height: int) -> Column:
+    """The flat stack of planes with a border of one voxel of 0 on all sides."""
+    plane = width * height
+    inner = F.transform(F.sequence(F.lit(0), (F.size(bits) / F.lit(plane)).cast("int") - 1), lambda z: bordered(F.slice(bits, z * plane + 1, plane), width))
+    empty = F.array_repeat(F.lit(0), (width + 2) * (height + 2))
+    return F.concat(empty, F.flatten(inner), empty)
+
+
+def neighbour_counts(padded: Column, width: int, height: int | None = None) -> Column:
     """For each white pixel (1) of a bordered image the number of white pixels among its eight neighbours.
 
-    `padded` must be a stored column: an expression would be computed anew for every pixel.
+    With a height, `padded` is a bordered stack and 26 neighbours count. `padded` must be a stored column: an expression would
+    be computed anew for every pixel.
     """
     w = width + 2
-    around = [dr * w + dc for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+    planes = (-1, 0, 1) if height else (0,)
+    around = [dz * w * ((height or 0) + 2) + dr * w + dc for dz in planes for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dz or dr or dc]
     white = F.filter(F.sequence(F.lit(w), F.size(padded) - w - 1), lambda i: F.get(padded, i) == 1)
     return F.transform(white, lambda i: sum((F.get(padded, i + k) for k in around), F.lit(0)))
 
 
-def adjacency_fractions(counts: Column) -> Column:
-    """Share of the white pixels with 0, 1 .. 8 white neighbours; zeros without white pixels."""
+def adjacency_fractions(counts: Column, classes: int = 9) -> Column:
+    """Share of the white pixels with 0, 1 .. white neighbours; zeros without white pixels."""
     n = F.size(counts)
     share = lambda k: F.when(n > 0, F.size(F.filter(counts, lambda x: x == k)) / n).otherwise(0.0)
-    return F.array(*(share(k) for k in range(9)))
+    return F.array(*(share(k) for k in range(classes)))
 
 
 def feature_name(channel: str, mode: int, percent: int, neighbours: int) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellforge.functions.images import PERCENTS, adjacency_fractions, bordered, foreground_mean, mode_mask, neighbour_counts
+from wellforge.functions.images import PERCENTS, adjacency_fractions, bordered, bordered_volume, foreground_mean, mode_mask, neighbour_counts
 
 
 def pixels(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
@@ -65,17 +65,19 @@ def roundness(bits: Column, width: int) -> Column:
     return F.try_divide(4 * F.pi() * area, edge * edge)
 
 
-def adjacency_features(images: DataFrame, id_col: str, px: str, width: int, modes: Sequence[int] = (0, 1, 2, 3), percents: Sequence[int] = PERCENTS) -> DataFrame:
+def adjacency_features(images: DataFrame, id_col: str, px: str, width: int, modes: Sequence[int] = (0, 1, 2, 3), percents: Sequence[int] = PERCENTS, height: int | None = None) -> DataFrame:
     """(id, mode, percent, tas): threshold adjacency statistics, nine shares for each mode and percent (mode 3 has percent 0).
 
+    With a height the images are stacks of planes of that height, and there are 27 shares.
     An image is expanded into its masks and each is reduced to nine numbers in the same row: no pixel table, no shuffle.
     """
     base = images.select(F.col(id_col).alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px")).withColumn("mean", foreground_mean(F.col("px")))
     wanted = [(m, p) for m in modes if m < 3 for p in percents] + ([(3, 0)] if 3 in modes else [])
-    masks = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(p).alias("percent"), bordered(mode_mask(F.col("px"), F.col("mean"), m, p), width).alias("bits")) for m, p in wanted))
+    pad = (lambda b: bordered_volume(b, width, height)) if height else (lambda b: bordered(b, width))
+    masks = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(p).alias("percent"), pad(mode_mask(F.col("px"), F.col("mean"), m, p)).alias("bits")) for m, p in wanted))
     one = base.select("id", F.explode(masks).alias("x")).select("id", "x.*")
-    counted = one.withColumn("counts", neighbour_counts(F.col("bits"), width))
-    return counted.select("id", "mode", "percent", adjacency_fractions(F.col("counts")).alias("tas"))
+    counted = one.withColumn("counts", neighbour_counts(F.col("bits"), width, height))
+    return counted.select("id", "mode", "percent", adjacency_fractions(F.col("counts"), 27 if height else 9).alias("tas"))
 
 
 def power_rings(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
@@ -134,6 +136,25 @@ def resized(images: DataFrame, id_col: str, px: str, width: int, rows: int, colu
     return images.select(F.col(id_col).alias("id"), F.col(px).alias("_x")).select("id", F.transform(grid, lambda k: grow(F.col("_x"), k)).alias("px"))
 
 
+def resized_volume(volumes: DataFrame, id_col: str, px: str, shape: tuple[int, int, int], to: tuple[int, int, int]) -> DataFrame:
+    """(id, px): stacks of `shape` (depth, rows, columns) at the size `to`, corners kept, linear in between. No shuffle."""
+    (d, h, w), (nd, nh, nw) = shape, to
+
+    def along(k: Column, n: int, size: int) -> tuple[Column, Column]:
+        at = k * ((size - 1) / max(n - 1, 1))
+        low = F.least(F.floor(at), F.lit(max(size - 2, 0)))
+        return low, at - low
+
+    def grow(x: Column, k: Column) -> Column:
+        (z, a), (r, b), (c, e) = along(F.floor(k / (nh * nw)), nd, d), along(F.floor(k / nw) % nh, nh, h), along(k % nw, nw, w)
+        corner = lambda i, j, l: F.coalesce(F.get(x, (((z + i) * h + r + j) * w + c + l).cast("int")), F.lit(0.0))
+        side = lambda t, i: t if i else 1 - t
+        return sum((corner(i, j, l) * side(a, i) * side(b, j) * side(e, l) for i in (0, 1) for j in (0, 1) for l in (0, 1)), F.lit(0.0))
+
+    grid = F.sequence(F.lit(0), F.lit(nd * nh * nw - 1))
+    return volumes.select(F.col(id_col).alias("id"), F.col(px).alias("_x")).select("id", F.transform(grid, lambda k: grow(F.col("_x"), k)).alias("px"))
+
+
 def segment(images: DataFrame, id_col: str, px: str, width: int, threshold: float) -> DataFrame:
     """(id, labels): 0 for background; pixels above `threshold` that touch along rows or columns share 1 + their first position.
 

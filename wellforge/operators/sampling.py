@@ -126,7 +126,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row on y = slope x + intercept: n, slope, intercept, sse, ss_total, r2, f, aic, bic, p_value of the F test.
+    """One row on y = slope x + intercept: n, slope, intercept, sse, ss_total, r2, f, aic, bic.
 
     The sums are taken around the means by built-in aggregates, so one pass over the rows suffices.
     """
@@ -138,6 +138,21 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     return one.select("n", "slope", "intercept", sse.alias("sse"), "ss_total", "r2", f.alias("f"), aic(n, 2, sse).alias("aic"), (likely + F.log(n) * 3 + n).alias("bic"))
 
 
+def f_test_p(df: DataFrame, f: float, between: float, within: float) -> float:
+    """The chance of a larger F under no effect, from the distribution functions that come with Spark."""
+    jvm = df.sparkSession.sparkContext._jvm
+    return 1.0 - jvm.org.apache.commons.math3.distribution.FDistribution(float(between), float(within)).cumulativeProbability(float(f))
+
+
+def anova_with_p(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The two rows of `anova` with the chance of the group's F, null for the residual."""
+    table = anova(df, group, value)
+    rows = {r["term"]: r for r in table.collect()}
+    g, w = rows["group"], rows["residual"]
+    p = f_test_p(df, g["f"], g["df"], w["df"]) if g["f"] is not None and g["df"] and w["df"] else None
+    return table.withColumn("p_value", F.when(F.col("term") == "group", F.lit(p).cast("double")))
+
+
 def aic(n: Column, k: int, rss: Column) -> Column:
     return n * F.log(2 * F.pi() * rss / n) + 2 * (k + 1) + n
 

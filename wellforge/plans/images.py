@@ -116,6 +116,24 @@ def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("vec_id"), F.posexplode("px").alias("k", "v")).select("vec_id", "k", r6("v").alias("v"))
 
 
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight images with running ids as the planes of a stack; incomplete stacks are left out."""
+    planes = images(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("stack"), (F.col("vec_id") % 8).alias("z"), "px")
+    whole = planes.groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("z", "px"))).alias("p")).filter(F.size("p") == 8)
+    return whole.select("stack", F.flatten(F.transform("p", lambda x: x["px"])).alias("px"))
+
+
+def tas_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacency statistics of stacks, 26 neighbours a voxel."""
+    t = ops.adjacency_features(volumes(spark, sf_dir), "stack", "px", WIDTH, (1, 3), (30,), height=WIDTH)
+    return t.select(F.col("id").alias("stack"), "mode", "percent", F.posexplode("tas").alias("n", "share")).withColumn("share", r6("share"))
+
+
+def resized_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ops.resized_volume(volumes(spark, sf_dir), "stack", "px", (8, 8, 8), (4, 5, 6))
+    return p.select(F.col("id").alias("stack"), F.posexplode("px").alias("k", "v")).select("stack", "k", r6("v").alias("v"))
+
+
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of each image: pixels above 0.05 that touch along rows or columns, named by their first pixel."""
     s = ops.segment(images(spark, sf_dir), "vec_id", "px", WIDTH, 0.05)
@@ -126,7 +144,7 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        illumination, resized, segmented,
+        illumination, resized, segmented, tas_volume, resized_volume,
         max_projection, gray_rescale, clip_above, image_quality, image_shapes, power_spectrum, power_slope, tas_features, bounding_boxes, object_crops, object_measures, sized_objects, mask_roundness,
     )
 } | {"tas_mode0": _tas((0,), PERCENTS), "tas_mode1": _tas((1,), PERCENTS), "tas_mode2": _tas((2,), PERCENTS), "tas_mode3": _tas((3,), ())}
@@ -135,6 +153,10 @@ _PX = "p AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS v, (genera
 _OBJ = f"{_PX}, o AS (SELECT * FROM g WHERE v > 0)"
 
 
+_VOX = """v AS (SELECT vec_id // 8 AS stack, vec_id % 8 AS z, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k, count(*) OVER (PARTITION BY vec_id // 8) AS whole FROM embeddings),
+x AS (SELECT stack, z, k // 8 AS r, k % 8 AS c, v FROM v WHERE whole = 8)"""
+
+
 def _tas_sql(mode: int) -> str:
     test = {0: "v >= m * (1 - percent / 100.0) AND v < m * (1 + percent / 100.0)", 1: "v >= m * (1 - percent / 100.0)", 2: "v >= m * (1 + percent / 100.0)", 3: "v >= m"}[mode]
     percents = "[0]" if mode == 3 else "[10, 20, 30, 40, 50, 60, 70, 80, 90]"
@@ -156,6 +178,15 @@ SELECT label, k, round(m / avg(m) OVER (PARTITION BY label), 6) AS flat, round(d
     "resized": f"""WITH {_PX}, t AS (SELECT i * 7 / 4.0::DOUBLE AS y, j * 7 / 4.0::DOUBLE AS x, (i * 5 + j)::INT AS k FROM range(5) a(i), range(5) b(j)),
 w AS (SELECT k, y, x, least(floor(y), 6)::INT AS y0, least(floor(x), 6)::INT AS x0 FROM t)
 SELECT g.id AS vec_id, w.k, round(sum(v * (1 - abs(g.r - y)) * (1 - abs(g.c - x))), 6) AS v FROM w JOIN g ON g.r BETWEEN y0 AND y0 + 1 AND g.c BETWEEN x0 AND x0 + 1 GROUP BY 1, 2""",
+    "tas_volume": f"""WITH {_VOX}, m AS (SELECT stack, avg(v) FILTER (WHERE v > 0) AS m FROM x GROUP BY 1), q AS (SELECT * FROM (VALUES (1, 30), (3, 0)) q(mode, percent)),
+w AS (SELECT x.stack, mode, percent, z, r, c FROM x JOIN m USING (stack), q WHERE v >= m * (1 - percent / 100.0)),
+a AS (SELECT w.stack, w.mode, w.percent, w.z, w.r, w.c, count(y.stack) AS n FROM w LEFT JOIN w y ON y.stack = w.stack AND y.mode = w.mode AND abs(y.z - w.z) <= 1 AND abs(y.r - w.r) <= 1 AND abs(y.c - w.c) <= 1
+  AND NOT (y.z = w.z AND y.r = w.r AND y.c = w.c) GROUP BY ALL),
+h AS (SELECT stack, mode, percent, n, count(*) AS k, sum(count(*)) OVER (PARTITION BY stack, mode) AS t FROM a GROUP BY 1, 2, 3, 4)
+SELECT s.stack, q.mode, q.percent, z.n::INT AS n, round(coalesce(h.k / h.t, 0), 6) AS share FROM (SELECT DISTINCT stack FROM x) s, q, range(27) z(n) LEFT JOIN h ON h.stack = s.stack AND h.mode = q.mode AND h.n = z.n""",
+    "resized_volume": f"""WITH {_VOX}, t AS (SELECT ((i * 5 + j) * 6 + l)::INT AS k, i * 7 / 3.0::DOUBLE AS tz, j * 7 / 4.0::DOUBLE AS ty, l * 7 / 5.0::DOUBLE AS tx FROM range(4) a(i), range(5) b(j), range(6) d(l)),
+w AS (SELECT *, least(floor(tz), 6)::INT AS z0, least(floor(ty), 6)::INT AS y0, least(floor(tx), 6)::INT AS x0 FROM t)
+SELECT x.stack, w.k, round(sum(v * (1 - abs(z - tz)) * (1 - abs(r - ty)) * (1 - abs(c - tx))), 6) AS v FROM w JOIN x ON x.z BETWEEN z0 AND z0 + 1 AND x.r BETWEEN y0 AND y0 + 1 AND x.c BETWEEN x0 AND x0 + 1 GROUP BY 1, 2""",
     "segmented": """WITH RECURSIVE p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INT AS k FROM embeddings), o AS (SELECT vec_id, k, k // 8 AS r, k % 8 AS c FROM p WHERE v > 0.05),
 w AS (SELECT vec_id, k, k AS root FROM o UNION SELECT b.vec_id, b.k, w.root FROM w JOIN o a ON a.vec_id = w.vec_id AND a.k = w.k JOIN o b ON b.vec_id = a.vec_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE w.root < b.k),
 m AS (SELECT vec_id, k, min(root) + 1 AS object FROM w GROUP BY 1, 2)

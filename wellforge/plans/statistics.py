@@ -81,6 +81,10 @@ def anova_oneway(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "sum_sq", "mean_sq", "f", "eta_sq", "omega_sq")
 
 
+def anova_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.anova_with_p(cells(spark, sf_dir), "WellIndex", "Ch1_object_average_intensity").select("term", "df", r8("f").alias("f"), r8("p_value").alias("p_value"))
+
+
 def anova_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ops.line_fit(cells(spark, sf_dir), "MOR_object_pixel_count", "Ch1_TXT_TAS_1_10")
     return out.select("n", *(F.round(c, 4).alias(c) for c in ("intercept", "sse", "ss_total", "r2", "f", "aic", "bic")), F.round(F.col("slope") * 1e6, 4).alias("slope_per_million"))
@@ -138,7 +142,7 @@ QUERIES = {
     "size_threshold_diameter": _size("median", 0.8, 1.2, True),
     "bootstrap_mean": _bootstrap("mean"),
     "bootstrap_std": _bootstrap("std"),
-} | {f.__name__: f for f in (zscore, bin_cells, bin_means, sample_centroids, group_centroids_sem, cv, anova_oneway, anova_regression, fitted_curves, box_statistics, category_statistics, hourly_scores, size_histogram, group_labels, otsu_thresholds)}
+} | {f.__name__: f for f in (zscore, bin_cells, bin_means, sample_centroids, group_centroids_sem, cv, anova_oneway, anova_p_value, anova_regression, fitted_curves, box_statistics, category_statistics, hourly_scores, size_histogram, group_labels, otsu_thresholds)}
 
 _S = """s AS (SELECT dist_id, "Group", "Sample", miel_distance, miel_orthogonal FROM df_distance
   WHERE CAST(miel_distance AS VARCHAR) NOT IN ('nan', 'inf', '-inf') AND CAST(miel_orthogonal AS VARCHAR) NOT IN ('nan', 'inf', '-inf'))"""
