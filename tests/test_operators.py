@@ -45,6 +45,17 @@ def test_square_of_pixels(spark):
     assert im.feature_name("Ch1", 1, 40, 2) == "Ch1_TXT_TAS_12_40" and im.feature_name("Ch1", 3, 0, 8) == "Ch1_TXT_TAS_36"
 
 
+def test_exact_quantiles_by_narrowing(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=3000), np.full(2000, 0.5), 10 ** rng.uniform(0, 6, 1000)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    for p in (0.0, 0.1, 0.5, 0.77, 0.9, 1.0):
+        for gather in (10**6, 40):
+            assert math.isclose(sa.exact_quantile(df, F.col("x"), p, gather), float(np.quantile(x, p)), rel_tol=1e-12)
+    assert sa.exact_quantile(df.filter("x IS NULL"), F.col("x"), 0.5) is None
+    assert sa.within_size(df.filter("x IS NULL"), "x").count() == 0
+
+
 def test_cube_of_voxels(spark):
     px = [1.0 if z < 10 and r < 10 and c < 10 else 0.0 for z in range(12) for r in range(12) for c in range(12)]
     tas = ob.adjacency_features(spark.createDataFrame([(1, px)], "id long, px array<double>"), "id", "px", 12, (3,), height=12).first()["tas"]
