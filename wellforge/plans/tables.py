@@ -67,8 +67,13 @@ def aggregate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.aggregate(table(spark, sf_dir, "cells"), ["WellIndex"], "median", CELL_VALUES), *CELL_VALUES)
 
 
+def placed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell with the metadata of its well; a repeated well gives its cells once for each entry."""
+    return table(spark, sf_dir, "cells").select("WellIndex", "cell_id").join(table(spark, sf_dir, "platemap"), "WellIndex")
+
+
 def aggregate_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.aggregate(table(spark, sf_dir, "platemap"), ["Sample"], "unique")
+    return ops.aggregate(placed_cells(spark, sf_dir).drop("cell_id"), ["Sample"], "unique")
 
 
 def single_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def single_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "platemap").select("WellIndex", joined(["Tissue", "Condition", "FieldOfView"]).alias("joined"))
+    return placed_cells(spark, sf_dir).select("cell_id", joined(["Tissue", "Condition", "FieldOfView"]).alias("joined"))
 
 
 def group_col(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +90,7 @@ def group_col(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_iterables(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array("Sample", "Tissue", "Age")
-    return table(spark, sf_dir, "platemap").select("WellIndex", join_present(parts).alias("present"), join_all(parts).alias("every"))
+    return placed_cells(spark, sf_dir).select("cell_id", join_present(parts).alias("present"), join_all(parts).alias("every"))
 
 
 def float_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +117,14 @@ def dropna_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def age_to_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "platemap").select("WellIndex", "Row", "FieldOfView", F.col("Age").alias("AgeInput"), age_text(F.col("Age")).alias("Age"), age_days(F.col("Age")).alias("days"))
+    return placed_cells(spark, sf_dir).select("cell_id", "Row", "FieldOfView", F.col("Age").alias("AgeInput"), age_text(F.col("Age")).alias("Age"), age_days(F.col("Age")).alias("days"))
 
 
 def split_by_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = ops.split_by(table(spark, sf_dir, "platemap"), "Tissue", ["heart", "liver", "skin"])
+    parts = ops.split_by(placed_cells(spark, sf_dir), "Tissue", ["heart", "liver", "skin"])
     out = None
     for t, df in parts.items():
-        one = df.select("WellIndex", "Sample", F.lit(t).alias("part"))
+        one = df.select("cell_id", "Sample", F.lit(t).alias("part"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -141,7 +146,8 @@ def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.plate(table(spark, sf_dir, "platemap"), F.col("FieldOfView"), row="Row", column="Column")
+    """The first listed file of every well of every plate."""
+    return ops.plate(table(spark, sf_dir, "file_information"), F.col("file_id"), row=["plate", "row"], column="column")
 
 
 def plate_pivot_fov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +193,7 @@ def _nan(c: str) -> str:
 
 
 _CELLS = "SELECT cell_id, \"WellIndex\", " + ", ".join(f"{_nan(c)} AS \"{c}\"" for c in CELL_VALUES) + " FROM cells"
+_PLACED = '(SELECT c.cell_id, p.* FROM cells c JOIN platemap p ON p."WellIndex" = c."WellIndex")'
 _WELLS = 'SELECT "WellIndex", min("Row") AS "Row", min("Column") AS "Column" FROM platemap GROUP BY 1'
 _LIFE = r"B(\d\d-\d\d-\d{4})_D(\d\d-\d\d-\d{4})"
 _DAYS = f"""coalesce(CASE WHEN regexp_matches("Age", '{_LIFE}') THEN date_diff('day', try_strptime(regexp_extract("Age", '{_LIFE}', 1), '%m-%d-%Y')::DATE,
@@ -226,19 +233,19 @@ UNION ALL SELECT "WellIndex", NULL, NULL, NULL, "Sample", "Tissue" FROM platemap
   round({_nan('ch1_loglog_slope')}, 6) AS ch1_loglog_slope FROM imageqc) SELECT * FROM q WHERE coalesce(ch1_percent_max, ch1_percent_median2sd, ch1_loglog_slope) IS NOT NULL""",
     "aggregate_mean": 'SELECT "WellIndex", ' + ", ".join(f'round(avg("{c}"), 9) AS "{c}"' for c in CELL_VALUES) + f' FROM ({_CELLS}) WHERE "WellIndex" IS NOT NULL GROUP BY 1',
     "aggregate_median": 'SELECT "WellIndex", ' + ", ".join(f'round(median("{c}"), 6) AS "{c}"' for c in CELL_VALUES) + f' FROM ({_CELLS}) WHERE "WellIndex" IS NOT NULL GROUP BY 1',
-    "aggregate_unique": 'SELECT "Sample", ' + ", ".join(f'CASE WHEN count(DISTINCT "{c}") = 1 THEN max("{c}") END AS "{c}"' for c in ("WellIndex", "Age", "Tissue", "Condition", "Row", "Column", "FieldOfView")) + ' FROM platemap WHERE "Sample" IS NOT NULL GROUP BY 1',
+    "aggregate_unique": 'SELECT "Sample", ' + ", ".join(f'CASE WHEN count(DISTINCT "{c}") = 1 THEN max("{c}") END AS "{c}"' for c in ("WellIndex", "Age", "Tissue", "Condition", "Row", "Column", "FieldOfView")) + f' FROM {_PLACED} WHERE "Sample" IS NOT NULL GROUP BY 1',
     "single_valued": """WITH o AS (SELECT year(o_orderdate)::INT AS y, 'open' AS state, o_orderstatus FROM orders)
 SELECT CASE WHEN count(DISTINCT y) = 1 THEN max(y) END AS y, CASE WHEN count(DISTINCT state) = 1 THEN max(state) END AS state, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN max(o_orderstatus) END AS o_orderstatus FROM o""",
-    "join_columns": """SELECT "WellIndex", coalesce("Tissue", 'nan') || '_' || coalesce("Condition", 'nan') || '_' || coalesce("FieldOfView"::VARCHAR, 'nan') AS joined FROM platemap""",
+    "join_columns": f"""SELECT cell_id, coalesce("Tissue", 'nan') || '_' || coalesce("Condition", 'nan') || '_' || coalesce("FieldOfView"::VARCHAR, 'nan') AS joined FROM {_PLACED}""",
     "group_col": """SELECT dist_id, "Sample", "WellIndex", coalesce("Sample", 'nan') || '_' || coalesce("WellIndex"::VARCHAR, 'nan') AS "Group" FROM df_distance""",
-    "join_iterables": """SELECT "WellIndex", concat_ws('_', "Sample", "Tissue", "Age") AS present, coalesce("Sample", 'None') || '_' || coalesce("Tissue", 'None') || '_' || coalesce("Age", 'None') AS every FROM platemap""",
+    "join_iterables": f"""SELECT cell_id, concat_ws('_', "Sample", "Tissue", "Age") AS present, coalesce("Sample", 'None') || '_' || coalesce("Tissue", 'None') || '_' || coalesce("Age", 'None') AS every FROM {_PLACED}""",
     "float_texts": r"""WITH v AS (SELECT unnest(string_split(replace(content, chr(10), chr(9)), chr(9))) AS v FROM feature_files WHERE content <> '')
 SELECT v = trim(v) AND (regexp_matches(v, '^[0-9]*$') OR regexp_matches(v, '^[0-9]*.[0-9]*$')) AS passes, count(*) AS n FROM v GROUP BY 1""",
     "reorder_vector": "SELECT cell_id, " + ", ".join(f"CASE WHEN isnan(data[{k}]) THEN NULL ELSE round(data[{k}], 6) END AS v{i}" for i, k in enumerate((3, 1, -1, 2))) + " FROM cells WHERE len(data) = 32",
     "cell_diameter": f"SELECT cell_id, round(sqrt(4 * \"MOR_object_pixel_count\" / pi()), 6) AS diameter FROM ({_CELLS})",
     "dropna_columns": 'SELECT plate, "WellIndex", "row", "column", "FOV" FROM imageqc',
-    "age_to_days": f'SELECT "WellIndex", "Row", "FieldOfView", "Age" AS "AgeInput", {_AGE} AS "Age", {_DAYS} AS days FROM platemap',
-    "split_by_tissue": """SELECT "WellIndex", "Sample", "Tissue" AS part FROM platemap WHERE "Tissue" IN ('heart', 'liver', 'skin')""",
+    "age_to_days": f'SELECT cell_id, "Row", "FieldOfView", "Age" AS "AgeInput", {_AGE} AS "Age", {_DAYS} AS days FROM {_PLACED}',
+    "split_by_tissue": f"""SELECT cell_id, "Sample", "Tissue" AS part FROM {_PLACED} WHERE "Tissue" IN ('heart', 'liver', 'skin')""",
     "platemap_join": f"""SELECT w."WellIndex", w."Sample", w."Tissue", w."Row", w."Column", cell_id, {', '.join(f'round("{c}", 6) AS "{c}"' for c in CELL_VALUES)}
 FROM ({_CELLS}) c JOIN (SELECT "WellIndex", min("Sample") AS "Sample", min("Tissue") AS "Tissue", min("Row") AS "Row", min("Column") AS "Column" FROM platemap GROUP BY 1) w USING ("WellIndex")""",
     "clean_pipeline": f"""WITH w AS (SELECT "WellIndex", min({_AGE}) AS "Age", min("Age") AS "AgeInput", min("Tissue") AS "Tissue" FROM platemap GROUP BY 1),
@@ -246,7 +253,7 @@ j AS (SELECT w.*, c.* EXCLUDE ("WellIndex") FROM ({_CELLS}) c JOIN w USING ("Wel
 m AS (SELECT median("MOR_object_pixel_count") AS m FROM j),
 s AS (SELECT j.* FROM j, m WHERE "MOR_object_pixel_count" > 0.5 * m AND "MOR_object_pixel_count" < 1.5 * m)
 SELECT "WellIndex", "Age", "AgeInput", "Tissue", cell_id, {', '.join(f'round(("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER (), 6) AS "{c}"' for c in CELL_VALUES)} FROM s""",
-    "plate_pivot": _plate_sql("platemap", '"Row"', '"Column"', '"FieldOfView"'),
+    "plate_pivot": _plate_sql("file_information", 'plate, "row"', '"column"', "file_id"),
     "plate_pivot_fov": _plate_sql("imageqc", '"row", "FOV"', '"column"', f"round({_nan('ch1_percent_max')}, 6)", "0.0"),
     "plate_letters": _plate_sql('(SELECT chr((64 + "WellIndex" // 1000)::INT) AS "Row", "WellIndex" % 100 AS "Column", count(*) AS n FROM cells WHERE "WellIndex" IS NOT NULL GROUP BY "WellIndex")', '"Row"', '"Column"', "n"),
     "repeated_wells": 'SELECT plate, "WellIndex", "FOV", count(*) AS n FROM imageqc GROUP BY 1, 2, 3 HAVING count(*) > 1',
