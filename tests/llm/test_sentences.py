@@ -107,3 +107,8 @@ def test_numbers_in_wide_digits_and_thai_claims_in_line(model):
     assert units("平均値は４８.２である。次の文。", model) == ["平均値は４８.２である。", "次の文。"]
     th = ["1. โรเตอร์กลวงซึ่งประกอบด้วยลูกปืน (123) และลูกกลิ้ง", "2. หัวฉีดตามข้อถือสิทธิ 1 ซึ่งสัมผัสท่อ"]
     assert units("ข้อถือสิทธิ\n" + " ".join(th), model) == ["ข้อถือสิทธิ", *th]
+
+
+def test_stray_words_of_rough_translation_stay_with_the_sentence_before(model):
+    parts = ["The ring is warm and the coil of it is cold. 的", "The plate is cold. cold.", "sealed sensors came here."]
+    assert units(" ".join(parts), model) == parts

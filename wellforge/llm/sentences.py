@@ -51,6 +51,7 @@ _LABEL = re.compile(r"(?<![^\s。．.!?|।」）)])(?:\[\s*(\w+)\s+(\d{1,4})\s*
 _GOES_ON = re.compile(r"\.(?=[^\S\n]?(?:[a-zà-ÿа-яё,ऀ-ॿ฀-๿]|\d++(?!\s?(?:\.[\s-]|\)))))")
 _NUMBER = re.compile(r"\d[\d.,  ]*$")
 _WORD_AFTER = re.compile(r"[^\W\d_]+")
+_FOREIGN = re.compile(r"[぀-ヿ㐀-鿿]{1,3}(?=\s|$)")
 _GAP = re.compile(r"\s+")
 
 
@@ -308,7 +309,9 @@ def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
         group = spans[k] if k < len(spans) and spans[k][1] <= p else None
         if lang == "th" and "." in m.group() and not re.search("[A-Za-z]{4}$", text[max(0, m.start() - 4) : m.start()]):
             continue
-        put(p, _weight(text, m, group, lang, model))
+        if lang in HINTS:
+            p = _stray(text, m, p)
+        put(p, _weight(text, m, p, group, lang, model))
     sure = {p for p, w in weight.items() if w >= 20} | set(headed)
     numbers = _claims(text, sure)
     out, k = [], 0
@@ -340,10 +343,30 @@ def _known(learned: dict[tuple[str, str], float], lang: str, word: str, unseen:
     return learned.get((lang, word), learned.get(("", word), unseen))
 
 
-def _weight(text: str, m: re.Match, group: tuple[int, int] | None, lang: str, model: Model) -> float:
-    """The weight of a unit that starts after this stop and its closing marks."""
+def _stray(text: str, m: re.Match, p: int) -> int:
+    """The end of what rough translation left behind a stop: a lone word of another script, or the last word once more.
+
+    Such words were put in after a word of the sentence, so they belong to the sentence before.
+    """
+    gap = _GAP.match(text, p)
+    q = gap.end() if gap else p
+    if q == p or q == len(text):
+        return p
+    first = text[q]
+    if "぀" <= first <= "鿿" and (foreign := _FOREIGN.match(text, q)):
+        return foreign.end()
+    k = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
+    if first == text[k] and text.startswith(text[k:p], q):
+        again = q + p - k
+        if again == len(text) or text[again].isspace():
+            return again
+    return p
+
+
+def _weight(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> float:
+    """The weight of a unit that starts at `p`, after this stop, its closing marks and stray words."""
     mark = m.group().strip()
-    stop, p = mark[0], m.end()
+    stop = mark[0]
     rest = text[p : p + 48]
     gap = len(rest) - len(rest.lstrip())
     after = rest[gap : gap + 1]
