@@ -46,8 +46,9 @@ _SIGNS = ".!?,;:()[]“”„«»\"'"
 _DEVANAGARI = re.compile("[ऀ-ॣ]+$")
 _MARK = re.compile(r"[\[\](){}（）［］【】〔〕「」『』《》〈〉«»“”„‹›\"]")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
-_END = re.compile(r"[" + re.escape(STOPS) + r"]+(?:\s?[»]|[\"”“»」』）)\]】］›])*")
+_END = re.compile(r"[" + re.escape(STOPS) + r"](?!(?<=\d\.)\d|(?<=\.)[a-z]\.)[" + re.escape(STOPS) + r"]*(?:\s?[»]|[\"”“»」』）)\]】］›])*")
 _LABEL = re.compile(r"(?<![^\s。．.!?|।」）)])(?:\[\s*(\w+)\s+(\d{1,4})\s*\]|【([^\d\s】]{1,6})(\d{1,4})】|(\d{1,4})\s?(\.\s?[-–]|\.|\)|、|．))(?=\s|[^\W\d])")
+_FIRST_LABEL = re.compile(r"(?:^|\n)[^\S\n]*(\[\s*\w+\s+0*1\s*\]|【[^\d\s】]{1,6}0*1】|0*1\s?(?:\.|\)|、|．))")
 _GOES_ON = re.compile(r"\.(?=[^\S\n]?(?:[a-zà-ÿа-яё,ऀ-ॿ฀-๿]|\d++(?!\s?(?:\.[\s-]|\)))))")
 _NUMBER = re.compile(r"\d[\d.,  ]*$")
 _WORD_AFTER = re.compile(r"[^\W\d_]+")
@@ -234,7 +235,9 @@ def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
 
 def _claims(text: str, sure: set[int]) -> dict[int, int]:
     """Start -> number of the claims: the last run of labels 1, 2, 3 ... whose first begins a paragraph or line."""
-    labels = [(m.start(), int(m.group(2) or m.group(4) or m.group(5)), m.group(1) or m.group(3) or m.group(6)) for m in _LABEL.finditer(text)]
+    if not (first := _FIRST_LABEL.search(text)):
+        return {}
+    labels = [(m.start(), int(m.group(2) or m.group(4) or m.group(5)), m.group(1) or m.group(3) or m.group(6)) for m in _LABEL.finditer(text, first.start(1))]
     best: dict[int, int] = {}
     for k in range(len(labels) - 1, -1, -1):
         at, n, style = labels[k]
