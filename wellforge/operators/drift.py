@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellforge.session import cut
+from wellforge.session import cut, stored
 from wellforge.sources.feature_files import MISSING, NUMBER, series_name
 
 # ---------------------------------------------------------------- schema trees and their edit distance
@@ -316,7 +316,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     files without columns, null timestamps (first) and repeated column names (the last counts) give no error.
     """
     spark = files.sparkSession
-    per_file = file_schemas(files)
+    per_file = stored(file_schemas(files), "file_schemas")  # the ranges are sampled before they are made: two scans
     order = ["series", F.col("written_at").asc_nulls_first(), "file_id"]
     parts = cut(per_file.repartitionByRange(*order).sortWithinPartitions(*order))
 
