@@ -76,3 +76,28 @@ def test_empty_tables(spark):
     empty_docs, empty_items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert k.leaked_passages(empty_docs, spark.createDataFrame([(1, ITEM)], ITEMS)).count() == 0
     assert k.leaked_passages(spark.createDataFrame([(1, ITEM)], DOCS), empty_items).count() == 0
+
+
+def test_items_repeated_more_often_than_names_may_be_are_found_under_each_id(spark):
+    items = [(i, ITEM) for i in range(1, 8)]
+    assert found(spark, [sentence(*NAMES[:3]), sentence(*NAMES[6:9])], items) == [(0, i) for i in range(1, 8)]
+
+
+def test_passage_in_many_items_is_found_for_each(spark):
+    items = [(i, f"{sentence(*(w + x for w in ('begin', 'middle', 'last')))} {sentence(*NAMES[:3])}") for i, x in enumerate("abcdefghk")]
+    exchanged = sentence(*NAMES[:3]).replace("sealed", "closed")
+    assert found(spark, [sentence(*NAMES[:3]), exchanged, sentence(*NAMES[6:9])], items) == [(d, i) for d in (0, 1) for i in range(9)]
+
+
+def test_chinese_passage_in_many_items_is_found_for_each(spark):
+    shared = "所谓中空电极是指锁定琦澜默的任何柏棱瑞滚轮例如开口策佳泰转子不包括多孔铠诺维轴承"
+    items = [(i, shared + x * 12) for i, x in enumerate("甲乙丙丁戊己")]
+    assert found(spark, [shared, shared[:10] + "某" + shared[11:]], items) == [(d, i) for d in (0, 1) for i in range(6)]
+
+
+def test_passage_of_words_that_all_items_hold_is_found(spark):
+    common = "the part is held by the ring and the ring is kept in the case with the part below it".split()
+    orders = [random.Random(i).sample(common, len(common)) for i in range(6)]
+    items = [(i, " ".join(o)) for i, o in enumerate(orders)]
+    text = " ".join(orders[2][:6] + ["other"] + orders[2][7:])
+    assert found(spark, ["before " + " ".join(orders[4]) + " after", text], items) == [(0, 4), (1, 2)]

@@ -4,13 +4,16 @@ Texts are reduced to lower-case words without signs, accents and numbers. In an
 names: they fill the slots of its templates. A window of a template is the run of words beside a slot, with units and other
 names replaced by placeholders; its key also holds the slot's own value. Windows of documents and items are joined by key, the
 alignment is extended in both directions over exchanged words, and the slots along it must agree.
+
+Equal items are one class, and a passage that several classes share counts once, in the first of them, when names are counted.
+Fixed text beside a slot is no such passage: there the texts differ in a few words and then go on alike. Stretches of an item without any name have windows of
+their own: every three words, every six letters.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellforge.session import stored
+
 #: Units of measure, which a template replaces by one placeholder.
 UNITS = frozenset("mm cm m km nm um ml l kg g mg s min h hr rpm hz khz mhz c f k v w kw pa kpa mpa bar".split())
 #: Letters of other alphabets that look like Latin ones, and letters without a decomposition.
@@ -81,6 +86,7 @@ def is_letterwise(tokens: list[str]) -> bool:
 
 
 SIDE, LETTERS = 2, 6  # words beside a slot; letters of a window in Chinese and Japanese
+PLAIN = 3  # words of a window without a slot: two errors in 16 words leave five in a row
 
 
 def _keys(tokens: list[str], slots: frozenset[str] | set[str]) -> Iterator[tuple[int, int]]:
@@ -95,12 +101,36 @@ def _keys(tokens: list[str], slots: frozenset[str] | set[str]) -> Iterator[tuple
                     yield p, _hash(side + " ".join([w, *part]).encode())
 
 
-def _letter_keys(tokens: list[str]) -> Iterator[tuple[int, int]]:
+def _pieces(tokens: list[str]) -> Iterator[tuple[int, str]]:
+    """(position, letters) of every run of LETTERS single letters."""
     text = "".join(t if len(t) == 1 else "\x02" for t in tokens)
     for p in range(len(text) - LETTERS + 1):
         piece = text[p : p + LETTERS]
         if "\x02" not in piece:
-            yield p, _hash(b"=" + piece.encode())
+            yield p, piece
+
+
+def _letter_keys(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    for p, piece in _pieces(tokens):
+        yield p, _hash(b"=" + piece.encode())
+
+
+def _plain_keys(tokens: list[str], begins: frozenset[str] | set[str]) -> Iterator[tuple[int, int]]:
+    """(position, key) of every PLAIN words in a row that begin with one of `begins`."""
+    for p in range(len(tokens) - PLAIN + 1):
+        if tokens[p] in begins:
+            yield p, _hash(b"~" + " ".join(tokens[p : p + PLAIN]).encode())
+
+
+def _bare(marked: list[bool], least: int) -> list[bool]:
+    """Which positions lie in a stretch of at least `least` positions without a mark."""
+    out, start = [False] * len(marked), 0
+    for i, m in enumerate([*marked, True]):
+        if m:
+            if i - start >= least:
+                out[start:i] = [True] * (i - start)
+            start = i + 1
+    return out
 
 
 def _hash(b: bytes) -> int:
@@ -190,74 +220,204 @@ def leaked_passages(
     Numbers are not counted. Up to `exchanged` of the run's words may differ, and at least `slot_share` of the names in it must
     agree: texts from the same template with other names are no leak. In Chinese and Japanese letters count, `min_letters` of
     them. A word is a name if at most 3 items, or `name_share` of all, hold it; with three items or fewer every word counts as one.
-    Null and empty texts and null ids give no rows; a repeated document is reported under each of its ids.
+    Equal items are one, and of a passage that items share word for word only the first item counts as a holder of its words, so
+    names in it stay names however many items share it. Where a run holds no name of the item, or `min_words` of it in a row are
+    the same, names are not asked for, unless the texts go on alike after a few other words, as beside the slot of a template.
+    Items that differ by other words within every `min_words` words are not told from the texts of a template.
+    Null and empty texts and null ids give no rows; a repeated document is reported under each of its ids, a repeated item too.
 
     Scale: the windows are joined by a broadcast hash join; its build side are the items' windows, in blocks of items with at most
     `block_words` words together, so what is sent is bounded whatever the number of items. Each block is one pass over the
-    documents, and only found pairs leave the tasks: no document is shuffled.
+    documents, and only found pairs leave the tasks: no document is shuffled. Equal items are checked once and expanded after.
     """
     spark = documents.sparkSession
     texts = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
     size, most_items = texts.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(size) // (4 * block_words)))
     rare = max(3, int(name_share * most_items))
-    tokenised = texts.mapInPandas(_tokenise, "item_id long, item_words array<string>").select("item_id", "item_words", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
-    uses = tokenised.select(F.explode(F.array_distinct("item_words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= rare)
+    tokenised = stored(texts.mapInPandas(_tokenise, "item_id long, item_words array<string>").withColumn("key", F.sha2(F.concat_ws(" ", "item_words"), 256)), "items")
+    classes = tokenised.groupBy("key").agg(F.any_value("item_words").alias("item_words"))
+    classes = stored(classes.select("key", "item_words", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")), "item_classes")
+    uses = stored(_holders(classes, min_words, min_letters).filter(F.col("n") <= rare), "item_names")
     found = None
     for block in range(blocks):
-        one = tokenised.filter(F.col("block") == block).select("item_id", "item_words")
-        names = one.select(F.explode(F.array_distinct("item_words")).alias("w")).distinct().join(uses, "w", "left_semi")
-        part = _block(spark, documents, one.toPandas(), {r["w"] for r in names.collect()}, rare, min_words, min_letters, exchanged, slot_share)
+        one = classes.filter(F.col("block") == block)
+        names = one.mapInPandas(_marks, "w string").distinct().join(uses, "w", "left_semi")
+        part = _block(spark, documents, one.select("key", "item_words").toPandas(), {r["w"] for r in names.collect()}, min_words, min_letters, exchanged, slot_share)
         found = part if found is None else found.unionByName(part)
+    found = found.join(tokenised.select("key", "item_id"), "key")
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("run", F.col("errors"))).alias("z")).select("doc_id", "item_id", "z.run", "z.errors")
 
 
+def _holders(classes: DataFrame, min_words: int, min_letters: int) -> DataFrame:
+    """(w, n): the classes that hold a word (or, after '=', a window of letters) outside of passages that an earlier class holds."""
+
+    def runs(tokens: list[str]) -> Iterator[tuple[int, int]]:
+        least = min_letters if is_letterwise(tokens) else min_words
+        for p in range(len(tokens) - least + 1):
+            yield p, _hash(" ".join(tokens[p : p + least]).encode())
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, tokens in zip(b["key"], b["item_words"]):
+                at = {h: p for p, h in runs(list(tokens))}
+                yield pd.DataFrame({"key": [key] * len(at), "g": list(at), "p": list(at.values())}).astype({"key": "object", "g": "int64", "p": "int32"})
+
+    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            old = [_copied(list(x), list(y), s, min_letters if is_letterwise(list(x)) else min_words) for x, y, s in zip(b["item_words"], b["owner_words"], b["shift"])]
+            yield pd.DataFrame({"key": b["key"], "old": old})
+
+    def originals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = set()
+            for key, tokens, copied in zip(b["key"], b["item_words"], b["copied"]):
+                tokens, old = list(tokens), set() if copied is None else set(copied)
+                out |= {(key, w) for p, w in enumerate(tokens) if p not in old}
+                if is_letterwise(tokens):
+                    out |= {(key, "=" + x) for p, x in _pieces(tokens) if not old.issuperset(range(p, p + LETTERS))}
+            yield pd.DataFrame(sorted(out), columns=["key", "w"])
+
+    texts = classes.select("key", "item_words")
+    held = texts.mapInPandas(grams, "key string, g long, p int")
+    shared = held.groupBy("g").agg(F.min(F.struct("key", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", F.col("first.key").alias("owner"), F.col("first.p").alias("q"))
+    pairs = held.join(shared, "g").filter(F.col("key") > F.col("owner")).select("key", "owner", (F.col("q") - F.col("p")).alias("shift")).distinct()
+    both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("owner"), F.col("item_words").alias("owner_words")), "owner")
+    old = both.select("key", "item_words", "owner_words", "shift").mapInPandas(copies, "key string, old array<int>")
+    copied = old.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("old"))).alias("copied"))
+    return texts.join(copied, "key", "left").mapInPandas(originals, "key string, w string").groupBy("w").agg(F.count("*").alias("n"))
+
+
+def _goes_on(a: list[str], b: list[str], i: int, j: int, step: int, letters: bool) -> bool:
+    """Whether the texts, unlike from a[i] and b[j] on, are alike again: three words in a row (four letters) after a few others,
+    or three of the next eight words (six of 16 letters) in their places."""
+    gap, again, near, few = (6, 4, 16, 6) if letters else (3, 3, 8, 3)
+    places = [(i + k * step, j + k * step) for k in range(near)]
+    if sum(0 <= x < len(a) and 0 <= y < len(b) and _alike(a[x], b[y]) for x, y in places) >= few:
+        return True
+
+    def alike(x: int, y: int) -> bool:
+        return all(0 <= x + k * step < len(a) and 0 <= y + k * step < len(b) and _alike(a[x + k * step], b[y + k * step]) for k in range(again))
+
+    return any(alike(i + m * step, j + n * step) for m in range(1, gap + 1) for n in range(1, gap + 1))
+
+
+def _equal_runs(a: list[str], b: list[str], start: int, end: int, shift: int, least: int) -> Iterator[tuple[int, int]]:
+    """(from, past the end) of each run of at least `least` words alike along one alignment, inside a[start:end]."""
+    begin = None
+    for k in range(start, end + 1):
+        if k < end and 0 <= k + shift < len(b) and _alike(a[k], b[k + shift]):
+            begin = k if begin is None else begin
+        elif begin is not None:
+            if k - begin >= least:
+                yield begin, k
+            begin = None
+
+
+def _copied(item: list[str], owner: list[str], shift: int, least: int) -> list[int]:
+    """Positions of the item in passages of the owner; beside a slot of a template, not the `least` words next to it."""
+    letters, out = is_letterwise(item), []
+    for start, end in _equal_runs(item, owner, 0, len(item), shift, least):
+        if _goes_on(item, owner, start - 1, start - 1 + shift, -1, letters):
+            start += least
+        if _goes_on(item, owner, end, end + shift, 1, letters):
+            end -= least
+        out += range(start, end)
+    return out
+
+
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words of items, and the windows of letters of those in Chinese or Japanese."""
+    for b in batches:
+        out = set()
+        for tokens in map(list, b["item_words"]):
+            out.update(tokens)
+            if is_letterwise(tokens):
+                out.update("=" + x for _, x in _pieces(tokens))
+        yield pd.DataFrame({"w": sorted(out)}).astype("object")
+
+
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
             yield pd.DataFrame({"item_id": b["item_id"], "item_words": [words(t) for t in b["item_text"]]})
 
 
-def _block(spark, documents, items: pd.DataFrame, slots: set[str], rare: int, min_words: int, min_letters: int, exchanged: float, slot_share: float) -> DataFrame:
-    own = {int(r.item_id): list(r.item_words) for r in items.itertuples()}
+def _block(spark, documents, items: pd.DataFrame, names: set[str], min_words: int, min_letters: int, exchanged: float, slot_share: float) -> DataFrame:
+    own = {r.key: list(r.item_words) for r in items.itertuples()}
     letterwise = {i for i, w in own.items() if is_letterwise(w)}
-    slots = frozenset(w for w in slots if len(w) > 1 and not _CJK.search(w))
-    windows = [(k, i, p) for i, w in own.items() for p, k in (_letter_keys(w) if i in letterwise else _keys(w, slots))]
-    holders = Counter(k for k, _ in {(k, i) for k, i, _ in windows})
-    table: dict[int, list[tuple[int, int]]] = {}
-    for k, i, p in windows:
-        if i not in letterwise or holders[k] <= rare:
-            table.setdefault(k, []).append((i, p))
-    sent = spark.sparkContext.broadcast((own, letterwise, slots, table))
+    slots = frozenset(w for w in names if len(w) > 1 and w[0] != "=" and not _CJK.search(w))
+    # windows with a name; then, where an item has min_words in a row without one, windows of any words
+    named: dict[int, list[tuple[str, int]]] = {}
+    plain: dict[int, list[tuple[str, int]]] = {}
+    marks: dict[str, list[bool]] = {}
+    begins: set[str] = set()
+    for i, w in own.items():
+        if i in letterwise:
+            at = {p for p, x in _pieces(w) if "=" + x in names}
+            marks[i] = [p in at for p in range(len(w))]
+            bare = _bare(marks[i], min_letters - LETTERS + 1)
+            for p, k in _letter_keys(w):
+                if p in at:
+                    named.setdefault(k, []).append((i, p))
+                elif bare[p]:
+                    plain.setdefault(k, []).append((i, p))
+        else:
+            for p, k in _keys(w, slots):
+                named.setdefault(k, []).append((i, p))
+            bare = _bare([x in slots for x in w], min_words)
+            first = {w[p] for p in range(len(w) - PLAIN + 1) if all(bare[p : p + PLAIN])}
+            begins |= first
+            for p, k in _plain_keys(w, first):
+                if all(bare[p : p + PLAIN]):
+                    plain.setdefault(k, []).append((i, p))
+    sent = spark.sparkContext.broadcast((own, letterwise, slots, named, plain, marks, frozenset(begins)))
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_item, by_letter, slot_words, known = sent.value
+        of_item, by_letter, slot_words, known, other, marked, first_words = sent.value
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 tokens = words(text)
                 hits = [] if slot_words.isdisjoint(tokens) else list(_keys(tokens, slot_words))
-                if by_letter and text and _CJK.search(text):
-                    hits += _letter_keys(tokens)
-                best: dict[int, tuple[int, int]] = {}
-                covered: dict[tuple[int, int], int] = {}
-                for p, k in hits:
-                    for item, pos in known.get(k, ()):
-                        if covered.get((item, p - pos), -1) >= pos:  # inside a run that has been found on this alignment
-                            continue
-                        mine = of_item[item]
-                        run, errors, start, end = best_run(mine, tokens, pos, p, exchanged)
-                        covered[item, p - pos] = end
-                        letters = item in by_letter
-                        if run < (min_letters if letters else min_words) or run <= best.get(item, (0, 0))[0]:
-                            continue
-                        near = tokens[max(0, p - (pos - start) - 8) : p + (end - pos) + 9]
-                        if letters or _slots_agree(mine[start : end + 1], set(near), slot_words, slot_share):
-                            best[item] = (run, errors)
+                letter_hits = list(_letter_keys(tokens)) if by_letter and text and _CJK.search(text) else []
+                more = letter_hits if other else []
+                if first_words:
+                    more = more + list(_plain_keys(tokens, first_words))
+                best: dict[str, tuple[int, int]] = {}
+                covered: dict[tuple[str, int], int] = {}
+                for table, by_name, found in ((known, True, hits + letter_hits), (other, False, more)):
+                    for p, k in found:
+                        for item, pos in table.get(k, ()):
+                            if covered.get((item, p - pos), -1) >= pos:  # inside a run that has been found on this alignment
+                                continue
+                            mine = of_item[item]
+                            run, errors, start, end = best_run(mine, tokens, pos, p, exchanged)
+                            covered[item, p - pos] = end
+                            letters = item in by_letter
+                            least = min_letters if letters else min_words
+                            if run < least or run <= best.get(item, (0, 0))[0]:
+                                continue
+                            if letters:
+                                agree = by_name
+                            else:
+                                near = tokens[max(0, p - (pos - start) - 8) : p + (end - pos) + 9]
+                                agree = _slots_agree(mine[start : end + 1], set(near), slot_words, slot_share)
+                            if not agree and not any(marked[item][start : end - LETTERS + 2] if letters else (w in slot_words for w in mine[start : end + 1])):
+                                agree = not _beside_slot(mine, tokens, start, end + 1, p - pos, letters)
+                            if not agree:
+                                agree = any(not _beside_slot(mine, tokens, x, y, p - pos, letters) for x, y in _equal_runs(mine, tokens, start, end + 1, p - pos, least))
+                            if agree:
+                                best[item] = (run, errors)
                 out += [(doc, item, r, e) for item, (r, e) in best.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "run", "errors"])
+            yield pd.DataFrame(out, columns=["doc_id", "key", "run", "errors"])
+
+    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(seek, "doc_id long, key string, run int, errors int")
+
 
-    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(seek, "doc_id long, item_id long, run int, errors int")
+def _beside_slot(item: list[str], doc: list[str], start: int, end: int, shift: int, letters: bool) -> bool:
+    """Whether the texts go on alike after other words on either side of item[start:end]."""
+    return _goes_on(item, doc, start - 1, start - 1 + shift, -1, letters) or _goes_on(item, doc, end, end + shift, 1, letters)
 
 
 def _slots_agree(run: list[str], around: set[str], slots: frozenset[str], share: float) -> bool:
