@@ -110,3 +110,21 @@ def test_two_values_are_enough_for_a_name_that_is_otherwise_unlike(spark):
     rows = [(i, "s", i, ["ecc", "area"], "\n".join(f"-{5 + (i * 7 + k) % 40 / 10:.3f}\t{900 + k}" for k in range(30))) for i in range(5)]
     rows += [(9, "s", 9, ["area", "elongation", "Sample"], "950\t-5.123\tS12\n990\t-6.051\tS7")]
     assert changes(spark, rows) == [(9, "added", "", "Sample"), (9, "renamed", "ecc", "elongation")]
+
+
+def test_no_value_is_lost_where_a_rename_of_one_series_joins_columns_of_another(spark):
+    rows = [(1, "s", 0, ["red", "FOV"], "1\t7"), (2, "s", 1, ["blue", "FOV"], "2\t8"), (3, "t", 0, ["red", "blue", "FOV"], "3\t4\t9\n5\t6\t9")]
+    df = frame(spark, rows).withColumn("index", F.array(F.lit("o1"), F.lit("o2")))
+    renamed = spark.createDataFrame([(2, "renamed", "red", "blue")], d.CHANGES)
+    q = d.quantity_map(renamed, df)
+    got = d.unified_table(df, q).collect()
+    inside = sorted(sorted(v for k, v in r.asDict().items() if k not in ("file_id", "series", "label") and v is not None) for r in got)
+    assert inside == [["1", "7"], ["2", "8"], ["3", "4", "9"], ["5", "6", "9"]]
+    in_s = {r["name"]: r["quantity"] for r in q.collect() if r["series"] == "s"}
+    assert in_s["red"] == in_s["blue"]
+
+
+def test_rename_between_columns_of_one_file_is_reported(spark):
+    df = frame(spark, [(1, "s", 0, ["red"], "1"), (2, "s", 1, ["blue"], "2"), (3, "s", 2, ["blue", "red"], "3\t4")])
+    q = d.quantity_map(spark.createDataFrame([(2, "renamed", "red", "blue")], d.CHANGES), df)
+    assert sorted((r["name"], r["quantity"], r["apart"]) for r in q.collect()) == [("blue", "blue", True), ("red", "red", True)]

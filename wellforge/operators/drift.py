@@ -438,47 +438,94 @@ def _scanner(before: dict[int, tuple], model: NameModel):
 # ---------------------------------------------------------------- one consistent table
 
 
+def _joined_names(links: Iterable[tuple[str, str, int]], together: Iterable[Iterable[str]]) -> dict[str, set[str]]:
+    """Groups of names joined by renames, the most frequent first; names that stand together in one file are never joined."""
+    apart: dict[str, set[str]] = {}
+    for names in map(set, together):
+        for c in names:
+            apart.setdefault(c, set()).update(names - {c})
+    group = {c: {c} for c in apart}
+    for a, b, _ in sorted(links, key=lambda r: (-r[2], r[0], r[1])):
+        x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
+        if x is not y and not any(apart.get(c, set()) & y for c in x):
+            x |= y
+            group.update(dict.fromkeys(y, x))
+    return group
+
+
 def quantity_map(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """(name, quantity) for every column name: names that any script renames into one another share the name seen most often.
+    """(series, name, quantity, apart): what each column name measures in the files of a series.
+
+    Names are joined by the renames of their own series. Groups of several series share a quantity where the renames of all
+    files, the most frequent first, join their usual names. Names that stand together in one file are never joined, so every
+    column of a file has a quantity of its own; `apart` marks the names for which a rename was not followed because of that.
 
-    The names of a collection are few whatever its number of files; only they and their renames are gathered.
+    The names of a collection are few whatever its number of files; only they, their sets and their renames are gathered. The
+    names of one series are one group, whose rows are its different sets of columns.
     """
     spark = files.sparkSession
-    seen = {r["c"]: r["n"] for r in files.select(F.explode("columns").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    links = changes.filter("change = 'renamed'").groupBy("old_field", "new_field").count().collect()
-    root = {c: c for c in seen}
-
-    def find(c: str) -> str:
-        while root.setdefault(c, c) != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    for r in sorted(links, key=lambda r: (r["old_field"], r["new_field"])):
-        a, b = find(r["old_field"]), find(r["new_field"])
-        if a != b:
-            keep, drop = sorted((a, b), key=lambda c: (-seen.get(c, 0), c))
-            root[drop] = keep
-    return spark.createDataFrame([(c, find(c)) for c in sorted(root)] or [], "name string, quantity string")
+    sets = files.select("file_id", series_name(F.col("name"), F.col("Path")).alias("series"), F.array_sort(F.array_distinct(F.transform("columns", lambda c: F.coalesce(c, F.lit(""))))).alias("names"))
+    sets = sets.filter("names IS NOT NULL")
+    by_series = stored(sets.groupBy("series", "names").agg(F.count("*").alias("n")), "column_sets")
+    renames = changes.filter("change = 'renamed'").join(sets.select("file_id", "series"), "file_id").groupBy("series", "old_field", "new_field").agg(F.count("*").alias("n"))
+    renames = stored(renames, "renames")
+    every = by_series.groupBy("names").agg(F.sum("n").alias("n")).collect()
+    seen: dict[str, int] = {}
+    for r in every:
+        for c in r["names"]:
+            seen[c] = seen.get(c, 0) + r["n"]
+    links = [(r["old_field"], r["new_field"], r["n"]) for r in renames.groupBy("old_field", "new_field").agg(F.sum("n").alias("n")).collect()]
+
+    def first(names: Iterable[str]) -> str:
+        return min(names, key=lambda c: (-seen.get(c, 0), c))
+
+    spelling: dict[str, str] = {}  # column names of Spark differ by more than case
+    for c in sorted(seen, key=lambda c: (-seen[c], c)):
+        spelling.setdefault(c.lower(), c)
+    usual = {c: first(g) for c, g in _joined_names(links, [r["names"] for r in every]).items()}
+
+    def of_series(rows: pd.DataFrame) -> pd.DataFrame:
+        together = [list(x) for x in rows.loc[rows["names"].notna(), "names"]]
+        here = [(r.old_field, r.new_field, r.n) for r in rows[rows["names"].isna()].itertuples()]
+        group = _joined_names(here, together)
+        refused = {c for a, b, _ in here if group[a] is not group[b] for c in (a, b)}
+        taken: dict[str, list[set[str]]] = {}
+        out = []
+        for g in sorted({id(g): g for g in group.values()}.values(), key=lambda g: (-seen.get(first(g), 0), first(g))):
+            beside = {c for names in together if g & set(names) for c in names} - g
+            own = sorted(g, key=lambda c: (-seen.get(c, 0), c))
+            for k in range(len(own) + 2 + len(group)):
+                q = [usual.get(own[0], own[0]), *own][k] if k <= len(own) else f"{own[0]} ({k - len(own) + 1})"
+                q = spelling.get(q.lower(), q)
+                if not any(beside & other for other in taken.get(q.lower(), [])):
+                    break
+            taken.setdefault(q.lower(), []).append(g)
+            out += [(rows["series"].iloc[0], c, q, c in refused) for c in own]
+        return pd.DataFrame(out, columns=["series", "name", "quantity", "apart"])
+
+    none = F.lit(None)
+    rows = by_series.select("series", "names", none.cast("string").alias("old_field"), none.cast("string").alias("new_field"), "n").unionByName(renames.withColumn("names", none.cast("array<string>")))
+    return stored(rows.groupBy("series").applyInPandas(of_series, "series string, name string, quantity string, apart boolean"), "quantities")
 
 
 def unified_table(files: DataFrame, quantities: DataFrame) -> DataFrame:
     """All records of all files under one schema: file_id, series, label, and one text column per quantity (null: missing).
 
-    The compiled script of a file is the projection of its columns on the quantities; it is applied row by row in the JVM. If a
-    file holds two columns of one quantity, the last with a value counts.
+    The records of a series are projected by the names of that series, row by row in the JVM. A name that a file holds twice
+    counts once, with its last value.
     """
     from wellforge.sources.feature_files import feature_records
 
-    pairs = quantities.collect()
-    lookup = F.create_map(*(F.lit(x) for r in pairs for x in (r["name"], r["quantity"]))) if pairs else F.lit(None).cast("map<string,string>")
+    lookup = quantities.groupBy(F.col("series").alias("_series")).agg(F.map_from_entries(F.collect_list(F.struct("name", "quantity"))).alias("_lookup"))
+    records = feature_records(files)
+    records = records.join(lookup, records["series"].eqNullSafe(lookup["_series"]), "left")
     cells = F.filter(
-        F.transform(F.arrays_zip(F.col("columns").alias("c"), F.split("line", "\t").alias("v")), lambda x: F.struct(F.coalesce(F.try_element_at(lookup, x["c"]), x["c"], F.lit("")).alias("q"), x["v"].alias("v"))),
+        F.transform(F.arrays_zip(F.col("columns").alias("c"), F.split("line", "\t").alias("v")), lambda x: F.struct(F.coalesce(F.try_element_at(F.col("_lookup"), F.coalesce(x["c"], F.lit(""))), x["c"], F.lit("")).alias("q"), x["v"].alias("v"))),
         lambda x: x["v"].isNotNull() & ~x["v"].isin(*MISSING),
     )
-    values = feature_records(files).select("file_id", "series", "label", cells.alias("cells"))
+    values = records.select("file_id", "series", "label", cells.alias("cells"))
 
     def value(q: str) -> Column:
         return F.try_element_at(F.filter("cells", lambda x: x["q"] == q), F.lit(-1))["v"].alias(q)
 
-    return values.select("file_id", "series", "label", *(value(q) for q in sorted({r["quantity"] for r in pairs})))
+    return values.select("file_id", "series", "label", *(value(q) for q in sorted(r["quantity"] for r in quantities.select("quantity").distinct().collect())))
