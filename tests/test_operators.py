@@ -265,3 +265,15 @@ def test_gradients_against_differences():
             e = np.zeros_like(at)
             e[i, k] = 1e-6
             assert math.isclose((cost(at + e) - cost(at - e)) / 2e-6, g[i, k], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_scaling_query_uses_all_rows_where_vectors_repeat(spark, monkeypatch):
+    from wellforge.plans import vectors as plans
+
+    x = np.zeros((900, 64))
+    x[:300, 0], x[300:600, 1], x[600:, :2] = 3.0, 4.0, [3.0, 4.0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, vec array<double>")
+    monkeypatch.setattr(plans, "vectors", lambda spark, sf_dir: df)
+    y = np.array([[r["mds1"], r["mds2"]] for r in plans.mds_positions(spark, "").orderBy("vec_id").collect()], dtype=float)
+    some = list(range(0, 900, 50))
+    assert np.allclose(np.linalg.norm(x[some][:, None] - x[some][None], axis=2), np.linalg.norm(y[some][:, None] - y[some][None], axis=2), atol=1e-5)

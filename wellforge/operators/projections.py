@@ -69,6 +69,11 @@ def principal_components(df: DataFrame, vec: str, dim: int, k: int) -> Projectio
     return Projection(mean, _signed(vector[:, order].T), value[order], value[order] / value.sum())
 
 
+def classical_scaling(df: DataFrame, vec: str, dim: int, k: int) -> Projection:
+    """Classical scaling of the Euclidean distances of all rows: its positions are the scores of the principal components."""
+    return principal_components(df, vec, dim, k)
+
+
 def independent_components(df: DataFrame, vec: str, dim: int, k: int, rounds: int = 50, tolerance: float = 1e-4, seed: int = 0) -> Projection:
     """Fixed-point iteration with the log-cosh contrast on whitened rows; each round is one aggregation of k x k sums."""
     pca = principal_components(df, vec, dim, k)

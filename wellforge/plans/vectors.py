@@ -151,13 +151,13 @@ def ica_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mds_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    placed = proj.fit_landmarks(v, "vec", 2).place(v, "vec_id", "vec")
-    return placed.select(F.col("id").alias("vec_id"), *(r6(F.col("position")[i]).alias(f"mds{i + 1}") for i in range(2)))
+    placed = v.select("vec_id", proj.classical_scaling(v, "vec", DIM, 2).apply(F.col("vec")).alias("position"))
+    return placed.select("vec_id", *(r6(F.col("position")[i]).alias(f"mds{i + 1}") for i in range(2)))
 
 
 def mds_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "vec")
-    placed = cut(proj.fit_landmarks(v, "vec", 8).place(v, "id", "vec").select("id", F.col("position").alias("vec")))
+    placed = cut(v.select("id", proj.classical_scaling(v, "vec", DIM, 8).apply(F.col("vec")).alias("vec")))
     q = ops.query_distances(placed, placed.filter("id % 20 = 0"))
     return proj.stress(_pairs(spark, sf_dir), q).select(r6("raw_stress").alias("raw_stress"), r6("stress1").alias("stress1"))
 
