@@ -23,3 +23,9 @@ def test_query_without_sql_runs(spark, sf, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_every_placed_cell_is_in_a_part(spark, sf):
+    from wellforge.plans.tables import placed_cells
+
+    assert QUERIES["split_by_every_tissue"](spark, sf).count() == placed_cells(spark, sf).count()

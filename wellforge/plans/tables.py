@@ -129,6 +129,11 @@ def split_by_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def split_by_every_tissue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every placed cell with its tissue, as it is written or null, as the part."""
+    return placed_cells(spark, sf_dir).select("cell_id", "Sample", F.col("Tissue").alias("part"))
+
+
 def platemap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     wells = table(spark, sf_dir, "platemap").filter(F.col("WellIndex").isNotNull()).groupBy("WellIndex").agg(F.min("Sample").alias("Sample"), F.min("Tissue").alias("Tissue"), F.min("Row").alias("Row"), F.min("Column").alias("Column"))
     cells = ops.without_nan(table(spark, sf_dir, "cells").select("WellIndex", "cell_id", *CELL_VALUES))
@@ -211,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         find_files, find_files_containing, parse_filenames, padded_wells, channel_balance, union_by_name, qc_clean, aggregate_mean, aggregate_median, aggregate_unique, single_valued,
-        join_columns, group_col, join_iterables, float_texts, reorder_vector, cell_diameter, dropna_columns, age_to_days, split_by_tissue, platemap_join, clean_pipeline,
+        join_columns, group_col, join_iterables, float_texts, reorder_vector, cell_diameter, dropna_columns, age_to_days, split_by_tissue, split_by_every_tissue, platemap_join, clean_pipeline,
         plate_pivot, plate_pivot_fov, plate_letters, repeated_wells, cellcount_map,
     )
 } | {"intensity_map_mean": _intensity(F.avg), "intensity_map_median": _intensity(F.median), "intensity_map_quantile": _intensity(lambda c: F.percentile(c, F.lit(0.9)))}
@@ -246,6 +251,7 @@ SELECT v = trim(v) AND (regexp_matches(v, '^[0-9]*$') OR regexp_matches(v, '^[0-
     "dropna_columns": 'SELECT plate, "WellIndex", "row", "column", "FOV" FROM imageqc',
     "age_to_days": f'SELECT cell_id, "Row", "FieldOfView", "Age" AS "AgeInput", {_AGE} AS "Age", {_DAYS} AS days FROM {_PLACED}',
     "split_by_tissue": f"""SELECT cell_id, "Sample", "Tissue" AS part FROM {_PLACED} WHERE "Tissue" IN ('heart', 'liver', 'skin')""",
+    "split_by_every_tissue": f"""SELECT cell_id, "Sample", "Tissue" AS part FROM {_PLACED}""",
     "platemap_join": f"""SELECT w."WellIndex", w."Sample", w."Tissue", w."Row", w."Column", cell_id, {', '.join(f'round("{c}", 6) AS "{c}"' for c in CELL_VALUES)}
 FROM ({_CELLS}) c JOIN (SELECT "WellIndex", min("Sample") AS "Sample", min("Tissue") AS "Tissue", min("Row") AS "Row", min("Column") AS "Column" FROM platemap GROUP BY 1) w USING ("WellIndex")""",
     "clean_pipeline": f"""WITH w AS (SELECT "WellIndex", min({_AGE}) AS "Age", min("Age") AS "AgeInput", min("Tissue") AS "Tissue" FROM platemap GROUP BY 1),
