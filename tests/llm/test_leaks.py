@@ -21,16 +21,37 @@ def found(spark, docs, items=((1, ITEM),)):
     items = [*items, *OTHERS]
     rows = [(i, t) for i, t in enumerate(docs)]
     got = k.leaked_passages(spark.createDataFrame(rows, DOCS), spark.createDataFrame(list(items), ITEMS))
-    return sorted((r["doc_id"], r["item_id"]) for r in got.collect())
+    return sorted((r["doc_id"], r["item_id"]) for r in got.filter("kind = 'leak'").collect())
 
 
 def test_words_ignore_how_they_are_written():
-    plain = k.words("The sealed coil – près du cœur")
-    assert k.words("THE  SEALED,\nCOIL (pres du coeur)") == plain
-    assert k.words("Thе sеalеd cоil près du cœur") == plain
-    assert k.words("the sea-\nled coil prÃ¨s du cœur") == plain
-    assert k.words("9A 12.5 x3 none") == ["none"] and k.words(None) == [] and k.words(" \n") == []
-    assert k.words("密封圈 ring") == ["密", "封", "圈", "ring"]
+    plain = k.canonical("The sealed coil – près du cœur")
+    assert k.canonical("THE  SEALED,\nCOIL (pres du coeur)") == plain
+    assert k.canonical("Thе sеalеd cоil près du cœur") == plain
+    assert k.canonical("the sea-\nled coil prÃ¨s du cœur") == plain
+    assert k.canonical("9A 12.5 none x3") == ["#9a.12.5", "none", "#x3"] and k.canonical(None) == [] and k.canonical(" \n") == []
+    assert k.words(k.canonical("9A 12.5 x3 none")) == ["none"]
+    assert k.canonical("密封圈 ring 4个") == ["密", "封", "圈", "ring", "#4", "个"]
+
+
+def test_windows_are_typed():
+    ordinary = frozenset("the coil carries at a".split())
+    one, other = (list(k.slot_windows(k.canonical(t), ordinary)) for t in ("the coil 7 carries skovetror 5 mm plinadax", "the coil 88 carries skovetror 9 kg morquadon"))
+    assert one[:2] == other[:2] and one[2:] != other[2:]  # numbers, units and other names are placeholders; the slot's own value counts
+
+
+def test_other_parameters_of_an_item_are_told_from_leaks(spark):
+    docs = [sentence(*NAMES[:3]), sentence(*NAMES[:3]).replace("5", "6"), sentence(NAMES[0], *NAMES[8:10])]
+    docs += [f"{o} and then more text" for _, o in OTHERS]  # the corpus shows what the template is
+    items = [(1, ITEM), *OTHERS]
+    got = k.leaked_passages(spark.createDataFrame(list(enumerate(docs)), DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r["doc_id"], r["kind"], r["numbers_same"]) for r in got if r["item_id"] == 1 and r["doc_id"] < 3) == [(0, "leak", 1.0), (1, "leak", 0.0), (2, "reparameterised", 1.0)]
+
+
+def test_bitmap_holds_every_key(spark):
+    keys = [k._hash(str(i).encode()) for i in range(500)]
+    made = k.key_set(spark.createDataFrame([(x,) for x in keys], "key long"), 500)
+    assert all(x in made for x in keys) and sum(k._hash(f"x{i}".encode()) in made for i in range(10_000)) < 50
 
 
 def test_passage_in_any_writing_is_found(spark):
@@ -64,12 +85,19 @@ def test_letters_count_in_chinese(spark):
     assert found(spark, [doc, item[:24], item[:10] + "某" + item[11:45]], [(7, item)]) == [(0, 7), (2, 7)]
 
 
-def test_very_long_text_and_blocks_of_items(spark):
+def test_very_long_text(spark):
     filler = " ".join(f"word{'abcdefghij'[i % 10]} other" for i in range(200_000))
     docs = spark.createDataFrame([(1, filler + " " + sentence(*NAMES[:3]) + " " + filler)], DOCS)
     items = spark.createDataFrame([(i, sentence(*random.Random(i).sample(NAMES[3:], 3))) for i in range(5)] + [(9, ITEM)], ITEMS)
-    for block in (2_000_000, 60):
-        assert [(r["doc_id"], r["item_id"]) for r in k.leaked_passages(docs, items, block_words=block).collect()] == [(1, 9)]
+    assert [(r["doc_id"], r["item_id"]) for r in k.leaked_passages(docs, items).filter("kind = 'leak'").collect()] == [(1, 9)]
+
+
+def test_passage_shared_by_any_number_of_items(spark):
+    latin, chinese = sentence(*NAMES[:3]), "所谓中空电极是指锁定琦澜默的任何柏棱瑞滚轮例如开口策佳泰转子不包括多孔铠诺维轴承"
+    for shared in (latin, chinese):
+        for n in (2, 4, 40):
+            items = [(i, f"{sentence(f'aa{chr(97 + i % 26)}x{chr(97 + i // 26)}q', 'bb', 'cc')} {shared}" if shared is latin else shared + chr(0x5000 + i) * 12) for i in range(n)]
+            assert found(spark, ["before it " + shared + " after it"], items) == [(0, i) for i in range(n)]
 
 
 def test_empty_tables(spark):

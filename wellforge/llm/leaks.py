@@ -1,19 +1,22 @@
 """Evaluation texts that leaked into documents: template canonicalisation, a hash join of template windows, slot checks.
 
-Texts are reduced to lower-case words without signs, accents and numbers. In an item, words that hardly any other item has are
-names: they fill the slots of its templates. A window of a template is the run of words beside a slot, with units and other
-names replaced by placeholders; its key also holds the slot's own value. Windows of documents and items are joined by key, the
-alignment is extended in both directions over exchanged words, and the slots along it must agree.
-
-Equal items are one class, and a passage that several classes share counts once, in the first of them, when names are counted.
-Fixed text beside a slot is no such passage: there the texts differ in a few words and then go on alike. Stretches of an item without any name have windows of
-their own: every three words, every six letters.
+A text becomes a stream of words in one spelling, in which every number is a placeholder, a unit after it another one, and every
+name a third. A word is a name unless its share of all texts is above `ordinary_share` beyond chance: the words of templates are
+ordinary, what fills their slots is not. A window is a slot with the template on one side of it; its key is a hash of the typed
+window and of the slot's value. Windows of documents and of items are two tables joined by key. Each pair of texts that share a
+window is aligned from there in both directions over exchanged words, and the slots along the alignment are compared: where the
+names agree it is a leak, where the template is the same with other names it is the item with other parameters.
+
+The slot's value is part of the key because the template alone pairs every document with every item of its template. Stretches of
+an item without any name have windows of their own: every three words, every six letters in Chinese and Japanese.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +42,7 @@ _LOOKS = re.compile("[" + "".join(map(chr, LOOKALIKES)) + "]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _ACCENT = re.compile("[̀-ͯ]+")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[^\W\d_])")
-_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_TOKEN = re.compile(r"[^\W_]+")
 _BROKEN = re.compile("[Â-ô][\u0080-¿Œ-Ÿˆ˜–-›€™]{1,3}")
 
 
@@ -56,18 +59,17 @@ def _latin(m: re.Match) -> str:
     return m.group().translate(LOOKALIKES)
 
 
-def words(text: str | None) -> list[str]:
+def canonical(text: str | None) -> list[str]:
     """The words of a text in a spelling that ignores case, accents, signs, spacing, line breaks and encoding damage.
 
-    Words that hold a digit are left out. Chinese and Japanese letters are words of their own.
+    Words that hold a digit are numbers: '#' with their value, neighbouring ones as one. Chinese and Japanese letters are words.
     """
     if not text:
         return []
     if not text.isascii():
         if "Ã" in text or "Â" in text or "â" in text:
             text = _BROKEN.sub(_repair, text)
-        text = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", text)))
-        text = text.casefold()
+        text = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", text))).casefold()
         if _LOOKS.search(text):
             text = _LOOKS.sub(_latin, text)
     else:
@@ -78,48 +80,69 @@ def words(text: str | None) -> list[str]:
         text = text.replace(a, b)
     if _CJK.search(text):
         text = _CJK.sub(r" \g<0> ", text)
-    return _WORD.findall(text)
+    out: list[str] = []
+    for w in _TOKEN.findall(text):
+        if w.isalpha():
+            out.append(w)
+        elif out and out[-1][0] == "#":
+            out[-1] += "." + w
+        else:
+            out.append("#" + w)
+    return out
+
+
+def words(tokens: list[str]) -> list[str]:
+    """The tokens that are no numbers: what counts in a run."""
+    return [w for w in tokens if w[0] != "#"]
 
 
 def is_letterwise(tokens: list[str]) -> bool:
     return 2 * sum(1 for w in tokens if len(w) == 1 and _CJK.match(w)) > len(tokens)
 
 
-SIDE, LETTERS = 2, 6  # words beside a slot; letters of a window in Chinese and Japanese
+SIDE, LETTERS = 2, 6  # tokens of the template beside a slot; letters of a window in Chinese and Japanese
 PLAIN = 3  # words of a window without a slot: two errors in 16 words leave five in a row
+SALTS = 8  # parts of the rows of a window that many documents share
+
+
+def _hash(b: bytes) -> int:
+    return xxhash.xxh64_intdigest(b) - (1 << 63)
+
+
+def _is_name(w: str, ordinary: frozenset[str]) -> bool:
+    return len(w) > 1 and w[0] != "#" and w not in ordinary
 
 
-def _keys(tokens: list[str], slots: frozenset[str] | set[str]) -> Iterator[tuple[int, int]]:
-    """(position, key) of the template windows to the left and right of every slot."""
-    typed = None
+def slot_windows(tokens: list[str], ordinary: frozenset[str], wanted=None) -> Iterator[tuple[int, int]]:
+    """(position among the words, key) of the typed windows to the left and right of every slot that holds a name.
+
+    `wanted`, if given, tells by the hash of a name whether its windows are needed at all.
+    """
+    typed, at = None, -1
     for p, w in enumerate(tokens):
-        if w in slots:
-            if typed is None:
-                typed = ["\x01" if t in slots else "\x02" if t in UNITS else t for t in tokens]
-            for side, part in ((b"<", typed[max(0, p - SIDE) : p]), (b">", typed[p + 1 : p + 1 + SIDE])):
-                if len(part) == SIDE:
-                    yield p, _hash(side + " ".join([w, *part]).encode())
+        at += w[0] != "#"
+        if not _is_name(w, ordinary) or (wanted is not None and not wanted(_hash(b"|" + w.encode()))):
+            continue
+        if typed is None:
+            typed = ["\x03" if t[0] == "#" else "\x02" if t in UNITS else "\x01" if _is_name(t, ordinary) else t for t in tokens]
+        for side, part in (("<", typed[max(0, p - SIDE) : p]), (">", typed[p + 1 : p + 1 + SIDE])):
+            if len(part) == SIDE:
+                yield at, _hash(f"{side}{w} {part[0]} {part[1]}".encode())
 
 
-def _pieces(tokens: list[str]) -> Iterator[tuple[int, str]]:
-    """(position, letters) of every run of LETTERS single letters."""
-    text = "".join(t if len(t) == 1 else "\x02" for t in tokens)
+def letter_windows(own: list[str]) -> Iterator[tuple[int, str]]:
+    """(position, letters) of every run of LETTERS single letters among the words."""
+    text = "".join(t if len(t) == 1 else "\x02" for t in own)
     for p in range(len(text) - LETTERS + 1):
         piece = text[p : p + LETTERS]
         if "\x02" not in piece:
             yield p, piece
 
 
-def _letter_keys(tokens: list[str]) -> Iterator[tuple[int, int]]:
-    for p, piece in _pieces(tokens):
-        yield p, _hash(b"=" + piece.encode())
-
-
-def _plain_keys(tokens: list[str], begins: frozenset[str] | set[str]) -> Iterator[tuple[int, int]]:
-    """(position, key) of every PLAIN words in a row that begin with one of `begins`."""
-    for p in range(len(tokens) - PLAIN + 1):
-        if tokens[p] in begins:
-            yield p, _hash(b"~" + " ".join(tokens[p : p + PLAIN]).encode())
+def plain_windows(own: list[str]) -> Iterator[tuple[int, int]]:
+    """(position, key) of every PLAIN words in a row."""
+    for p in range(len(own) - PLAIN + 1):
+        yield p, _hash(("~" + " ".join(own[p : p + PLAIN])).encode())
 
 
 def _bare(marked: list[bool], least: int) -> list[bool]:
@@ -133,10 +156,6 @@ def _bare(marked: list[bool], least: int) -> list[bool]:
     return out
 
 
-def _hash(b: bytes) -> int:
-    return xxhash.xxh64_intdigest(b) - (1 << 63)
-
-
 def _alike(a: str, b: str) -> bool:
     """The same word, or a longer one with a single letter misread."""
     if a == b:
@@ -205,89 +224,6 @@ def best_run(item: list[str], doc: list[str], i: int, j: int, most: float) -> tu
     return best
 
 
-def leaked_passages(
-    documents: DataFrame,
-    items: DataFrame,
-    min_words: int = 16,
-    min_letters: int = 30,
-    exchanged: float = 1 / 8,
-    slot_share: float = 0.6,
-    name_share: float = 0.0125,
-    block_words: int = 2_000_000,
-) -> DataFrame:
-    """(doc_id, item_id, run, errors): documents that hold a run of at least `min_words` words of an item.
-
-    Numbers are not counted. Up to `exchanged` of the run's words may differ, and at least `slot_share` of the names in it must
-    agree: texts from the same template with other names are no leak. In Chinese and Japanese letters count, `min_letters` of
-    them. A word is a name if at most 3 items, or `name_share` of all, hold it; with three items or fewer every word counts as one.
-    Equal items are one, and of a passage that items share word for word only the first item counts as a holder of its words, so
-    names in it stay names however many items share it. Where a run holds no name of the item, or `min_words` of it in a row are
-    the same, names are not asked for, unless the texts go on alike after a few other words, as beside the slot of a template.
-    Items that differ by other words within every `min_words` words are not told from the texts of a template.
-    Null and empty texts and null ids give no rows; a repeated document is reported under each of its ids, a repeated item too.
-
-    Scale: the windows are joined by a broadcast hash join; its build side are the items' windows, in blocks of items with at most
-    `block_words` words together, so what is sent is bounded whatever the number of items. Each block is one pass over the
-    documents, and only found pairs leave the tasks: no document is shuffled. Equal items are checked once and expanded after.
-    """
-    spark = documents.sparkSession
-    texts = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
-    size, most_items = texts.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-int(size) // (4 * block_words)))
-    rare = max(3, int(name_share * most_items))
-    tokenised = stored(texts.mapInPandas(_tokenise, "item_id long, item_words array<string>").withColumn("key", F.sha2(F.concat_ws(" ", "item_words"), 256)), "items")
-    classes = tokenised.groupBy("key").agg(F.any_value("item_words").alias("item_words"))
-    classes = stored(classes.select("key", "item_words", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")), "item_classes")
-    uses = stored(_holders(classes, min_words, min_letters).filter(F.col("n") <= rare), "item_names")
-    found = None
-    for block in range(blocks):
-        one = classes.filter(F.col("block") == block)
-        names = one.mapInPandas(_marks, "w string").distinct().join(uses, "w", "left_semi")
-        part = _block(spark, documents, one.select("key", "item_words").toPandas(), {r["w"] for r in names.collect()}, min_words, min_letters, exchanged, slot_share)
-        found = part if found is None else found.unionByName(part)
-    found = found.join(tokenised.select("key", "item_id"), "key")
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("run", F.col("errors"))).alias("z")).select("doc_id", "item_id", "z.run", "z.errors")
-
-
-def _holders(classes: DataFrame, min_words: int, min_letters: int) -> DataFrame:
-    """(w, n): the classes that hold a word (or, after '=', a window of letters) outside of passages that an earlier class holds."""
-
-    def runs(tokens: list[str]) -> Iterator[tuple[int, int]]:
-        least = min_letters if is_letterwise(tokens) else min_words
-        for p in range(len(tokens) - least + 1):
-            yield p, _hash(" ".join(tokens[p : p + least]).encode())
-
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, tokens in zip(b["key"], b["item_words"]):
-                at = {h: p for p, h in runs(list(tokens))}
-                yield pd.DataFrame({"key": [key] * len(at), "g": list(at), "p": list(at.values())}).astype({"key": "object", "g": "int64", "p": "int32"})
-
-    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            old = [_copied(list(x), list(y), s, min_letters if is_letterwise(list(x)) else min_words) for x, y, s in zip(b["item_words"], b["owner_words"], b["shift"])]
-            yield pd.DataFrame({"key": b["key"], "old": old})
-
-    def originals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = set()
-            for key, tokens, copied in zip(b["key"], b["item_words"], b["copied"]):
-                tokens, old = list(tokens), set() if copied is None else set(copied)
-                out |= {(key, w) for p, w in enumerate(tokens) if p not in old}
-                if is_letterwise(tokens):
-                    out |= {(key, "=" + x) for p, x in _pieces(tokens) if not old.issuperset(range(p, p + LETTERS))}
-            yield pd.DataFrame(sorted(out), columns=["key", "w"])
-
-    texts = classes.select("key", "item_words")
-    held = texts.mapInPandas(grams, "key string, g long, p int")
-    shared = held.groupBy("g").agg(F.min(F.struct("key", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", F.col("first.key").alias("owner"), F.col("first.p").alias("q"))
-    pairs = held.join(shared, "g").filter(F.col("key") > F.col("owner")).select("key", "owner", (F.col("q") - F.col("p")).alias("shift")).distinct()
-    both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("owner"), F.col("item_words").alias("owner_words")), "owner")
-    old = both.select("key", "item_words", "owner_words", "shift").mapInPandas(copies, "key string, old array<int>")
-    copied = old.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("old"))).alias("copied"))
-    return texts.join(copied, "key", "left").mapInPandas(originals, "key string, w string").groupBy("w").agg(F.count("*").alias("n"))
-
-
 def _goes_on(a: list[str], b: list[str], i: int, j: int, step: int, letters: bool) -> bool:
     """Whether the texts, unlike from a[i] and b[j] on, are alike again: three words in a row (four letters) after a few others,
     or three of the next eight words (six of 16 letters) in their places."""
@@ -314,105 +250,234 @@ def _equal_runs(a: list[str], b: list[str], start: int, end: int, shift: int, le
             begin = None
 
 
-def _copied(item: list[str], owner: list[str], shift: int, least: int) -> list[int]:
-    """Positions of the item in passages of the owner; beside a slot of a template, not the `least` words next to it."""
-    letters, out = is_letterwise(item), []
-    for start, end in _equal_runs(item, owner, 0, len(item), shift, least):
-        if _goes_on(item, owner, start - 1, start - 1 + shift, -1, letters):
-            start += least
-        if _goes_on(item, owner, end, end + shift, 1, letters):
-            end -= least
-        out += range(start, end)
-    return out
+class KeySet:
+    """A set of 64-bit keys as a bitmap of a fixed size: every key of the set is in it, and a few others."""
 
+    def __init__(self, bits: int, body: bytes):
+        self.mask, self.body = (1 << bits) - 1, body
 
-def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of items, and the windows of letters of those in Chinese or Japanese."""
-    for b in batches:
-        out = set()
-        for tokens in map(list, b["item_words"]):
-            out.update(tokens)
-            if is_letterwise(tokens):
-                out.update("=" + x for _, x in _pieces(tokens))
-        yield pd.DataFrame({"w": sorted(out)}).astype("object")
+    def __contains__(self, key: int) -> bool:
+        k = key & self.mask
+        return (self.body[k >> 3] >> (k & 7)) & 1 == 1
+
+
+def key_set(keys: DataFrame, n: int, most_bits: int = 27) -> KeySet:
+    """The bitmap of a table (key): 2048 bits a key, at most 2 ** most_bits (16 MB); beyond, more keys pass by chance, none is lost."""
+    bits = min(most_bits, max(20, math.ceil(math.log2(2048 * max(n, 1)))))
+    at = keys.select((F.col("key").bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("k"))
+    parts = at.groupBy(F.bitmap_bucket_number("k").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("m")).collect()
+    body = bytearray(1 << (bits - 3))
+    for r in parts:
+        start = (r["b"] - 1) * 4096
+        body[start : start + 4096] = r["m"]
+    return KeySet(bits, bytes(body))
+
+
+def leaked_passages(
+    documents: DataFrame,
+    items: DataFrame,
+    min_words: int = 16,
+    min_letters: int = 30,
+    exchanged: float = 1 / 8,
+    slot_share: float = 0.6,
+    ordinary_share: float = 0.005,
+) -> DataFrame:
+    """(doc_id, item_id, kind, run, errors, numbers_same): documents that hold a run of at least `min_words` words of an item.
+
+    Numbers are not counted, and in Chinese and Japanese letters count, `min_letters` of them. Up to `exchanged` of the run's words
+    may differ. `kind` is 'leak' where at least `slot_share` of the names in the run agree, 'reparameterised' where the texts have a
+    template in common but not the names. Where a run holds no name of the item, or `min_words` of it in a row are the same, names
+    are not asked for, unless the texts go on alike after a few other words, as beside the slot of a template. `numbers_same` is the
+    share of the run's numbers that the document has there too, null if the run holds none.
+
+    A word is ordinary if its share of all texts, documents and the different sentences of items, exceeds `ordinary_share` by two
+    standard errors; all other words are names. How many items share a sentence plays no part. If a passage is in so many documents that its own names are
+    ordinary, it has no slots and is found by its plain windows.
+    Null and empty texts and null ids give no rows; a repeated document is reported under each of its ids, a repeated item too.
+
+    Scale: documents are reduced to their words once and written to the shared folder; one pass counts words, one looks for
+    windows, however many items there are. What is sent to the tasks is a bitmap of at most 16 MB and the ordinary words, of which
+    there are at most (different words of a text) / ordinary_share. Only windows that pass the bitmap are joined, salted by
+    document, so that a passage in a third of all documents is spread; only documents with such a window are aligned.
+    """
+    sc = documents.sparkSession.sparkContext
+    docs = stored(_canonical(documents, "doc_id"), "leak_documents")
+    ids = stored(_canonical(items, "item_id"), "leak_items")
+    classes = ids.select(F.col("h").alias("item"), "canon").dropDuplicates(["item"])
+
+    grams = classes.mapInPandas(_item_grams, "key long").distinct()
+    gram_count = grams.count()
+    parts = F.explode(F.split("text", r"(?<=[.!?])\s+(?=\p{Lu})|(?<=[。！？])"))
+    sentences = _canonical(items.select("item_id", parts.alias("text")), "item_id").select("canon").distinct()
+    texts = docs.select("canon").unionByName(sentences)
+    counted = stored(texts.mapInPandas(_counter(sc.broadcast(key_set(grams, gram_count)) if gram_count else None), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "leak_words")
+    total = texts.count()
+    common = counted.filter(F.col("n") - 2 * F.sqrt("n") > F.lit(ordinary_share * total))
+    ordinary = sc.broadcast(frozenset(r["w"] for r in common.collect()))
+
+    windows = stored(classes.mapInPandas(_item_windows(ordinary, min_words, min_letters), "key long, item long, pos int, kind string"), "leak_windows")
+    kinds = {r["kind"]: r["n"] for r in windows.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    wanted = sc.broadcast(key_set(windows.select("key"), sum(kinds.values())))
+    hit_docs = stored(docs.mapInPandas(_seeker(ordinary, wanted, set(kinds)), "doc_id long, h long, canon string, hits array<struct<p:int,key:long>>"), "leak_hits")
+
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    sides = windows.filter("kind != 'name'").withColumn("salt", salt)
+    hits = hit_docs.select("doc_id", "h", F.explode("hits").alias("x")).select("doc_id", "h", "x.p", "x.key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    met = hits.join(sides, ["key", "salt"]).groupBy("doc_id", "h", "item").agg(F.collect_set(F.struct((F.col("kind") != "slot").alias("bare"), "pos", "p")).alias("at"))
+    both = met.join(hit_docs.select("doc_id", "h", "canon"), ["doc_id", "h"]).join(classes.select("item", F.col("canon").alias("item_canon")), "item")
+    columns = ["doc_id", "item", "canon", "item_canon", "at"]
+    found = both.select(*columns).mapInPandas(_aligner(ordinary, min_words, min_letters, exchanged, slot_share), "doc_id long, item long, kind string, run int, errors int, numbers_same double")
+    best = found.join(ids.select(F.col("h").alias("item"), F.col("id").alias("item_id")), "item").groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("kind") == "leak").alias("leak"), "run", "errors", "numbers_same", "kind")).alias("z"))
+    return best.select("doc_id", "item_id", "z.kind", "z.run", "z.errors", "z.numbers_same")
+
+
+def _canonical(texts: DataFrame, id_col: str) -> DataFrame:
+    """(id, h, canon): the tokens of every text with an id, joined by spaces, and their hash. `id` is named doc_id for documents."""
+    name = "doc_id" if id_col == "doc_id" else "id"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            canon = [" ".join(canonical(t)) for t in b["text"]]
+            yield pd.DataFrame({name: b[name], "h": [_hash(c.encode()) for c in canon], "canon": canon})
 
+    rows = texts.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("long").alias(name), "text")
+    return rows.mapInPandas(read, f"{name} long, h long, canon string").filter("canon != ''")
 
-def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _gram_key(piece: str) -> int:
+    return _hash(b"=" + piece.encode())
+
+
+def _item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The keys of the letter windows of items in Chinese or Japanese."""
     for b in batches:
-        if len(b):
-            yield pd.DataFrame({"item_id": b["item_id"], "item_words": [words(t) for t in b["item_text"]]})
-
-
-def _block(spark, documents, items: pd.DataFrame, names: set[str], min_words: int, min_letters: int, exchanged: float, slot_share: float) -> DataFrame:
-    own = {r.key: list(r.item_words) for r in items.itertuples()}
-    letterwise = {i for i, w in own.items() if is_letterwise(w)}
-    slots = frozenset(w for w in names if len(w) > 1 and w[0] != "=" and not _CJK.search(w))
-    # windows with a name; then, where an item has min_words in a row without one, windows of any words
-    named: dict[int, list[tuple[str, int]]] = {}
-    plain: dict[int, list[tuple[str, int]]] = {}
-    marks: dict[str, list[bool]] = {}
-    begins: set[str] = set()
-    for i, w in own.items():
-        if i in letterwise:
-            at = {p for p, x in _pieces(w) if "=" + x in names}
-            marks[i] = [p in at for p in range(len(w))]
-            bare = _bare(marks[i], min_letters - LETTERS + 1)
-            for p, k in _letter_keys(w):
-                if p in at:
-                    named.setdefault(k, []).append((i, p))
-                elif bare[p]:
-                    plain.setdefault(k, []).append((i, p))
-        else:
-            for p, k in _keys(w, slots):
-                named.setdefault(k, []).append((i, p))
-            bare = _bare([x in slots for x in w], min_words)
-            first = {w[p] for p in range(len(w) - PLAIN + 1) if all(bare[p : p + PLAIN])}
-            begins |= first
-            for p, k in _plain_keys(w, first):
-                if all(bare[p : p + PLAIN]):
-                    plain.setdefault(k, []).append((i, p))
-    sent = spark.sparkContext.broadcast((own, letterwise, slots, named, plain, marks, frozenset(begins)))
+        own = (words(c.split(" ")) for c in b["canon"])
+        yield pd.DataFrame({"key": sorted({_gram_key(x) for w in own if is_letterwise(w) for _, x in letter_windows(w)})}).astype("int64")
+
+
+def _counter(grams):
+    """How many texts hold each word and, after '=', each letter window of the items."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for canon in b["canon"]:
+                tokens = canon.split(" ")
+                seen.update({w for w in tokens if w[0] != "#"})
+                if grams is not None and _CJK.search(canon):
+                    seen.update({"=" + x for _, x in letter_windows(words(tokens)) if _gram_key(x) in grams.value})
+            if len(seen) > 300_000:
+                yield pd.DataFrame({"w": list(seen), "n": list(seen.values())})
+                seen = Counter()
+        yield pd.DataFrame({"w": list(seen), "n": list(seen.values())}).astype({"w": "object", "n": "int64"})
+
+    return count
+
+
+def _item_windows(ordinary, min_words: int, min_letters: int):
+    """(key, item, pos, kind) of the items' windows: 'slot' with a name, 'plain' in stretches without, 'name' for a name alone."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = ordinary.value
+        for b in batches:
+            out = []
+            for item, canon in zip(b["item"], b["canon"]):
+                tokens = canon.split(" ")
+                own = words(tokens)
+                if is_letterwise(own):
+                    pieces = list(letter_windows(own))
+                    rare = {p for p, x in pieces if "=" + x not in common}
+                    bare = _bare([p in rare for p in range(len(own))], min_letters - LETTERS + 1)
+                    out += [(_gram_key(x), item, p, "slot" if p in rare else "letters") for p, x in pieces if p in rare or bare[p]]
+                else:
+                    out += [(k, item, p, "slot") for p, k in slot_windows(tokens, common)]
+                    out += [(_hash(b"|" + w.encode()), item, -1, "name") for w in set(own) if _is_name(w, common)]
+                    bare = _bare([_is_name(w, common) for w in own], min_words)
+                    out += [(k, item, p, "plain") for p, k in plain_windows(own) if all(bare[p : p + PLAIN])]
+            yield pd.DataFrame(out, columns=["key", "item", "pos", "kind"]).astype({"key": "int64", "item": "int64"})
+
+    return cut
+
+
+def _seeker(ordinary, wanted, kinds: set[str]):
+    """The documents with a window that some item may have, and where."""
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_item, by_letter, slot_words, known, other, marked, first_words = sent.value
+        common, keys = ordinary.value, wanted.value
+        for b in batches:
+            rows = []
+            for doc, h, canon in zip(b["doc_id"], b["h"], b["canon"]):
+                tokens = canon.split(" ")
+                hits = [(p, k) for p, k in slot_windows(tokens, common, keys.__contains__) if k in keys] if "slot" in kinds else []
+                if "plain" in kinds:
+                    hits += [(p, k) for p, k in plain_windows(words(tokens)) if k in keys]
+                if _CJK.search(canon):
+                    hits += [(p, k) for p, k in ((p, _gram_key(x)) for p, x in letter_windows(words(tokens))) if k in keys]
+                if hits:
+                    rows.append((doc, h, canon, [{"p": p, "key": k} for p, k in hits]))
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "canon", "hits"])
+
+    return seek
+
+
+def _numbers(tokens: list[str], start: int, end: int) -> Counter[str]:
+    """The numbers between the words `start` and `end`."""
+    out, at = Counter(), -1
+    for t in tokens:
+        if t[0] != "#":
+            at += 1
+        elif start <= at < end:
+            out[t] += 1
+    return out
+
+
+def _aligner(ordinary, min_words: int, min_letters: int, exchanged: float, slot_share: float):
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = ordinary.value
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                tokens = words(text)
-                hits = [] if slot_words.isdisjoint(tokens) else list(_keys(tokens, slot_words))
-                letter_hits = list(_letter_keys(tokens)) if by_letter and text and _CJK.search(text) else []
-                more = letter_hits if other else []
-                if first_words:
-                    more = more + list(_plain_keys(tokens, first_words))
-                best: dict[str, tuple[int, int]] = {}
-                covered: dict[tuple[str, int], int] = {}
-                for table, by_name, found in ((known, True, hits + letter_hits), (other, False, more)):
-                    for p, k in found:
-                        for item, pos in table.get(k, ()):
-                            if covered.get((item, p - pos), -1) >= pos:  # inside a run that has been found on this alignment
-                                continue
-                            mine = of_item[item]
-                            run, errors, start, end = best_run(mine, tokens, pos, p, exchanged)
-                            covered[item, p - pos] = end
-                            letters = item in by_letter
-                            least = min_letters if letters else min_words
-                            if run < least or run <= best.get(item, (0, 0))[0]:
-                                continue
-                            if letters:
-                                agree = by_name
-                            else:
-                                near = tokens[max(0, p - (pos - start) - 8) : p + (end - pos) + 9]
-                                agree = _slots_agree(mine[start : end + 1], set(near), slot_words, slot_share)
-                            if not agree and not any(marked[item][start : end - LETTERS + 2] if letters else (w in slot_words for w in mine[start : end + 1])):
-                                agree = not _beside_slot(mine, tokens, start, end + 1, p - pos, letters)
-                            if not agree:
-                                agree = any(not _beside_slot(mine, tokens, x, y, p - pos, letters) for x, y in _equal_runs(mine, tokens, start, end + 1, p - pos, least))
-                            if agree:
-                                best[item] = (run, errors)
-                out += [(doc, item, r, e) for item, (r, e) in best.items()]
-            yield pd.DataFrame(out, columns=["doc_id", "key", "run", "errors"])
-
-    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(seek, "doc_id long, key string, run int, errors int")
+            for doc, item, canon, item_canon, at in zip(b["doc_id"], b["item"], b["canon"], b["item_canon"], b["at"]):
+                doc_tokens, item_tokens = canon.split(" "), item_canon.split(" ")
+                mine, theirs = words(item_tokens), words(doc_tokens)
+                letters = is_letterwise(mine)
+                least = min_letters if letters else min_words
+                if letters:
+                    marked = [False] * len(mine)
+                    for p, x in letter_windows(mine):
+                        marked[p] = "=" + x not in common
+                else:
+                    marked = [_is_name(w, common) for w in mine]
+                names = frozenset(w for w, m in zip(mine, marked) if m)
+                best: dict[str, tuple] = {}
+                covered: dict[int, int] = {}
+                for bare, pos, p in sorted((x["bare"], x["pos"], x["p"]) for x in at):
+                    if covered.get(p - pos, -1) >= pos:  # inside a run that has been found on this alignment
+                        continue
+                    run, errors, start, end = best_run(mine, theirs, pos, p, exchanged)
+                    covered[p - pos] = end
+                    if run < least:
+                        continue
+                    if letters:
+                        agree = not bare
+                    else:
+                        near = set(theirs[max(0, p - (pos - start) - 8) : p + (end - pos) + 9])
+                        agree = _slots_agree(mine[start : end + 1], near, names, slot_share)
+                    if not agree and not any(marked[start : end - LETTERS + 2] if letters else marked[start : end + 1]):
+                        agree = not _beside_slot(mine, theirs, start, end + 1, p - pos, letters)
+                    if not agree:
+                        agree = any(not _beside_slot(mine, theirs, x, y, p - pos, letters) for x, y in _equal_runs(mine, theirs, start, end + 1, p - pos, least))
+                    kind = "leak" if agree else "reparameterised"
+                    if run > best.get(kind, (0,))[0]:
+                        asked = _numbers(item_tokens, start, end)
+                        same = sum((asked & _numbers(doc_tokens, p - (pos - start), p + (end - pos))).values())
+                        best[kind] = (run, errors, same / sum(asked.values()) if asked else None)
+                for kind in ("leak", "reparameterised"):
+                    if kind in best:
+                        out.append((doc, item, kind, *best[kind]))
+                        break
+            yield pd.DataFrame(out, columns=["doc_id", "item", "kind", "run", "errors", "numbers_same"]).astype({"numbers_same": "float64"})
+
+    return align
 
 
 def _beside_slot(item: list[str], doc: list[str], start: int, end: int, shift: int, letters: bool) -> bool:

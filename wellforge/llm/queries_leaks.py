@@ -9,7 +9,7 @@ from wellforge.session import table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("doc_id", "item_id")
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).filter("kind = 'leak'").select("doc_id", "item_id")
 
 
 QUERIES = {"p6_found": p6_found}
