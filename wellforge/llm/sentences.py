@@ -1,12 +1,16 @@
 """Sentence boundaries across languages and scripts: a linear-chain model over characters, decoded with Viterbi.
 
-Every character is tagged as boundary (a unit starts here) or inside. The chain has two states, prose and claims: in prose any
-likely place may start a unit, in claims only the label of the next claim. Characters that cannot start a unit have no weight for
-it, so the chain is decoded over the candidate places alone, with the same result.
-
-The weights of a place come from counts over all documents (see `learn`): how often a word is followed by a stop and then goes
-on (abbreviations), which words begin paragraphs rather than stand inside of text with its signs stripped (starters), which lines
-stand alone (headings), and, for the script without stops, which neighbours a gap has that ends a line.
+Every character is tagged as boundary (a unit starts here) or inside. Characters that no stop, gap or label precedes cannot start a
+unit, so the chain is decoded over the candidate places alone, with the same result. Its states are boundary and inside in prose,
+and, once the claims have begun, claim: there only the label of the next claim starts a unit.
+
+Nothing is labelled by hand. Paragraphs end where a sentence ends, so a paragraph's last words and the next one's first words, put
+together without the break, are examples of boundaries in running text; all candidate places of running text are the mixture that
+holds boundaries and others. A log-linear model of features of the place (see `_look`) tells the examples from the mixture; divided
+by the share that sure boundaries reach, its odds are the chance of a boundary (learning from positive and unlabelled examples).
+For Thai, which has no stops, the same is done on text stripped of its signs, over the gaps. Transition weights are counted over
+the taggings that these chances give. Features rest on counts over all documents: how often a word ends with a stop and then goes
+on, which words begin paragraphs, which lines stand alone as headings.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +38,6 @@ DAMAGED = (("â€œ", "“¨¨"), ("â€ž", "„¨¨"), ("â€\x9d", "””
 #: Marks that end a sentence; the wide ones need no space after them.
 WIDE = "。！？．｡"
 STOPS = ".!?…।॥|؟" + WIDE
-#: Words that tell languages in Latin letters apart.
-HINTS = {"en": ("the", "of", "is"), "de": ("der", "den", "und"), "fr": ("le", "du", "est"), "es": ("el", "del", "es")}
-
-#: A bracket that closes later than this was never meant to: in damaged formulas one of the two is missing.
-MOST_ENCLOSED = 1000
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯ᄀ-ᇿ]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
 _OTHER = re.compile("[^\x00-ɏ\u2000-\u206f]")
@@ -54,35 +54,67 @@ _NUMBER = re.compile(r"\d[\d.,  ]*$")
 _WORD_AFTER = re.compile(r"[^\W\d_]+")
 _FOREIGN = re.compile(r"[぀-ヿ㐀-鿿]{1,3}(?=\s|$)")
 _GAP = re.compile(r"\s+")
+_NUMBERED = re.compile(r"\[\d+\]\s*$|^\[\d+\]")
+_NUMBERED_LINE = re.compile(r"(?<=\n)[^\S\n]*\[\d+\]\s")
+_LABELLED = re.compile(r"(?:^|\n)[^\S\n]*\d+\s?$")
+_ACRONYM = re.compile(r"[A-ZА-Я]\.[A-ZА-Я]$")
+
+MOST_FORM = 200  # a longer line is no heading
 
 
-def language(text: str, tokens: Counter | None = None) -> str:
-    """The script, or for Latin letters the language with the most hint words; text without letters counts as 'en'."""
+def script(text: str) -> str | None:
+    """The script of most letters; None for Latin ones and for text without letters."""
     if not text.isascii() and len(_OTHER.findall(text)) > 0.08 * len(text):
-        for name, script in _SCRIPTS:
-            n = len(script.findall(text))
+        for name, letters in _SCRIPTS:
+            n = len(letters.findall(text))
             if n > (0.08 if name == "ja" else 0.15) * len(text):
                 return name
-    if tokens is None:
-        tokens = Counter(text.split())
-    return max(HINTS, key=lambda k: sum(tokens[w] for w in HINTS[k]))
+    return None
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-odds and sets learned from all documents."""
+    """What has been learned of all documents: words, headings, and the weights of the chain."""
 
     abbreviation: dict[tuple[str, str], float]
     starter: dict[tuple[str, str], float]
+    stopped: dict[tuple[str, str], float]
     headings: frozenset[str]
-    gaps: dict[tuple[str, str], float]
-    first: frozenset[str] = frozenset()
-    ordinary: frozenset[tuple[str, str]] = frozenset()
+    first: frozenset[str]
+    languages: dict[str, dict[str, float]]
+    weights: dict[str, float]
+    moves: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
+
+    def language(self, text: str, tokens: Iterable[str] | None = None) -> str:
+        """The script, or for Latin letters the language whose usual words the text holds."""
+        if name := script(text):
+            return name
+        if not self.languages:
+            return "latin"
+        held = set(text.split()) if tokens is None else tokens
+        score, name = max((sum(v for w, v in usual.items() if w in held), k) for k, usual in self.languages.items())
+        return name if score else "latin"
+
+
+def fit_languages(sample: pd.DataFrame, words: int = 30) -> dict[str, dict[str, float]]:
+    """For each label of texts in Latin letters the words that its texts hold more often than others; labels may be wrong at times."""
+    held: dict[str, Counter] = {}
+    texts: Counter = Counter()
+    for text, label in zip(sample["text"], sample["lang"]):
+        if text and label and not script(text):
+            texts[label.lower()] += 1
+            held.setdefault(label.lower(), Counter()).update({w for w in text.split() if w.isalpha() and w.islower()})
+    usual = [k for k, n in texts.items() if n >= max(5, 0.01 * sum(texts.values()))]
+    out = {}
+    for k in usual:
+        apart = {w: n / texts[k] - max((held[o][w] / texts[o] for o in usual if o != k), default=0.0) for w, n in held[k].items()}
+        out[k] = {w: v for w, v in sorted(apart.items(), key=lambda x: (-x[1], x[0]))[:words] if v > 0}
+    return out
 
 
-def _first_line(text: str, at: int) -> str:
-    end = text.find("\n", at, at + 80)
-    return text[at : (end if end >= 0 else len(text) if len(text) - at < 80 else -1)] if end >= 0 or len(text) - at < 80 else ""
+def _line(text: str, at: int) -> str:
+    end = text.find("\n", at)
+    return text[at : end if end >= 0 else len(text)]
 
 
 def _heading_form(line: str) -> str:
@@ -94,6 +126,8 @@ def _char_class(c: str) -> str:
         return "edge"
     if c.isdigit():
         return "digit"
+    if c.isascii() and c.isalpha():
+        return "latin"
     if c.isalpha() or "ะ" <= c <= "๎":
         return "letter"
     return "sign"
@@ -108,10 +142,10 @@ def _last_word(before: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFC", word)
 
 
-def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
+def _counts(text: str, languages: Model) -> Iterator[tuple[tuple[str, str, str], int]]:
     """Observations of one document: ((kind, language, what), how often)."""
     tokens = Counter(text.split())
-    lang = language(text, tokens)
+    lang = languages.language(text, tokens)
     for m in _GOES_ON.finditer(text):
         if 0 < len(last := _last_word(text[max(0, m.start() - 8) : m.start()])) <= 6:
             yield ("dot", lang, last.lower()), 1
@@ -131,47 +165,49 @@ def _counts(text: str) -> Iterator[tuple[tuple[str, str, str], int]]:
         if bare[0].isupper() and len(bare) <= 32:
             yield ("inside", lang, bare), n
     for s in (0, *(m.end() for m in _PARAGRAPH.finditer(text))):
-        line = _first_line(text, s)
-        form = _heading_form(line) if line else ""
-        if form and len(form) <= 60 and form[-1] not in STOPS + ",;":
+        line = _line(text, s)
+        form = _heading_form(line) if 0 < len(line) <= MOST_FORM else ""
+        if form and form[-1] not in STOPS + ",;":
             yield ("alone", "", form), 1
         if (word := re.match(r"\S+", text[s : s + 25])) and word.end() < 25:
             yield ("begins", "", re.sub(r"\d+", "9", word.group())), 1
-        skip = text.find("\n", s, s + 80)  # the word after a heading begins a sentence as well
-        for at in (s, skip + 1) if skip > 0 else (s,):
+        skip = s + len(line) + 1  # the word after a heading begins a sentence as well
+        for at in (s, skip) if form and skip < len(text) else (s,):
             if first := _CAPITAL.match(text, at):
                 yield ("start", lang, first.group()), 1
-    if lang == "th":
-        for m in _GAP.finditer(text):
-            a, b = _char_class(text[m.start() - 1 : m.start()]), _char_class(text[m.end() : m.end() + 1])
-            yield (("line" if "\n" in m.group() else "space"), a, b), 1
 
+def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5, fit_documents: int = 6000) -> Model:
+    """The model of a table (text, and lang if there is such a column). Null and empty texts are passed over.
 
-def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5) -> Model:
-    """Counts over all documents, added up in the tasks first; what comes to the driver is bounded.
-
-    A form counts if it is seen at least `min_count` times and once in 1 / `min_share` documents, so there are some thousand of
-    them whatever the number of documents. Words are only fetched where a stop, a start or a line alone has been seen as well.
+    Words, stops and headings are counted over all documents, added up in the tasks first; what comes to the driver is bounded: a
+    form counts if it is seen at least `min_count` times and once in 1 / `min_share` documents. The weights of the chain are fitted
+    on the places of at most `fit_documents` documents, those with the smallest hashes; which words tell languages apart is learned
+    from the same documents. Equal feature sets are counted together, so the fit itself is as small whatever the texts.
     """
+    sc = documents.sparkSession.sparkContext
+    label = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    texts = documents.filter("text IS NOT NULL AND text != ''").select("text", label.alias("lang"))
+    sample = stored(texts.orderBy(F.xxhash64("text"), "text").limit(fit_documents), "sentence_sample").repartition(16, "text")
+    languages = fit_languages(sample.toPandas())
+    known = sc.broadcast(Model({}, {}, {}, frozenset(), frozenset(), languages, {}))
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str, str], int] = {}
         for b in batches:
             seen["documents", "", ""] = seen.get(("documents", "", ""), 0) + len(b)
             for text in b["text"]:
-                if text:
-                    for k, n in _counts(text):
-                        seen[k] = seen.get(k, 0) + n
+                for k, n in _counts(text, known.value):
+                    seen[k] = seen.get(k, 0) + n
             if len(seen) > 300_000:
                 yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
                 seen = {}
         yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
 
-    rows = documents.select("text").mapInPandas(observe, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    rows = texts.select("text").mapInPandas(observe, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     rows = stored(rows, "sentence_counts")
     total = rows.filter("kind = 'documents'").agg(F.sum("n")).first()[0] or 0
     often = rows.filter(F.col("n") >= max(min_count, int(min_share * total)))
-    few = often.filter(F.col("kind").isin("dot", "word", "ends", "start", "alone", "line", "space"))
+    few = often.filter(F.col("kind").isin("dot", "word", "ends", "start", "alone"))
     same = {"inside": few.filter("kind = 'start'").select("a", "b"), "begins": few.filter("kind = 'alone'").select("a", F.split("b", " ")[0].alias("b")).distinct()}
     for kind, wanted in same.items():
         few = few.unionByName(rows.filter(F.col("kind") == kind).join(wanted, ["a", "b"], "left_semi"))
@@ -182,20 +218,124 @@ def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5) ->
     def odds(p: float, q: float, prior: float = 0.5) -> float:
         return math.log((p + prior) / (q + prior))
 
-    dots, plain = table.get("dot", {}), table.get("word", {})
+    dots, plain, ends, inside = (table.get(k, {}) for k in ("dot", "word", "ends", "inside"))
     abbreviation = {k: odds(n, max(0, plain.get(k, 0) - n)) for k, n in dots.items()}
-    ends = table.get("ends", {})
-    ordinary = frozenset(k for k, n in plain.items() if ends.get(k, 0) < 0.7 * n)
-    inside = table.get("inside", {})
+    both: Counter = Counter()
+    for (_, w), n in plain.items():
+        both[w] += n
+    tips: Counter = Counter()
+    for (_, w), n in ends.items():
+        tips[w] += n
+    stopped = {k: ends.get(k, 0) / n for k, n in plain.items()} | {("", w): tips[w] / n for w, n in both.items()}
     starter = {k: odds(n, 0.02 * max(0, inside.get(k, n) - n)) for k, n in table.get("start", {}).items() if k[1][0].isupper()}
     for learned in (abbreviation, starter):  # passages in another language than their document's
         for (_, word), v in list(learned.items()):
             learned["", word] = max(v, learned.get(("", word), v))
     begins = table.get("begins", {})
     headings = {f for (_, f), n in table.get("alone", {}).items() if n >= 0.3 * begins.get(("", f.split(" ")[0]), n)}
-    line, space = table.get("line", {}), table.get("space", {})
-    gaps = {k: odds(line.get(k, 0), 0.05 * space.get(k, 0)) for k in {*line, *space}}
-    return Model(abbreviation, starter, frozenset(headings), gaps, frozenset(h[0] for h in headings) | (frozenset("0123456789") if any(h[0] == "9" for h in headings) else frozenset()), ordinary)
+    first = {h[0] for h in headings} | (set("0123456789") if any(h[0] == "9" for h in headings) else set())
+    model = Model(abbreviation, starter, stopped, frozenset(headings), frozenset(first), languages, {})
+
+    sent = sc.broadcast(model)
+
+    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for b in batches:
+            for text in b["text"]:
+                for joined, look in _examples(text, sent.value):
+                    seen["\t".join(look), joined] += 1
+        yield pd.DataFrame([(k, j, n) for (k, j), n in seen.items()], columns=["look", "joined", "n"])
+
+    shown = sample.select("text").mapInPandas(examples, "look string, joined boolean, n long").groupBy("look").agg(F.sum(F.when(F.col("joined"), F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(F.col("joined"), 0).otherwise(F.col("n"))).alias("all"))
+    fitted = replace(model, weights=fit_weights(shown.toPandas()))
+    again = sc.broadcast(fitted)
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [0.0] * 4
+        for b in batches:
+            for text in b["text"]:
+                tags = [w > 0 for _, w, _ in candidates(text, again.value) if UNLIKELY < w < SURE]
+                for x, y in zip(tags, tags[1:]):
+                    seen[2 * x + y] += 1
+        yield pd.DataFrame({"move": range(4), "n": seen})
+
+    counts = {r["move"]: r["n"] for r in sample.select("text").mapInPandas(steps, "move int, n double").groupBy("move").agg(F.sum("n").alias("n")).collect()}
+    return replace(fitted, moves=fit_moves([counts.get(k, 0.0) for k in range(4)]))
+
+
+def fit_moves(counts: list[float]) -> tuple[float, float, float, float]:
+    """The log of how much oftener each of the four moves comes than neighbouring tags would meet by chance."""
+    total = sum(counts) + 4
+    first = [(counts[2 * x] + counts[2 * x + 1] + 2) / total for x in (0, 1)]
+    second = [(counts[y] + counts[2 + y] + 2) / total for y in (0, 1)]
+    return tuple(math.log((counts[2 * x + y] + 1) / total / (first[x] * second[y])) for x in (0, 1) for y in (0, 1))
+
+
+def _features(look: tuple[str, ...]) -> list[str]:
+    """Names of the features of a place, see `_look`: its parts, and pairs and triples of parts that say more together."""
+    if look[0] == "gap":
+        return [f"gap {look[1]}|{look[2]}"]
+    lang, mark, closed, gap, after, last, abbr, stopped, start, shape, stray = look
+    parts = {"k": mark, "c": closed, "g": gap, "a": after, "l": last, "b": abbr, "r": stopped, "s": start, "n": shape, "L": lang, "m": stray}
+    sets = ["k", "c", "g", "a", "l", "b", "r", "s", "n", "kc", "kg", "ka", "kcg", "kca", "cga", "gal", "gab", "gar", "al", "ab", "ar", "as", "lb", "lr", "ls", "br", "bs", "rs", "rsn", "lrs", "brs", "sn", "an", "Lk", "Lkc", "Lkca", "La", "Lka", "Lkga", "Lal", "Lar", "Lg", "Ln", "m", "ma"]
+    unknown = {i for i in "rs" if parts[i] == "-"}  # what has not been seen says nothing
+    return [f"{x}:" + "|".join(parts[i] for i in x) for x in sets if unknown.isdisjoint(x)]
+
+
+def fit_weights(shown: pd.DataFrame, ridge: float = 1.0, rounds: int = 3, least: float = 0.1) -> dict[str, float]:
+    """Weights of features from (look, ends, all): how often a look was seen where paragraphs were put together, and in running text.
+
+    First a log-linear model tells the one from the other; its odds are in proportion to the chance of a boundary, and what all but
+    the share `least` of the examples reach stands for certainty. Then the chances of running text are fitted themselves, examples being certain, and
+    once more with the chances so found. Places with and without a gap are put in proportion apart, as missing spaces are rare.
+    """
+    if not len(shown):
+        return {}
+    looks = [tuple(x.split("\t")) for x in shown["look"]]
+    names = [_features(x) for x in looks]
+    index = {f: i for i, f in enumerate(sorted({f for x in names for f in x}))}
+    x = np.zeros((len(looks), len(index) + 1))
+    for row, x_names in zip(x, names):
+        row[[index[f] for f in x_names]] = 1.0
+    x[:, -1] = 1.0
+    group = np.array(["gap" if k[0] == "gap" else k[0] + k[3] for k in looks])
+    ends, every = shown["ends"].to_numpy(float), shown["all"].to_numpy(float)
+    chance = np.zeros(len(looks))
+    for g in np.unique(group):
+        own = group == g
+        e, a = ends[own], every[own]
+        part = x[own][:, x[own].any(0)]
+        odds = np.exp(np.clip(part @ _logistic(part, e / max(e.sum(), 1.0), a / max(a.sum(), 1.0), len(e), ridge), -30, 30))
+        order = np.argsort(odds)
+        low = order[min(len(order) - 1, int(np.searchsorted(np.cumsum(e[order]), least * e.sum())))]
+        chance[own] = np.clip(odds / odds[low], 0.0, 1.0) if e.sum() else 0.0
+    out = {}
+    for own, kind in ((group == "gap", "gap"), (group != "gap", "stop")):
+        columns = np.flatnonzero(x[own].any(0))
+        part, e, a, now, w = x[own][:, columns], ends[own], every[own], chance[own], np.zeros(len(columns))
+        for _ in range(rounds if len(e) else 0):
+            sharp = np.where(e > 0.5 * a, np.maximum(now, 0.5), now)
+            w = _logistic(part, a * sharp + e, a * (1 - sharp), a.sum(), ridge, w)
+            now = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+        known = dict(zip(columns, w))
+        out |= {f: float(known[i]) for f, i in index.items() if i in known} | {kind: float(known.get(x.shape[1] - 1, 0.0))}
+    return out
+
+
+def _logistic(x: np.ndarray, yes: np.ndarray, no: np.ndarray, scale: float, ridge: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic model of rows seen `yes` and `no` times, by Newton steps."""
+    n = (yes + no) * scale / max((yes + no).sum(), 1e-12)
+    y = yes / np.maximum(yes + no, 1e-12)
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (n * (y - p)) - ridge * w
+        curve = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, gradient)
+        w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 0.01:
+            break
+    return w
 
 
 def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
@@ -222,8 +362,7 @@ def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
             if c in PAIRS or c == '"':
                 stack.append((c, p))
             continue
-        if p - stack[found][1] <= MOST_ENCLOSED:
-            out.append((stack[found][1], p + 1))
+        out.append((stack[found][1], p + 1))
         del stack[found:]
     out.sort(key=lambda s: (s[0], -s[1]))
     outer: list[tuple[int, int]] = []
@@ -264,44 +403,139 @@ def _opens_claim(text: str, p: int) -> bool:
     return text[p - 1 : p] == "\n" or head[-1:] in STOPS or head[-1:] in CLOSE or text[p] in "[【" or "\n" in text[len(head) : p]
 
 
-UNLIKELY = -1e9
+UNLIKELY, SURE, LIMIT = -1e9, 20.0, 6.0  # log odds beyond LIMIT say no more
 
 
-def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
-    """(place, weight of a unit starting there, whether the label of the next claim is there), in order."""
-    for damaged, mark in DAMAGED:
-        if damaged in text:
-            text = text.replace(damaged, mark)
-    lang, weight = language(text), {}
-    edges = [m.start() for m in _PARAGRAPH.finditer(text)]
-    spans = _spans(text, edges)
-    begins = [0, *(m.end() for m in _PARAGRAPH.finditer(text))]
-    headed: list[int] = []
+def _stops(text: str, lang: str, spans: list[tuple[int, int]], model: Model) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(place, look) of every place behind a stop, with its closing marks and stray words, outside of paired marks."""
+    k = 0
+    for m in _END.finditer(text):
+        p = m.end()
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k < len(spans) and spans[k][0] < p < spans[k][1]:
+            continue
+        group = spans[k] if k < len(spans) and spans[k][1] <= p else None
+        if lang == "th" and "." in m.group() and not re.search("[A-Za-z]{4}$", text[max(0, m.start() - 4) : m.start()]):
+            continue
+        if lang in model.languages or lang == "latin":
+            p = _stray(text, m, p)
+        yield p, _look(text, m, p, group, lang, model)
 
-    def put(p: int, w: float) -> None:
-        while p < len(text) and text[p].isspace():
-            p += 1
-        if p < len(text):
-            weight[p] = max(weight.get(p, UNLIKELY), w)
 
+def _gaps(text: str) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(place, look) of every gap, for text without stops: the kinds of characters on both sides."""
+    for m in _GAP.finditer(text):
+        yield m.end(), ("gap", _char_class(text[m.start() - 1 : m.start()]), _char_class(text[m.end() : m.end() + 1]))
+
+
+def _bucket(v: float | None, ends: tuple[float, ...]) -> str:
+    return "-" if v is None else str(sum(v > x for x in ends))
+
+
+def _look(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> tuple[str, ...]:
+    """The kinds of everything around a place: language, stop, closing mark, gap, what follows, the last word, how often it is an
+    abbreviation and has a stop, how often the next word begins paragraphs, the next word's form, and whether words are astray."""
+    mark = m.group().strip()
+    stop = mark[0]
+    rest = text[p : p + 48]
+    gap = len(rest) - len(rest.lstrip())
+    after = rest[gap : gap + 1]
+    kind = "w" if any(c in WIDE for c in mark) else "d" if any(c in "।॥" for c in mark) else "|" if "|" in mark else "e" if mark[:2] == ".." or stop == "…" else "!" if stop in "!?" else "."
+    closed = ""
+    if mark[-1] in CLOSE:
+        closed = "x"
+        if group is not None:
+            before = text[: group[0]][-40:]
+            head = before.rstrip()[-1:]
+            opens = not head or head in STOPS or head in CLOSE or head == ":" and "\n" in before[len(before.rstrip()) :] or bool(_NUMBERED.search(before))
+            closed = ("q" if text[group[0]] in QUOTES else "b") + str(int(opens))
+    if not after:
+        kind_after = "$"
+    elif after.isupper():
+        kind_after = "U"
+    elif after.islower():
+        kind_after = "l"
+    elif after.isdigit():
+        kind_after = "d"
+    elif _CJK.match(after):
+        kind_after = "c"
+    elif after.isalpha() or _char_class(after) == "letter":
+        kind_after = "o"
+    elif after in ",;:%)]":
+        kind_after = ","
+    elif _NUMBERED.match(rest[gap:]):
+        kind_after = "#"
+    elif after in "“„«":
+        kind_after = "q"
+    elif after in "¿¡":
+        kind_after = "i"
+    elif after in "([（":  # a bracket that ends with a stop holds sentences
+        close = text.find(PAIRS[after], p + gap)
+        kind_after = "S" if close > 0 and text[close - 1] in STOPS else "("
+    else:
+        kind_after = "-"
+    before = text[max(0, m.start() - 24) : m.start()]
+    if stop in "!?":
+        before = before.rstrip()
+    end = before[-1:]
+    last = _last_word(before)
+    small = last.lower()
+    if last and _CJK.match(end):
+        size = "c"
+    elif last:
+        size = ("I" if last.isupper() and len(last) == 1 else "W" if last.isupper() else "") + str(min(len(last), 5))
+        if _ACRONYM.search(before):
+            size = "A"
+    elif end.isdigit():
+        digits = _NUMBER.search(before).group().strip()
+        size = "N" if not digits.isdigit() or len(digits) > 2 else "#" if _LABELLED.search(before) else "n"
+    else:
+        size = " " if not end or end.isspace() else ")" if end in CLOSE or end in ")]%" else "-"
+    short = kind == "." and 0 < len(last) <= 6 and size != "c"
+    abbr = _bucket(model.abbreviation.get((lang, small), model.abbreviation.get(("", small))) if short else None, (-3.0, -1.5, -0.5, 0.5, 2.0))
+    stopped = _bucket(model.stopped.get((lang, small), model.stopped.get(("", small))) if short else None, (0.1, 0.3, 0.7, 0.95))
+    word = _WORD_AFTER.match(rest, gap)
+    nxt = word.group() if word else ""
+    start = _bucket(model.starter.get((lang, nxt), model.starter.get(("", nxt))) if nxt else None, (-1.5, 0.0, 1.5))
+    shape = "" if not nxt or kind_after in "co" else "1" if len(nxt) == 1 else "X" if nxt.isupper() else "Xx" if nxt[0].isupper() else "x"
+    return lang, kind, closed, "s" if gap else "0", kind_after, size, abbr, stopped, start, shape, str(int(p > m.end()))
+
+
+def weight(look: tuple[str, ...], model: Model, memo: dict) -> float:
+    if look not in memo:
+        memo[look] = sum(model.weights.get(f, 0.0) for f in _features(look)) + model.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
+    return memo[look]
+
+
+_MEMO: dict[int, dict] = {}  # weights of looks by model, as long as a worker lives
+
+
+def _layout(text: str, model: Model) -> tuple[list[int], list[tuple[int, int]], list[int], list[int]]:
+    """Where paragraphs begin, the paired marks, and the starts and ends of headings."""
+    edges = [m.start() for m in _PARAGRAPH.finditer(text)]
+    begins = [0, *(m.end() for m in _PARAGRAPH.finditer(text))]
+    starts, ends = [], []
     for s in begins:
-        put(s, 20.0)
-        end = _heading_end(text, s, model)
-        if end:
-            put(end, 20.0)
-            headed.append(end)
+        if end := _heading_end(text, s, model):
+            ends.append(end)
     at = -1
     while (at := text.find("\n", at + 1)) >= 0:  # headings without a blank line before them
         if text[at + 1 : at + 2] != "\n" and (end := _heading_end(text, at + 1, model)) and (text[:at].rstrip()[-1:] in STOPS or text[:at].rstrip()[-1:] in CLOSE):
-            put(at + 1, 20.0)
-            put(end, 20.0)
-            headed.append(end)
-    if lang == "th":
-        for m in _GAP.finditer(text):
-            a, b = _char_class(text[m.start() - 1 : m.start()]), _char_class(text[m.end() : m.end() + 1])
-            thai = any("ก" <= c <= "๎" for c in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) if c)
-            open_ = thai and a == "letter" and b == "letter"
-            put(m.end(), 4.0 + min(3.0, max(-3.0, model.gaps.get((a, b), 0.0))) if open_ else -4.0)
+            starts.append(at + 1)
+            ends.append(end)
+    return begins, _spans(text, edges), starts, ends
+
+
+def _mended(text: str) -> str:
+    for damaged, mark in DAMAGED:
+        if damaged in text:
+            text = text.replace(damaged, mark)
+    return text
+
+
+def _stops(text: str, lang: str, spans: list[tuple[int, int]], model: Model) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(place, look) of every place behind a stop, with its closing marks and stray words, outside of paired marks."""
     k = 0
     for m in _END.finditer(text):
         p = m.end()
@@ -312,40 +546,204 @@ def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
         group = spans[k] if k < len(spans) and spans[k][1] <= p else None
         if lang == "th" and "." in m.group() and not re.search("[A-Za-z]{4}$", text[max(0, m.start() - 4) : m.start()]):
             continue
-        if lang in HINTS:
+        if lang in model.languages or lang == "latin":
             p = _stray(text, m, p)
-        put(p, _weight(text, m, p, group, lang, model))
-    sure = {p for p, w in weight.items() if w >= 20} | set(headed)
-    numbers = _claims(text, sure)
+        yield p, _look(text, m, p, group, lang, model)
+
+
+def _gaps(text: str) -> Iterator[tuple[int, tuple[str, ...]]]:
+    """(place, look) of every gap, for text without stops: the kinds of characters on both sides."""
+    for m in _GAP.finditer(text):
+        yield m.end(), ("gap", _char_class(text[m.start() - 1 : m.start()]), _char_class(text[m.end() : m.end() + 1]))
+
+
+def _bucket(v: float | None, ends: tuple[float, ...]) -> str:
+    return "-" if v is None else str(sum(v > x for x in ends))
+
+
+def _look(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> tuple[str, ...]:
+    """The kinds of everything around a place: language, stop, closing mark, gap, what follows, the last word, how often it is an
+    abbreviation and has a stop, how often the next word begins paragraphs, the next word's form, and whether words are astray."""
+    mark = m.group().strip()
+    stop = mark[0]
+    rest = text[p : p + 48]
+    gap = len(rest) - len(rest.lstrip())
+    after = rest[gap : gap + 1]
+    kind = "w" if any(c in WIDE for c in mark) else "d" if any(c in "।॥" for c in mark) else "|" if "|" in mark else "e" if mark[:2] == ".." or stop == "…" else "!" if stop in "!?" else "."
+    closed = ""
+    if mark[-1] in CLOSE:
+        closed = "x"
+        if group is not None:
+            before = text[: group[0]][-40:]
+            head = before.rstrip()[-1:]
+            opens = not head or head in STOPS or head in CLOSE or head == ":" and "\n" in before[len(before.rstrip()) :] or bool(_NUMBERED.search(before))
+            closed = ("q" if text[group[0]] in QUOTES else "b") + str(int(opens))
+    if not after:
+        kind_after = "$"
+    elif after.isupper():
+        kind_after = "U"
+    elif after.islower():
+        kind_after = "l"
+    elif after.isdigit():
+        kind_after = "d"
+    elif _CJK.match(after):
+        kind_after = "c"
+    elif after.isalpha() or _char_class(after) == "letter":
+        kind_after = "o"
+    elif after in ",;:%)]":
+        kind_after = ","
+    elif _NUMBERED.match(rest[gap:]):
+        kind_after = "#"
+    elif after in "“„«":
+        kind_after = "q"
+    elif after in "¿¡":
+        kind_after = "i"
+    elif after in "([（":  # a bracket that ends with a stop holds sentences
+        close = text.find(PAIRS[after], p + gap)
+        kind_after = "S" if close > 0 and text[close - 1] in STOPS else "("
+    else:
+        kind_after = "-"
+    before = text[max(0, m.start() - 24) : m.start()]
+    if stop in "!?":
+        before = before.rstrip()
+    end = before[-1:]
+    last = _last_word(before)
+    small = last.lower()
+    if last and _CJK.match(end):
+        size = "c"
+    elif last:
+        size = ("I" if last.isupper() and len(last) == 1 else "W" if last.isupper() else "") + str(min(len(last), 5))
+        if _ACRONYM.search(before):
+            size = "A"
+    elif end.isdigit():
+        digits = _NUMBER.search(before).group().strip()
+        size = "N" if not digits.isdigit() or len(digits) > 2 else "#" if _LABELLED.search(before) else "n"
+    else:
+        size = " " if not end or end.isspace() else ")" if end in CLOSE or end in ")]%" else "-"
+    short = kind == "." and 0 < len(last) <= 6 and size != "c"
+    abbr = _bucket(model.abbreviation.get((lang, small), model.abbreviation.get(("", small))) if short else None, (-3.0, -1.5, -0.5, 0.5, 2.0))
+    stopped = _bucket(model.stopped.get((lang, small), model.stopped.get(("", small))) if short else None, (0.1, 0.3, 0.7, 0.95))
+    word = _WORD_AFTER.match(rest, gap)
+    nxt = word.group() if word else ""
+    start = _bucket(model.starter.get((lang, nxt), model.starter.get(("", nxt))) if nxt else None, (-1.5, 0.0, 1.5))
+    shape = "" if not nxt or kind_after in "co" else "1" if len(nxt) == 1 else "X" if nxt.isupper() else "Xx" if nxt[0].isupper() else "x"
+    return lang, kind, closed, "s" if gap else "0", kind_after, size, abbr, stopped, start, shape, str(int(p > m.end()))
+
+
+def weight(look: tuple[str, ...], model: Model, memo: dict) -> float:
+    if look not in memo:
+        memo[look] = sum(model.weights.get(f, 0.0) for f in _features(look)) + model.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
+    return memo[look]
+
+
+_MEMO: dict[int, dict] = {}  # weights of looks by model, as long as a worker lives
+
+
+def _layout(text: str, model: Model) -> tuple[list[int], list[tuple[int, int]], list[int], list[int]]:
+    """Where paragraphs begin, the paired marks, and the starts and ends of headings."""
+    edges = [m.start() for m in _PARAGRAPH.finditer(text)]
+    begins = [0, *(m.end() for m in _PARAGRAPH.finditer(text))]
+    starts, ends = [], []
+    for s in begins:
+        if end := _heading_end(text, s, model):
+            ends.append(end)
+    at = -1
+    while (at := text.find("\n", at + 1)) >= 0:  # headings without a blank line before them
+        if text[at + 1 : at + 2] != "\n" and (end := _heading_end(text, at + 1, model)) and (text[:at].rstrip()[-1:] in STOPS or text[:at].rstrip()[-1:] in CLOSE):
+            starts.append(at + 1)
+            ends.append(end)
+    return begins, _spans(text, edges), starts, ends
+
+
+def _mended(text: str) -> str:
+    for damaged, mark in DAMAGED:
+        if damaged in text:
+            text = text.replace(damaged, mark)
+    return text
+
+
+def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
+    """(place, weight of a unit starting there, whether the label of the next claim is there), in order."""
+    memo = _MEMO.setdefault(id(model), {})
+    text = _mended(text)
+    lang, weights = model.language(text), {}
+    begins, spans, starts, ends = _layout(text, model)
+
+    def put(p: int, w: float) -> None:
+        while p < len(text) and text[p].isspace():
+            p += 1
+        if p < len(text):
+            weights[p] = max(weights.get(p, UNLIKELY), w)
+
+    for p in (*begins, *starts, *ends):
+        put(p, SURE)
+    if lang == "th":
+        for p, look in _gaps(text):
+            put(p, max(-LIMIT, min(LIMIT, weight(look, model, memo))))
+    for p, look in _stops(text, lang, spans, model):
+        put(p, max(-LIMIT, min(LIMIT, weight(look, model, memo))))
+    numbers = _claims(text, {p for p, w in weights.items() if w >= SURE} | set(ends))
     out, k = [], 0
-    for p in sorted({*weight, *numbers}):
-        w = weight.get(p, UNLIKELY)
+    for p in sorted({*weights, *numbers}):
+        w = weights.get(p, UNLIKELY)
         while k < len(spans) and spans[k][1] <= p:
             k += 1
-        if w < 20 and k < len(spans) and spans[k][0] < p:
+        if w < SURE and k < len(spans) and spans[k][0] < p:
             w = UNLIKELY
         out.append((p, w, p in numbers))
     return out
 
 
+def _examples(text: str, model: Model) -> Iterator[tuple[bool, tuple[str, ...]]]:
+    """(whether from paragraphs put together, look) of the places of one text, its headings and claims left out.
+
+    A line that begins with a bracketed paragraph number is a paragraph too.
+    """
+    text = _mended(text)
+    lang = model.language(text)
+    begins, spans, starts, ends = _layout(text, model)
+    claims = _claims(text, {*begins, *ends, *(e + len(text[e:]) - len(text[e:].lstrip()) for e in ends)})
+    body = text[: min(claims, default=len(text))]
+    cuts = sorted({0, len(body), *begins, *starts, *ends, *(m.start() for m in _NUMBERED_LINE.finditer(body))})
+    parts = []
+    for a, b in zip(cuts, cuts[1:]):
+        if b <= len(body) and not (b in ends and (a in starts or a in begins)) and (part := body[a:b].strip()):
+            parts.append((part, a + len(body[a:b]) - len(body[a:b].lstrip())))
+    for part, _ in parts:
+        if lang == "th":
+            yield from ((False, look) for x in (part, _stripped(part)) for _, look in _gaps(x))
+        else:
+            yield from ((False, look) for p, look in _stops(part, lang, _spans(part, []), model) if p < len(part))
+    for (left, _), (right, _) in zip(parts, parts[1:]):
+        right = right[:300]
+        if lang == "th":
+            right = _NUMBERED.sub("", right).lstrip()
+            for x, y in ((left, right), (_stripped(left).rstrip(), _stripped(right).lstrip())):
+                yield from ((True, look) for p, look in _gaps(f"{x} {y}") if p == len(x) + 1)
+            continue
+        for one in {left + gap + x for gap in (" ", "") for x in (right, _NUMBERED.sub("", right).lstrip())}:
+            yield from ((True, look) for p, look in _stops(one, lang, _spans(one, []), model) if p == len(left))
+
+
+def _stripped(text: str) -> str:
+    """The text without its signs."""
+    return "".join(c for c in text if c.isspace() or _char_class(c) != "sign")
+
+
 def _heading_end(text: str, s: int, model: Model) -> int:
     """The end of the heading at `s`, 0 if there is none. A heading may be broken over two lines."""
     if text[s : s + 1] not in model.first:
         return 0
-    end = text.find("\n", s, s + 80)
+    end = text.find("\n", s)
     for _ in range(2):
-        if end < 0:
+        if end < 0 or end - s > MOST_FORM:
             return 0
         if (form := _heading_form(text[s:end])) and form in model.headings:
             return end
-        end = text.find("\n", end + 1, s + 80)
+        end = text.find("\n", end + 1)
     return 0
 
 
-def _known(learned: dict[tuple[str, str], float], lang: str, word: str, unseen: float) -> float:
-    return learned.get((lang, word), learned.get(("", word), unseen))
-
-
 def _stray(text: str, m: re.Match, p: int) -> int:
     """The end of what rough translation left behind a stop: a lone word of another script, or the last word once more.
 
@@ -366,110 +764,35 @@ def _stray(text: str, m: re.Match, p: int) -> int:
     return p
 
 
-def _weight(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> float:
-    """The weight of a unit that starts at `p`, after this stop, its closing marks and stray words."""
-    mark = m.group().strip()
-    stop = mark[0]
-    rest = text[p : p + 48]
-    gap = len(rest) - len(rest.lstrip())
-    after = rest[gap : gap + 1]
-    if not after:
-        return 20.0
-    closed = mark[-1] in CLOSE
-    if closed and group is not None:
-        head = text[: group[0]].rstrip()[-1:]
-        opens = not head or head in STOPS or head in CLOSE or "\n" in text[len(text[: group[0]].rstrip()) : group[0]] and head in STOPS + ":"
-        opens = opens or bool(re.search(r"\[\d+\]\s*$", text[max(0, group[0] - 12) : group[0]]))
-        if text[group[0]] not in QUOTES:
-            return 5.0 if opens else (-5.0 if after.islower() or after in ",;:." or not gap or stop == "." else -1.0)
-        if after in ",;:.)" or (not gap and not after.isupper()):
-            return -5.0
-        if after.islower():
-            return 2.0 if stop == "." and lang == "en" else -5.0
-        if lang in ("zh", "ja", "ko"):
-            return -5.0 if not gap else 2.0
-        return 4.0
-    if closed and not group:
-        # a closing mark that belongs to a span ending earlier in the run, or to none
-        if after in ",;:":
-            return -5.0
-    if stop == "." and not gap and after.isdigit() and text[m.start() - 1 : m.start()].isdigit():
-        return -5.0
-    if any(c in WIDE + "।॥|" for c in mark):
-        if "．" in mark and after.isdigit() and not gap and text[m.start() - 1 : m.start()].isdigit():
-            return -5.0
-        if mark[-1] == "|" and not gap:
-            return -1.0
-        return 6.0
-    if after in ",;:%)]":
-        return -5.0
-    if stop == "." and text[m.start() - 1 : m.start()].isspace():  # a number or formula torn apart
-        return -3.0
-    before = text[max(0, m.start() - 24) : m.start()]
-    if _CJK.match(before[-1:] or " "):
-        return 5.0 if stop in "!?" or not after.isascii() or gap else -2.0
-    word = _WORD_AFTER.match(text, p + gap)
-    nxt = word.group() if word else ""
-    start = _known(model.starter, lang, nxt, -1.0 if nxt[:1].isupper() else 0.0)
-    if stop in "!?":
-        return 5.0 if gap or after.isupper() or lang in ("ko", "hi") else -3.0
-    if len(mark) > 1 and mark[:2] == ".." or stop == "…":
-        return -3.0 if after.islower() else 2.0
-    last = _last_word(before)
-    abbr = _known(model.abbreviation, lang, last.lower(), -3.0) if 0 < len(last) <= 6 else -3.0
-    number = _NUMBER.search(before) if before[-1:].isdigit() else None
-    if not gap:
-        if not (len(last) >= 2 or number or closed) or not (after.isupper() or after in "“„«¿¡([" or ord(after) > 0x0E00):
-            return 1.5 if len(last) >= 4 and abbr < -1 and word and len(nxt) >= 2 and not after.isdigit() and before[-1:].islower() else -5.0
-        if after in "([" and not re.match(r"\[\d+\]", rest):
-            return -2.0
-        return 3.0 if start > 0 or abbr < 0 and (start > -1.0 or len(last) > 4 or number) else -3.0
-    if number and not last:
-        digits = number.group().strip()
-        plain = digits.isdigit() and len(digits) <= 2
-        if after.isdigit():
-            return 2.0 if not plain else -3.0
-        if nxt[:1].isupper():
-            return 4.0 if not plain or start > 0 else -3.0
-        return 2.0 if not plain or not after.isalpha() else -2.0
-    if after.isdigit():
-        return -4.0 if abbr > -1.0 else 2.0
-    if nxt[:1].islower():
-        return -4.0 if abbr > -0.5 else (2.0 if len(last) > 1 else -2.0)
-    if abbr > -0.5 and re.search(r"[A-ZА-Я]\.[A-ZА-Я]$", before) and (start > -1.5 and nxt[:1].isupper() and nxt[1:2].islower() or after == "("):
-        return 1.0  # an acronym may end a sentence
-    if nxt[:1].isupper():
-        if start > 0:
-            return 4.0
-        short = 0 < len(last) <= 3 and (lang, last.lower()) not in model.ordinary
-        return -3.0 if len(last) <= 4 and abbr > -1.5 or short else 2.5
-    return -3.0 if abbr > 0.5 and after not in "“„«[¿¡" else 3.0
-
-
 ENTER, NEXT = 60.0, 20.0  # weights of a first claim's label and of each label that follows in its number
 
 
-def viterbi(places: list[tuple[int, float, bool]]) -> list[int]:
-    """The starts of the best tagging. States: prose and claims; once in the claims, only their labels start units."""
-    prose, claims = 0.0, UNLIKELY
-    back: list[tuple[bool, bool]] = []  # whether a unit starts here in prose; whether claims begin here
+def viterbi(places: list[tuple[int, float, bool]], moves: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)) -> list[int]:
+    """The starts of the best tagging of (place, weight of a boundary, whether the label of the next claim is there).
+
+    `moves` are the weights of (inside, inside), (inside, boundary), (boundary, inside) and (boundary, boundary) at neighbouring
+    places. Once in the claims, their labels start units and nothing else does.
+    """
+    inside, boundary, claims = 0.0, UNLIKELY, UNLIKELY
+    back: list[tuple[int, int, int]] = []  # the state before, of inside (0), boundary (1) and claims (2)
     for _, w, label in places:
-        starts = w > 0
-        gain = max(0.0, w)
-        enter = label and prose + gain + ENTER >= claims + gain + NEXT
+        best = 1 if boundary > inside else 0
+        own = max(0.0, w)
+        to_inside = 1 if boundary + moves[2] > inside + moves[0] else 0
+        to_boundary = 1 if boundary + moves[3] > inside + moves[1] else 0
+        to_claims, prose = 2, max(inside, boundary)
         if label:
-            claims = max(prose + gain + ENTER, claims + gain + NEXT)
-        prose += gain
-        back.append((starts, bool(enter)))
+            if prose + ENTER >= claims + NEXT:
+                to_claims = best
+            claims = max(prose + ENTER, claims + NEXT) + own
+        inside, boundary = max(inside + moves[0], boundary + moves[2]), max(inside + moves[1], boundary + moves[3]) + w
+        back.append((to_inside, to_boundary, to_claims))
     out: list[int] = []
-    in_claims = claims >= prose
-    for (p, _, label), (starts, enter) in zip(reversed(places), reversed(back)):
-        if in_claims:
-            if label:
-                out.append(p)
-                in_claims = not enter
-        elif starts:
+    state = 2 if claims >= max(inside, boundary) else 1 if boundary > inside else 0
+    for (p, _, label), before in zip(reversed(places), reversed(back)):
+        if state == 1 or state == 2 and label:
             out.append(p)
+        state = before[state]
     return out[::-1]
 
 
@@ -477,7 +800,7 @@ def split(text: str, model: Model) -> list[tuple[int, int]]:
     """Units of one text as (start, end) offsets without surrounding white space; null and blank texts have none."""
     if not text or text.isspace():
         return []
-    starts = viterbi(candidates(text, model))
+    starts = viterbi(candidates(text, model), model.moves)
     out = []
     for a, b in zip(starts, [*starts[1:], len(text)]):
         piece = text[a:b].rstrip()
