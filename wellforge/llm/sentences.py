@@ -20,7 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -85,6 +85,14 @@ class Model:
     weights: dict[str, float]
     moves: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
 
+    memo: dict[tuple[str, ...], float] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def weight(self, look: tuple[str, ...]) -> float:
+        """The log odds of a boundary at a place of this look."""
+        if look not in self.memo:
+            self.memo[look] = sum(self.weights.get(f, 0.0) for f in _features(look)) + self.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
+        return self.memo[look]
+
     def language(self, text: str, tokens: Iterable[str] | None = None) -> str:
         """The script, or for Latin letters the language whose usual words the text holds."""
         if name := script(text):
@@ -502,147 +510,10 @@ def _look(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: s
     return lang, kind, closed, "s" if gap else "0", kind_after, size, abbr, stopped, start, shape, str(int(p > m.end()))
 
 
-def weight(look: tuple[str, ...], model: Model, memo: dict) -> float:
-    if look not in memo:
-        memo[look] = sum(model.weights.get(f, 0.0) for f in _features(look)) + model.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
-    return memo[look]
-
-
-_MEMO: dict[int, dict] = {}  # weights of looks by model, as long as a worker lives
-
-
-def _layout(text: str, model: Model) -> tuple[list[int], list[tuple[int, int]], list[int], list[int]]:
-    """Where paragraphs begin, the paired marks, and the starts and ends of headings."""
-    edges = [m.start() for m in _PARAGRAPH.finditer(text)]
-    begins = [0, *(m.end() for m in _PARAGRAPH.finditer(text))]
-    starts, ends = [], []
-    for s in begins:
-        if end := _heading_end(text, s, model):
-            ends.append(end)
-    at = -1
-    while (at := text.find("\n", at + 1)) >= 0:  # headings without a blank line before them
-        if text[at + 1 : at + 2] != "\n" and (end := _heading_end(text, at + 1, model)) and (text[:at].rstrip()[-1:] in STOPS or text[:at].rstrip()[-1:] in CLOSE):
-            starts.append(at + 1)
-            ends.append(end)
-    return begins, _spans(text, edges), starts, ends
-
-
-def _mended(text: str) -> str:
-    for damaged, mark in DAMAGED:
-        if damaged in text:
-            text = text.replace(damaged, mark)
-    return text
-
-
-def _stops(text: str, lang: str, spans: list[tuple[int, int]], model: Model) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """(place, look) of every place behind a stop, with its closing marks and stray words, outside of paired marks."""
-    k = 0
-    for m in _END.finditer(text):
-        p = m.end()
-        while k < len(spans) and spans[k][1] <= m.start():
-            k += 1
-        if k < len(spans) and spans[k][0] < p < spans[k][1]:
-            continue
-        group = spans[k] if k < len(spans) and spans[k][1] <= p else None
-        if lang == "th" and "." in m.group() and not re.search("[A-Za-z]{4}$", text[max(0, m.start() - 4) : m.start()]):
-            continue
-        if lang in model.languages or lang == "latin":
-            p = _stray(text, m, p)
-        yield p, _look(text, m, p, group, lang, model)
-
-
-def _gaps(text: str) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """(place, look) of every gap, for text without stops: the kinds of characters on both sides."""
-    for m in _GAP.finditer(text):
-        yield m.end(), ("gap", _char_class(text[m.start() - 1 : m.start()]), _char_class(text[m.end() : m.end() + 1]))
-
-
-def _bucket(v: float | None, ends: tuple[float, ...]) -> str:
-    return "-" if v is None else str(sum(v > x for x in ends))
-
-
-def _look(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> tuple[str, ...]:
-    """The kinds of everything around a place: language, stop, closing mark, gap, what follows, the last word, how often it is an
-    abbreviation and has a stop, how often the next word begins paragraphs, the next word's form, and whether words are astray."""
-    mark = m.group().strip()
-    stop = mark[0]
-    rest = text[p : p + 48]
-    gap = len(rest) - len(rest.lstrip())
-    after = rest[gap : gap + 1]
-    kind = "w" if any(c in WIDE for c in mark) else "d" if any(c in "।॥" for c in mark) else "|" if "|" in mark else "e" if mark[:2] == ".." or stop == "…" else "!" if stop in "!?" else "."
-    closed = ""
-    if mark[-1] in CLOSE:
-        closed = "x"
-        if group is not None:
-            before = text[: group[0]][-40:]
-            head = before.rstrip()[-1:]
-            opens = not head or head in STOPS or head in CLOSE or head == ":" and "\n" in before[len(before.rstrip()) :] or bool(_NUMBERED.search(before))
-            closed = ("q" if text[group[0]] in QUOTES else "b") + str(int(opens))
-    if not after:
-        kind_after = "$"
-    elif after.isupper():
-        kind_after = "U"
-    elif after.islower():
-        kind_after = "l"
-    elif after.isdigit():
-        kind_after = "d"
-    elif _CJK.match(after):
-        kind_after = "c"
-    elif after.isalpha() or _char_class(after) == "letter":
-        kind_after = "o"
-    elif after in ",;:%)]":
-        kind_after = ","
-    elif _NUMBERED.match(rest[gap:]):
-        kind_after = "#"
-    elif after in "“„«":
-        kind_after = "q"
-    elif after in "¿¡":
-        kind_after = "i"
-    elif after in "([（":  # a bracket that ends with a stop holds sentences
-        close = text.find(PAIRS[after], p + gap)
-        kind_after = "S" if close > 0 and text[close - 1] in STOPS else "("
-    else:
-        kind_after = "-"
-    before = text[max(0, m.start() - 24) : m.start()]
-    if stop in "!?":
-        before = before.rstrip()
-    end = before[-1:]
-    last = _last_word(before)
-    small = last.lower()
-    if last and _CJK.match(end):
-        size = "c"
-    elif last:
-        size = ("I" if last.isupper() and len(last) == 1 else "W" if last.isupper() else "") + str(min(len(last), 5))
-        if _ACRONYM.search(before):
-            size = "A"
-    elif end.isdigit():
-        digits = _NUMBER.search(before).group().strip()
-        size = "N" if not digits.isdigit() or len(digits) > 2 else "#" if _LABELLED.search(before) else "n"
-    else:
-        size = " " if not end or end.isspace() else ")" if end in CLOSE or end in ")]%" else "-"
-    short = kind == "." and 0 < len(last) <= 6 and size != "c"
-    abbr = _bucket(model.abbreviation.get((lang, small), model.abbreviation.get(("", small))) if short else None, (-3.0, -1.5, -0.5, 0.5, 2.0))
-    stopped = _bucket(model.stopped.get((lang, small), model.stopped.get(("", small))) if short else None, (0.1, 0.3, 0.7, 0.95))
-    word = _WORD_AFTER.match(rest, gap)
-    nxt = word.group() if word else ""
-    start = _bucket(model.starter.get((lang, nxt), model.starter.get(("", nxt))) if nxt else None, (-1.5, 0.0, 1.5))
-    shape = "" if not nxt or kind_after in "co" else "1" if len(nxt) == 1 else "X" if nxt.isupper() else "Xx" if nxt[0].isupper() else "x"
-    return lang, kind, closed, "s" if gap else "0", kind_after, size, abbr, stopped, start, shape, str(int(p > m.end()))
-
-
-def weight(look: tuple[str, ...], model: Model, memo: dict) -> float:
-    if look not in memo:
-        memo[look] = sum(model.weights.get(f, 0.0) for f in _features(look)) + model.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
-    return memo[look]
-
-
-_MEMO: dict[int, dict] = {}  # weights of looks by model, as long as a worker lives
-
-
 def _layout(text: str, model: Model) -> tuple[list[int], list[tuple[int, int]], list[int], list[int]]:
-    """Where paragraphs begin, the paired marks, and the starts and ends of headings."""
+    """Where paragraphs begin, numbered lines among them, the paired marks, and the starts and ends of headings."""
     edges = [m.start() for m in _PARAGRAPH.finditer(text)]
-    begins = [0, *(m.end() for m in _PARAGRAPH.finditer(text))]
+    begins = sorted({0, *(m.end() for m in _PARAGRAPH.finditer(text)), *(m.start() for m in _NUMBERED_LINE.finditer(text))})
     starts, ends = [], []
     for s in begins:
         if end := _heading_end(text, s, model):
@@ -664,7 +535,6 @@ def _mended(text: str) -> str:
 
 def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
     """(place, weight of a unit starting there, whether the label of the next claim is there), in order."""
-    memo = _MEMO.setdefault(id(model), {})
     text = _mended(text)
     lang, weights = model.language(text), {}
     begins, spans, starts, ends = _layout(text, model)
@@ -679,9 +549,9 @@ def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
         put(p, SURE)
     if lang == "th":
         for p, look in _gaps(text):
-            put(p, max(-LIMIT, min(LIMIT, weight(look, model, memo))))
+            put(p, max(-LIMIT, min(LIMIT, model.weight(look))))
     for p, look in _stops(text, lang, spans, model):
-        put(p, max(-LIMIT, min(LIMIT, weight(look, model, memo))))
+        put(p, max(-LIMIT, min(LIMIT, model.weight(look))))
     numbers = _claims(text, {p for p, w in weights.items() if w >= SURE} | set(ends))
     out, k = [], 0
     for p in sorted({*weights, *numbers}):
@@ -704,7 +574,7 @@ def _examples(text: str, model: Model) -> Iterator[tuple[bool, tuple[str, ...]]]
     begins, spans, starts, ends = _layout(text, model)
     claims = _claims(text, {*begins, *ends, *(e + len(text[e:]) - len(text[e:].lstrip()) for e in ends)})
     body = text[: min(claims, default=len(text))]
-    cuts = sorted({0, len(body), *begins, *starts, *ends, *(m.start() for m in _NUMBERED_LINE.finditer(body))})
+    cuts = sorted({len(body), *begins, *starts, *ends})
     parts = []
     for a, b in zip(cuts, cuts[1:]):
         if b <= len(body) and not (b in ends and (a in starts or a in begins)) and (part := body[a:b].strip()):
