@@ -57,6 +57,25 @@ def test_relaxed_search_has_a_recall_of_nine_tenths(spark):
     assert sum(len(set(want[i]) & set(got.get(i, []))) for i in want) >= 0.9 * 5 * 600
 
 
+def test_any_number_of_ties_come_by_id(spark):
+    x = np.vstack([np.zeros((1, 64)), np.eye(64)])
+    assert found(n.nearest(points(spark, x, first=0), 64, 5))[0] == [1, 2, 3, 4, 5]
+    grid = np.array([[a, b, c] for a in range(6) for b in range(6) for c in range(6)], float)
+    for relax, shard in ((1.0, 1000), (1.0, 40)):
+        assert found(n.nearest(points(spark, grid), 3, 5, relax, shard_rows=shard, sample_rows=100)) == brute(list(range(1, 217)), grid, 5)
+    flags = np.random.default_rng(3).integers(0, 2, (200, 8)).astype(float)
+    assert found(n.nearest(points(spark, flags), 8, 5, shard_rows=60, sample_rows=150)) == brute(list(range(1, 201)), flags, 5)
+
+
+@pytest.mark.parametrize("relax", [0.7, 0.4])
+def test_recall_of_relaxed_search_on_cells(spark, relax):
+    cells = usable(spark.read.parquet("/root/testdata/sf0.01/cells.parquet"), "cell_id", "data", 32)
+    rows = sorted((r["id"], r["vec"]) for r in cells.collect())
+    want = brute([i for i, _ in rows], np.array([v for _, v in rows]), 5)
+    got = found(n.nearest(cells, 32, 5, relax=relax, shard_rows=100, sample_rows=800))
+    assert sum(len(set(want[i]) & set(got[i])) for i in want) >= 0.98 * 5 * len(want)
+
+
 def test_few_and_no_rows(spark):
     assert n.nearest(points(spark, []), 3, 5).count() == 0
     assert n.nearest(points(spark, [[1, 2, 3]]), 3, 5).count() == 0

@@ -24,6 +24,11 @@ from wellforge.session import stored
 SLACK = 1 + 1e-9  # distances come from matrix products; the ball is widened by far more than their rounding
 
 
+def rounding(*rows: np.ndarray) -> float:
+    """What a squared distance between these rows may be off by, in matrix products."""
+    return 1e-13 * max([1.0, *(float((x * x).sum(1).max()) for x in rows if len(x))])
+
+
 @dataclass
 class VpNode:
     """A vantage point with the median distance to it; a leaf has rows instead."""
@@ -88,6 +93,7 @@ def route(tree: VpNode, q: np.ndarray) -> np.ndarray:
 def reach(tree: VpNode, q: np.ndarray, ball: np.ndarray, relax: float) -> list[np.ndarray]:
     """The leaves that each row's ball can reach."""
     rows, leaves = [], []
+    off = np.sqrt(rounding(q))
 
     def go(node: VpNode, at: np.ndarray) -> None:
         if not len(at):
@@ -97,7 +103,7 @@ def reach(tree: VpNode, q: np.ndarray, ball: np.ndarray, relax: float) -> list[n
             leaves.append(np.full(len(at), node.label))
             return
         gap = np.sqrt(squared(node.point[None], q[at])[0]) - node.radius
-        b = ball[at] * relax * SLACK + 1e-12
+        b = ball[at] * relax * SLACK + off
         go(node.near, at[gap <= b])
         go(node.far, at[-gap <= b])
 
@@ -112,17 +118,18 @@ def reach(tree: VpNode, q: np.ndarray, ball: np.ndarray, relax: float) -> list[n
 class Best:
     """The `keep` nearest rows so far of each query."""
 
-    def __init__(self, n: int, keep: int, k: int, ball: np.ndarray | None):
+    def __init__(self, n: int, keep: int, k: int, ball: np.ndarray | None, off: float):
         self.d = np.full((n, keep), np.inf)
         self.i = np.full((n, keep), -1)
-        self.k, self.cap = k, (np.full(n, np.inf) if ball is None else ball**2 * SLACK + 1e-12)
+        self.k, self.off = k, off
+        self.cap = np.full(n, np.inf) if ball is None else ball**2 * SLACK + off
 
     def radius2(self, at: np.ndarray) -> np.ndarray:
         return np.minimum(self.d[at, self.k - 1], self.cap[at])
 
     def offer(self, at: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
         keep = self.d.shape[1]
-        closer = d.min(1) <= self.radius2(at) * SLACK + 1e-12
+        closer = d.min(1) <= self.radius2(at) * SLACK + self.off
         if not closer.all():
             at, d = at[closer], d[closer]
         if not len(at):
@@ -140,7 +147,8 @@ class Best:
 
 def search(tree: VpNode, data: np.ndarray, q: np.ndarray, k: int, keep: int, relax: float, ball: np.ndarray | None) -> Best:
     """The `keep` nearest rows of `data` for each row of `q`; branches beyond the k-th distance, or the ball, are pruned."""
-    best = Best(len(q), keep, k, ball)
+    best = Best(len(q), keep, k, ball, rounding(data, q))
+    off = np.sqrt(best.off)
     # |q|^2 - 2 q.x + |x|^2 as one product
     left = np.hstack([-2 * q, np.ones((len(q), 1)), (q * q).sum(1)[:, None]])
     right = np.hstack([data, (data * data).sum(1)[:, None], np.ones((len(data), 1))])
@@ -158,21 +166,70 @@ def search(tree: VpNode, data: np.ndarray, q: np.ndarray, k: int, keep: int, rel
             mine = (gap <= 0) if sign < 0 else (gap > 0)
             own, g = at[mine], sign * gap[mine]
             if ball is not None:
-                own_first = own[-g <= np.sqrt(best.radius2(own)) * relax * SLACK + 1e-12]
+                own_first = own[-g <= np.sqrt(best.radius2(own)) * relax * SLACK + off]
             else:
                 own_first = own
             go(first, own_first)
-            go(second, own[g <= np.sqrt(best.radius2(own)) * relax * SLACK + 1e-12])
+            go(second, own[g <= np.sqrt(best.radius2(own)) * relax * SLACK + off])
 
     go(tree, np.arange(len(q)))
     return best
 
 
+def within(tree: VpNode, data: np.ndarray, q: np.ndarray, radius2: float) -> np.ndarray:
+    """The rows of `data` within the squared radius of one vector, however many there are."""
+    out, stack, radius = [], [tree], float(np.sqrt(radius2)) * SLACK + np.sqrt(rounding(data))
+    while stack:
+        node = stack.pop()
+        if node.rows is not None:
+            d = ((data[node.rows] - q) ** 2).sum(1)
+            out.append(node.rows[d <= radius2])
+            continue
+        gap = float(np.sqrt(((node.point - q) ** 2).sum())) - node.radius
+        if gap <= radius:
+            stack.append(node.near)
+        if -gap <= radius:
+            stack.append(node.far)
+    return np.concatenate(out) if out else np.empty(0, int)
+
+
+def ranked(tree: VpNode, data: np.ndarray, ids: list[np.ndarray], q: np.ndarray, best: Best, take: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distances and ids of the `take` nearest rows of each query, by recomputed distance and id.
+
+    Where the rows kept end within rounding of the k-th distance, more may lie at it: those queries look again for all rows there.
+    """
+    d = np.sqrt(((q[:, None, :] - data[best.i]) ** 2).sum(2))
+    d[~np.isfinite(best.d)] = np.inf
+    edge = np.minimum(best.d[:, best.k - 1], best.cap) * SLACK + best.off
+    tied = np.isfinite(best.d[:, -1]) & (best.d[:, -1] <= edge)
+    single = all(len(x) == 1 for x in ids)
+    distances, neighbours = [], []
+    if single:
+        flat = np.array([x[0] for x in ids], dtype=np.int64)
+        names = flat[best.i]
+        order = np.lexsort((names, d), axis=1)[:, :take]
+        d_first, names_first = np.take_along_axis(d, order, 1), np.take_along_axis(names, order, 1)
+    for i in range(len(q)):
+        if single and not tied[i]:
+            few = np.isfinite(d_first[i])
+            distances.append(d_first[i][few])
+            neighbours.append(names_first[i][few])
+            continue
+        rows = within(tree, data, q[i], float(edge[i])) if tied[i] else best.i[i][np.isfinite(best.d[i])]
+        own = np.sqrt(((q[i] - data[rows]) ** 2).sum(1))
+        each = np.concatenate([ids[r] for r in rows]) if len(rows) else np.empty(0, np.int64)
+        spread = np.repeat(own, [len(ids[r]) for r in rows])
+        order = np.lexsort((each, spread))[:take]
+        distances.append(spread[order])
+        neighbours.append(each[order])
+    return distances, neighbours
+
+
 def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_rows: int = 16384, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
     """(id, neighbour, distance): for each row of `points` (id, vec) its k nearest other rows, equal distances by id.
 
     Equal vectors are searched once: a vector comes with its k+1 smallest ids, which are all that can be among anyone's k
-    nearest. Fewer than k+1 rows in all give fewer neighbours; no rows give none.
+    nearest. However many rows lie at the k-th distance, the smallest ids come out. Fewer than k+1 rows in all give fewer neighbours; no rows give none.
     `sample_rows` bounds the rows on which the routing tree is fitted; every row is indexed and searched. A shard that many
     balls reach is searched by several tasks, each with at most 65,536 visitors.
     """
@@ -185,7 +242,7 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
     fitted = matrix(sample["vec"], dim) if sample is not None else np.empty((0, dim))
     tree = build(fitted, max(1, -(-len(fitted) // want)), np.random.default_rng(seed)) if want > 1 and len(fitted) > 1 else VpNode(rows=np.empty(0, int))
     shards = _label(tree)
-    keep = k + 4  # itself, k others, and some for ties within rounding
+    keep = k + 4  # itself, k others, and some within rounding; where more are tied, `ranked` looks again
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,18 +250,10 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
                 yield b.assign(shard=route(tree, matrix(b["vec"], dim)))
 
     placed = unique.mapInPandas(homes, "vid long, vec array<double>, ids array<long>, shard long")
-    found_type = "vid long, near array<struct<d:double,ids:array<long>>>"
-
-    def ranked(best: Best, q: np.ndarray, data: np.ndarray, ids: list) -> list[list[dict]]:
-        out = []
-        for i in range(len(q)):
-            rows = best.i[i][np.isfinite(best.d[i])]
-            d = np.sqrt(((q[i] - data[rows]) ** 2).sum(1))
-            out.append([{"d": float(x), "ids": list(ids[r])} for x, r in zip(d, rows)])
-        return out
+    found_type = "vid long, near_d array<double>, near_id array<long>"
 
     def at_home(g: pd.DataFrame) -> pd.DataFrame:
-        data, ids = matrix(g["vec"], dim), g["ids"].tolist()
+        data, ids = matrix(g["vec"], dim), [np.asarray(x) for x in g["ids"]]
         own = build(data, 1024, np.random.default_rng(seed))
         best = search(own, data, data, min(k + 1, keep), keep, relax, None)
         # the ball only counts on k other vectors; with fewer in the shard it is unbounded
@@ -212,10 +261,11 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
         ball[~np.isfinite(ball)] = 1e18
         visits = reach(tree, data, ball, relax)
         home = int(g["shard"].iloc[0])
-        return pd.DataFrame({"vid": g["vid"], "vec": g["vec"], "ball": ball, "visits": [v[v != home] for v in visits], "near": ranked(best, data, data, ids)})
+        near_d, near_id = ranked(own, data, ids, data, best, k + 1)
+        return pd.DataFrame({"vid": g["vid"], "vec": g["vec"], "ball": ball, "visits": [v[v != home] for v in visits], "near_d": near_d, "near_id": near_id})
 
-    first = stored(placed.groupBy("shard").applyInPandas(at_home, "vid long, vec array<double>, ball double, visits array<long>, near array<struct<d:double,ids:array<long>>>"), "home_neighbours")
-    found = first.select("vid", "near")
+    first = stored(placed.groupBy("shard").applyInPandas(at_home, "vid long, vec array<double>, ball double, visits array<long>, near_d array<double>, near_id array<long>"), "home_neighbours")
+    found = first.select("vid", "near_d", "near_id")
     if shards > 1:
         visitors = first.select("vid", "vec", "ball", F.explode("visits").alias("shard"))
         load = {r["shard"]: r["n"] for r in visitors.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -225,19 +275,20 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
 
         def abroad(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(m) or not len(v):
-                return pd.DataFrame({"vid": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object)})
-            data, q, ids = matrix(m["vec"], dim), matrix(v["vec"], dim), m["ids"].tolist()
-            best = search(build(data, 1024, np.random.default_rng(seed)), data, q, k, keep, relax, v["ball"].to_numpy())
-            best.d[best.d > (v["ball"].to_numpy() ** 2 * SLACK + 1e-12)[:, None]] = np.inf
+                return pd.DataFrame({"vid": pd.Series([], dtype="int64"), "near_d": pd.Series([], dtype=object), "near_id": pd.Series([], dtype=object)})
+            data, q, ids = matrix(m["vec"], dim), matrix(v["vec"], dim), [np.asarray(x) for x in m["ids"]]
+            own = build(data, 1024, np.random.default_rng(seed))
+            best = search(own, data, q, k, keep, relax, v["ball"].to_numpy())
+            best.d[best.d > best.cap[:, None]] = np.inf
             some = np.isfinite(best.d[:, 0])
-            best.d, best.i = best.d[some], best.i[some]
-            return pd.DataFrame({"vid": v["vid"].to_numpy()[some], "near": ranked(best, q[some], data, ids)})
+            best.d, best.i, best.cap = best.d[some], best.i[some], best.cap[some]
+            near_d, near_id = ranked(own, data, ids, q[some], best, k + 1)
+            return pd.DataFrame({"vid": v["vid"].to_numpy()[some], "near_d": near_d, "near_id": near_id})
 
         keys = ["shard", "part"]
         found = found.unionByName(members.select(*keys, "vec", "ids").groupBy(*keys).cogroup(visitors.select(*keys, "vid", "vec", "ball").groupBy(*keys)).applyInPandas(abroad, found_type))
-    # at most `keep` entries a shard visited, flattened to (distance, id) and cut to k+1
-    flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("id")))))
-    lists = found.select("vid", F.slice(F.array_sort(flat), 1, (k + 1)).alias("near"))
+    # at most k + 1 entries a shard visited
+    lists = found.select("vid", F.arrays_zip(F.col("near_d").alias("d"), F.col("near_id").alias("id")).alias("near"))
     merged = lists.groupBy("vid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     per_vector = unique.select("vid", "vec").join(merged, "vid")
     per_row = points.join(per_vector, "vec").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
