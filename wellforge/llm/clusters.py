@@ -1,8 +1,8 @@
-"""Similarity clusters: mergeable cluster features per partition, tree-reduced, Ward-agglomerated, one assignment pass.
+"""Similarity clusters: mergeable cluster-feature trees per partition, tree-reduced, Ward-agglomerated, one assignment pass.
 
-A cluster feature (CF) of a set of vectors is (n, sum, sum of squared lengths); features add up. Each partition turns its rows
-into at most `max_leaves` leaf features, groups of partitions merge theirs until one set is left, Ward's method joins those
-leaves on the driver (`max_leaves` rows, whatever the input), and one pass assigns every vector to its nearest leaf.
+A cluster feature (CF) of a set of vectors is (n, sum, sum of squared lengths); features add up. Each partition puts its rows into
+a CF tree, groups of partitions merge the leaves of theirs into one until a single set is left, Ward's method joins those leaves on
+the driver (at most `max_leaves`, whatever the input), and one pass assigns every vector to its nearest leaf.
 """
 
 from __future__ import annotations
@@ -20,47 +20,80 @@ from wellforge.llm.vectors import distinct_vectors, matrix, squared
 from wellforge.session import cut, stored
 
 
-class LeafFeatures:
-    """The leaf level of a CF tree under a root wide enough for `max_leaves` entries.
+class Node:
+    """A node of a CF tree: the features of its entries, and the node below each of them unless it is a leaf."""
 
-    A feature is absorbed by the nearest leaf if its centre lies within `threshold` of the leaf's; else it opens a leaf. When
-    there are too many leaves, the largest three quarters stay and each of the others is added to the nearest of them.
+    def __init__(self, dim: int):
+        self.n, self.ls, self.ss = np.empty(0), np.empty((0, dim)), np.empty(0)
+        self.below: list[Node] | None = None
+
+    def extend(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
+        self.n, self.ls, self.ss = np.append(self.n, n), np.vstack([self.ls, ls]), np.append(self.ss, ss)
+
+    def nearest(self, ls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = squared(ls / n[:, None], self.ls / self.n[:, None])
+        to = d.argmin(1)
+        return to, d[np.arange(len(to)), to]
+
+
+class FeatureTree:
+    """A CF tree: features go down to the nearest entry of each node; a leaf's entry within `threshold` absorbs them, or they become
+    entries of their own, and a node with more than `branch` entries is split along its two farthest ones.
+
+    When there are more than `most` leaf entries, the largest three quarters stay and the others are absorbed by the nearest.
+    Raising the threshold instead would join everything at once where distances are all alike, as in many dimensions.
     """
 
-    def __init__(self, dim: int, max_leaves: int, threshold: float):
-        self.dim, self.most, self.threshold = dim, max_leaves, threshold
-        self.n, self.ls, self.ss = np.empty(0), np.empty((0, dim)), np.empty(0)
+    def __init__(self, dim: int, most: int, threshold: float, branch: int = 48):
+        self.dim, self.most, self.threshold, self.branch = dim, most, threshold, branch
+        self.root, self.count = Node(dim), 0
 
     def add(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
         for s in range(0, len(n), 512):
-            self._insert(n[s : s + 512], ls[s : s + 512], ss[s : s + 512])
-            if len(self.n) > self.most:
+            self._grow(n[s : s + 512], ls[s : s + 512], ss[s : s + 512], self.threshold**2)
+            if self.count > self.most:
                 self._condense()
 
-    def _condense(self) -> None:
-        # raising the threshold would join everything at once where distances are all alike, as in many dimensions
-        order = np.argsort(-self.n, kind="stable")
-        kept, rest = order[: self.most * 3 // 4], order[self.most * 3 // 4 :]
-        centre = self.ls / self.n[:, None]
-        to = squared(centre[rest], centre[kept]).argmin(1)
-        n, ls, ss = self.n[kept], self.ls[kept], self.ss[kept]
-        np.add.at(n, to, self.n[rest])
-        np.add.at(ls, to, self.ls[rest])
-        np.add.at(ss, to, self.ss[rest])
-        self.n, self.ls, self.ss = n, ls, ss
-
-    def _insert(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray) -> None:
-        centre, reach = ls / n[:, None], self.threshold**2
-        if len(self.n):
-            d = squared(centre, self.ls / self.n[:, None])
-            to = d.argmin(1)
-            fits = d[np.arange(len(to)), to] <= reach
-            np.add.at(self.n, to[fits], n[fits])
-            np.add.at(self.ls, to[fits], ls[fits])
-            np.add.at(self.ss, to[fits], ss[fits])
-            n, ls, ss, centre = n[~fits], ls[~fits], ss[~fits], centre[~fits]
+    def _grow(self, n: np.ndarray, ls: np.ndarray, ss: np.ndarray, reach: float) -> None:
+        self._insert(self.root, n, ls, ss, reach)
+        while len(self.root.n) > self.branch:
+            top = Node(self.dim)
+            top.below = self._split(self.root)
+            for part in top.below:
+                top.extend(np.array([part.n.sum()]), part.ls.sum(0)[None], np.array([part.ss.sum()]))
+            self.root = top
+
+    def _insert(self, node: Node, n: np.ndarray, ls: np.ndarray, ss: np.ndarray, reach: float) -> None:
+        if node.below is None:
+            self._into_leaf(node, n, ls, ss, reach)
+            return
+        to, _ = node.nearest(ls, n)
+        full = []
+        for k in np.unique(to):
+            own = to == k
+            self._insert(node.below[k], n[own], ls[own], ss[own], reach)
+            node.n[k] += n[own].sum()
+            node.ls[k] += ls[own].sum(0)
+            node.ss[k] += ss[own].sum()
+            if len(node.below[k].n) > self.branch:
+                full.append(k)
+        if full:
+            parts = [p for k in full for p in self._split(node.below[k])]
+            rest = [k for k in range(len(node.n)) if k not in full]
+            node.n, node.ls, node.ss, node.below = node.n[rest], node.ls[rest], node.ss[rest], [node.below[k] for k in rest] + parts
+            node.extend(np.array([p.n.sum() for p in parts]), np.array([p.ls.sum(0) for p in parts]), np.array([p.ss.sum() for p in parts]))
+
+    def _into_leaf(self, leaf: Node, n: np.ndarray, ls: np.ndarray, ss: np.ndarray, reach: float) -> None:
+        if len(leaf.n):
+            to, d = leaf.nearest(ls, n)
+            fits = d <= reach
+            np.add.at(leaf.n, to[fits], n[fits])
+            np.add.at(leaf.ls, to[fits], ls[fits])
+            np.add.at(leaf.ss, to[fits], ss[fits])
+            n, ls, ss = n[~fits], ls[~fits], ss[~fits]
         if not len(n):
             return
+        centre = ls / n[:, None]
         between, free, made = squared(centre, centre), np.ones(len(n), bool), []
         for i in range(len(n)):
             if free[i]:
@@ -68,12 +101,52 @@ class LeafFeatures:
                 take[i] = True
                 made.append((n[take].sum(), ls[take].sum(0), ss[take].sum()))
                 free &= ~take
-        self.n = np.append(self.n, [m[0] for m in made])
-        self.ls = np.vstack([self.ls, *(m[1] for m in made)])
-        self.ss = np.append(self.ss, [m[2] for m in made])
+        leaf.extend(np.array([m[0] for m in made]), np.array([m[1] for m in made]), np.array([m[2] for m in made]))
+        self.count += len(made)
+
+    def _split(self, node: Node) -> list[Node]:
+        """The node's entries in nodes of at most `branch`, each entry with the nearer of the two farthest apart."""
+        if len(node.n) <= self.branch:
+            return [node]
+        centre = node.ls / node.n[:, None]
+        one = int(squared(centre, centre.mean(0)[None])[:, 0].argmax())
+        to_one = squared(centre, centre[one][None])[:, 0]
+        far = squared(centre, centre[int(to_one.argmax())][None])[:, 0] < to_one
+        if far.all() or not far.any():  # all alike
+            far = np.arange(len(far)) % 2 == 0
+        out = []
+        for side in (far, ~far):
+            part = Node(self.dim)
+            part.extend(node.n[side], node.ls[side], node.ss[side])
+            if node.below is not None:
+                part.below = [node.below[k] for k in np.flatnonzero(side)]
+            out += self._split(part)
+        return out
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The features of all leaf entries."""
+        stack, out = [self.root], []
+        while stack:
+            node = stack.pop()
+            if node.below is None:
+                out.append(node)
+            else:
+                stack += node.below
+        return np.concatenate([x.n for x in out]), np.vstack([x.ls for x in out]), np.concatenate([x.ss for x in out])
+
+    def _condense(self) -> None:
+        n, ls, ss = self.leaves()
+        order = np.argsort(-n, kind="stable")
+        kept, rest = order[: self.most * 3 // 4], order[self.most * 3 // 4 :]
+        self.root, self.count = Node(self.dim), 0
+        for part, reach in ((kept, -1.0), (rest, np.inf)):
+            for s in range(0, len(part), 512):
+                at = part[s : s + 512]
+                self._grow(n[at], ls[at], ss[at], reach)
 
     def frame(self, part: int) -> pd.DataFrame:
-        return pd.DataFrame({"part": part, "threshold": self.threshold, "n": self.n, "ls": list(self.ls), "ss": self.ss})
+        n, ls, ss = self.leaves()
+        return pd.DataFrame({"part": part, "threshold": self.threshold, "n": n, "ls": list(ls), "ss": ss})
 
 
 _CF = "part long, threshold double, n double, ls array<double>, ss double"
@@ -83,15 +156,15 @@ def leaf_features(unique: DataFrame, dim: int, max_leaves: int, threshold: float
     """At most `max_leaves` leaf features of all vectors (vid, vec), by a tree of merges with `fan_in` inputs each."""
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves = LeafFeatures(dim, max_leaves, threshold)
+        leaves = FeatureTree(dim, max_leaves, threshold)
         for b in batches:
             x = matrix(b["vec"], dim)
             leaves.add(np.ones(len(x)), x, (x * x).sum(1))
-        if len(leaves.n):
+        if leaves.count:
             yield leaves.frame(TaskContext.get().partitionId())
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
-        leaves = LeafFeatures(dim, max_leaves, float(g["threshold"].max()))
+        leaves = FeatureTree(dim, max_leaves, float(g["threshold"].max()))
         g = g.sort_values(["n", "ss"], ascending=False)
         leaves.add(g["n"].to_numpy(), matrix(g["ls"], dim), g["ss"].to_numpy())
         return leaves.frame(int(g["part"].iloc[0]) // fan_in)
@@ -105,8 +178,9 @@ def leaf_features(unique: DataFrame, dim: int, max_leaves: int, threshold: float
         level = cut(level)
 
 
-def ward(n: np.ndarray, centres: np.ndarray, height: float | None = None, count: int | None = None) -> np.ndarray:
-    """Cluster of every leaf: Ward's agglomeration by nearest-neighbour chains, cut below `height` or at `count` clusters.
+def ward(n: np.ndarray, centres: np.ndarray, height: float | None = None, count: int | None = None, most_rows: float | None = None) -> np.ndarray:
+    """Cluster of every leaf: Ward's agglomeration by nearest-neighbour chains, cut below `height` or at `count` clusters, or by
+    leaving out every merge that would give a cluster of more than `most_rows` rows.
 
     The height of a merge is sqrt(2 n m / (n + m)) times the distance of the centres.
     """
@@ -139,10 +213,14 @@ def ward(n: np.ndarray, centres: np.ndarray, height: float | None = None, count:
         return x
 
     merges.sort(key=lambda t: t[0])
+    rows = n.astype(float).copy()
     for k, (h, a, b) in enumerate(merges):
         if (height is not None and h > height) or (count is not None and m - k <= count):
             break
-        root[find(a)] = find(b)
+        a, b = find(a), find(b)
+        if most_rows is None or rows[a] + rows[b] <= most_rows:
+            root[a] = b
+            rows[b] += rows[a]
     ids: dict[int, int] = {}
     return np.array([ids.setdefault(find(i), len(ids)) for i in range(m)])
 
@@ -155,18 +233,23 @@ class Summary:
     cluster: np.ndarray
 
 
-def summarise(unique: DataFrame, dim: int, max_leaves: int = 1024, threshold: float = 0.35, clusters: int = 50) -> Summary:
+def summarise(unique: DataFrame, dim: int, max_leaves: int, threshold: float, clusters: int | None = None, most_rows: float | None = None) -> Summary:
     leaves = leaf_features(unique, dim, max_leaves, threshold)
     if not len(leaves):
         return Summary(np.zeros((1, dim)), np.zeros(1, int))
     n, centres = leaves["n"].to_numpy(), matrix(leaves["ls"], dim) / leaves["n"].to_numpy()[:, None]
-    return Summary(centres, ward(n, centres, count=clusters))
+    return Summary(centres, ward(n, centres, count=clusters, most_rows=most_rows))
+
+
+def leaves_for(rows: int, most: int = 8192, rows_each: int = 64) -> int:
+    """Leaves grow with the rows, up to the `most` that Ward's method joins on the driver (8192 x 32 numbers are 2 MB)."""
+    return max(64, min(most, rows // rows_each))
 
 
 def assigned(unique: DataFrame, summary: Summary, radius: float) -> DataFrame:
     """The assignment pass: (vid, vec, leaf, cluster, visits).
 
-    `visits` are the leaves of a higher number that a vector within `radius` of this one can be nearest to. If y is nearest to
+    `visits` are the clusters of a higher number with a leaf that a vector within `radius` of this one can be nearest to. If y is nearest to
     leaf L and x to leaf H, the plane half-way between H and L parts them; x can only be within `radius` of y if it lies within
     `radius` of that plane, which is (d(x,L)^2 - d(x,H)^2) / (2 d(H,L)) <= radius. The bound loses no pair.
     """
@@ -182,8 +265,8 @@ def assigned(unique: DataFrame, summary: Summary, radius: float) -> DataFrame:
             d = squared(x, centres)
             home = d.argmin(1)
             near = d - d[np.arange(len(x)), home][:, None] <= 2 * radius * gaps[home] * (1 + 1e-9) + 1e-9
-            near &= np.arange(len(centres))[None, :] > home[:, None]
-            yield pd.DataFrame({"vid": b["vid"], "vec": b["vec"], "leaf": home, "cluster": cluster[home], "visits": [np.flatnonzero(r) for r in near]})
+            near &= cluster[None, :] > cluster[home][:, None]
+            yield pd.DataFrame({"vid": b["vid"], "vec": b["vec"], "leaf": home, "cluster": cluster[home], "visits": [np.unique(cluster[r]) for r in near]})
 
     return unique.select("vid", "vec").mapInPandas(place, "vid long, vec array<double>, leaf long, cluster long, visits array<long>")
 
@@ -223,12 +306,12 @@ def _block_links(radius: float, dim: int):
 def links(placed: DataFrame, radius: float, dim: int, block_rows: int = 2048) -> DataFrame:
     """(a, b), a > b: enough links between vectors at most `radius` apart to connect every chain of them.
 
-    Every leaf is a block of its own vectors and of visitors. A block of more than `block_rows` rows is cut into pieces by id, and
+    Every cluster of leaves is a block of its own vectors and of visitors. A block of more than `block_rows` rows is cut into pieces by id, and
     each pair of pieces is a task of its own. A task returns one link per vector, to the smallest it is connected with there, not
     all pairs.
     """
     spark = placed.sparkSession
-    home = placed.select("vid", "vec", F.col("leaf").alias("block"), F.lit(True).alias("home"))
+    home = placed.select("vid", "vec", F.col("cluster").alias("block"), F.lit(True).alias("home"))
     guests = placed.select("vid", "vec", F.explode("visits").alias("block"), F.lit(False).alias("home"))
     rows = home.unionByName(guests)
     load = rows.groupBy("block").agg(F.count("*").alias("n")).collect()
@@ -263,26 +346,30 @@ def components(edges: DataFrame) -> DataFrame:
         seen = after
 
 
-def chained_groups(points: DataFrame, dim: int, radius: float = 0.7, max_leaves: int = 1024) -> DataFrame:
+def chained_groups(points: DataFrame, dim: int, radius: float = 0.7, max_leaves: int | None = None, block_rows: int = 2048) -> DataFrame:
     """(first_id, id): the rows of `points` (id, vec) that chains of steps of at most `radius` join, by their smallest id.
 
     Rows alone have no row, nor has the smallest of a group. Equal vectors belong together and are linked once, whatever their
-    number. The CF leaves serve as blocks, and an exact check of distances within and between neighbouring blocks follows.
+    number. Ward's method joins the CF leaves to clusters of about half of `block_rows` rows, in which each vector is compared with
+    the others and with the few of neighbouring clusters that can be near: an exact check whose cost grows with the rows, as the
+    clusters keep their size (beyond 64 `max_leaves` rows, with the rows in a leaf).
     """
     unique = stored(distinct_vectors(points), "unique_vectors")
-    placed = stored(assigned(unique, summarise(unique, dim, max_leaves, radius / 2), radius), "placed_vectors")
-    root = components(links(placed, radius, dim))
+    leaves = max_leaves or leaves_for(unique.count())
+    placed = stored(assigned(unique, summarise(unique, dim, leaves, radius / 2, most_rows=block_rows / 2), radius), "placed_vectors")
+    root = components(links(placed, radius, dim, block_rows))
     firsts = unique.join(root, unique["vid"] == root["node"], "left").select("vec", F.coalesce("root", "vid").alias("first_id"))
     return points.join(firsts, "vec").filter("id != first_id").select("first_id", "id")
 
 
-def clusters(points: DataFrame, dim: int, count: int = 50, typical: int = 3, max_leaves: int = 1024, threshold: float = 0.35) -> DataFrame:
+def clusters(points: DataFrame, dim: int, count: int = 50, typical: int = 3, max_leaves: int | None = None, threshold: float = 0.35) -> DataFrame:
     """One row per cluster: cluster, size (rows of `points`), centre, typical (the ids nearest to the centre, ties by id).
 
     Ward's method gives `count` clusters, or fewer if there are fewer leaves. Empty input gives no rows.
     """
     unique = stored(distinct_vectors(points, typical), "unique_vectors")
-    placed = assigned(unique, summarise(unique, dim, max_leaves, threshold, count), 0.0).select("vec", "cluster")
+    leaves = max_leaves or leaves_for(unique.count())
+    placed = assigned(unique, summarise(unique, dim, leaves, threshold, count), 0.0).select("vec", "cluster")
     rows = stored(points.join(placed, "vec").select("id", "vec", "cluster"), "clustered")
     size = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.array(*(F.avg(F.col("vec")[i]) for i in range(dim))).alias("centre"))
     d = F.sqrt(F.aggregate(F.zip_with("vec", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b))
