@@ -432,22 +432,30 @@ def _numbers(tokens: list[str], start: int, end: int) -> Counter[str]:
 
 
 def _aligner(ordinary, min_words: int, min_letters: int, exchanged: float, slot_share: float):
+    def marked_item(canon: str) -> tuple:
+        """Tokens and words of an item, whether letters count, how many must run, which words or windows are names, and the names."""
+        tokens, common = canon.split(" "), ordinary.value
+        own = words(tokens)
+        letters = is_letterwise(own)
+        marked = [not letters and _is_name(w, common) for w in own]
+        for p, x in letter_windows(own) if letters else ():
+            marked[p] = "=" + x not in common
+        return tokens, own, letters, min_letters if letters else min_words, marked, frozenset(w for w, m in zip(own, marked) if m)
+
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = ordinary.value
+        texts: dict[int, tuple] = {}
         for b in batches:
-            out = []
+            out, last = [], (None, None)
+            doc_tokens, theirs = [], []
             for doc, item, canon, item_canon, at in zip(b["doc_id"], b["item"], b["canon"], b["item_canon"], b["at"]):
-                doc_tokens, item_tokens = canon.split(" "), item_canon.split(" ")
-                mine, theirs = words(item_tokens), words(doc_tokens)
-                letters = is_letterwise(mine)
-                least = min_letters if letters else min_words
-                if letters:
-                    marked = [False] * len(mine)
-                    for p, x in letter_windows(mine):
-                        marked[p] = "=" + x not in common
-                else:
-                    marked = [_is_name(w, common) for w in mine]
-                names = frozenset(w for w, m in zip(mine, marked) if m)
+                if item not in texts:
+                    if len(texts) > 10_000:
+                        texts.clear()
+                    texts[item] = marked_item(item_canon)
+                item_tokens, mine, letters, least, marked, names = texts[item]
+                if doc != last[0] or canon != last[1]:
+                    doc_tokens = canon.split(" ")
+                    last, theirs = (doc, canon), words(doc_tokens)
                 best: dict[str, tuple] = {}
                 covered: dict[int, int] = {}
                 for bare, pos, p in sorted((x["bare"], x["pos"], x["p"]) for x in at):

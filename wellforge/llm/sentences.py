@@ -18,9 +18,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -60,6 +62,7 @@ _LABELLED = re.compile(r"(?:^|\n)[^\S\n]*\d+\s?$")
 _ACRONYM = re.compile(r"[A-ZА-Я]\.[A-ZА-Я]$")
 
 MOST_FORM = 200  # a longer line is no heading
+MOST_KEPT = 200_000  # words whose kinds a worker remembers
 
 
 def script(text: str) -> str | None:
@@ -86,6 +89,27 @@ class Model:
     moves: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
 
     memo: dict[tuple[str, ...], float] = field(default_factory=dict, init=False, repr=False, compare=False)
+    lasts: dict[tuple[str, str], tuple[str, str]] = field(default_factory=dict, init=False, repr=False, compare=False)
+    nexts: dict[tuple[str, str], str] = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def last_word(self, lang: str, word: str) -> tuple[str, str]:
+        """How often the word before a stop is an abbreviation, and how often it has a stop at all."""
+        key = (lang, word)
+        if key not in self.lasts:
+            if len(self.lasts) > MOST_KEPT:
+                self.lasts.clear()
+            either = (self.abbreviation.get(key, self.abbreviation.get(("", word))), self.stopped.get(key, self.stopped.get(("", word))))
+            self.lasts[key] = _bucket(either[0], (-3.0, -1.5, -0.5, 0.5, 2.0)), _bucket(either[1], (0.1, 0.3, 0.7, 0.95))
+        return self.lasts[key]
+
+    def next_word(self, lang: str, word: str) -> str:
+        """How often the word after a stop begins paragraphs."""
+        key = (lang, word)
+        if key not in self.nexts:
+            if len(self.nexts) > MOST_KEPT:
+                self.nexts.clear()
+            self.nexts[key] = _bucket(self.starter.get(key, self.starter.get(("", word))), (-1.5, 0.0, 1.5))
+        return self.nexts[key]
 
     def weight(self, look: tuple[str, ...]) -> float:
         """The log odds of a boundary at a place of this look."""
@@ -195,7 +219,9 @@ def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5, fit
     sc = documents.sparkSession.sparkContext
     label = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
     texts = documents.filter("text IS NOT NULL AND text != ''").select("text", label.alias("lang"))
-    sample = stored(texts.orderBy(F.xxhash64("text"), "text").limit(fit_documents), "sentence_sample").repartition(16, "text")
+    share = min(1.0, 1.2 * fit_documents / max(texts.count(), 1))
+    few = texts.filter(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)) < F.lit(int(share * (1 << 31))))
+    sample = stored(few.orderBy(F.xxhash64("text"), "text").limit(fit_documents).repartition(16, "text"), "sentence_sample")
     languages = fit_languages(sample.toPandas())
     known = sc.broadcast(Model({}, {}, {}, frozenset(), frozenset(), languages, {}))
 
@@ -438,74 +464,87 @@ def _gaps(text: str) -> Iterator[tuple[int, tuple[str, ...]]]:
 
 
 def _bucket(v: float | None, ends: tuple[float, ...]) -> str:
-    return "-" if v is None else str(sum(v > x for x in ends))
+    return "-" if v is None else "012345"[bisect_left(ends, v)]
+
+
+@cache
+def _mark_kind(mark: str) -> str:
+    if any(c in WIDE for c in mark):
+        return "w"
+    if any(c in "।॥" for c in mark):
+        return "d"
+    return "|" if "|" in mark else "e" if mark[:2] == ".." or mark[0] == "…" else "!" if mark[0] in "!?" else "."
+
+
+@cache
+def _after_kind(c: str) -> str:
+    """The kind of the character after a place; '(' for brackets, which need a closer look."""
+    if not c:
+        return "$"
+    if c.isupper():
+        return "U"
+    if c.islower():
+        return "l"
+    if c.isdigit():
+        return "d"
+    if _CJK.match(c):
+        return "c"
+    if c.isalpha() or _char_class(c) == "letter":
+        return "o"
+    return "," if c in ",;:%)]" else "q" if c in "“„«" else "i" if c in "¿¡" else "(" if c in "([（" else "-"
+
+
+@cache
+def _is_cjk(c: str) -> bool:
+    return _CJK.match(c) is not None
 
 
 def _look(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> tuple[str, ...]:
     """The kinds of everything around a place: language, stop, closing mark, gap, what follows, the last word, how often it is an
     abbreviation and has a stop, how often the next word begins paragraphs, the next word's form, and whether words are astray."""
     mark = m.group().strip()
-    stop = mark[0]
-    rest = text[p : p + 48]
-    gap = len(rest) - len(rest.lstrip())
-    after = rest[gap : gap + 1]
-    kind = "w" if any(c in WIDE for c in mark) else "d" if any(c in "।॥" for c in mark) else "|" if "|" in mark else "e" if mark[:2] == ".." or stop == "…" else "!" if stop in "!?" else "."
+    stop, kind = mark[0], _mark_kind(mark)
+    gap, size_of = p, len(text)
+    while gap < size_of and text[gap].isspace():
+        gap += 1
+    after = text[gap : gap + 1]
+    gap -= p
     closed = ""
-    if mark[-1] in CLOSE:
+    if len(mark) > 1 and mark[-1] in CLOSE:
         closed = "x"
         if group is not None:
             before = text[: group[0]][-40:]
             head = before.rstrip()[-1:]
             opens = not head or head in STOPS or head in CLOSE or head == ":" and "\n" in before[len(before.rstrip()) :] or bool(_NUMBERED.search(before))
             closed = ("q" if text[group[0]] in QUOTES else "b") + str(int(opens))
-    if not after:
-        kind_after = "$"
-    elif after.isupper():
-        kind_after = "U"
-    elif after.islower():
-        kind_after = "l"
-    elif after.isdigit():
-        kind_after = "d"
-    elif _CJK.match(after):
-        kind_after = "c"
-    elif after.isalpha() or _char_class(after) == "letter":
-        kind_after = "o"
-    elif after in ",;:%)]":
-        kind_after = ","
-    elif _NUMBERED.match(rest[gap:]):
-        kind_after = "#"
-    elif after in "“„«":
-        kind_after = "q"
-    elif after in "¿¡":
-        kind_after = "i"
-    elif after in "([（":  # a bracket that ends with a stop holds sentences
-        close = text.find(PAIRS[after], p + gap)
-        kind_after = "S" if close > 0 and text[close - 1] in STOPS else "("
-    else:
-        kind_after = "-"
+    kind_after = _after_kind(after)
+    if kind_after == "(":
+        if _NUMBERED.match(text[p + gap : p + gap + 12]):
+            kind_after = "#"
+        else:  # a bracket that ends with a stop holds sentences
+            close = text.find(PAIRS[after], p + gap)
+            kind_after = "S" if close > 0 and text[close - 1] in STOPS else "("
     before = text[max(0, m.start() - 24) : m.start()]
     if stop in "!?":
         before = before.rstrip()
     end = before[-1:]
     last = _last_word(before)
     small = last.lower()
-    if last and _CJK.match(end):
+    if last and _is_cjk(end):
         size = "c"
     elif last:
         size = ("I" if last.isupper() and len(last) == 1 else "W" if last.isupper() else "") + str(min(len(last), 5))
-        if _ACRONYM.search(before):
+        if len(last) == 1 and _ACRONYM.search(before):
             size = "A"
     elif end.isdigit():
         digits = _NUMBER.search(before).group().strip()
         size = "N" if not digits.isdigit() or len(digits) > 2 else "#" if _LABELLED.search(before) else "n"
     else:
         size = " " if not end or end.isspace() else ")" if end in CLOSE or end in ")]%" else "-"
-    short = kind == "." and 0 < len(last) <= 6 and size != "c"
-    abbr = _bucket(model.abbreviation.get((lang, small), model.abbreviation.get(("", small))) if short else None, (-3.0, -1.5, -0.5, 0.5, 2.0))
-    stopped = _bucket(model.stopped.get((lang, small), model.stopped.get(("", small))) if short else None, (0.1, 0.3, 0.7, 0.95))
-    word = _WORD_AFTER.match(rest, gap)
+    abbr, stopped = model.last_word(lang, small) if kind == "." and 0 < len(last) <= 6 and size != "c" else ("-", "-")
+    word = _WORD_AFTER.match(text, p + gap)
     nxt = word.group() if word else ""
-    start = _bucket(model.starter.get((lang, nxt), model.starter.get(("", nxt))) if nxt else None, (-1.5, 0.0, 1.5))
+    start = model.next_word(lang, nxt) if nxt else "-"
     shape = "" if not nxt or kind_after in "co" else "1" if len(nxt) == 1 else "X" if nxt.isupper() else "Xx" if nxt[0].isupper() else "x"
     return lang, kind, closed, "s" if gap else "0", kind_after, size, abbr, stopped, start, shape, str(int(p > m.end()))
 
@@ -539,11 +578,13 @@ def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
     lang, weights = model.language(text), {}
     begins, spans, starts, ends = _layout(text, model)
 
+    end = len(text)
+
     def put(p: int, w: float) -> None:
-        while p < len(text) and text[p].isspace():
+        while p < end and text[p].isspace():
             p += 1
-        if p < len(text):
-            weights[p] = max(weights.get(p, UNLIKELY), w)
+        if p < end and w > weights.get(p, UNLIKELY):
+            weights[p] = w
 
     for p in (*begins, *starts, *ends):
         put(p, SURE)
