@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wellforge.functions import arrays as a
 from wellforge.functions import images as im
 from wellforge.functions import text as tx
-from wellforge.operators import layouts as lay
 from wellforge.operators import objects as ob
 from wellforge.operators import projections as pr
 from wellforge.operators import sampling as sa
@@ -240,18 +239,6 @@ def test_landmark_scaling_keeps_distances(spark):
     assert np.allclose(np.linalg.norm(x[:50, None] - x[None, :50], axis=2), np.linalg.norm(y[:50, None] - y[None, :50], axis=2), atol=1e-6)
 
 
-def test_layouts_keep_groups_together(spark):
-    _, df = cloud(spark)
-    group = np.arange(400) % 4
-    y = np.array([r["position"] for r in lay.fit_neighbours(df, "vec", 15, landmarks=200, rounds=150).place(df, "id", "vec").orderBy("id").collect()])
-    d = np.linalg.norm(y[:, None] - y[None], axis=2)
-    np.fill_diagonal(d, np.inf)
-    assert (group[d.argmin(1)] == group).mean() > 0.95
-    h = np.array([r["position"] for r in lay.fit_hyperbolic(df, "vec", landmarks=100, rounds=150).place(df, "id", "vec").orderBy("id").collect()])
-    d = lay.hyperbolic(h, h)
-    assert d[group[:, None] == group].mean() < 0.6 * d[group[:, None] != group].mean()
-
-
 def test_gradients_against_differences():
     rng = np.random.default_rng(7)
     x, y = rng.normal(size=(12, 4)), rng.normal(size=(12, 2))

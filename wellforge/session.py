@@ -45,16 +45,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without; it gets a temporary one.
+
+    On a cluster a folder of one machine would lose rows without a word, so a session without the option raises ValueError.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="wellforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+_scratch: list[tuple[str, str]] = []  # application and path of every table written to the shared folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every table that this application's operators have written to the shared folder; how many there were.
+
+    Results are lazy and read these tables, so call it when they have been read or written.
+    """
+    app, context = spark.sparkContext.applicationId, spark.sparkContext
+    mine = [path for owner, path in _scratch if owner == app]
+    for path in mine:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    _scratch[:] = [x for x in _scratch if x[0] != app]
+    return len(mine)
 
 
 def cut(df: DataFrame) -> DataFrame:
