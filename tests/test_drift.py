@@ -128,3 +128,28 @@ def test_rename_between_columns_of_one_file_is_reported(spark):
     df = frame(spark, [(1, "s", 0, ["red"], "1"), (2, "s", 1, ["blue"], "2"), (3, "s", 2, ["blue", "red"], "3\t4")])
     q = d.quantity_map(spark.createDataFrame([(2, "renamed", "red", "blue")], d.CHANGES), df)
     assert sorted((r["name"], r["quantity"], r["apart"]) for r in q.collect()) == [("blue", "blue", True), ("red", "red", True)]
+
+
+def test_names_that_differ_by_a_word_are_not_the_same_for_nothing(spark):
+    model = d.NameModel({}, {}, {})
+    for a, b in (("area_old", "area_new"), ("depth_raw", "depth_um"), ("intensity_au", "intensity")):
+        assert model.rename_cost(d.Node(a), d.Node(b)) > 0
+    assert model.rename_cost(d.Node("MeanArea"), d.Node("mean_area")) == 0
+
+
+def test_columns_of_one_quantity_side_by_side_are_both_kept(spark):
+    rows = [(1, "s", 0, ["area", "k"], "10\t1\n12\t2"), (2, "s", 1, ["area_old", "area_new", "k"], "11\t7.5\t1"), (3, "s", 2, ["area_new", "k"], "8.5\t2")]
+    df = frame(spark, rows)
+    table = d.widest_types(d.unified_table(df, d.quantity_map(d.schema_changes(df), df)))
+    assert sorted(sum(v is not None for v in r[3:]) for r in table.collect()) == [2, 2, 2, 3]
+    assert dict(table.dtypes)["k"] == "bigint"
+
+
+def test_profiles_of_a_batch_against_one_by_one():
+    import pyarrow as pa
+
+    columns = pa.array([["a", "b"], None, [], ["c", None], ["e"]])
+    content = pa.array(["1\tx1\n#2.50 mm\tNA\n3", "1\t2", "", "1e3\tword\textra\n-4,25\tword2", None])
+    kinds, profiles = d.value_profiles(columns, content)
+    assert kinds == ["text", "text", "text", "text", None]
+    assert profiles.tolist() == [[3, 3, 6.5, 16.25, 1, 0, 0], [1, 0, 0, 0, 0, 2, 1], [2, 2, 995.75, 1000018.0625, 2, 0, 0], [2, 0, 0, 0, 0, 9, 1], [0] * 7]

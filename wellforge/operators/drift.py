@@ -7,7 +7,10 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,69 +149,60 @@ def edit_script(old: Node, new: Node, rename_cost) -> tuple[float, list[tuple[st
 
 # ---------------------------------------------------------------- names and values of columns
 
-#: Marks that a name may carry without meaning another quantity.
-NAME_PREFIXES = ("f", "x", "feat", "feature")
-NAME_SUFFIXES = ("raw", "px", "au", "um", "new", "old")
-
-
 def name_tokens(name: str) -> tuple[str, ...]:
-    """Lower-case words of a column name; case changes, digits and signs divide, prefixes and suffixes without meaning go."""
+    """Lower-case words of a column name; case changes, digits and signs divide, and numbers have no leading zeros."""
     words = re.findall(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+[a-z]{2}(?![a-z])|[0-9]+", name)
-    words = [w.lower() for w in words]
-    while len(words) > 1 and words[0] in NAME_PREFIXES:
-        words = words[1:]
-    while len(words) > 1 and (words[-1] in NAME_SUFFIXES or len(words) > 2 and words[-2] == "v" and words[-1].isdigit()):
-        words = words[:-2] if words[-1].isdigit() else words[:-1]
-    return tuple(w.lstrip("0") or "0" if w.isdigit() else w for w in words)
+    return tuple(w.lstrip("0") or "0" if w.isdigit() else w.lower() for w in words)
 
 
 def name_key(name: str) -> str:
     return "".join(name_tokens(name))
 
 
-_CORE = re.compile(r"^[#~<>=]?\s*([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)\s*(?:%|[A-Za-zµ°/]+)?$")
-_NUMBER = re.compile(NUMBER)
-
+#: Fixed patterns: a number with a mark before it or a unit behind it, and the digits after its point.
+CORE = r"^[#~<>=]?\s*(?P<x>[+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*(?:%|[A-Za-zµ°/]+)?$"
+FRACTION = r"[.,](?P<f>[0-9]+)$"
+PROFILE = 7
 
-def value_kind(values: Iterable[str]) -> str | None:
-    """'integer', 'decimal' or 'text' of the values that are not missing; None if all are missing."""
-    kind = None
-    for v in values:
-        if v in MISSING:
-            continue
-        if not _NUMBER.match(v):
-            return "text"
-        if any(c in v for c in ".eE"):
-            kind = "decimal"
-        elif kind is None:
-            kind = "integer"
-    return kind
 
+def value_profiles(columns: pa.ListArray, content: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """The kind and the profile of each column of each file, file after file.
 
-PROFILE = 7
+    Kind: 'integer', 'decimal' or 'text' of the values that are not missing; None if all are missing. Profile, over the same
+    values: count; of numbers, with or without a unit, their count, sum, sum of squares and digits after the point; of other texts
+    the sum of lengths and how many hold a digit. All values of the batch are looked at together.
+    """
+    width = pc.fill_null(pc.list_value_length(columns), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(width)])
+    text = pc.replace_with_mask(content, pc.equal(content, ""), pa.scalar(None, content.type))
+    lines = pc.split_pattern(text, "\n")
+    file_of = np.repeat(np.arange(len(content)), pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False))
+    cells = pc.split_pattern(lines.flatten(), "\t")
+    many = pc.list_value_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    file_of, place = np.repeat(file_of, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    values = cells.flatten()
+    counts = (place < width[file_of]) & ~pc.is_in(values, pa.array(MISSING, values.type)).to_numpy(zero_copy_only=False)
+    values, at = values.filter(pa.array(counts)), (first[file_of] + place)[counts]
+    flag = lambda x: pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+    number, point = flag(pc.match_substring_regex(values, NUMBER)), flag(pc.match_substring_regex(values, "[.eE]"))
+    core = pc.struct_field(pc.extract_regex(values, CORE), "x")
+    x = pc.cast(pc.replace_substring(core, ",", "."), pa.float64()).to_numpy(zero_copy_only=False)
+    some = flag(pc.is_valid(core))
+    counted = some & np.isfinite(x) & (np.abs(np.where(some, x, 0.0)) < 1e150)
+    x = np.where(counted, x, 0.0)
+    digits = pc.fill_null(pc.utf8_length(pc.utf8_rtrim(pc.struct_field(pc.extract_regex(core, FRACTION), "f"), "0")), 0).to_numpy(zero_copy_only=False)
+    length, mixed = pc.utf8_length(values).to_numpy(zero_copy_only=False), flag(pc.match_substring_regex(values, "[0-9]"))
+    total = lambda w: np.bincount(at, w, minlength=first[-1])
+    sums = [np.ones(len(x)), counted, x, x * x, np.where(counted, digits, 0), np.where(some, 0, length), mixed & ~some]
+    profiles = np.stack([total(w.astype(float)) for w in sums], 1) if first[-1] else np.zeros((0, PROFILE))
+    texts, decimals, seen = total(~number * 1.0), total((number & point) * 1.0), profiles[:, 0]
+    kinds = [None if not n else "text" if t else "decimal" if d else "integer" for n, t, d in zip(seen, texts, decimals)]
+    return kinds, profiles
 
 
-def _profile(values: Iterable[str]) -> tuple[float, ...]:
-    """Over the values that are not missing: count; of numbers, with or without a unit, their count, sum, sum of squares and
-    digits after the point; of other texts the sum of lengths and how many hold a digit."""
-    n = numbers = total = squares = digits = length = mixed = 0.0
-    for v in values:
-        if v in MISSING:
-            continue
-        n += 1
-        if m := _CORE.match(v):
-            x = float(m.group(1).replace(",", "."))
-            if math.isfinite(x) and abs(x) < 1e150:
-                numbers += 1
-                total += x
-                squares += x * x
-                if "e" not in v.lower():
-                    body = re.split(r"[.,]", m.group(1))
-                    digits += len(body[1].rstrip("0")) if len(body) > 1 else 0
-        else:
-            length += len(v)
-            mixed += any(c.isdigit() for c in v)
-    return n, numbers, total, squares, digits, length, mixed
+def value_kind(values: Iterable[str]) -> str | None:
+    """The kind of one column's values."""
+    return value_profiles(pa.array([["c"]]), pa.array(["\n".join(values)], pa.string()))[0][0]
 
 
 FILE_SCHEMA = T.StructType(
@@ -230,19 +224,19 @@ def file_schemas(files: DataFrame) -> DataFrame:
     """
     needed = files.select("file_id", series_name(F.col("name"), F.col("Path")).alias("series"), F.col("written_at").cast("timestamp_ntz").alias("written_at"), "columns", "content")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, kinds, profiles = [], [], []
-            for cols, content in zip(b["columns"], b["content"]):
-                cols = [] if cols is None else [c or "" for c in cols]
-                lines = [x.split("\t") for x in content.split("\n")] if content else []
-                values = [[x[i] if i < len(x) else "" for x in lines] for i in range(len(cols))]
-                names.append(cols)
-                kinds.append([value_kind(v) for v in values])
-                profiles.append([list(_profile(v)) for v in values])
-            yield pd.DataFrame({"file_id": b["file_id"], "series": b["series"], "written_at": b["written_at"], "names": names, "kinds": kinds, "profiles": profiles})
+            columns = b.column("columns")
+            kinds, profiles = value_profiles(columns, b.column("content"))
+            width = pc.fill_null(pc.list_value_length(columns), 0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
+            each = pa.array(np.arange(0, PROFILE * (len(profiles) + 1), PROFILE), pa.int32())
+            names = pa.ListArray.from_arrays(ends, pc.fill_null(columns.flatten(), ""))
+            profiles = pa.ListArray.from_arrays(ends, pa.ListArray.from_arrays(each, pa.array(profiles.ravel())))
+            kept = [b.column(c) for c in ("file_id", "series", "written_at")]
+            yield pa.RecordBatch.from_arrays([*kept, names, pa.ListArray.from_arrays(ends, pa.array(kinds, pa.string())), profiles], FILE_SCHEMA.names)
 
-    return needed.mapInPandas(parse, FILE_SCHEMA)
+    return needed.mapInArrow(parse, FILE_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -307,8 +301,9 @@ def schema_changes(files: DataFrame) -> DataFrame:
 
     Files follow one another by written_at, file_id within their series. The schemas of neighbours are compared by tree edit
     distance; the cost of a rename comes from the words of both names, from the values under both names over the whole
-    collection, and from how often the one replaces the other. 'retyped' compares a column's kind of values with the last file
-    in which it had values, since it was last added, under whatever name; its old_field is the name in the file before.
+    collection, and from how often the one replaces the other. The fields of the older tree have the kind of the last file in
+    which the column had values, since it was last added, under whatever name, so that the script's retype is the change of type;
+    its old_field is the name in the file before.
 
     Scale: only one narrow row per file is shuffled, range-partitioned by (series, time), so that a series with a third of all
     files is spread over many tasks. Each task scans its sorted range once; what it must know of the ranges before it, the last
@@ -386,6 +381,10 @@ def _name_model(parts: DataFrame, before: dict[int, tuple]) -> NameModel:
     return NameModel(profiles, together, added)
 
 
+#: The operations of a script in the words of the report.
+CHANGE = {"add": "added", "delete": "removed", "rename": "renamed", "retype": "retyped"}
+
+
 def _scanner(before: dict[int, tuple], model: NameModel):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, out = TaskContext.get().partitionId(), []
@@ -402,26 +401,22 @@ def _scanner(before: dict[int, tuple], model: NameModel):
                     series_now = series
                     known = {c: ("kind", k) for c, k in zip(names, kinds)}
                     continue
-                gone, come = _pairs(names_old, names)
-                source = {c: c for c in names if c not in come}
-                if gone or come:
-                    tree = [Node("", "", tuple(Node(c) for c in side)) for side in (gone, come)]
-                    for op, a, c in edit_script(*tree, model.rename_cost)[1]:
+                last, own = {c: known.get(c, ("kind", None)) for c in names_old}, dict(zip(names, kinds))
+                source = {c: c for c in own if c in last}
+                if own.keys() != last.keys() or any(last[c][1] != k or last[c][0] == "open" for c, k in own.items() if k):
+                    # a kind from before this range is not known yet: such a column is compared later
+                    trees = [Node("", "", tuple(Node(c, k or "") for c, k in side)) for side in (((c, v if how == "kind" else "") for c, (how, v) in last.items()), own.items())]
+                    for op, a, c in edit_script(*trees, model.rename_cost)[1]:
                         if op == "rename":
                             source[c] = a
-                        out.append((fid, {"add": "added", "delete": "removed", "rename": "renamed"}[op], a, c, pid, None, None))
+                        out.append((fid, CHANGE[op], a, c, pid, None, None))
                 now = {}
-                for c, k in zip(names, kinds):
+                for c, k in own.items():
                     was = source.get(c)
-                    how, value = known.get(was, ("kind", None)) if was is not None else ("kind", None)
-                    if k is None:
-                        now[c] = (how, value)
-                        continue
-                    if how == "open":
+                    how, value = last[was] if was is not None else ("kind", None)
+                    if k is not None and how == "open":
                         out.append((fid, "~open", was, c, pid, value, k))
-                    elif value is not None and value != k:
-                        out.append((fid, "retyped", was, c, pid, None, None))
-                    now[c] = ("kind", k)
+                    now[c] = (how, value) if k is None else ("kind", k)
                 known = now
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=[f.name for f in _SCAN.fields])
@@ -508,11 +503,26 @@ def quantity_map(changes: DataFrame, files: DataFrame) -> DataFrame:
     return stored(rows.groupBy("series").applyInPandas(of_series, "series string, name string, quantity string, apart boolean"), "quantities")
 
 
+def widest_types(table: DataFrame, keys: Iterable[str] = ("file_id", "series", "label")) -> DataFrame:
+    """The table with every text column in the widest type of its values: bigint, double or string. One aggregation of the rows.
+
+    A column whose values are all whole numbers is bigint, one of numbers double, any other stays text; so does one without values.
+    """
+    columns = [c for c in table.columns if c not in set(keys)]
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in columns}
+    if not columns:
+        return table
+    tests = {"n": lambda x: x.isNotNull(), "w": lambda x: x.rlike(r"^[+-]?[0-9]{1,18}$"), "d": lambda x: x.rlike(NUMBER)}
+    found = table.agg(*(F.count_if(t(quoted[c])).alias(f"{k}{i}") for i, c in enumerate(columns) for k, t in tests.items())).first()
+    cast = {c: "bigint" if found[f"w{i}"] == found[f"n{i}"] else "double" for i, c in enumerate(columns) if found[f"n{i}"] and found[f"d{i}"] == found[f"n{i}"]}
+    return table.select(*(quoted[c].try_cast(cast[c]).alias(c) if c in cast else F.col("`" + c.replace("`", "``") + "`") for c in table.columns))
+
+
 def unified_table(files: DataFrame, quantities: DataFrame) -> DataFrame:
     """All records of all files under one schema: file_id, series, label, and one text column per quantity (null: missing).
 
     The records of a series are projected by the names of that series, row by row in the JVM. A name that a file holds twice
-    counts once, with its last value.
+    counts once, with its last value. `widest_types` gives the columns their types.
     """
     from wellforge.sources.feature_files import feature_records
 

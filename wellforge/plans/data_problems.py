@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellforge.operators.compaction import compact, file_sizes, redundant_files
-from wellforge.operators.drift import quantity_map, schema_changes, unified_table
-from wellforge.session import cut, scratch_path, table
+from wellforge.operators.drift import quantity_map, schema_changes, unified_table, widest_types
+from wellforge.session import cut, scratch_path, stored, table
 from wellforge.sources.feature_files import feature_records
 
 
@@ -29,13 +29,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "feature_files"))
 
 
-def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records of all feature files in one consistent table."""
+def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "feature_files")
-    return unified_table(files, quantity_map(cut(schema_changes(files)), files))
+    return stored(unified_table(files, quantity_map(cut(schema_changes(files)), files)), "unified")
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of all feature files in one consistent table, each column in its widest type."""
+    return widest_types(_unified(spark, sf_dir))
+
+
+def p4_table_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and values of each file in the consistent table, and the sum of its whole numbers: nothing is lost or doubled."""
+    one = _unified(spark, sf_dir)
+    cells = F.array(*(F.col(f"`{c}`") for c in one.columns[3:]))
+    whole = F.filter(cells, lambda x: x.rlike("^[0-9]{1,9}$"))
+    per = one.select("file_id", F.size(F.filter(cells, lambda x: x.isNotNull())).alias("v"), F.aggregate(whole, F.lit(0).cast("long"), lambda s, x: s + x.cast("long")).alias("s"))
+    return per.groupBy("file_id").agg(F.count("*").alias("records"), F.sum("v").alias("values"), F.sum("s").alias("whole_sum"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_compacted_files": p1_compacted_files, "p4_found": p4_found, "p4_table": p4_table}
+QUERIES = {"p1_found": p1_found, "p1_compacted_files": p1_compacted_files, "p4_found": p4_found, "p4_table": p4_table, "p4_table_values": p4_table_values}
 
 ORACLES = {
     "p1_found": r"""
@@ -57,6 +70,12 @@ planes AS (
   FROM file_information)
 SELECT 'feature' AS kind, file_id FROM firsts GROUP BY file_id HAVING bool_and(first_id < file_id)
 UNION ALL SELECT 'image' AS kind, file_id FROM planes WHERE first_id < file_id""",
+    "p4_table_values": r"""
+WITH files AS (SELECT file_id, columns, string_split(content, chr(10)) AS lines FROM feature_files WHERE content <> ''),
+records AS (SELECT file_id, columns, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM files),
+cells AS (SELECT file_id, pos, unnest(string_split(line, chr(9))) AS v, generate_subscripts(string_split(line, chr(9)), 1) AS k, len(columns) AS n FROM records),
+kept AS (SELECT file_id, pos, CASE WHEN v NOT IN ('', 'NA', 'NaN', 'null') AND k <= n THEN v END AS v FROM cells)
+SELECT file_id, count(DISTINCT pos) AS records, count(v) AS "values", coalesce(sum(CASE WHEN regexp_matches(v, '^[0-9]{1,9}$') THEN CAST(v AS BIGINT) ELSE 0 END), 0)::BIGINT AS whole_sum FROM kept GROUP BY 1""",
     "p1_compacted_files": r"""
 SELECT 'feature' AS kind, 1::BIGINT AS files, sum(len(string_split(content, chr(10))))::BIGINT AS "rows" FROM feature_files WHERE content <> ''
 UNION ALL SELECT 'image', 1::BIGINT, count(*) FROM file_information""",
