@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,20 @@ def wrapped(x: Column, low: float, high: float) -> Column:
     """`x` moved by whole periods into [low, high)."""
     span = high - low
     return x - F.floor((x - low) / span) * span
+
+
+def folded(point: Column) -> Column:
+    """Spherical coordinates [r, angle 1 .. n-1] with every angle but the last in [0, pi] and the last in [0, 2 pi).
+
+    An angle beyond pi is reflected, 2 pi less it, and the next one is turned by pi to stay at the same place.
+    """
+    turn = 2 * math.pi
+    start = F.struct(F.array(F.get(point, F.lit(0))).alias("out"), F.lit(0.0).alias("by"))
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.size(s["out"]) == F.size(point) - 1
+        a = wrapped(x + s["by"], 0.0, turn)
+        over = (a > math.pi) & ~last
+        return F.struct(F.concat(s["out"], F.array(F.when(over, turn - a).otherwise(a))).alias("out"), F.when(over, F.lit(math.pi)).otherwise(F.lit(0.0)).alias("by"))
+
+    return F.aggregate(F.slice(point, 2, F.greatest(F.size(point) - 1, F.lit(0))), start, step)["out"]

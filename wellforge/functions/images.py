@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wellforge.functions.arrays import total
-
 PERCENTS = (10, 20, 30, 40, 50, 60, 70, 80, 90)
 
 
@@ -19,66 +18,29 @@ def clipped(px: Column, threshold: float) -> Column:
     return F.transform(px, lambda x: F.least(x, F.lit(threshold)))
 
 
-def foreground_mean(px: Column) -> Column:
-    """Mean of the positive pixels; null if there are none."""
-    inside = F.filter(px, lambda x: x > 0)
-    return F.try_divide(total(inside), F.size(inside).cast("double"))
-
-
-def mode_mask(px: Column, mean: Column, mode: int, percent: int) -> Column:
-    """1 where a pixel passes the mode's threshold against the mean, else 0.
+def masks_of(images: np.ndarray, mean: np.ndarray, mode: int, percent: int) -> np.ndarray:
+    """Which pixels pass the mode's threshold against the mean of their image; `mean` is NaN for images without foreground.
 
     Mode 0: within +-percent of the mean; 1: at least mean less percent; 2: at least mean plus percent; 3: at least the mean.
     """
-    p = percent / 100
-
-    def bit(x: Column) -> Column:
-        if mode == 0:
-            hit = (x >= mean * (1 - p)) & (x < mean * (1 + p))
-        elif mode == 1:
-            hit = x >= mean * (1 - p)
-        elif mode == 2:
-            hit = x >= mean * (1 + p)
-        else:
-            hit = x >= mean
-        return F.when(hit, 1).otherwise(0)
-
-    return F.transform(px, bit)
-
+    m, p = mean.reshape(-1, *[1] * (images.ndim - 1)), percent / 100
+    if mode == 0:
+        return (images >= m * (1 - p)) & (images < m * (1 + p))
+    return images >= m * {1: 1 - p, 2: 1 + p, 3: 1}[mode]
 
-def bordered(bits: Column, width: int) -> Column:
-    """The flat image with a border of one pixel of 0."""
-    rows = F.transform(F.sequence(F.lit(0), (F.size(bits) / F.lit(width)).cast("int") - 1), lambda r: F.concat(F.array(F.lit(0)), F.slice(bits, r * width + 1, width), F.array(F.lit(0))))
-    edge = F.array_repeat(F.lit(0), width + 2)
-    return F.concat(edge, F.flatten(rows), edge)
 
+def adjacency_shares(masks: np.ndarray, deep: bool) -> np.ndarray:
+    """For each mask of a stack (image, plane, row, column) the share of its white pixels with 0, 1 .. white neighbours.
 
-def bordered_volume(bits: Column, width: int, height: int) -> Column:
-    """The flat stack of planes with a border of one voxel of 0 on all sides."""
-    plane = width * height
-    inner = F.transform(F.sequence(F.lit(0), (F.size(bits) / F.lit(plane)).cast("int") - 1), lambda z: bordered(F.slice(bits, z * plane + 1, plane), width))
-    empty = F.array_repeat(F.lit(0), (width + 2) * (height + 2))
-    return F.concat(empty, F.flatten(inner), empty)
-
-
-def neighbour_counts(padded: Column, width: int, height: int | None = None) -> Column:
-    """For each white pixel (1) of a bordered image the number of white pixels among its eight neighbours.
-
-    With a height, `padded` is a bordered stack and 26 neighbours count. `padded` must be a stored column: an expression would
-    be computed anew for every pixel.
+    Eight neighbours in the plane, or with `deep` the 26 of three planes; pixels outside count as black. Zeros without white ones.
     """
-    w = width + 2
-    planes = (-1, 0, 1) if height else (0,)
-    around = [dz * w * ((height or 0) + 2) + dr * w + dc for dz in planes for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dz or dr or dc]
-    white = F.filter(F.sequence(F.lit(w), F.size(padded) - w - 1), lambda i: F.get(padded, i) == 1)
-    return F.transform(white, lambda i: sum((F.get(padded, i + k) for k in around), F.lit(0)))
-
-
-def adjacency_fractions(counts: Column, classes: int = 9) -> Column:
-    """Share of the white pixels with 0, 1 .. white neighbours; zeros without white pixels."""
-    n = F.size(counts)
-    share = lambda k: F.when(n > 0, F.size(F.filter(counts, lambda x: x == k)) / n).otherwise(0.0)
-    return F.array(*(share(k) for k in range(classes)))
+    n, d, h, w = masks.shape
+    padded = np.pad(masks.astype(np.int8), ((0, 0), (int(deep), int(deep)), (1, 1), (1, 1)))
+    around = sum(padded[:, z : z + d, r : r + h, c : c + w] for z in range(3 if deep else 1) for r in range(3) for c in range(3)) - masks
+    classes = 27 if deep else 9
+    image = np.broadcast_to(np.arange(n).reshape(-1, 1, 1, 1), masks.shape)
+    counts = np.bincount(image[masks] * classes + around[masks], minlength=n * classes).reshape(n, classes)
+    return counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
 
 def feature_name(channel: str, mode: int, percent: int, neighbours: int) -> str:

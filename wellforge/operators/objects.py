@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellforge.functions.images import PERCENTS, adjacency_fractions, bordered, bordered_volume, foreground_mean, mode_mask, neighbour_counts
+from wellforge.functions.images import PERCENTS, adjacency_shares, feature_name, masks_of
 
 
 def pixels(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
@@ -16,9 +18,29 @@ def pixels(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
     return flat.select("id", F.floor(F.col("k") / width).cast("int").alias("r"), (F.col("k") % width).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
 
 
-def projection(planes: DataFrame, by: Sequence[str], px: str, size: int) -> DataFrame:
-    """The largest value of every pixel over the planes of a stack: one aggregation, no pixel table."""
-    return planes.groupBy(*by).agg(F.array(*(F.max(F.col(px)[k]) for k in range(size))).alias(px))
+def projected_pixels(planes: DataFrame, by: Sequence[str], px: str) -> DataFrame:
+    """(by.., k, v): the largest value of every pixel over the planes of a stack, whatever their size and number.
+
+    Pixels are folded in the tasks before the shuffle, so a stack of any depth is spread over all of them.
+    """
+    return planes.select(*by, F.posexplode(px).alias("k", "v")).groupBy(*by, "k").agg(F.max("v").alias("v"))
+
+
+def projection(planes: DataFrame, by: Sequence[str], px: str) -> DataFrame:
+    """(by.., px): the projection of every stack as one flat image."""
+    rows = projected_pixels(planes, by, px).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_p"))
+    return rows.select(*by, F.transform("_p", lambda x: x["v"]).alias(px))
+
+
+def _stacks(batch: pd.DataFrame, plane: int, most_pixels: int = 1 << 22) -> Iterator[tuple[list, np.ndarray]]:
+    """The images of a batch with equal numbers of pixels, together: (their ids, array of image and pixel); nulls as empty ones."""
+    size = batch["px"].map(lambda x: 0 if x is None else len(x) // plane * plane)
+    for n, own in batch.groupby(size):
+        step = max(1, most_pixels // max(n, 1))
+        for at in range(0, len(own), step):
+            part = own.iloc[at : at + step]
+            flat = [np.asarray(x[:n], dtype=float) if n else np.empty(0) for x in part["px"]]
+            yield part["id"].tolist(), np.stack(flat)
 
 
 def percent_at_maximum(px: Column) -> Column:
@@ -47,12 +69,20 @@ def crops(labelled: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def object_features(labelled: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by.., pixel_count, average_intensity, m00, m10, m01, m20, m02, m11): size, mean and raw moments of each object."""
+    """(by.., pixel_count, average_intensity, m00, m10, m01, m20, m02, m11, eccentricity): size, mean and raw moments of each object."""
     r, c = F.col("r").cast("double"), F.col("c").cast("double")
     return labelled.groupBy(*by).agg(
         F.count("*").alias("pixel_count"), F.avg("v").alias("average_intensity"), F.count("*").cast("double").alias("m00"), F.sum(c).alias("m10"), F.sum(r).alias("m01"),
         F.sum(c * c).alias("m20"), F.sum(r * r).alias("m02"), F.sum(c * r).alias("m11"),
-    )
+    ).withColumn("eccentricity", eccentricity(*map(F.col, ("m00", "m20", "m02", "m11"))))
+
+
+def eccentricity(m00: Column, m20: Column, m02: Column, m11: Column) -> Column:
+    """The eccentricity of a mask from its raw moments; null where it is not defined, as for objects along an axis or in one line."""
+    both, apart = m20 + m02, m20 - m02
+    root = F.sqrt(apart * apart + 4 * m11 * m11)
+    shape = F.sqrt(F.when(both > 0, 1 - apart * apart / (both * both)))
+    return F.when(both - root > 0, shape * F.try_divide(m00, m11) * F.sqrt((both + root) / (both - root)))
 
 
 def roundness(bits: Column, width: int) -> Column:
@@ -68,40 +98,56 @@ def roundness(bits: Column, width: int) -> Column:
 def adjacency_features(images: DataFrame, id_col: str, px: str, width: int, modes: Sequence[int] = (0, 1, 2, 3), percents: Sequence[int] = PERCENTS, height: int | None = None) -> DataFrame:
     """(id, mode, percent, tas): threshold adjacency statistics, nine shares for each mode and percent (mode 3 has percent 0).
 
-    With a height the images are stacks of planes of that height, and there are 27 shares.
-    An image is expanded into its masks and each is reduced to nine numbers in the same row: no pixel table, no shuffle.
+    With a height the images are stacks of planes of that height, and there are 27 shares. Null and empty images have zeros.
+    All images of an Arrow batch with one size are done together, mask after mask, and leave the task as their shares: no pixel
+    table, no shuffle, and of a large image no more than one mask at a time.
     """
-    base = images.select(F.col(id_col).alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px")).withColumn("mean", foreground_mean(F.col("px")))
     wanted = [(m, p) for m in modes if m < 3 for p in percents] + ([(3, 0)] if 3 in modes else [])
-    pad = (lambda b: bordered_volume(b, width, height)) if height else (lambda b: bordered(b, width))
-    masks = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(p).alias("percent"), pad(mode_mask(F.col("px"), F.col("mean"), m, p)).alias("bits")) for m, p in wanted))
-    one = base.select("id", F.explode(masks).alias("x")).select("id", "x.*")
-    counted = one.withColumn("counts", neighbour_counts(F.col("bits"), width, height))
-    return counted.select("id", "mode", "percent", adjacency_fractions(F.col("counts"), 27 if height else 9).alias("tas"))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, flat in _stacks(b, width * (height or 1)):
+                x = flat.reshape(len(ids), -1, height, width) if height else flat.reshape(len(ids), 1, -1, width)
+                inside = x > 0
+                mean = np.where(inside, x, 0).sum((1, 2, 3)) / np.where((n := inside.sum((1, 2, 3))) > 0, n, np.nan)
+                for mode, percent in wanted:
+                    yield pd.DataFrame({"id": ids, "mode": mode, "percent": percent, "tas": list(adjacency_shares(masks_of(x, mean, mode, percent), height is not None))})
+
+    one = images.select(F.col(id_col).cast("long").alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px"))
+    return one.mapInPandas(measure, "id long, mode int, percent int, tas array<double>")
+
+
+def texture_features(images: DataFrame, id_col: str, px: str, width: int, channel: str) -> DataFrame:
+    """One row per image with all named texture features of a channel: 252 of them, nine for each of 28 masks."""
+    wanted = [(m, p) for m in range(3) for p in PERCENTS] + [(3, 0)]
+    rows = adjacency_features(images, id_col, px, width)
+    wide = rows.groupBy("id").agg(*(F.max(F.when((F.col("mode") == m) & (F.col("percent") == p), F.col("tas"))).alias(f"_{m}_{p}") for m, p in wanted))
+    return wide.select("id", *(F.col(f"_{m}_{p}")[k].alias(feature_name(channel, m, p, k)) for m, p in wanted for k in range(9)))
 
 
 def power_rings(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
     """(id, k, power): mean squared Fourier amplitude in each ring of whole wave numbers, times the ring's area.
 
-    The transform is written out as sums over pixels against a table of waves, width^4 cosines: for small square images. Each
-    image is transformed in its own row.
+    Images are cropped to a square from the top left. Images of one size are transformed together in their Arrow batch.
     """
-    import math
-
-    n, half = width, width // 2
-    waves = []
-    for u in range(-half, n - half):
-        for w in range(-half, n - half):
-            ring = math.floor(math.hypot(u, w) + 0.5)
-            if 1 <= ring <= half:
-                angle = [2 * math.pi * ((u * r + w * c) % n) / n for r in range(n) for c in range(n)]
-                waves.append((ring, [math.cos(a) for a in angle], [math.sin(a) for a in angle]))
-    table = images.sparkSession.createDataFrame(waves, "k int, re array<double>, im array<double>")
-    base = images.select(F.col(id_col).alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px"))
-    flat = F.aggregate(F.zip_with("px", "re", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.aggregate(F.zip_with("px", "im", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    power = base.crossJoin(F.broadcast(table)).select("id", "k", (flat[0] ** 2 + flat[1] ** 2).alias("p"))
-    area = F.pi() * ((F.col("k") + 0.5) ** 2 - (F.col("k") - 0.5) ** 2)
-    return power.groupBy("id", "k").agg(F.avg("p").alias("p")).select("id", "k", (F.col("p") * area).alias("power"))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, flat in _stacks(b, width):
+                x = flat.reshape(len(ids), -1, width)
+                n = min(x.shape[1:])
+                if n < 2:
+                    continue
+                power = np.abs(np.fft.fft2(x[:, :n, :n])) ** 2
+                wave = np.fft.fftfreq(n) * n
+                ring = np.floor(np.hypot(wave[:, None], wave[None, :]) + 0.5).astype(int).ravel()
+                k = np.arange(1, n // 2 + 1)
+                mean = np.stack([np.bincount(ring, p.ravel())[k] for p in power]) / np.bincount(ring)[k]
+                area = np.pi * ((k + 0.5) ** 2 - (k - 0.5) ** 2)
+                yield pd.DataFrame({"id": np.repeat(ids, len(k)), "k": np.tile(k, len(ids)), "power": (mean * area).ravel()})
+
+    one = images.select(F.col(id_col).cast("long").alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px"))
+    return one.mapInPandas(measure, "id long, k int, power double")
 
 
 def power_slope(rings: DataFrame) -> DataFrame:
@@ -136,16 +182,21 @@ def resized(images: DataFrame, id_col: str, px: str, width: int, rows: int, colu
     return images.select(F.col(id_col).alias("id"), F.col(px).alias("_x")).select("id", F.transform(grid, lambda k: grow(F.col("_x"), k)).alias("px"))
 
 
-def resized_volume(volumes: DataFrame, id_col: str, px: str, shape: tuple[int, int, int], to: tuple[int, int, int]) -> DataFrame:
-    """(id, px): stacks of `shape` (depth, rows, columns) at the size `to`, corners kept, linear in between. No shuffle."""
-    (d, h, w), (nd, nh, nw) = shape, to
+def resized_volume(volumes: DataFrame, id_col: str, px: str, shape: tuple[int | None, int, int], to: tuple[int, int, int]) -> DataFrame:
+    """(id, px): stacks of `shape` (depth, rows, columns) at the size `to`, corners kept, linear in between. No shuffle.
+
+    A depth of None takes each stack's own number of planes.
+    """
+    (depth, h, w), (nd, nh, nw) = shape, to
 
-    def along(k: Column, n: int, size: int) -> tuple[Column, Column]:
+    def along(k: Column, n: int, size: Column | int) -> tuple[Column, Column]:
+        size = size if isinstance(size, Column) else F.lit(size)
         at = k * ((size - 1) / max(n - 1, 1))
-        low = F.least(F.floor(at), F.lit(max(size - 2, 0)))
+        low = F.least(F.floor(at), F.greatest(size - 2, F.lit(0)))
         return low, at - low
 
     def grow(x: Column, k: Column) -> Column:
+        d = F.floor(F.size(x) / (h * w)).cast("int") if depth is None else depth
         (z, a), (r, b), (c, e) = along(F.floor(k / (nh * nw)), nd, d), along(F.floor(k / nw) % nh, nh, h), along(k % nw, nw, w)
         corner = lambda i, j, l: F.coalesce(F.get(x, (((z + i) * h + r + j) * w + c + l).cast("int")), F.lit(0.0))
         side = lambda t, i: t if i else 1 - t
@@ -161,9 +212,6 @@ def segment(images: DataFrame, id_col: str, px: str, width: int, threshold: floa
     A classical substitute for a trained segmenter. All images of a batch are labelled together: each pass takes the smallest
     label among neighbours, until none changes.
     """
-    import numpy as np
-    import pandas as pd
-
     def label(batches):
         for b in batches:
             if not len(b):

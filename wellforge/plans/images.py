@@ -33,8 +33,7 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def max_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stack of all images of a label, projected to its largest pixels."""
-    p = ops.projection(images(spark, sf_dir), ["label"], "px", WIDTH * WIDTH)
-    return p.select("label", F.posexplode("px").alias("k", "v")).select("label", "k", r6("v").alias("v"))
+    return ops.projected_pixels(images(spark, sf_dir), ["label"], "px").select("label", "k", r6("v").alias("v"))
 
 
 def gray_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +74,9 @@ def _tas(modes: tuple[int, ...], percents: tuple[int, ...]):
 
 
 def tas_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The named texture features of mode 3 as one wide row per image."""
-    t = ops.adjacency_features(images(spark, sf_dir), "vec_id", "px", WIDTH, (3,))
-    return t.select(F.col("id").alias("vec_id"), *(r6(F.col("tas")[k]).alias(feature_name("Ch1", 3, 0, k)) for k in range(9)))
+    """The named texture features of all modes as one wide row per image."""
+    t = ops.texture_features(images(spark, sf_dir), "vec_id", "px", WIDTH, "Ch1")
+    return t.select(F.col("id").alias("vec_id"), *(r6(c).alias(c) for c in t.columns[1:]))
 
 
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +89,7 @@ def object_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def object_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ops.object_features(_objects(spark, sf_dir), ["id", "object"])
-    return f.withColumn("average_intensity", r6("average_intensity"))
+    return f.withColumn("average_intensity", r6("average_intensity")).withColumn("eccentricity", r6("eccentricity"))
 
 
 def sized_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +116,9 @@ def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight images with running ids as the planes of a stack; incomplete stacks are left out."""
+    """Up to eight images with running ids as the planes of a stack."""
     planes = images(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("stack"), (F.col("vec_id") % 8).alias("z"), "px")
-    whole = planes.groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("z", "px"))).alias("p")).filter(F.size("p") == 8)
+    whole = planes.groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("z", "px"))).alias("p"))
     return whole.select("stack", F.flatten(F.transform("p", lambda x: x["px"])).alias("px"))
 
 
@@ -130,7 +129,7 @@ def tas_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resized_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ops.resized_volume(volumes(spark, sf_dir), "stack", "px", (8, 8, 8), (4, 5, 6))
+    p = ops.resized_volume(volumes(spark, sf_dir), "stack", "px", (None, 8, 8), (4, 5, 6))
     return p.select(F.col("id").alias("stack"), F.posexplode("px").alias("k", "v")).select("stack", "k", r6("v").alias("v"))
 
 
@@ -154,7 +153,7 @@ _OBJ = f"{_PX}, o AS (SELECT * FROM g WHERE v > 0)"
 
 
 _VOX = """v AS (SELECT vec_id // 8 AS stack, vec_id % 8 AS z, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k, count(*) OVER (PARTITION BY vec_id // 8) AS whole FROM embeddings),
-x AS (SELECT stack, z, k // 8 AS r, k % 8 AS c, v FROM v WHERE whole = 8)"""
+x AS (SELECT stack, z, k // 8 AS r, k % 8 AS c, v, whole AS n FROM v)"""
 
 
 def _tas_sql(mode: int) -> str:
@@ -184,9 +183,10 @@ a AS (SELECT w.stack, w.mode, w.percent, w.z, w.r, w.c, count(y.stack) AS n FROM
   AND NOT (y.z = w.z AND y.r = w.r AND y.c = w.c) GROUP BY ALL),
 h AS (SELECT stack, mode, percent, n, count(*) AS k, sum(count(*)) OVER (PARTITION BY stack, mode) AS t FROM a GROUP BY 1, 2, 3, 4)
 SELECT s.stack, q.mode, q.percent, z.n::INT AS n, round(coalesce(h.k / h.t, 0), 6) AS share FROM (SELECT DISTINCT stack FROM x) s, q, range(27) z(n) LEFT JOIN h ON h.stack = s.stack AND h.mode = q.mode AND h.n = z.n""",
-    "resized_volume": f"""WITH {_VOX}, t AS (SELECT ((i * 5 + j) * 6 + l)::INT AS k, i * 7 / 3.0::DOUBLE AS tz, j * 7 / 4.0::DOUBLE AS ty, l * 7 / 5.0::DOUBLE AS tx FROM range(4) a(i), range(5) b(j), range(6) d(l)),
-w AS (SELECT *, least(floor(tz), 6)::INT AS z0, least(floor(ty), 6)::INT AS y0, least(floor(tx), 6)::INT AS x0 FROM t)
-SELECT x.stack, w.k, round(sum(v * (1 - abs(z - tz)) * (1 - abs(r - ty)) * (1 - abs(c - tx))), 6) AS v FROM w JOIN x ON x.z BETWEEN z0 AND z0 + 1 AND x.r BETWEEN y0 AND y0 + 1 AND x.c BETWEEN x0 AND x0 + 1 GROUP BY 1, 2""",
+    "resized_volume": f"""WITH {_VOX}, t AS (SELECT ((i * 5 + j) * 6 + l)::INT AS k, i, j * 7 / 4.0::DOUBLE AS ty, l * 7 / 5.0::DOUBLE AS tx FROM range(4) a(i), range(5) b(j), range(6) d(l)),
+s AS (SELECT DISTINCT stack, n FROM x),
+w AS (SELECT s.stack, t.*, i * (n - 1) / 3.0::DOUBLE AS tz, greatest(least(floor(i * (n - 1) / 3.0::DOUBLE), n - 2), 0)::INT AS z0, least(floor(ty), 6)::INT AS y0, least(floor(tx), 6)::INT AS x0 FROM t, s)
+SELECT x.stack, w.k, round(sum(v * (1 - abs(z - tz)) * (1 - abs(r - ty)) * (1 - abs(c - tx))), 6) AS v FROM w JOIN x ON x.stack = w.stack AND x.z BETWEEN z0 AND z0 + 1 AND x.r BETWEEN y0 AND y0 + 1 AND x.c BETWEEN x0 AND x0 + 1 GROUP BY 1, 2""",
     "segmented": """WITH RECURSIVE p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1)::INT AS k FROM embeddings), o AS (SELECT vec_id, k, k // 8 AS r, k % 8 AS c FROM p WHERE v > 0.05),
 w AS (SELECT vec_id, k, k AS root FROM o UNION SELECT b.vec_id, b.k, w.root FROM w JOIN o a ON a.vec_id = w.vec_id AND a.k = w.k JOIN o b ON b.vec_id = a.vec_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE w.root < b.k),
 m AS (SELECT vec_id, k, min(root) + 1 AS object FROM w GROUP BY 1, 2)
@@ -199,11 +199,13 @@ SELECT id AS vec_id, round(100.0 * count(*) FILTER (WHERE v = x) / count(*), 6)
     "image_shapes": "SELECT label, min(len(embedding))::INT AS least, min(len(embedding)) = max(len(embedding)) AS equal FROM embeddings GROUP BY 1",
     "power_spectrum": f"WITH {_RINGS} SELECT id AS vec_id, k, round(power, 6) AS power FROM s",
     "power_slope": f"WITH {_RINGS} SELECT id AS vec_id, round(regr_slope(log10(power), log10(k)), 6) AS slope FROM s GROUP BY 1",
-    "tas_features": f"WITH x AS (WITH {_tas_sql(3)}) SELECT vec_id, " + ", ".join(f'max(share) FILTER (WHERE n = {k}) AS "Ch1_TXT_TAS_{28 + k}"' for k in range(9)) + " FROM x GROUP BY 1",
+    "tas_features": "WITH x AS (" + " UNION ALL ".join(f"(WITH {_tas_sql(m)})" for m in range(4)) + ") SELECT vec_id, " + ", ".join(
+        f'max(share) FILTER (WHERE mode = {m} AND percent = {p} AND n = {k}) AS "{feature_name("Ch1", m, p, k)}"' for m in range(4) for p in (PERCENTS if m < 3 else (0,)) for k in range(9)) + " FROM x GROUP BY 1",
     "bounding_boxes": f"WITH {_OBJ} SELECT id, object, min(r) - 1 AS r0, max(r) + 2 AS r1, min(c) - 1 AS c0, max(c) + 2 AS c1 FROM o GROUP BY 1, 2",
     "object_crops": f"WITH {_OBJ} SELECT id, object, r - min(r) OVER w + 1 AS y, c - min(c) OVER w + 1 AS x, round(v, 6) AS v FROM o WINDOW w AS (PARTITION BY id, object)",
-    "object_measures": f"""WITH {_OBJ} SELECT id, object, count(*) AS pixel_count, round(avg(v), 6) AS average_intensity, count(*)::DOUBLE AS m00, sum(c)::DOUBLE AS m10, sum(r)::DOUBLE AS m01,
-sum(c * c)::DOUBLE AS m20, sum(r * r)::DOUBLE AS m02, sum(c * r)::DOUBLE AS m11 FROM o GROUP BY 1, 2""",
+    "object_measures": f"""WITH {_OBJ}, f AS (SELECT id, object, count(*) AS pixel_count, round(avg(v), 6) AS average_intensity, count(*)::DOUBLE AS m00, sum(c)::DOUBLE AS m10, sum(r)::DOUBLE AS m01,
+sum(c * c)::DOUBLE AS m20, sum(r * r)::DOUBLE AS m02, sum(c * r)::DOUBLE AS m11 FROM o GROUP BY 1, 2), q AS (SELECT *, m20 + m02 AS b, m20 - m02 AS a, sqrt((m20 - m02) ** 2 + 4 * m11 ** 2) AS root FROM f)
+SELECT * EXCLUDE (a, b, root), CASE WHEN b - root > 0 AND m11 <> 0 THEN round(sqrt(1 - a * a / (b * b)) * m00 / m11 * sqrt((b + root) / (b - root)), 6) END AS eccentricity FROM q""",
     "sized_objects": f"WITH {_OBJ} SELECT id, object, count(*) > 4 AND count(*) < 12 AS inside FROM o GROUP BY 1, 2",
     "mask_roundness": f"""WITH {_PX}, e AS (SELECT a.id, count(*) AS e FROM g a JOIN g b ON b.id = a.id AND ((b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1)) WHERE (a.v > 0) <> (b.v > 0) GROUP BY 1),
 s AS (SELECT id, count(*) FILTER (WHERE v > 0) AS s FROM g GROUP BY 1) SELECT id AS vec_id, round(4 * pi() * s / (e::DOUBLE * e), 6) AS roundness FROM s JOIN e USING (id)""",

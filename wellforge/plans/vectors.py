@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellforge.functions.arrays import METRICS, doubles, hyperbolic_distance, polar, wrapped
+from wellforge.functions.arrays import METRICS, doubles, folded, hyperbolic_distance, polar, wrapped
 from wellforge.operators import projections as proj
 from wellforge.operators import scores as ops
 from wellforge.session import cut, table
@@ -119,12 +119,21 @@ def hyperbolic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polar_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = vectors(spark, sf_dir).select("vec_id", polar(F.slice("vec", 1, 3)).alias("p"))
-    return p.select("vec_id", *(r6(F.col("p")[i]).alias(f"p{i}") for i in range(3)))
+    """Radius (k = 0) and angles of every vector."""
+    p = vectors(spark, sf_dir).select("vec_id", F.posexplode(polar(F.col("vec"))).alias("k", "v"))
+    return p.select("vec_id", "k", r6("v").alias("v"))
 
 
 def wrapped_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", r6(wrapped(F.col("vec")[0] * 40, -3.0, 3.0)).alias("angle"))
+    """Every element as an angle, moved by whole periods into [-3, 3)."""
+    w = vectors(spark, sf_dir).select("vec_id", F.posexplode(F.transform("vec", lambda x: wrapped(x * 40, -3.0, 3.0))).alias("k", "angle"))
+    return w.select("vec_id", "k", r6("angle").alias("angle"))
+
+
+def folded_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a point in spherical coordinates, its angles folded."""
+    w = vectors(spark, sf_dir).select("vec_id", F.posexplode(folded(F.transform("vec", lambda x: x * 40))).alias("k", "angle"))
+    return w.select("vec_id", "k", r6("angle").alias("angle"))
 
 
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         axis_model_score, axis_model_predict, axis_projection, centroid_vector_distance, roc_curve, roc_auc, event_auc, confusion, miel_1d, miel_2d, trustworthiness,
-        hyperbolic_distances, polar_coordinates, wrapped_angles, pca_scores, pca_loadings, ica_scores, mds_positions, mds_stress, logistic_l1,
+        hyperbolic_distances, polar_coordinates, wrapped_angles, folded_angles, pca_scores, pca_loadings, ica_scores, mds_positions, mds_stress, logistic_l1,
     )
 } | {f"pdist_{m}": _pdist(m) for m in METRICS}
 
@@ -234,7 +243,13 @@ r AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rd, row_numb
 SELECT round(1 - 2.0 / (count(DISTINCT i) * 5 * (2.0 * any_value(n) - 16)) * sum(greatest(rd - 5, 0)), 6) AS trustworthiness FROM r, n WHERE rf <= 5""",
     "hyperbolic_distances": """WITH v AS (SELECT vec_id, abs(embedding[1]::DOUBLE) * 10 AS r, embedding[2]::DOUBLE * 6 AS a FROM embeddings)
 SELECT v.vec_id, round(acosh(greatest(cosh(v.r) * cosh(w.r) - sinh(v.r) * sinh(w.r) * cos(v.a - w.a), 1)), 6) AS d FROM v JOIN v w ON w.vec_id = v.vec_id + 1""",
-    "polar_coordinates": """WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)
-SELECT vec_id, round(sqrt(x * x + y * y + z * z), 6) AS p0, round(acos(x / sqrt(x * x + y * y + z * z)), 6) AS p1, round(atan2(z, y), 6) AS p2 FROM v""",
-    "wrapped_angles": "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE * 40 AS x FROM embeddings) SELECT vec_id, round(x - floor((x + 3) / 6) * 6, 6) AS angle FROM v",
+    "polar_coordinates": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
+t AS (SELECT vec_id, k, v, lag(v) OVER (PARTITION BY vec_id ORDER BY k) AS u, sqrt(sum(v * v) OVER (PARTITION BY vec_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS r FROM e)
+SELECT vec_id, 0 AS k, round(r, 6) AS v FROM t WHERE k = 1 UNION ALL SELECT vec_id, k::INT, round(CASE WHEN r > 0 THEN acos(v / r) ELSE 0 END, 6) FROM t WHERE k < 63
+UNION ALL SELECT vec_id, 63, round(atan2(v, u), 6) FROM t WHERE k = 64""",
+    "wrapped_angles": "WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE * 40 AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT vec_id, k::INT AS k, round(x - floor((x + 3) / 6) * 6, 6) AS angle FROM v",
+    "folded_angles": """WITH RECURSIVE f AS (SELECT vec_id, embedding AS e, 1 AS k, embedding[1]::DOUBLE * 40 AS angle, 0.0::DOUBLE AS turn FROM embeddings
+  UNION ALL SELECT vec_id, e, k + 1, CASE WHEN k < 63 AND a > pi() THEN 2 * pi() - a ELSE a END, CASE WHEN k < 63 AND a > pi() THEN pi() ELSE 0 END
+  FROM (SELECT *, x - floor(x / (2 * pi())) * 2 * pi() AS a FROM (SELECT *, e[k + 1]::DOUBLE * 40 + turn AS x FROM f WHERE k < 64)))
+SELECT vec_id, (k - 1)::INT AS k, round(angle, 6) AS angle FROM f""",
 } | {f"pdist_{m}": f"WITH {_L} SELECT i, j, round({sql}, 6) AS d FROM l GROUP BY 1, 2" for m, sql in _D.items()}
