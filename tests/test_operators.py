@@ -239,21 +239,6 @@ def test_landmark_scaling_keeps_distances(spark):
     assert np.allclose(np.linalg.norm(x[:50, None] - x[None, :50], axis=2), np.linalg.norm(y[:50, None] - y[None, :50], axis=2), atol=1e-6)
 
 
-def test_gradients_against_differences():
-    rng = np.random.default_rng(7)
-    x, y = rng.normal(size=(12, 4)), rng.normal(size=(12, 2))
-    p = lay.joint(x, 3)
-    assert math.isclose(p.sum(), 1) and np.allclose(p, p.T)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    polar = np.stack([0.5 + rng.random(12), rng.normal(size=12)], 1)
-    raw = lambda z: ((lay.hyperbolic(z, z) - d)[~np.eye(12, dtype=bool)] ** 2).sum()
-    for cost, at, g in ((lambda z: lay.divergence(p, z)[0], y, lay.divergence(p, y)[1]), (raw, polar, lay.hyperbolic_stress(d, polar)[1])):
-        for i, k in ((0, 0), (3, 1), (7, 0)):
-            e = np.zeros_like(at)
-            e[i, k] = 1e-6
-            assert math.isclose((cost(at + e) - cost(at - e)) / 2e-6, g[i, k], rel_tol=1e-3, abs_tol=1e-6)
-
-
 def test_scaling_query_uses_all_rows_where_vectors_repeat(spark, monkeypatch):
     from wellforge.plans import vectors as plans
 
@@ -264,3 +249,78 @@ def test_scaling_query_uses_all_rows_where_vectors_repeat(spark, monkeypatch):
     y = np.array([[r["mds1"], r["mds2"]] for r in plans.mds_positions(spark, "").orderBy("vec_id").collect()], dtype=float)
     some = list(range(0, 900, 50))
     assert np.allclose(np.linalg.norm(x[some][:, None] - x[some][None], axis=2), np.linalg.norm(y[some][:, None] - y[some][None], axis=2), atol=1e-5)
+
+
+def test_group_quantiles_of_a_hot_group_against_the_exact_aggregate(spark):
+    rng = np.random.default_rng(9)
+    rows = [("hot", float(v)) for v in np.round(rng.normal(size=6000), 2)] + [("few", 3.0), ("one", 1.5), ("one", None), ("none", float("nan")), (None, 4.0), (None, 8.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {(r["g"], r["p"]): r["value"] for r in sa.group_quantiles(df, ["g"], "x", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    want = {r["g"]: r["q"] for r in df.filter("NOT isnan(x)").groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.9, 1.0)))).alias("q")).collect()}
+    assert got == {(g, p): v for g, q in want.items() for p, v in zip((0.0, 0.25, 0.5, 0.9, 1.0), q)}
+
+
+def test_running_sums_are_cut_where_the_scores_are(spark):
+    from wellforge.operators import scores as sc
+
+    values = [float(i % 50) / 1000 for i in range(4000)] + [1e6, -1e6]
+    scored = spark.createDataFrame([(v + i * 1e-9, i % 2) for i, v in enumerate(values)], "score double, label int")
+    per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    run = sc._running(per, keep_piece=True).groupBy("_piece").agg(F.count("*").alias("n")).collect()
+    sizes = sorted(r["n"] for r in run)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    last = sc._running(per).orderBy("score").first()
+    assert (last["tp"], last["fp"]) == (2001, 2001)
+
+
+def test_bootstrap_options(spark):
+    df = spark.createDataFrame([(g, i, float(i)) for g, n in (("a", 5), ("b", 30)) for i in range(n)], "g string, id int, x double")
+    own = sa.bootstrap(df, ["g"], ["id"], ["x"], "original", 3, F.count, seed=1)
+    assert sorted({(r["g"], r["x"]) for r in own.collect()}) == [("a", 5), ("b", 30)]
+    with pytest.raises(ValueError):
+        sa.bootstrap(df, ["g"], ["id"], ["x"], 10, 3, small="raise")
+    assert sa.bootstrap(df, ["g"], ["id"], ["x"], 10, 3).count() == 6
+
+
+def test_plate_and_channels_that_do_not_fit_raise(spark):
+    from wellforge.operators import tables as ta
+
+    wide = spark.createDataFrame([(1, 1, 2.0), (1, 30, 3.0)], "Row int, Column int, v double")
+    with pytest.raises(Exception, match="column"):
+        ta.plate(wide, F.col("v")).collect()
+    assert ta.plate(wide, F.col("v"), columns=(1, 30)).first()["c30"] == 3.0
+    files = spark.createDataFrame([("A",), ("a",), ("b",)], "channel string")
+    with pytest.raises(ValueError, match="channel"):
+        ta.check_channels(files)
+    ta.check_channels(files.unionByName(spark.createDataFrame([("B",)], "channel string")))
+
+
+def test_curve_analysis_of_a_fit(spark):
+    x = np.arange(1.0, 13.0)
+    y = 2 * np.exp(0.3 * x) + 0.5 + np.sin(x)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    rows = {r["term"]: r for r in sa.curve_anova(df, sa.exponential(F.col("x"), 2.0, 0.3, 0.5), "y", 3).collect()}
+    fit = 2 * np.exp(0.3 * x) + 0.5
+    sse, ssr = ((fit - y) ** 2).sum(), ((fit - y.mean()) ** 2).sum()
+    assert math.isclose(rows["residual"]["sum_sq"], sse, rel_tol=1e-9) and math.isclose(rows["treatment"]["f"], ssr / 2 / (sse / 9), rel_tol=1e-9)
+    assert math.isclose(rows["treatment"]["p_value"], (1 + 2 * rows["treatment"]["f"] / 9) ** -4.5, rel_tol=1e-6, abs_tol=1e-12)
+    assert math.isclose(rows["treatment"]["r2"], 1 - sse / (y**2).sum(), rel_tol=1e-9)
+
+
+def test_folded_angles_stay_at_their_place(spark):
+    from wellforge.functions.arrays import folded
+
+    point = [2.0, 7.0, -1.0, 9.5]
+    got = spark.createDataFrame([(point,)], "p array<double>").select(folded(F.col("p")).alias("f")).first()["f"]
+    place = lambda v: [v[0] * math.cos(v[1]), v[0] * math.sin(v[1]) * math.cos(v[2]), v[0] * math.sin(v[1]) * math.sin(v[2]) * math.cos(v[3]), v[0] * math.sin(v[1]) * math.sin(v[2]) * math.sin(v[3])]
+    assert np.allclose(place(got), place(point)) and all(0 <= a <= math.pi for a in got[1:3]) and 0 <= got[3] < 2 * math.pi
+
+
+def test_one_large_plane(spark):
+    rng = np.random.default_rng(2)
+    px = rng.normal(size=1024 * 1024)
+    df = spark.createDataFrame([(1, px.tolist()), (2, None), (3, [])], "id long, px array<double>")
+    tas = {(r["id"], r["mode"], r["percent"]): sum(r["tas"]) for r in ob.adjacency_features(df, "id", "px", 1024).collect()}
+    assert len(tas) == 3 * 28 and all(math.isclose(v, 1.0) for (i, _, _), v in tas.items() if i == 1) and all(v == 0 for (i, _, _), v in tas.items() if i > 1)
+    assert ob.power_rings(df, "id", "px", 1024).count() == 512
+    assert ob.projected_pixels(df.select(F.lit("s").alias("s"), "px"), ["s"], "px").count() == 1024 * 1024

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,56 @@ def exact_quantile(df: DataFrame, x: Column, p: float, gather: int = 100_000) ->
     return u + (v - u) * (rank - first)
 
 
+def group_quantiles(df: DataFrame, by: Sequence[str], column: str, percents: Sequence[float], pieces: int = 64) -> DataFrame:
+    """(by.., p, value): exact quantiles of each group, linear between neighbours; null and NaN do not count, a null key is a group.
+
+    Equal values of a group are counted together in the tasks. Each group is cut at approximate quantiles of itself; the counts of
+    its pieces say in which of them a rank lies, and only those pieces are sorted. So a group with a third of all rows is spread
+    over `pieces` tasks, and no task holds more than a piece of its distinct values.
+    """
+    rows = df.select(*by, F.col(column).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    same = lambda a, b, keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("_x", F.array(*(F.lit(i / pieces) for i in range(1, pieces))), 50 * pieces).alias("_cuts"), F.count("*").alias("_n"))
+    counted = rows.groupBy(*by, "_x").agg(F.count("*").alias("_c"))
+    placed = counted.alias("a").join(cuts.alias("b"), same("a", "b", by)).select("a.*", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))).alias("_piece"))
+    upto = F.sum("_m").over(Window.partitionBy(*by).orderBy("_piece"))
+    sizes = placed.groupBy(*by, "_piece", "_n").agg(F.sum("_c").alias("_m")).withColumn("_before", upto - F.col("_m"))
+    p = F.explode(F.array(*(F.lit(float(x)) for x in percents)))
+    ranked = sizes.withColumn("p", p).withColumn("_r", F.col("p") * (F.col("_n") - 1)).withColumn("_low", F.floor("_r")).withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
+    holds = lambda rank: (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_before") + F.col("_m"))
+    hit = ranked.filter(holds("_low") | holds("_high"))
+    keys = [*by, "_piece"]
+    inside = placed.alias("a").join(hit.alias("h"), same("a", "h", keys)).select(*(F.col(f"a.{k}").alias(k) for k in by), "p", "a._piece", "_x", "_c", "_r", "_low", "_high", "_before")
+    run = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "p", "_piece").orderBy("_x")))
+    first = lambda rank: F.min(F.when((F.col("_upto") > F.col(rank)) & (F.col("_before") <= F.col(rank)), F.col("_x")))
+    ends = run.groupBy(*by, "p", "_r", "_low").agg(first("_low").alias("_u"), first("_high").alias("_v"))
+    return ends.select(*by, "p", (F.col("_u") + (F.col("_v") - F.col("_u")) * (F.col("_r") - F.col("_low"))).alias("value"))
+
+
+def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
+    """What a box plot and error bars show: (group, n, mean, std, q1, q2, q3, low, high), the whiskers within 1.5 interquartile ranges.
+
+    Groups with a null key and values that are null or NaN are left out.
+    """
+    rows = df.select(F.col(group), F.col(value).alias("_v")).filter(F.col(group).isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    means = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"))
+    q = group_quantiles(rows, [group], "_v", (0.25, 0.5, 0.75)).groupBy(group).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    ends = rows.join(q.select(group, "q1", "q3"), group).filter(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)).groupBy(group).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    return means.join(q, group).join(ends, group)
+
+
+def category_statistics(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by.., n, mean, std) of the values of each category; categories with a null key are left out."""
+    return df.na.drop("any", subset=list(by)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """(low, n): rows per class of `width`; null and NaN values are left out."""
+    x = F.col(value)
+    return df.filter(x.isNotNull() & ~F.isnan(x.cast("double"))).groupBy((F.floor(x / width) * width).alias("low")).agg(F.count("*").alias("n"))
+
+
 def thresholds(df: DataFrame, column: str, metric: str = "median", low: float = 0.0, high: float = 2.0, diameter: bool = False) -> tuple[float | None, float | None]:
     """Lower and upper threshold: multiples of the median or mean, quantiles, or the values themselves; None without values."""
     x = pixel_diameter(F.col(column)) if diameter else F.col(column)
@@ -104,18 +154,22 @@ def bins(df: DataFrame, by: Sequence[str], ids: Sequence[str], size: int = 200,
     return placed.withColumn("bin", F.floor(F.col("pos") / size) + 1).filter(F.col("bin") <= F.floor(F.col("size") / size)).drop("pos", "size")
 
 
-def bootstrap(df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], draws: int, rounds: int, metric: str = "mean", seed: int = 0) -> DataFrame:
-    """Per group `rounds` resamples of `draws` rows with replacement, each reduced to the mean or standard deviation.
+def bootstrap(df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], draws: int | str, rounds: int, metric: str | Callable[[str], Column] = "mean", seed: int = 0, small: str = "draw") -> DataFrame:
+    """Per group `rounds` resamples of `draws` rows with replacement ("original": as many as the group has), each reduced by `metric`.
 
-    The drawn position is a hash of seed, group, round and draw. Groups smaller than `draws` raise nothing: drawing is with
-    replacement. A draw fetches its row by an equi-join on group and position; rows never drawn are not aggregated.
+    The metric is the mean, the standard deviation ("std"), or any aggregate of a column. Groups smaller than `draws` are drawn from
+    all the same, or with small="raise" raise ValueError. The drawn position is a hash of seed, group, round and draw. A draw
+    fetches its row by an equi-join on group and position; rows never drawn are not aggregated.
     """
-    reduce = {"mean": F.avg, "std": F.stddev_samp}[metric]
+    reduce = metric if callable(metric) else {"mean": F.avg, "std": F.stddev_samp}[metric]
     rows = df.na.drop("any", subset=list(by))
     order = [hashed(seed, *(F.col(c) for c in ids)), *(F.col(c) for c in ids)]
     numbered = positions(rows, by, order).select(*by, "pos", *columns)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("size"))
-    draw = sizes.withColumn("bootstrap", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    if small == "raise" and draws != "original" and (least := sizes.agg(F.min("size")).first()[0]) is not None and least < draws:
+        raise ValueError(f"a group has {least} rows, fewer than the {draws} to draw")
+    last = F.col("size") if draws == "original" else F.lit(draws)
+    draw = sizes.withColumn("bootstrap", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("j", F.explode(F.sequence(F.lit(1), last.cast("int"))))
     at = F.pmod(F.conv(F.substring(hashed(seed, *(F.col(c) for c in by), F.col("bootstrap"), F.col("j")), 1, 8), 16, 10).cast("long"), F.col("size"))
     return draw.withColumn("pos", at).join(numbered, [*by, "pos"]).groupBy(*by, "bootstrap").agg(*(reduce(c).alias(c) for c in columns))
 
@@ -186,6 +240,37 @@ def anova_with_p(df: DataFrame, group: str, value: str) -> DataFrame:
     return table.withColumn("p_value", F.when(F.col("term") == "group", F.lit(p).cast("double")))
 
 
+def curve_anova(df: DataFrame, predicted: Column, y: str, parameters: int, is_line: bool = False) -> DataFrame:
+    """Analysis of variance of a fitted curve: rows 'model', 'treatment', 'residual', 'uncorrected total' and 'corrected total'.
+
+    (term, df, sum_sq, mean_sq, f, p_value, r2, adjusted_r2, aic, bic); f and what follows stand in the row 'treatment', which
+    compares the curve with the mean alone. r2 is against the mean for a line, else against zero. All sums come from one
+    aggregation of the rows; rows without a value or a prediction do not count.
+    """
+    rows = df.select(F.col(y).cast("double").alias("y"), predicted.cast("double").alias("f")).filter("y IS NOT NULL AND f IS NOT NULL AND NOT isnan(y) AND NOT isnan(f)")
+    mean = rows.agg(F.avg("y").alias("m"))
+    one = rows.crossJoin(F.broadcast(mean)).agg(
+        F.count("*").alias("n"), F.sum(F.col("y") ** 2).alias("ss"), F.sum(F.col("f") ** 2).alias("model"), F.sum((F.col("y") - F.col("m")) ** 2).alias("sst"),
+        F.sum((F.col("f") - F.col("y")) ** 2).alias("sse"), F.sum((F.col("f") - F.col("m")) ** 2).alias("ssr"),
+    ).first()
+    n, p = one["n"], parameters
+    if n <= p:
+        raise ValueError("a curve needs more rows than parameters")
+    residual = one["sse"] / (n - p)
+    f = one["ssr"] / (p - 1) / residual if p > 1 and residual else None
+    r2 = 1 - one["sse"] / one["sst" if is_line else "ss"]
+    adjusted = 1 - (1 - r2) * (n - 1 if is_line else n) / (n - p)
+    fit = [f, f_test_p(df, f, p - 1, n - p) if f is not None else None, r2, adjusted]
+    none = [None] * 4
+    out = [
+        ("model", p, one["model"], one["model"] / p, *none, n), ("treatment", p - 1, one["ssr"], one["ssr"] / (p - 1) if p > 1 else None, *fit, n), ("residual", n - p, one["sse"], residual, *none, n),
+        ("uncorrected total", n, one["ss"], None, *none, n), ("corrected total", n - 1, one["sst"], None, *none, n),
+    ]
+    table = df.sparkSession.createDataFrame(out, "term string, df long, sum_sq double, mean_sq double, f double, p_value double, r2 double, adjusted_r2 double, n long")
+    only = lambda c: F.when(F.col("term") == "treatment", c)
+    return table.withColumn("aic", only(aic(F.col("n"), p, F.lit(one["sse"])))).withColumn("bic", only(bic(F.col("n"), p, F.lit(one["sse"])))).drop("n")
+
+
 def aic(n: Column, k: int, rss: Column) -> Column:
     return n * F.log(2 * F.pi() * rss / n) + 2 * (k + 1) + n
 

@@ -103,8 +103,11 @@ def fit_axis(df: DataFrame, sample: str, group: str, vec: str, dim: int, group_a
     Two rows of `dim` numbers and one threshold come to the driver. A group without rows raises ValueError.
     """
     two = df.filter(F.col(group).isin(group_a, group_b))
-    samples = two.groupBy(group, sample).agg(mean_vector(vec, dim).alias(vec))
-    ends = {r[group]: list(r["c"]) for r in samples.groupBy(group).agg(mean_vector(vec, dim).alias("c")).collect()}
+    # sums of whole vectors leave the tasks as one row a sample and element
+    parts = two.select(group, sample, F.posexplode(vec).alias("k", "v")).groupBy(group, sample, "k").agg(F.avg("v").alias("v"))
+    ends: dict = {}
+    for r in parts.groupBy(group, "k").agg(F.avg("v").alias("c")).collect():
+        ends.setdefault(r[group], [None] * dim)[r["k"]] = r["c"]
     if group_a not in ends or group_b not in ends:
         raise ValueError("a group has no rows")
     model = AxisModel(ends[group_a], ends[group_b], str(group_b))
@@ -122,18 +125,19 @@ def roc(scored: DataFrame) -> DataFrame:
     return _running(per).select(F.col("score").alias("threshold"), "tp", "fp", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_q").alias("fpr"))
 
 
-def _running(per: DataFrame, pieces: int = 64) -> DataFrame:
-    """Adds tp, fp (sums of p, q over scores from this one upwards), all_p and all_q."""
-    ends = per.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    wide = per.crossJoin(F.broadcast(ends))
-    part = F.coalesce(F.least(F.lit(pieces - 1), F.floor(F.try_divide((F.col("score") - F.col("lo")) * pieces, F.col("hi") - F.col("lo")))), F.lit(0)).cast("int")
-    rows = wide.withColumn("_piece", part)
+def _running(per: DataFrame, pieces: int = 64, keep_piece: bool = False) -> DataFrame:
+    """Adds tp, fp (sums of p, q over scores from this one upwards), all_p and all_q.
+
+    Scores are cut at approximate quantiles of themselves, so that a piece holds about as many as any other however they lie.
+    """
+    ends = per.agg(F.percentile_approx("score", F.array(*(F.lit(i / pieces) for i in range(1, pieces))), 50 * pieces).alias("cuts"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    rows = per.crossJoin(F.broadcast(ends)).withColumn("_piece", F.size(F.filter("cuts", lambda x: x < F.col("score")))).drop("cuts")
     down = Window.orderBy(F.desc("_piece"))  # at most `pieces` rows
     sums = rows.groupBy("_piece").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
     before = sums.select("_piece", (F.sum("sp").over(down) - F.col("sp")).alias("_bp"), (F.sum("sq").over(down) - F.col("sq")).alias("_bq"))
     inside = Window.partitionBy("_piece").orderBy(F.desc("score"))
-    out = rows.join(F.broadcast(before), "_piece")
-    return out.withColumn("tp", F.sum("p").over(inside) + F.col("_bp")).withColumn("fp", F.sum("q").over(inside) + F.col("_bq"))
+    out = rows.join(F.broadcast(before), "_piece").withColumn("tp", F.sum("p").over(inside) + F.col("_bp")).withColumn("fp", F.sum("q").over(inside) + F.col("_bq"))
+    return out if keep_piece else out.drop("_piece")
 
 
 def auc(scored: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from wellforge.functions.arrays import clean
 from wellforge.functions.text import SEPARATOR, age_text, joined
+from wellforge.operators.sampling import group_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -57,6 +58,13 @@ def channel_counts(files: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(every)).select("channel", "files", (F.col("low") == F.col("high")).alias("balanced"))
 
 
+def check_channels(files: DataFrame) -> None:
+    """Raise ValueError if there are no files, or if the channels have unequal numbers of them."""
+    n = {r["channel"]: r["files"] for r in channel_counts(files).collect()}
+    if len(set(n.values())) != 1:
+        raise ValueError(f"channels with unequal numbers of files, or none: {n}")
+
+
 def drop_rows_without_values(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Leaves out rows whose columns other than `keys` are all null or NaN."""
     return without_nan(df).na.drop("all", subset=[c for c in df.columns if c not in set(keys)])
@@ -74,11 +82,23 @@ def aggregate(df: DataFrame, by: Sequence[str], function: str | Callable[[Column
     """Groups by `by`, rows with a null key left out, and reduces every numeric (or listed) column; "unique" keeps single values."""
     if function == "unique":
         return unique_values(df, by)
-    reduce = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}.get(function, function)
+    if function == "median":
+        return group_medians(df, by, columns)
+    reduce = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}.get(function, function)
     values = columns or [c for c in numeric_columns(df) if c not in by]
     return without_nan(df).na.drop("any", subset=list(by)).groupBy(*by).agg(*(reduce(F.col(c)).alias(c) for c in values))
 
 
+def group_medians(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The exact median of every numeric (or listed) column per group, without gathering a group in one task; null if it has no value."""
+    values = columns or [c for c in numeric_columns(df) if c not in by]
+    rows = df.na.drop("any", subset=list(by))
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in values))).alias("_z")).select(*by, "_z.*")
+    found = group_quantiles(long, [*by, "_column"], "_value", (0.5,))
+    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("_column") == c, F.col("value"))).alias(c) for c in values))
+    return rows.select(*by).distinct().join(wide, list(by), "left")
+
+
 def unique_values(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per group each other column's value if it has exactly one, nulls aside; else null. Two values are enough to know."""
     rest = [c for c in df.columns if c not in by]
@@ -125,10 +145,14 @@ def split_by(df: DataFrame, column: str, values: Sequence[str]) -> dict[str, Dat
 def plate(df: DataFrame, value: Column, row: str | Sequence[str] = "Row", column: str = "Column", columns: Sequence[int] = tuple(range(1, 25))) -> DataFrame:
     """Plate grid: a row per `row`, a column c1 .. per plate column; empty wells are 0.
 
-    The columns are given, so the pivot needs no scan for them. Several values for a well take the smallest, in any order of rows.
+    The columns are given, so the pivot needs no scan for them; a well in another column raises when the rows are read, and one
+    without a column is left out. Several values for a well take the smallest, in any order of rows (see `repeated_wells`).
     """
+    # a plate of 1536 wells has 48 columns
+    at = F.col(column)
+    at = F.when(at.isNull() | at.isin(list(columns)), at).otherwise(F.raise_error(F.concat(F.lit("well in a column that is not given: "), at.cast("string"))))
     rows = [row] if isinstance(row, str) else list(row)
-    cells = df.select(*rows, F.col(column).alias("_c"), value.alias("_v")).groupBy(*rows).pivot("_c", list(columns)).agg(F.min("_v"))
+    cells = df.select(*rows, at.alias("_c"), value.alias("_v")).groupBy(*rows).pivot("_c", list(columns)).agg(F.min("_v"))
     return cells.select(*rows, *(F.coalesce(F.col(str(c)), F.lit(0)).alias(f"c{c}") for c in columns))
 
 
@@ -137,8 +161,16 @@ def repeated_wells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def well_metadata(df: DataFrame, platemap: DataFrame, measure: Column, well: str = "WellIndex") -> DataFrame:
-    """One row per well: the aggregated `measure` as `value`, with the well's Row and Column."""
-    per_well = without_nan(df).filter(F.col(well).isNotNull()).groupBy(well).agg(measure.alias("value"))
+def well_metadata(df: DataFrame, platemap: DataFrame, measure: Column | tuple[str, float], well: str = "WellIndex") -> DataFrame:
+    """One row per well: the aggregated `measure` as `value`, with the well's Row and Column.
+
+    A measure (column, p) is the exact p-quantile of the column, null for a well without values.
+    """
+    rows = df.filter(F.col(well).isNotNull())
+    if isinstance(measure, tuple):
+        found = group_quantiles(rows, [well], measure[0], (measure[1],)).select(well, "value")
+        per_well = rows.select(well).distinct().join(found, well, "left")
+    else:
+        per_well = without_nan(rows).groupBy(well).agg(measure.alias("value"))
     places = platemap.groupBy(well).agg(F.min("Row").alias("Row"), F.min("Column").alias("Column"))
     return per_well.join(places, well)

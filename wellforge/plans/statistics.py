@@ -96,17 +96,17 @@ def fitted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a box plot and error bars show: per group mean, deviation, quartiles and whiskers within 1.5 interquartile ranges."""
-    s = scores(spark, sf_dir).filter("Group IS NOT NULL")
-    q = s.groupBy("Group").agg(F.count("*").alias("n"), F.avg("miel_distance").alias("mean"), F.stddev_samp("miel_distance").alias("std"), *(F.percentile("miel_distance", F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
-    far = s.join(q.select("Group", "q1", "q3"), "Group").filter(F.col("miel_distance").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
-    ends = far.groupBy("Group").agg(F.min("miel_distance").alias("low"), F.max("miel_distance").alias("high"))
-    return rounded(q.join(ends, "Group"), "mean", "std", "q1", "q2", "q3", "low", "high")
+    return rounded(ops.box_statistics(scores(spark, sf_dir), "Group", "miel_distance"), "mean", "std", "q1", "q2", "q3", "low", "high")
 
 
 def category_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scores(spark, sf_dir).filter("Group IS NOT NULL AND Sample IS NOT NULL")
-    return s.groupBy("Group", "Sample").agg(F.count("*").alias("n"), r8(F.avg("miel_distance")).alias("mean"), r8(F.stddev_samp("miel_distance")).alias("std"))
+    return rounded(ops.category_statistics(scores(spark, sf_dir), ["Group", "Sample"], "miel_distance"), "mean", "std")
+
+
+def curve_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a given exponential curve of the texture describes the intensity."""
+    out = ops.curve_anova(cells(spark, sf_dir), ops.exponential(F.col("Ch1_TXT_TAS_1_10"), 100.0, 2.0, 50.0), "Ch1_object_average_intensity", 3)
+    return out.select("term", "df", *(F.round(c, 4).alias(c) for c in ("sum_sq", "mean_sq", "f", "aic", "bic")), *(r8(c).alias(c) for c in ("p_value", "r2", "adjusted_r2")))
 
 
 def hourly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +117,7 @@ def hourly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells per size class of 100 pixels, with the diameters at its ends."""
-    low = F.floor(F.col(SIZE) / 100) * 100
-    h = cells(spark, sf_dir).filter(F.col(SIZE).isNotNull()).groupBy(low.alias("low")).agg(F.count("*").alias("n"))
+    h = ops.histogram(cells(spark, sf_dir), SIZE, 100)
     return h.select("low", "n", r8(ops.pixel_diameter(F.col("low"))).alias("from_diameter"), r8(ops.pixel_diameter(F.col("low") + 100)).alias("to_diameter"))
 
 
@@ -142,7 +141,7 @@ QUERIES = {
     "size_threshold_diameter": _size("median", 0.8, 1.2, True),
     "bootstrap_mean": _bootstrap("mean"),
     "bootstrap_std": _bootstrap("std"),
-} | {f.__name__: f for f in (zscore, bin_cells, bin_means, sample_centroids, group_centroids_sem, cv, anova_oneway, anova_p_value, anova_regression, fitted_curves, box_statistics, category_statistics, hourly_scores, size_histogram, group_labels, otsu_thresholds)}
+} | {f.__name__: f for f in (zscore, bin_cells, bin_means, sample_centroids, group_centroids_sem, cv, anova_oneway, anova_p_value, anova_regression, fitted_curves, box_statistics, category_statistics, curve_anova, hourly_scores, size_histogram, group_labels, otsu_thresholds)}
 
 _S = """s AS (SELECT dist_id, "Group", "Sample", miel_distance, miel_orthogonal FROM df_distance
   WHERE CAST(miel_distance AS VARCHAR) NOT IN ('nan', 'inf', '-inf') AND CAST(miel_orthogonal AS VARCHAR) NOT IN ('nan', 'inf', '-inf'))"""
@@ -195,6 +194,14 @@ round(n * ln(2 * pi() * sse / n) + 6 + n, 4) AS aic, round(n * ln(2 * pi() * sse
     "box_statistics": f"""WITH {_S}, q AS (SELECT "Group", count(*) AS n, avg(miel_distance) AS mean, stddev_samp(miel_distance) AS std, quantile_cont(miel_distance, 0.25) AS q1, quantile_cont(miel_distance, 0.5) AS q2, quantile_cont(miel_distance, 0.75) AS q3 FROM s WHERE "Group" IS NOT NULL GROUP BY 1)
 SELECT q."Group", any_value(n) AS n, round(any_value(mean), 8) AS mean, round(any_value(std), 8) AS std, round(any_value(q1), 8) AS q1, round(any_value(q2), 8) AS q2, round(any_value(q3), 8) AS q3, round(min(miel_distance), 8) AS low, round(max(miel_distance), 8) AS high
 FROM q JOIN s ON s."Group" = q."Group" AND miel_distance BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""",
+    "curve_anova": f"""WITH {_C}, v AS (SELECT "Ch1_object_average_intensity" AS y, 100 * exp(2 * "Ch1_TXT_TAS_1_10") + 50 AS f FROM c WHERE "Ch1_object_average_intensity" IS NOT NULL AND "Ch1_TXT_TAS_1_10" IS NOT NULL),
+m AS (SELECT avg(y) AS m FROM v), o AS (SELECT count(*) AS n, sum(y * y) AS ss, sum(f * f) AS model, sum((y - m) ** 2) AS sst, sum((f - y) ** 2) AS sse, sum((f - m) ** 2) AS ssr FROM v, m),
+t AS (SELECT *, ssr / 2 / (sse / (n - 3)) AS f, 1 - sse / ss AS r2 FROM o),
+r AS (SELECT 'model' AS term, 3 AS df, model AS sum_sq, model / 3 AS mean_sq FROM t UNION ALL SELECT 'treatment', 2, ssr, ssr / 2 FROM t UNION ALL SELECT 'residual', n - 3, sse, sse / (n - 3) FROM t
+  UNION ALL SELECT 'uncorrected total', n, ss, NULL FROM t UNION ALL SELECT 'corrected total', n - 1, sst, NULL FROM t)
+SELECT term, df::BIGINT AS df, round(sum_sq, 4) AS sum_sq, round(mean_sq, 4) AS mean_sq, CASE WHEN term = 'treatment' THEN round(f, 4) END AS f, CASE WHEN term = 'treatment' THEN round(n * ln(2 * pi() * sse / n) + 8 + n, 4) END AS aic,
+CASE WHEN term = 'treatment' THEN round(n * ln(2 * pi() * sse / n) + ln(n) * 4 + n, 4) END AS bic, CASE WHEN term = 'treatment' THEN round((1 + 2 * f / (n - 3)) ** (-(n - 3) / 2.0), 8) END AS p_value,
+CASE WHEN term = 'treatment' THEN round(r2, 8) END AS r2, CASE WHEN term = 'treatment' THEN round(1 - (1 - r2) * n / (n - 3), 8) END AS adjusted_r2 FROM r, t""",
     "category_statistics": f'WITH {_S} SELECT "Group", "Sample", count(*) AS n, round(avg(miel_distance), 8) AS mean, round(stddev_samp(miel_distance), 8) AS std FROM s WHERE "Group" IS NOT NULL AND "Sample" IS NOT NULL GROUP BY 1, 2',
     "hourly_scores": """SELECT date_trunc('hour', measured_at)::TIMESTAMP AS hour, "Group", count(*) AS n, round(sum(miel_distance), 8) AS total, round(sum(miel_distance ** 2), 4) AS squares FROM df_distance
   WHERE measured_at IS NOT NULL AND CAST(miel_distance AS VARCHAR) NOT IN ('nan', 'inf', '-inf') GROUP BY 1, 2""",

@@ -9,6 +9,7 @@ from wellforge.functions.text import age_days, age_text, is_float, join_all, joi
 from wellforge.operators import tables as ops
 from wellforge.session import table
 
+INTENSITY = "Ch1_object_average_intensity"
 CELL_VALUES = ["MOR_object_pixel_count", "Ch1_object_average_intensity", "Ch1_TXT_TAS_1_10"]
 
 
@@ -177,7 +178,7 @@ def cellcount_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _intensity(measure):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = ops.well_metadata(table(spark, sf_dir, "cells"), table(spark, sf_dir, "platemap"), measure(F.col("Ch1_object_average_intensity")))
+        m = ops.well_metadata(table(spark, sf_dir, "cells"), table(spark, sf_dir, "platemap"), measure(INTENSITY) if callable(measure) else measure)
         return ops.plate(m, r6(F.coalesce(F.col("value"), F.lit(0.0))))
 
     return query
@@ -219,7 +220,7 @@ QUERIES = {
         join_columns, group_col, join_iterables, float_texts, reorder_vector, cell_diameter, dropna_columns, age_to_days, split_by_tissue, split_by_every_tissue, platemap_join, clean_pipeline,
         plate_pivot, plate_pivot_fov, plate_letters, repeated_wells, cellcount_map,
     )
-} | {"intensity_map_mean": _intensity(F.avg), "intensity_map_median": _intensity(F.median), "intensity_map_quantile": _intensity(lambda c: F.percentile(c, F.lit(0.9)))}
+} | {"intensity_map_mean": _intensity(F.avg), "intensity_map_median": _intensity((INTENSITY, 0.5)), "intensity_map_quantile": _intensity((INTENSITY, 0.9))}
 
 ORACLES = {
     "find_files": r"SELECT file_id, file_path FROM file_information WHERE regexp_matches(string_split(file_path, '/')[-1], '_z0?1\b|z01_')",
