@@ -303,11 +303,11 @@ def _block_links(radius: float, dim: int):
     return link
 
 
-def links(placed: DataFrame, radius: float, dim: int, block_rows: int = 2048) -> DataFrame:
+def links(placed: DataFrame, radius: float, dim: int, block_rows: int = 4096) -> DataFrame:
     """(a, b), a > b: enough links between vectors at most `radius` apart to connect every chain of them.
 
-    Every cluster of leaves is a block of its own vectors and of visitors. A block of more than `block_rows` rows is cut into pieces by id, and
-    each pair of pieces is a task of its own. A task returns one link per vector, to the smallest it is connected with there, not
+    Every cluster of leaves is a block of its own vectors and of visitors. A block of more than `block_rows` rows is cut into pieces of half
+    as many by id, and each pair of pieces is a task of its own. A task returns one link per vector, to the smallest it is connected with there, not
     all pairs.
     """
     spark = placed.sparkSession
@@ -315,7 +315,7 @@ def links(placed: DataFrame, radius: float, dim: int, block_rows: int = 2048) ->
     guests = placed.select("vid", "vec", F.explode("visits").alias("block"), F.lit(False).alias("home"))
     rows = home.unionByName(guests)
     load = rows.groupBy("block").agg(F.count("*").alias("n")).collect()
-    parts = spark.createDataFrame([(r["block"], -(-r["n"] // block_rows)) for r in load], "block long, parts long")
+    parts = spark.createDataFrame([(r["block"], 1 if r["n"] <= block_rows else -(-2 * r["n"] // block_rows)) for r in load], "block long, parts long")
     split = rows.join(F.broadcast(parts), "block").withColumn("sub", F.pmod(F.xxhash64("vid"), F.col("parts")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("sub")).alias("i"), F.greatest(j, F.col("sub")).alias("j")))
     tasks = split.withColumn("pair", F.explode(pairs)).select("block", "pair", "vid", "vec", "home", "sub")
@@ -346,17 +346,17 @@ def components(edges: DataFrame) -> DataFrame:
         seen = after
 
 
-def chained_groups(points: DataFrame, dim: int, radius: float = 0.7, max_leaves: int | None = None, block_rows: int = 2048) -> DataFrame:
+def chained_groups(points: DataFrame, dim: int, radius: float = 0.7, max_leaves: int | None = None, cluster_rows: int = 256, block_rows: int = 4096) -> DataFrame:
     """(first_id, id): the rows of `points` (id, vec) that chains of steps of at most `radius` join, by their smallest id.
 
     Rows alone have no row, nor has the smallest of a group. Equal vectors belong together and are linked once, whatever their
-    number. Ward's method joins the CF leaves to clusters of about half of `block_rows` rows, in which each vector is compared with
+    number. Ward's method joins the CF leaves to clusters of up to about `cluster_rows` rows, in which each vector is compared with
     the others and with the few of neighbouring clusters that can be near: an exact check whose cost grows with the rows, as the
     clusters keep their size (beyond 64 `max_leaves` rows, with the rows in a leaf).
     """
     unique = stored(distinct_vectors(points), "unique_vectors")
     leaves = max_leaves or leaves_for(unique.count())
-    placed = stored(assigned(unique, summarise(unique, dim, leaves, radius / 2, most_rows=block_rows / 2), radius), "placed_vectors")
+    placed = stored(assigned(unique, summarise(unique, dim, leaves, radius / 2, most_rows=cluster_rows), radius), "placed_vectors")
     root = components(links(placed, radius, dim, block_rows))
     firsts = unique.join(root, unique["vid"] == root["node"], "left").select("vec", F.coalesce("root", "vid").alias("first_id"))
     return points.join(firsts, "vec").filter("id != first_id").select("first_id", "id")
