@@ -108,3 +108,24 @@ def test_very_long_content(spark):
     text = "\n".join(f"{i}\tvalue {i}" for i in range(20000))
     files = [(1, "/f/s/a", "s", ["x", "y"], [str(i) for i in range(20000)], text), (2, "/f/s/b", "s", ["x", "y"], [str(i) for i in range(20000)], text)]
     assert redundant(spark, files) == [("feature", 2)]
+
+
+def test_thousands_of_real_small_files(spark, tmp_path):
+    """Files of a few rows each, compacted by measured Parquet bytes; every row once, few files, and nothing left beside them."""
+    rows = spark.range(6000).selectExpr("id", "concat('name ', id % 7) AS name", "CASE WHEN id % 5 = 0 THEN NULL ELSE id / 3 END AS v", "sha2(CAST(id AS STRING), 256) AS body")
+    small = str(tmp_path / "small")
+    rows.withColumn("part", F.col("id") % 1500).repartition("part").write.partitionBy("part").parquet(small)
+    files = c.file_sizes(spark, small)
+    assert files.count() == 1500
+    df, out = spark.read.parquet(small).drop("part"), str(tmp_path / "out")
+    c.compact(df, out, 64 << 10)
+    sizes = sorted(r["bytes"] for r in c.file_sizes(spark, out).collect())
+    assert 2 <= len(sizes) <= 24 and sizes[-1] <= 4 * (64 << 10) and sum(sizes) / len(sizes) >= (64 << 10) / 4
+    assert spark.read.parquet(out).exceptAll(rows).count() == 0 and spark.read.parquet(out).count() == 6000
+    assert [x.name for x in tmp_path.iterdir() if "staging" in x.name] == []
+
+
+def test_records_keep_where_they_come_from(spark):
+    df = spark.createDataFrame([(1, "/a/s/f1", None, ["x"], ["k"], "1\n2", None)], "file_id long, Path string, name string, columns array<string>, index array<string>, content string, written_at timestamp_ntz")
+    got = c.feature_records(df).collect()
+    assert [(r["path"], r["series"], r["label"], r["line"]) for r in got] == [("/a/s/f1", "s", "k", "1"), ("/a/s/f1", "s", None, "2")]

@@ -69,3 +69,43 @@ def test_streams_give_what_a_batch_gives(spark, sf, tmp_path):
     q.awaitTermination()
     batch = arrivals.hourly_scores(source).agg(F.sum("n"), F.count("*")).first()
     assert spark.table("hours").agg(F.sum("n"), F.count("*")).first() == batch
+
+
+def test_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from wellforge import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_scratch_is_dropped(spark):
+    from pathlib import Path
+
+    from wellforge import session
+
+    stored = session.stored(spark.range(3), "dropped")
+    where = Path(session._scratch[-1][1].removeprefix("file:"))
+    assert stored.count() == 3 and where.exists()
+    kept, session._scratch[:-1] = session._scratch[:-1], []
+    assert session.drop_scratch(spark) == 1 and not where.exists()
+    session._scratch[:] = kept
+
+
+def test_planes_of_a_table(spark):
+    from wellforge.sources.tiff import decoded, encoded
+
+    images = spark.createDataFrame([("a", [0.5, 1.0, 2.0, 3.0]), ("b", [1.0] * 6)], "path string, px array<double>")
+    got = {r["file_path"]: (r["height"], r["width"], list(r["px"])) for r in decoded(encoded(images, 2)).collect()}
+    assert got == {"a": (2, 2, [0.5, 1.0, 2.0, 3.0]), "b": (3, 2, [1.0] * 6)}
+    assert decoded(spark.createDataFrame([("x", None), ("y", b"no")], "path string, content binary")).filter("px IS NULL").count() == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,38 +44,57 @@ def fingerprint(df: DataFrame) -> Fingerprint:
     return Fingerprint(row["n"], int(row["s"]), int(row["t"]))
 
 
-def compact(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES, cluster_by: tuple[str, ...] = ()) -> Fingerprint:
+def compact(df: DataFrame, path: str, target_bytes: int = TARGET_BYTES, cluster_by: tuple[str, ...] = (), passes: int = 2) -> Fingerprint:
     """Write `df` to `path` as few files of about `target_bytes`, committing only after the rows have been verified.
 
     The REBALANCE hint shuffles the rows (by `cluster_by`, else round robin) and adaptive execution merges small and splits
-    large output partitions towards `target_bytes`, hot clustering keys included. The files go to a staging folder beside
-    `path`; when count and checksums of the staged rows equal those of `df`, the folder is renamed to `path` in one step. If
-    they differ, ValueError is raised and nothing appears at `path`. An existing `path` raises FileExistsError. An empty `df`
-    gives a folder with a schema and no rows. Null columns, repeated rows and long texts count like any other.
+    large output partitions, hot clustering keys included. It measures shuffled bytes, which Parquet makes fewer of; so if the files
+    come out smaller than half the target or larger than twice, they are balanced once more (at most `passes` passes), at the size
+    that the first pass has shown to give the target. The files go to a staging folder of their own beside `path`; when count and
+    checksums of the staged rows equal those of `df`, the folder is renamed to `path`: one step on file systems with an atomic
+    rename (on an object store, where a rename copies, readers must wait for this function). If they differ, ValueError is raised
+    and nothing appears at `path`. An existing `path` raises FileExistsError. An empty `df` gives a folder with a schema and no
+    rows. Null columns, repeated rows and long texts count like any other.
     """
     spark = df.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    staging, target = fs_path(path + ".staging"), fs_path(path)
+    target = fs_path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(target):
         raise FileExistsError(path)
-    before = fingerprint(df)
-    size = str(target_bytes)
+    before, source, advisory, stages = fingerprint(df), df, target_bytes, []
+    try:
+        while True:
+            stages.append(f"{path}.staging-{uuid.uuid4().hex}")
+            _balance(source, stages[-1], advisory, cluster_by)
+            sizes = [s.getLen() for s in fs.listStatus(fs_path(stages[-1])) if s.getPath().getName().endswith(".parquet")]
+            mean = sum(sizes) / max(len(sizes), 1)
+            if len(stages) >= passes or not 0 < mean or (mean <= 2 * target_bytes and (len(sizes) == 1 or mean >= target_bytes / 2)):
+                break
+            advisory = max(1, int(min(advisory * target_bytes / mean, 64 * target_bytes)))
+            source = spark.read.schema(df.schema).parquet(stages[-1])
+        after = fingerprint(spark.read.schema(df.schema).parquet(stages[-1]))
+        if before != after:
+            raise ValueError(f"staged rows differ from the source: {before} and {after}")
+        if fs.exists(target):  # another writer of this path was faster
+            raise FileExistsError(path)
+        if not fs.rename(fs_path(stages[-1]), target):
+            raise OSError(f"could not commit {path}")
+    finally:
+        for stage in stages:
+            fs.delete(fs_path(stage), True)
+    return after
+
+
+def _balance(df: DataFrame, path: str, advisory: int, cluster_by: tuple[str, ...]) -> None:
     with conf(
-        spark,
+        df.sparkSession,
         spark__sql__adaptive__enabled="true",
         spark__sql__adaptive__optimizeSkewsInRebalancePartitions__enabled="true",
-        spark__sql__adaptive__advisoryPartitionSizeInBytes=size,
+        spark__sql__adaptive__advisoryPartitionSizeInBytes=str(advisory),
         spark__sql__adaptive__coalescePartitions__parallelismFirst="false",
     ):
-        df.hint("rebalance", *cluster_by).write.mode("overwrite").parquet(str(staging))
-    after = fingerprint(spark.read.schema(df.schema).parquet(str(staging)))
-    if before != after:
-        fs.delete(staging, True)
-        raise ValueError(f"staged rows differ from the source: {before} and {after}")
-    if not fs.rename(staging, target):
-        raise OSError(f"could not commit {path}")
-    return after
+        df.hint("rebalance", *cluster_by).write.parquet(path)
 
 
 def compacted(df: DataFrame, label: str, target_bytes: int = TARGET_BYTES) -> DataFrame:

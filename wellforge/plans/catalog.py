@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wellforge.plans import data_problems, images, statistics, tables, vectors
+from wellforge.plans import data_problems, files, images, statistics, tables, vectors
 
-MODULES = [data_problems, tables, statistics, vectors, images]
+MODULES = [data_problems, files, tables, statistics, vectors, images]
 
 
 def queries() -> dict:

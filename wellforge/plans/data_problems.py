@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellforge.operators.compaction import compact, file_sizes, redundant_files
+from wellforge.operators.compaction import compacted, redundant_files
 from wellforge.operators.drift import quantity_map, schema_changes, unified_table, widest_types
-from wellforge.session import cut, scratch_path, stored, table
+from wellforge.session import cut, stored, table
 from wellforge.sources.feature_files import feature_records
 
 
@@ -16,12 +16,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_compacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files that all feature records and image planes come out in: kind, number, rows."""
+    """What the compacted feature records and image planes hold: kind, rows, how many files they are of, and the sum of their ids."""
     out = []
     for kind, rows in (("feature", feature_records(table(spark, sf_dir, "feature_files"))), ("image", table(spark, sf_dir, "file_information"))):
-        path = scratch_path(spark, f"compact_{kind}")
-        compact(rows, path)
-        out.append(file_sizes(spark, path).agg(F.lit(kind).alias("kind"), F.count("*").alias("files"), F.sum("rows").alias("rows")))
+        whole = compacted(rows, f"compact_{kind}")
+        out.append(whole.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.countDistinct("file_id").alias("of_files"), F.sum("file_id").alias("id_sum")))
     return out[0].unionByName(out[1])
 
 
@@ -77,6 +76,6 @@ cells AS (SELECT file_id, pos, unnest(string_split(line, chr(9))) AS v, generate
 kept AS (SELECT file_id, pos, CASE WHEN v NOT IN ('', 'NA', 'NaN', 'null') AND k <= n THEN v END AS v FROM cells)
 SELECT file_id, count(DISTINCT pos) AS records, count(v) AS "values", coalesce(sum(CASE WHEN regexp_matches(v, '^[0-9]{1,9}$') THEN CAST(v AS BIGINT) ELSE 0 END), 0)::BIGINT AS whole_sum FROM kept GROUP BY 1""",
     "p1_compacted_files": r"""
-SELECT 'feature' AS kind, 1::BIGINT AS files, sum(len(string_split(content, chr(10))))::BIGINT AS "rows" FROM feature_files WHERE content <> ''
-UNION ALL SELECT 'image', 1::BIGINT, count(*) FROM file_information""",
+SELECT 'feature' AS kind, sum(n)::BIGINT AS "rows", count(*) AS of_files, sum(n * file_id)::BIGINT AS id_sum FROM (SELECT file_id, len(string_split(content, chr(10))) AS n FROM feature_files WHERE content <> '')
+UNION ALL SELECT 'image', count(*), count(DISTINCT file_id), sum(file_id)::BIGINT FROM file_information""",
 }

@@ -112,9 +112,17 @@ def cell_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("cell_id", r6(pixel_diameter(F.col("MOR_object_pixel_count"))).alias("diameter"))
 
 
+QC_COLUMNS = ("plate", "WellIndex", "row", "column", "FOV", "ch1_percent_max", "ch1_percent_median2sd", "ch1_loglog_slope")
+
+
 def dropna_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of the plate QC with no missing value at all remain."""
-    return ops.drop_empty_columns(table(spark, sf_dir, "imageqc").drop("checked_at"), "any")
+    """The columns of the plate QC that remain without any, and without only, missing values, with how many values they hold."""
+    qc = table(spark, sf_dir, "imageqc").select(*QC_COLUMNS).withColumn("empty", F.lit(None).cast("double"))
+    parts = []
+    for how in ("any", "all"):
+        kept = ops.without_nan(ops.drop_empty_columns(qc, how))
+        parts.append(kept.agg(F.array(*(F.struct(F.lit(c).alias("name"), F.count(c).alias("values")) for c in kept.columns)).alias("x")).select(F.lit(how).alias("how"), F.inline("x")))
+    return parts[0].unionByName(parts[1])
 
 
 def age_to_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +257,8 @@ SELECT CASE WHEN count(DISTINCT y) = 1 THEN max(y) END AS y, CASE WHEN count(DIS
 SELECT v = trim(v) AND (regexp_matches(v, '^[0-9]*$') OR regexp_matches(v, '^[0-9]*.[0-9]*$')) AS passes, count(*) AS n FROM v GROUP BY 1""",
     "reorder_vector": "SELECT cell_id, " + ", ".join(f"CASE WHEN isnan(data[{k}]) THEN NULL ELSE round(data[{k}], 6) END AS v{i}" for i, k in enumerate((3, 1, -1, 2))) + " FROM cells WHERE len(data) = 32",
     "cell_diameter": f"SELECT cell_id, round(sqrt(4 * \"MOR_object_pixel_count\" / pi()), 6) AS diameter FROM ({_CELLS})",
-    "dropna_columns": 'SELECT plate, "WellIndex", "row", "column", "FOV" FROM imageqc',
+    "dropna_columns": "WITH c AS (" + " UNION ALL ".join(f"""SELECT '{c}' AS name, count({_nan(c) if c.startswith("ch1") else f'"{c}"'}) AS "values", count(*) AS n FROM imageqc""" for c in QC_COLUMNS)
+    + """ UNION ALL SELECT 'empty', 0, count(*) FROM imageqc), h AS (SELECT unnest(['any', 'all']) AS how) SELECT how, name, "values" FROM c, h WHERE CASE WHEN how = 'any' THEN "values" = n ELSE "values" > 0 END""",
     "age_to_days": f'SELECT cell_id, "Row", "FieldOfView", "Age" AS "AgeInput", {_AGE} AS "Age", {_DAYS} AS days FROM {_PLACED}',
     "split_by_tissue": f"""SELECT cell_id, "Sample", "Tissue" AS part FROM {_PLACED} WHERE "Tissue" IN ('heart', 'liver', 'skin')""",
     "split_by_every_tissue": f"""SELECT cell_id, "Sample", "Tissue" AS part FROM {_PLACED}""",

@@ -24,20 +24,22 @@ def canonical_value(v: Column) -> Column:
 
 
 def feature_records(files: DataFrame) -> DataFrame:
-    """One row per record: file_id, series, label, columns, line.
+    """One row per record: file_id, path, written_at, series, label, columns, line.
 
     Files with null or empty content have no records. A record beyond the end of `index` has a null label.
     Further columns of `files`, whatever their names, are not carried along.
     """
     one = files.select(
         "file_id",
+        F.col("Path").alias("path"),
+        (F.col("written_at") if "written_at" in files.columns else F.lit(None)).cast("timestamp_ntz").alias("written_at"),
         series_name(F.col("name"), F.col("Path")).alias("series"),
         F.col("columns"),
         F.col("index").alias("labels"),
         F.when(F.col("content") != "", F.split("content", "\n")).alias("lines"),
     )
-    line = one.select("file_id", "series", "columns", "labels", F.posexplode("lines").alias("pos", "line"))
-    return line.select("file_id", "series", F.get("labels", F.col("pos")).alias("label"), "columns", "line")
+    line = one.select("file_id", "path", "written_at", "series", "columns", "labels", F.posexplode("lines").alias("pos", "line"))
+    return line.select("file_id", "path", "written_at", "series", F.get("labels", F.col("pos")).alias("label"), "columns", "line")
 
 
 def record_key(columns: Column, line: Column, series: Column, label: Column) -> Column:

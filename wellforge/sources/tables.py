@@ -17,10 +17,10 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def read_quality(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_quality(spark: SparkSession, path: str, schema: str, glob: str = "*imageqc*") -> DataFrame:
     """All CSV quality files below `path`, without rows that hold only keys, in the order of the keys."""
     keys = ["WellIndex", "row", "column", "FOV"]
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*imageqc*").schema(schema).csv(path)
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).schema(schema).csv(path)
     return rows.na.drop("all", subset=[c for c in rows.columns if c not in keys]).orderBy(*keys)
 
 
@@ -36,3 +36,12 @@ def write_segmentation(path: str, details: DataFrame, masks: DataFrame, objects:
 
 def read_segmentation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.parquet(f"{path}/{name}") for name in ("details", "fullmask", "objects"))
+
+
+def write_illumination(fields: DataFrame, path: str) -> None:
+    """The flat and dark fields of a channel as a table; an existing path raises."""
+    fields.write.mode("errorifexists").parquet(path)
+
+
+def read_illumination(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -66,12 +66,17 @@ def read_planes(spark: SparkSession, path: str, glob: str = "*.tif*") -> DataFra
     Files are decoded where they are read. A file that cannot be decoded has one row with a null px.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return decoded(files.select("path", "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """The planes of files that are already in a table (path, content), as `read_planes` gives them; nulls cannot be decoded."""
 
     def planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
                 try:
-                    pages = decode(content)
+                    pages = decode(content if content is not None else b"")
                 except (ValueError, KeyError, struct.error):
                     yield pd.DataFrame({"file_path": [name], "page": [None], "height": [None], "width": [None], "px": [None]})
                     continue
@@ -82,6 +87,16 @@ def read_planes(spark: SparkSession, path: str, glob: str = "*.tif*") -> DataFra
     return rows.withColumn("filename", F.element_at(F.split("file_path", "/"), -1))
 
 
+def encoded(images: DataFrame, width: int) -> DataFrame:
+    """(path, content): each image (path, px) as a TIFF of one plane of 32-bit floats."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "content": [encode([np.asarray(x, np.float32).reshape(-1, width)]) for x in b["px"]]})
+
+    return images.select("path", "px").mapInPandas(write, "path string, content binary")
+
+
 def projected(planes: DataFrame, by: list[str]) -> DataFrame:
     """Largest pixel over the planes of each group: (by.., height, width, px). Planes of unlike shape raise on execution.
 
