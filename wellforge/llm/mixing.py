@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +21,15 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of every document, by the byte-level vocabulary in the file `tokenizer`.
 
-    Null and empty texts have 0 tokens. The file must lie at the same place on every executor, or on a shared file system.
+    Null and empty texts have 0 tokens. The file needs to be on the driver only: Spark sends it to every executor.
     """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rsplit("/", 1)[-1]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -36,6 +39,13 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInPandas(count, "doc_id long, source string, n_tokens long")
 
 
+MOST_SENT = 100_000  # rows of a table with one row a source that are sent to all tasks; beyond, it is joined by shuffle
+
+
+def _sent(small: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(small) if sources <= MOST_SENT else small
+
+
 @dataclass(frozen=True)
 class Budget:
     """What a source has and is to give, in tokens."""
@@ -77,8 +87,9 @@ def mix(counted: DataFrame, weights: DataFrame, total: int | None = None, seed:
     """
     spark = counted.sparkSession
     rows = counted.filter(F.col("source").isNotNull())
-    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).join(F.broadcast(weights.select("source").distinct()), "source").collect()
     wanted = [(r["source"], r["target_weight"], r["max_repeats"]) for r in weights.select("source", "target_weight", "max_repeats").distinct().collect()]
+    # one row a listed source, on both sides
+    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).join(_sent(weights.select("source").distinct(), len(wanted)), "source").collect()
     plan = plan_budgets([(r["source"], int(r["t"])) for r in sizes], wanted, total)
     count = {r["source"]: r["n"] for r in sizes}
     table = spark.createDataFrame(
@@ -86,7 +97,7 @@ def mix(counted: DataFrame, weights: DataFrame, total: int | None = None, seed:
         "source string, buckets long, epochs long, rest long",
     )
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))).alias("u")
-    keyed = rows.join(F.broadcast(table), "source").select("doc_id", "source", "n_tokens", "epochs", "rest", unit, "buckets").withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
+    keyed = rows.join(_sent(table, len(plan)), "source").select("doc_id", "source", "n_tokens", "epochs", "rest", unit, "buckets").withColumn("bucket", F.floor(F.col("u") * F.col("buckets")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("s")).select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,9 +108,10 @@ def mix(counted: DataFrame, weights: DataFrame, total: int | None = None, seed:
 
 def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, target_weight, records, uses_most, tokens, share) for every listed source: what the mix has reached."""
+    # at most one row a listed source: left to the statistics of the plan
     got = mixed.groupBy("source").agg(F.countDistinct("doc_id").alias("records"), F.max("use").alias("uses_most"), F.sum("n_tokens").alias("tokens"))
     everything = got.agg(F.sum("tokens").alias("everything"))
-    out = weights.select("source", "target_weight").distinct().join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(everything))
+    out = weights.select("source", "target_weight").distinct().join(got, "source", "left").crossJoin(F.broadcast(everything))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("records", "uses_most", "tokens")}
     return out.withColumns(zero).select("source", "target_weight", "records", "uses_most", "tokens", F.coalesce(F.col("tokens") / F.col("everything"), F.lit(0.0)).alias("share"))
 

@@ -69,11 +69,17 @@ def _narrowed(iv: DataFrame) -> DataFrame:
     return ends.withColumn("low", F.when(F.col("rank") == F.col("within"), F.col("high")).otherwise(F.col("low")))
 
 
-_SENT_ROWS = 500_000
+MOST_SENT = 32 << 20  # bytes of a table of intervals that are sent to all tasks; beyond, it is joined by shuffle, with equal rows
 
 
-def _sent(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= _SENT_ROWS else small
+def _size(small: DataFrame) -> tuple[int, int]:
+    """Rows of a table of intervals, and about how many bytes they are: their keys and ten numbers each."""
+    n, letters = small.agg(F.count("*"), F.coalesce(F.sum(F.length("kind") + F.coalesce(F.length("key"), F.lit(0))), F.lit(0))).first()
+    return n, 4 * int(letters) + 80 * n
+
+
+def _sent(small: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(small) if size <= MOST_SENT else small
 
 
 def percentiles(values: DataFrame, percents: Iterable[float], max_error: float = 0.0, summary: DataFrame | None = None) -> DataFrame:
@@ -89,17 +95,19 @@ def percentiles(values: DataFrame, percents: Iterable[float], max_error: float =
     done = [now.filter(~wide)]
     open_ = now.filter(wide)
     targets = open_.select(*KEYS, "cell").distinct()
-    n = targets.count()
+    n, size = _size(targets)
     if n:
         rows = valued(values).withColumn("cell", cell_of(F.col("v")))
         same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*KEYS, "cell")]
-        inside = rows.alias("r").join(_sent(targets, n).alias("t"), same, "left_semi")
+        inside = rows.alias("r").join(_sent(targets, size).alias("t"), same, "left_semi")
         inside = stored(inside.groupBy(*KEYS, "cell", "v").agg(F.count("*").alias("c")), "percentile_rows")
+    if n:
+        n, size = _size(open_)
     while n:
-        now = stored(_pass(inside, open_, n), "percentile_intervals")
+        now = stored(_pass(inside, open_, size), "percentile_intervals")
         done.append(now.filter(~wide))
         open_ = now.filter(wide)
-        n = open_.count()
+        n, size = _size(open_)
     out = reduce(DataFrame.unionByName, done)
     # infinite ends are resolved intervals; their mean and difference would not be numbers
     exact = F.col("low") == F.col("high")
@@ -107,11 +115,11 @@ def percentiles(values: DataFrame, percents: Iterable[float], max_error: float =
     return out.select(*KEYS, "p", "n", value.alias("value"), F.when(exact, 0.0).otherwise((F.col("high") - F.col("low")) / 2).alias("error"))
 
 
-def _pass(inside: DataFrame, open_: DataFrame, n: int) -> DataFrame:
+def _pass(inside: DataFrame, open_: DataFrame, size: int) -> DataFrame:
     """One pass: rows of each interval counted below its midpoints, and the part that holds the rank."""
     iv = open_.select(*KEYS, "cell", "p", "n", "rank", "low", "high")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"i.{c}")) for c in (*KEYS, "cell")]
-    joined = inside.alias("r").join(_sent(iv, n).alias("i"), [*same, F.col("r.v").between(F.col("i.low"), F.col("i.high"))])
+    joined = inside.alias("r").join(_sent(iv, size).alias("i"), [*same, F.col("r.v").between(F.col("i.low"), F.col("i.high"))])
     step = (F.col("i.high") - F.col("i.low")) / SECTIONS
     # a step of 0 (neighbouring numbers) leaves the two ends
     part = F.when(F.col("r.v") >= F.col("i.high"), F.lit(SECTIONS - 1)).when(step > 0, F.least(F.lit(SECTIONS - 1), F.floor((F.col("r.v") - F.col("i.low")) / F.greatest(step, F.lit(5e-324))).cast("int"))).otherwise(0)
