@@ -324,3 +324,23 @@ def test_one_large_plane(spark):
     assert len(tas) == 3 * 28 and all(math.isclose(v, 1.0) for (i, _, _), v in tas.items() if i == 1) and all(v == 0 for (i, _, _), v in tas.items() if i > 1)
     assert ob.power_rings(df, "id", "px", 1024).count() == 512
     assert ob.projected_pixels(df.select(F.lit("s").alias("s"), "px"), ["s"], "px").count() == 1024 * 1024
+
+
+def test_signed_distance_against_all_pairs():
+    rng = np.random.default_rng(4)
+    mask = rng.random((7, 9)) < 0.5
+    at = np.stack(np.meshgrid(range(7), range(9), indexing="ij"), -1).reshape(-1, 2)
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    flat = mask.ravel()
+    want = np.array([(1 if m else -1) * d[i][flat != m].min() for i, m in enumerate(flat)]).reshape(7, 9)
+    assert np.allclose(im.signed_distance(mask), want)
+    assert (im.signed_distance(np.ones((2, 3), bool)) == 5).all() and (im.signed_distance(np.zeros((2, 3), bool)) == -5).all()
+
+
+def test_shapes_between_planes(spark):
+    small, large = np.zeros((9, 9), int), np.zeros((9, 9), int)
+    small[4, 4], large[1:8, 1:8] = 1, 1
+    df = spark.createDataFrame([(1, np.stack([small, large]).ravel().tolist()), (2, None)], "id long, labels array<int>")
+    got = {r["id"]: r["labels"] for r in ob.interpolated_labels(df, "id", "labels", 9, 9, (5, 9, 9)).collect()}
+    sizes = np.array(got[1]).reshape(5, 81).sum(1)
+    assert sizes[0] == 1 and sizes[-1] == 49 and (np.diff(sizes) >= 0).all()

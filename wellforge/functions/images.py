@@ -43,6 +43,55 @@ def adjacency_shares(masks: np.ndarray, deep: bool) -> np.ndarray:
     return counts / np.maximum(counts.sum(1, keepdims=True), 1)
 
 
+def components(inside: np.ndarray) -> np.ndarray:
+    """Labels of a stack of masks (image, plane, row, column): pixels that touch along an axis share 1 + their first position."""
+    n, d, h, w = inside.shape
+    big = d * h * w + 1
+    own = np.pad(np.arange(1, big).reshape(1, d, h, w), ((0, 0), (1, 1), (1, 1), (1, 1)))
+    white = np.pad(inside, ((0, 0), (1, 1), (1, 1), (1, 1)))
+    now = np.where(white, own, big)
+    while True:
+        new = now.copy()
+        for axis in (1, 2, 3):
+            for by in (-1, 1):
+                new = np.minimum(new, np.roll(now, by, axis))
+        new = np.where(white, new, big)
+        if (new == now).all():
+            return np.where(white, now, 0)[:, 1:-1, 1:-1, 1:-1]
+        now = new
+
+
+def signed_distance(mask: np.ndarray) -> np.ndarray:
+    """For each pixel of a plane the distance to the nearest pixel of the other kind, negative outside of the mask.
+
+    Without any pixel of the other kind, rows plus columns. First along the columns, then exact over each row.
+    """
+    h, w = mask.shape
+
+    def nearest(other: np.ndarray) -> np.ndarray:
+        far = float(h + w)
+        along = np.where(other, 0.0, far)
+        for r in range(1, h):
+            along[r] = np.minimum(along[r], along[r - 1] + 1)
+        for r in range(h - 2, -1, -1):
+            along[r] = np.minimum(along[r], along[r + 1] + 1)
+        apart = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
+        return np.minimum(np.sqrt(np.stack([(apart + along[r][None, :] ** 2).min(1) for r in range(h)])), far)
+
+    return np.where(mask, nearest(~mask), -nearest(mask))
+
+
+def linear(volume: np.ndarray, to: tuple[int, int, int]) -> np.ndarray:
+    """A volume at the size `to`, corners kept, linear in between."""
+    for axis, n in enumerate(to):
+        size = volume.shape[axis]
+        at = np.arange(n) * ((size - 1) / max(n - 1, 1))
+        low = np.clip(np.floor(at).astype(int), 0, max(size - 2, 0))
+        share = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
+        volume = np.take(volume, low, axis) * (1 - share) + np.take(volume, np.minimum(low + 1, size - 1), axis) * share
+    return volume
+
+
 def feature_name(channel: str, mode: int, percent: int, neighbours: int) -> str:
     """Name of a texture feature: modes 0-2 count through 27 per percent, mode 3 has numbers from 28 and no percent."""
     return f"{channel}_TXT_TAS_{neighbours + 28}" if mode == 3 else f"{channel}_TXT_TAS_{neighbours + 9 * mode + 1}_{percent}"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellforge.functions.images import PERCENTS, adjacency_shares, feature_name, masks_of
+from wellforge.functions.images import PERCENTS, adjacency_shares, components, feature_name, linear, masks_of, signed_distance
 
 
 def pixels(images: DataFrame, id_col: str, px: str, width: int) -> DataFrame:
@@ -206,32 +206,54 @@ def resized_volume(volumes: DataFrame, id_col: str, px: str, shape: tuple[int |
     return volumes.select(F.col(id_col).alias("id"), F.col(px).alias("_x")).select("id", F.transform(grid, lambda k: grow(F.col("_x"), k)).alias("px"))
 
 
-def segment(images: DataFrame, id_col: str, px: str, width: int, threshold: float) -> DataFrame:
+def segment(images: DataFrame, id_col: str, px: str, width: int, threshold: float, height: int | None = None) -> DataFrame:
     """(id, labels): 0 for background; pixels above `threshold` that touch along rows or columns share 1 + their first position.
 
-    A classical substitute for a trained segmenter. All images of a batch are labelled together: each pass takes the smallest
-    label among neighbours, until none changes.
+    With a height the images are stacks of planes of that height, and voxels touch along the third axis too. A classical substitute
+    for a trained segmenter. All images of a batch with one size are labelled together: each pass takes the smallest label among
+    neighbours, until none changes. Null images have no labels.
     """
-    def label(batches):
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = np.stack(b["px"].to_numpy()).reshape(len(b), -1, width)
-            inside = np.pad(x > threshold, ((0, 0), (1, 1), (1, 1)))
-            big = x.shape[1] * width + 1
-            own = np.pad(np.arange(1, big).reshape(1, -1, width), ((0, 0), (1, 1), (1, 1)))
-            now = np.where(inside, own, big)
-            while True:
-                new = now.copy()
-                for axis in (1, 2):
-                    for by in (-1, 1):
-                        new = np.minimum(new, np.roll(now, by, axis))
-                new = np.where(inside, new, big)
-                if (new == now).all():
-                    break
-                now = new
-            flat = np.where(inside, now, 0)[:, 1:-1, 1:-1].reshape(len(b), -1)
-            yield pd.DataFrame({"id": b["id"], "labels": list(flat.astype("int32"))})
-
-    one = images.select(F.col(id_col).alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px"))
+            for ids, flat in _stacks(b, width * (height or 1)):
+                x = flat.reshape(len(ids), -1, height, width) if height else flat.reshape(len(ids), 1, -1, width)
+                yield pd.DataFrame({"id": ids, "labels": list(components(x > threshold).reshape(len(ids), -1).astype("int32"))})
+
+    one = images.select(F.col(id_col).cast("long").alias("id"), F.transform(px, lambda x: x.cast("double")).alias("px"))
     return one.mapInPandas(label, "id long, labels array<int>")
+
+
+def interpolated_labels(volumes: DataFrame, id_col: str, labels: str, height: int, width: int, to: tuple[int, int, int]) -> DataFrame:
+    """(id, labels): labelled stacks of planes at the size `to` (depth, rows, columns), each object's shape interpolated.
+
+    An object is the signed distance from its outline in each plane; the distances are linear between planes, rows and columns, and
+    where they are above zero is the object. Where objects overlap the higher label stays. Volumes are worked on one by one.
+    """
+
+    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, flat in _stacks(b, width * height):
+                made = []
+                for one in flat.reshape(len(ids), -1, height, width).astype("int32"):
+                    out = np.zeros(to, "int32")
+                    for k in np.unique(one[one > 0]):
+                        out[linear(np.stack([signed_distance(p == k) for p in one]), to) > 0] = k
+                    made.append(out.ravel())
+                yield pd.DataFrame({"id": ids, "labels": made})
+
+    one = volumes.select(F.col(id_col).cast("long").alias("id"), F.transform(labels, lambda x: x.cast("double")).alias("px"))
+    return one.mapInPandas(grow, "id long, labels array<int>")
+
+
+def resized_labels(volumes: DataFrame, id_col: str, labels: str, height: int, width: int, to: tuple[int, int, int]) -> DataFrame:
+    """(id, labels): labelled stacks of planes at the size `to`, each voxel with the label of the nearest of the originals."""
+    (nd, nh, nw) = to
+    place = lambda k, n, size: F.least(F.floor((k + 0.5) * size / n), size - 1)
+
+    def grow(x: Column) -> Column:
+        depth = F.floor(F.size(x) / (height * width)).cast("int")
+        at = lambda k: (place(F.floor(k / (nh * nw)), nd, depth) * height + place(F.floor(k / nw) % nh, nh, F.lit(height))) * width + place(k % nw, nw, F.lit(width))
+        return F.transform(F.sequence(F.lit(0), F.lit(nd * nh * nw - 1)), lambda k: F.get(x, at(k).cast("int")))
+
+    return volumes.select(F.col(id_col).alias("id"), grow(F.col(labels)).alias("labels"))

@@ -140,10 +140,36 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.groupBy("vec_id", "object").agg(F.count("*").alias("pixel_count"), F.max("k").alias("last"))
 
 
+def segmented_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of each stack: voxels above 0.15 that touch along an axis, named by their first voxel."""
+    s = ops.segment(volumes(spark, sf_dir), "stack", "px", WIDTH, 0.15, height=WIDTH)
+    one = s.select(F.col("id").alias("stack"), F.posexplode("labels").alias("k", "object")).filter("object > 0")
+    return one.groupBy("stack", "object").agg(F.count("*").alias("voxel_count"), F.max("k").alias("last"))
+
+
+def _labelled_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacks with the voxels above 0.1 as object 1 in the left half and object 2 in the right."""
+    label = lambda x, i: F.when(x > 0.1, F.when(i % WIDTH < WIDTH // 2, 1).otherwise(2)).otherwise(0)
+    return volumes(spark, sf_dir).select("stack", F.transform("px", label).alias("labels"))
+
+
+def interpolated_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two objects of each stack, their shapes interpolated to 15 planes: voxels of each plane and object."""
+    p = ops.interpolated_labels(_labelled_volumes(spark, sf_dir), "stack", "labels", WIDTH, WIDTH, (15, WIDTH, WIDTH))
+    one = p.select(F.col("id").alias("stack"), F.posexplode("labels").alias("k", "object")).filter("object > 0")
+    return one.groupBy("stack", F.floor(F.col("k") / 64).cast("int").alias("plane"), "object").agg(F.count("*").alias("n"), F.sum("k").alias("places"))
+
+
+def resized_label_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same objects at 4 x 16 x 4 voxels, each with the nearest label."""
+    p = ops.resized_labels(_labelled_volumes(spark, sf_dir), "stack", "labels", WIDTH, WIDTH, (4, 16, 4))
+    return p.select(F.col("id").alias("stack"), F.posexplode("labels").alias("k", "object"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        illumination, resized, segmented, tas_volume, resized_volume,
+        illumination, resized, segmented, segmented_volume, interpolated_volume, resized_label_volume, tas_volume, resized_volume,
         max_projection, gray_rescale, clip_above, image_quality, image_shapes, power_spectrum, power_slope, tas_features, bounding_boxes, object_crops, object_measures, sized_objects, mask_roundness,
     )
 } | {"tas_mode0": _tas((0,), PERCENTS), "tas_mode1": _tas((1,), PERCENTS), "tas_mode2": _tas((2,), PERCENTS), "tas_mode3": _tas((3,), ())}
@@ -191,6 +217,21 @@ SELECT x.stack, w.k, round(sum(v * (1 - abs(z - tz)) * (1 - abs(r - ty)) * (1 -
 w AS (SELECT vec_id, k, k AS root FROM o UNION SELECT b.vec_id, b.k, w.root FROM w JOIN o a ON a.vec_id = w.vec_id AND a.k = w.k JOIN o b ON b.vec_id = a.vec_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE w.root < b.k),
 m AS (SELECT vec_id, k, min(root) + 1 AS object FROM w GROUP BY 1, 2)
 SELECT vec_id, object, count(*) AS pixel_count, max(k) AS last FROM m GROUP BY 1, 2""",
+    "segmented_volume": f"""WITH RECURSIVE {_VOX}, o AS (SELECT stack, z, r, c, z * 64 + r * 8 + c AS k FROM x WHERE v > 0.15),
+w AS (SELECT stack, z, r, c, k, k AS root FROM o UNION SELECT b.stack, b.z, b.r, b.c, b.k, w.root FROM w JOIN o b ON b.stack = w.stack AND abs(w.z - b.z) + abs(w.r - b.r) + abs(w.c - b.c) = 1 WHERE w.root < b.k),
+m AS (SELECT stack, k, min(root) + 1 AS object FROM w GROUP BY 1, 2)
+SELECT stack, object, count(*) AS voxel_count, max(k) AS last FROM m GROUP BY 1, 2""",
+    "interpolated_volume": f"""WITH {_VOX}, l AS (SELECT stack, n, z, r, c, CASE WHEN v > 0.1 THEN CASE WHEN c < 4 THEN 1 ELSE 2 END ELSE 0 END AS o FROM x), q AS (SELECT unnest([1, 2]) AS object),
+s AS (SELECT a.stack, object, a.n, a.z, a.r, a.c, CASE WHEN a.o = object THEN 1 ELSE -1 END * least(coalesce(min(sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2)) FILTER (WHERE (a.o = object) <> (b.o = object)), 16), 16) AS d
+  FROM q, l a JOIN l b ON b.stack = a.stack AND b.z = a.z GROUP BY a.stack, object, a.n, a.z, a.r, a.c, a.o),
+h AS (SELECT DISTINCT stack, object FROM l JOIN q ON l.o = q.object),
+t AS (SELECT i, s.*, i * (n - 1) / 14.0::DOUBLE AS tz, greatest(least(floor(i * (n - 1) / 14.0::DOUBLE), n - 2), 0)::INT AS z0 FROM s JOIN h USING (stack, object), range(15) a(i)),
+g AS (SELECT stack, object, i, r, c, sum(d * (1 - abs(z - tz))) AS d FROM t WHERE z BETWEEN z0 AND z0 + 1 GROUP BY ALL),
+m AS (SELECT stack, i, r, c, max(object) AS object FROM g WHERE d > 0 GROUP BY ALL)
+SELECT stack, i::INT AS plane, object, count(*) AS n, sum(i * 64 + r * 8 + c)::BIGINT AS places FROM m GROUP BY ALL""",
+    "resized_label_volume": f"""WITH {_VOX}, l AS (SELECT stack, n, z, r, c, CASE WHEN v > 0.1 THEN CASE WHEN c < 4 THEN 1 ELSE 2 END ELSE 0 END AS object FROM x),
+t AS (SELECT ((i * 16 + j) * 4 + m)::INT AS k, i, floor((j + 0.5) * 8 / 16)::INT AS r, floor((m + 0.5) * 8 / 4)::INT AS c FROM range(4) a(i), range(16) b(j), range(4) d(m))
+SELECT l.stack, t.k, l.object FROM l JOIN t ON t.r = l.r AND t.c = l.c AND l.z = least(floor((t.i + 0.5) * l.n / 4), l.n - 1)""",
     "max_projection": f"WITH {_PX} SELECT label, k, round(max(v), 6) AS v FROM g GROUP BY 1, 2",
     "gray_rescale": f"WITH {_PX} SELECT id AS vec_id, k, round((least(greatest(v, -0.1), 0.2) + 0.1) / (0.2::DOUBLE - -0.1::DOUBLE) * 255, 6) AS v FROM g",
     "clip_above": f"WITH {_PX} SELECT id AS vec_id, k, round(least(v, 0.1), 6) AS v FROM g",
