@@ -118,25 +118,25 @@ class Model:
         return self.memo[look]
 
     def language(self, text: str, tokens: Iterable[str] | None = None) -> str:
-        """The script, or for Latin letters the language whose usual words the text holds."""
+        """The script, or for Latin letters the language whose usual words the text holds; with none of them, the most frequent one."""
         if name := script(text):
             return name
         if not self.languages:
             return "latin"
         held = set(text.split()) if tokens is None else tokens
         score, name = max((sum(v for w, v in usual.items() if w in held), k) for k, usual in self.languages.items())
-        return name if score else "latin"
+        return name if score else next(iter(self.languages))
 
 
 def fit_languages(sample: pd.DataFrame, words: int = 30) -> dict[str, dict[str, float]]:
-    """For each label of texts in Latin letters the words that its texts hold more often than others; labels may be wrong at times."""
+    """For each label of texts in Latin letters, the most frequent first, the words that its texts hold more often than others; labels may be wrong at times."""
     held: dict[str, Counter] = {}
     texts: Counter = Counter()
     for text, label in zip(sample["text"], sample["lang"]):
         if text and label and not script(text):
             texts[label.lower()] += 1
             held.setdefault(label.lower(), Counter()).update({w for w in text.split() if w.isalpha() and w.islower()})
-    usual = [k for k, n in texts.items() if n >= max(5, 0.01 * sum(texts.values()))]
+    usual = [k for k, n in texts.most_common() if n >= max(5, 0.01 * sum(texts.values()))]
     out = {}
     for k in usual:
         apart = {w: n / texts[k] - max((held[o][w] / texts[o] for o in usual if o != k), default=0.0) for w, n in held[k].items()}
