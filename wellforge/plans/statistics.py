@@ -194,6 +194,13 @@ round(n * ln(2 * pi() * sse / n) + 6 + n, 4) AS aic, round(n * ln(2 * pi() * sse
     "box_statistics": f"""WITH {_S}, q AS (SELECT "Group", count(*) AS n, avg(miel_distance) AS mean, stddev_samp(miel_distance) AS std, quantile_cont(miel_distance, 0.25) AS q1, quantile_cont(miel_distance, 0.5) AS q2, quantile_cont(miel_distance, 0.75) AS q3 FROM s WHERE "Group" IS NOT NULL GROUP BY 1)
 SELECT q."Group", any_value(n) AS n, round(any_value(mean), 8) AS mean, round(any_value(std), 8) AS std, round(any_value(q1), 8) AS q1, round(any_value(q2), 8) AS q2, round(any_value(q3), 8) AS q3, round(min(miel_distance), 8) AS low, round(max(miel_distance), 8) AS high
 FROM q JOIN s ON s."Group" = q."Group" AND miel_distance BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""",
+    "otsu_thresholds": f"""WITH {_C}, v AS (SELECT "{SIZE}" AS x FROM c WHERE "{SIZE}" IS NOT NULL), e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 256 AS width FROM v),
+h AS (SELECT least(floor((x - lo) / width), 255)::INT AS b, count(*) AS n FROM v, e GROUP BY 1), a AS (SELECT k, coalesce(n, 0) AS n, coalesce(n, 0) * (lo + (k + 0.5) * width) AS m FROM range(256) r(k) CROSS JOIN e LEFT JOIN h ON h.b = k),
+p AS (SELECT k + 1 AS j, sum(n) OVER (ORDER BY k) AS w, sum(m) OVER (ORDER BY k) AS m FROM a), t AS (SELECT w, m FROM p WHERE j = 256),
+g AS (SELECT p.j AS one, q.j AS two, p.m ** 2 / p.w + coalesce((q.m - p.m) ** 2 / nullif(q.w - p.w, 0), 0) + coalesce((t.m - q.m) ** 2 / nullif(t.w - q.w, 0), 0) AS gain FROM p JOIN p q ON q.j > p.j, t WHERE q.j < 256),
+b AS (SELECT one, two FROM g, (SELECT max(gain) AS most FROM g) WHERE gain >= most * (1 - 1e-11) ORDER BY two, one LIMIT 1),
+l AS (SELECT x, (x > lo + (one - 0.5) * width)::INT + (x > lo + (two - 0.5) * width)::INT AS class FROM v, e, b)
+SELECT class, count(*) AS n, round(min(x), 8) AS low, round(max(x), 8) AS high FROM l GROUP BY 1""",
     "curve_anova": f"""WITH {_C}, v AS (SELECT "Ch1_object_average_intensity" AS y, 100 * exp(2 * "Ch1_TXT_TAS_1_10") + 50 AS f FROM c WHERE "Ch1_object_average_intensity" IS NOT NULL AND "Ch1_TXT_TAS_1_10" IS NOT NULL),
 m AS (SELECT avg(y) AS m FROM v), o AS (SELECT count(*) AS n, sum(y * y) AS ss, sum(f * f) AS model, sum((y - m) ** 2) AS sst, sum((f - y) ** 2) AS sse, sum((f - m) ** 2) AS ssr FROM v, m),
 t AS (SELECT *, ssr / 2 / (sse / (n - 3)) AS f, 1 - sse / ss AS r2 FROM o),
