@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +119,38 @@ def test_links_do_not_depend_on_the_size_of_blocks(spark):
     assert results[0] == results[1] and results[0]
 
 
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        result = work()
+        return result, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_no_matrix_of_all_leaves_is_held(spark):
+    rng = np.random.default_rng(12)
+    x, centres = rng.normal(size=(300, 4)), rng.normal(size=(5000, 4))
+    summary = c.Summary(centres, np.arange(5000) // 2)
+    unique = distinct_vectors(points(spark, x))
+    placed, peak = peak_of(lambda: c.assigned(unique, summary, 0.2))
+    assert peak < 50
+    for r in placed.collect():
+        d = ((np.array(r["vec"]) - centres) ** 2).sum(1)
+        home = int(d.argmin())
+        gap = np.sqrt(((centres - centres[home]) ** 2).sum(1))
+        assert r["leaf"] == home
+        assert list(r["visits"]) == sorted(set(summary.cluster[(d - d[home] <= 0.4 * gap) & (summary.cluster > summary.cluster[home])]))
+
+
+def test_a_block_of_near_rows_costs_no_list_of_pairs():
+    n = 3000
+    rows = pd.DataFrame({"vid": np.arange(n), "vec": list(np.random.default_rng(13).normal(size=(n, 4)) * 0.01), "home": True, "sub": 0})
+    linked, peak = peak_of(lambda: c._block_links(0.7, 4)(rows))
+    assert peak < 150
+    assert list(linked["a"]) == list(range(1, n)) and set(linked["b"]) == {0}
+
+
 def test_distance_on_the_edge_counts(spark):
     x = [[0.0, 0.0], [0.7, 0.0], [1.4001, 0.0]]
     assert [tuple(r) for r in c.chained_groups(points(spark, x), 2, 0.7).collect()] == [(1, 2)]

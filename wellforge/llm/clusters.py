@@ -254,19 +254,26 @@ def assigned(unique: DataFrame, summary: Summary, radius: float) -> DataFrame:
     `radius` of that plane, which is (d(x,L)^2 - d(x,H)^2) / (2 d(H,L)) <= radius. The bound loses no pair.
     """
     centres, cluster = summary.centres, summary.cluster
-    gaps = np.sqrt(squared(centres, centres))
     dim = centres.shape[1]
+    step = max(16, 2_000_000 // len(centres))  # rows at once: some matrices of 16 MB, whatever the number of leaves
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = matrix(b["vec"], dim)
-            d = squared(x, centres)
-            home = d.argmin(1)
-            near = d - d[np.arange(len(x)), home][:, None] <= 2 * radius * gaps[home] * (1 + 1e-9) + 1e-9
-            near &= cluster[None, :] > cluster[home][:, None]
-            yield pd.DataFrame({"vid": b["vid"], "vec": b["vec"], "leaf": home, "cluster": cluster[home], "visits": [np.unique(cluster[r]) for r in near]})
+            home, visits = np.zeros(len(x), int), []
+            for s in range(0, len(x), step):
+                d = squared(x[s : s + step], centres)
+                own = home[s : s + step] = d.argmin(1)
+                d -= d[np.arange(len(own)), own][:, None]
+                # distances from the few leaves that are at home here: those of all pairs would be half a GB for 8192
+                at, row = np.unique(own, return_inverse=True)
+                most = np.sqrt(squared(centres[at], centres)) * (2 * radius * (1 + 1e-9)) + 1e-9
+                near = d <= most[row]
+                near &= cluster[None, :] > cluster[own][:, None]
+                visits += [np.unique(cluster[r]) for r in near]
+            yield pd.DataFrame({"vid": b["vid"], "vec": b["vec"], "leaf": home, "cluster": cluster[home], "visits": visits})
 
     return unique.select("vid", "vec").mapInPandas(place, "vid long, vec array<double>, leaf long, cluster long, visits array<long>")
 
@@ -287,16 +294,15 @@ def _block_links(radius: float, dim: int):
             near[rows] = ok
         # two visitors are compared where one of them is at home
         near &= home[:, None] | home[None, :]
-        label = np.arange(n)
-        i, j = np.nonzero(near)
-        rows_with, start = np.unique(i, return_index=True)
-        while len(j):  # smallest row within reach, with pointer jumping
-            new = label.copy()
-            new[rows_with] = np.minimum(new[rows_with], np.minimum.reduceat(label[j], start))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        np.fill_diagonal(near, False)
+        label, free = np.arange(n), near.any(1)
+        for first in range(n):  # every row is reached once, so a block of equal rows costs no list of its pairs
+            if not free[first]:
+                continue
+            free[first], at = False, np.array([first])
+            while len(at):
+                at = np.flatnonzero(near[at].any(0) & free)
+                free[at], label[at] = False, first
         joined = label != np.arange(n)
         return pd.DataFrame({"a": vid[joined], "b": vid[label[joined]]})
 
