@@ -51,6 +51,26 @@ def test_factor_one_is_exact(spark, shard):
     assert got == brute(list(range(1, len(x) + 1)), x, 5)
 
 
+@pytest.mark.parametrize("wave", [1, 4])
+def test_shards_one_group_after_another_are_exact(spark, wave):
+    x = np.random.default_rng(14).normal(size=(400, 6))
+    assert found(n.nearest(points(spark, x), 6, 5, shard_rows=10, sample_rows=400, wave=wave)) == brute(list(range(1, 401)), x, 5)
+
+
+def test_more_rows_make_larger_shards_before_more_of_them():
+    assert [n._shards(r, 16384) for r in (0, 16384, 16385, 97_818, 131_072, 500_000, 3_000_000)] == [1, 1, 2, 6, 8, 8, 32]
+    assert n.waves({0: 5, 1: 5, 2: 1, 3: 20, 4: 2}, 11) == [[0, 1, 2], [3], [4]]
+
+
+def test_repeated_vectors_visit_no_other_shard(spark, monkeypatch):
+    loads = []
+    monkeypatch.setattr(n, "waves", lambda load, most: loads.append(load) or [])
+    x = np.random.default_rng(15).normal(size=(100, 6))
+    got = found(n.nearest(points(spark, np.repeat(x, 6, 0)), 6, 5, shard_rows=20, sample_rows=100))
+    assert sum(loads[0].values()) < 50  # vectors that lie on the edge of shards
+    assert got == brute(list(range(1, 601)), np.repeat(x, 6, 0), 5)
+
+
 def test_relaxed_search_has_a_recall_of_nine_tenths(spark):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(20, 8)) * 3

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from wellforge.llm.vectors import distinct_vectors, matrix, squared
 from wellforge.session import stored
 
+VISITORS = 131_072  # of one task
+
 SLACK = 1 + 1e-9  # distances come from matrix products; the ball is widened by far more than their rounding
 
 
@@ -134,6 +136,7 @@ class Best:
             at, d = at[closer], d[closer]
         if not len(at):
             return
+        d = np.maximum(d, 0)
         if d.shape[1] > keep:
             part = np.argpartition(d, keep - 1, axis=1)[:, :keep]
             d, cand = np.take_along_axis(d, part, 1), rows[part]
@@ -157,9 +160,10 @@ def search(tree: VpNode, data: np.ndarray, q: np.ndarray, k: int, keep: int, rel
         if not len(at):
             return
         if node.rows is not None:
-            for s in range(0, len(at), 2048):
-                part = at[s : s + 2048]
-                best.offer(part, np.maximum(left[part] @ right[node.rows].T, 0), node.rows)
+            points = right[node.rows].T
+            for s in range(0, len(at), 512):
+                part = at[s : s + 512]
+                best.offer(part, left[part] @ points, node.rows)
             return
         gap = np.sqrt(squared(node.point[None], q[at])[0]) - node.radius
         for first, second, sign in ((node.near, node.far, -1.0), (node.far, node.near, 1.0)):
@@ -225,18 +229,39 @@ def ranked(tree: VpNode, data: np.ndarray, ids: list[np.ndarray], q: np.ndarray,
     return distances, neighbours
 
 
-def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_rows: int = 16384, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def _shards(rows: int, shard_rows: int) -> int:
+    """How many shards: one for `shard_rows` rows, beyond eight of them a power of two with at least four times as many rows each."""
+    want = max(1, -(-rows // shard_rows))
+    return want if want <= 8 else max(8, 1 << (max(1, rows // (4 * shard_rows)).bit_length() - 1))
+
+
+def waves(load: dict[int, int], most: int) -> list[list[int]]:
+    """The shards in groups with at most `most` visitors in all, or of one shard."""
+    out, inside = [], 0
+    for shard, visitors in sorted(load.items()):
+        if not out or inside + visitors > most:
+            out.append([])
+            inside = 0
+        out[-1].append(shard)
+        inside += visitors
+    return out
+
+
+def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_rows: int = 16384, sample_rows: int = 20_000, seed: int = 7, wave: int = 4) -> DataFrame:
     """(id, neighbour, distance): for each row of `points` (id, vec) its k nearest other rows, equal distances by id.
 
     Equal vectors are searched once: a vector comes with its k+1 smallest ids, which are all that can be among anyone's k
     nearest. However many rows lie at the k-th distance, the smallest ids come out. Fewer than k+1 rows in all give fewer neighbours; no rows give none.
-    `sample_rows` bounds the rows on which the routing tree is fitted; every row is indexed and searched. A shard that many
-    balls reach is searched by several tasks, each with at most 65,536 visitors.
+    `sample_rows` bounds the rows on which the routing tree is fitted; every row is indexed and searched. Rows far from all others
+    reach most shards, so each is sent as many times as there are shards: beyond eight of them, shards grow to at least four and less than eight
+    times `shard_rows` before there are more. A shard that many balls reach is searched by several tasks, each with about
+    `VISITORS` visitors; beyond `wave` visitors for each vector the shards are searched one group after another, and the
+    shuffled rows of a group are dropped when its neighbours are stored.
     """
     spark = points.sparkSession
     unique = stored(distinct_vectors(points, k + 1), "vectors")
     n = unique.count()
-    want = max(1, -(-n // shard_rows))
+    want = _shards(n, shard_rows)
     fraction = min(1.0, 1.3 * sample_rows / max(n, 1))
     sample = unique.select("vec").sample(fraction, seed).limit(sample_rows).toPandas() if want > 1 else None
     fitted = matrix(sample["vec"], dim) if sample is not None else np.empty((0, dim))
@@ -256,37 +281,38 @@ def nearest(points: DataFrame, dim: int, k: int = 5, relax: float = 1.0, shard_r
         data, ids = matrix(g["vec"], dim), [np.asarray(x) for x in g["ids"]]
         own = build(data, 1024, np.random.default_rng(seed))
         best = search(own, data, data, min(k + 1, keep), keep, relax, None)
-        # the ball only counts on k other vectors; with fewer in the shard it is unbounded
-        ball = np.sqrt(best.d[:, k])
-        ball[~np.isfinite(ball)] = 1e18
+        near_d, near_id = ranked(own, data, ids, data, best, k + 1)
+        # the ball holds k + 1 ids, its own and those of equal vectors counted; with fewer in the shard it is unbounded
+        ball = np.array([d[k] if len(d) > k else 1e18 for d in near_d])
         visits = reach(tree, data, ball, relax)
         home = int(g["shard"].iloc[0])
-        near_d, near_id = ranked(own, data, ids, data, best, k + 1)
-        return pd.DataFrame({"vid": g["vid"], "vec": g["vec"], "ball": ball, "visits": [v[v != home] for v in visits], "near_d": near_d, "near_id": near_id})
+        return pd.DataFrame({"vid": g["vid"], "vec": g["vec"], "ids": g["ids"], "shard": home, "ball": ball, "visits": [v[v != home] for v in visits], "near_d": near_d, "near_id": near_id})
 
-    first = stored(placed.groupBy("shard").applyInPandas(at_home, "vid long, vec array<double>, ball double, visits array<long>, near_d array<double>, near_id array<long>"), "home_neighbours")
+    first = stored(placed.groupBy("shard").applyInPandas(at_home, "vid long, vec array<double>, ids array<long>, shard long, ball double, visits array<long>, near_d array<double>, near_id array<long>"), "home_neighbours")
     found = first.select("vid", "near_d", "near_id")
     if shards > 1:
-        visitors = first.select("vid", "vec", "ball", F.explode("visits").alias("shard"))
+        visitors = first.select(F.col("vid").alias("guest"), F.col("vec").alias("q"), "ball", F.explode("visits").alias("shard"))
         load = {r["shard"]: r["n"] for r in visitors.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        parts = spark.createDataFrame([(s, -(-m // 65536)) for s, m in load.items()], "shard long, parts long")
-        visitors = visitors.join(F.broadcast(parts), "shard").withColumn("part", F.pmod("vid", "parts"))
-        members = placed.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
         def abroad(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(m) or not len(v):
                 return pd.DataFrame({"vid": pd.Series([], dtype="int64"), "near_d": pd.Series([], dtype=object), "near_id": pd.Series([], dtype=object)})
-            data, q, ids = matrix(m["vec"], dim), matrix(v["vec"], dim), [np.asarray(x) for x in m["ids"]]
+            data, q, ids = matrix(m["vec"], dim), matrix(v["q"], dim), [np.asarray(x) for x in m["ids"]]
             own = build(data, 1024, np.random.default_rng(seed))
             best = search(own, data, q, k, keep, relax, v["ball"].to_numpy())
             best.d[best.d > best.cap[:, None]] = np.inf
             some = np.isfinite(best.d[:, 0])
             best.d, best.i, best.cap = best.d[some], best.i[some], best.cap[some]
             near_d, near_id = ranked(own, data, ids, q[some], best, k + 1)
-            return pd.DataFrame({"vid": v["vid"].to_numpy()[some], "near_d": near_d, "near_id": near_id})
+            return pd.DataFrame({"vid": v["guest"].to_numpy()[some], "near_d": near_d, "near_id": near_id})
 
         keys = ["shard", "part"]
-        found = found.unionByName(members.select(*keys, "vec", "ids").groupBy(*keys).cogroup(visitors.select(*keys, "vid", "vec", "ball").groupBy(*keys)).applyInPandas(abroad, found_type))
+        for group in waves(load, wave * n):
+            parts = spark.createDataFrame([(s, -(-load[s] // VISITORS)) for s in group], "shard long, parts long")
+            guests = visitors.join(F.broadcast(parts), "shard").withColumn("part", F.pmod("guest", "parts"))
+            members = first.select(F.col("shard").alias("shard"), F.col("vec").alias("vec"), F.col("ids").alias("ids")).join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            searched = members.select(*keys, "vec", "ids").groupBy(*keys).cogroup(guests.select(*keys, "guest", "q", "ball").groupBy(*keys)).applyInPandas(abroad, found_type)
+            found = found.unionByName(stored(searched, "visited_neighbours"))
     # at most k + 1 entries a shard visited
     lists = found.select("vid", F.arrays_zip(F.col("near_d").alias("d"), F.col("near_id").alias("id")).alias("near"))
     merged = lists.groupBy("vid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))

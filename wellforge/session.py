@@ -90,9 +90,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: for tables that several later scans share."""
+    """Write to the shared folder and read back: for tables that several later scans share. What was shuffled for it is dropped."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with conf(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
