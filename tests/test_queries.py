@@ -29,3 +29,9 @@ def test_every_placed_cell_is_in_a_part(spark, sf):
     from wellforge.plans.tables import placed_cells
 
     assert QUERIES["split_by_every_tissue"](spark, sf).count() == placed_cells(spark, sf).count()
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_medians_are_those_of_the_sql_to_the_last_digit(spark, folder):
+    rows = {tuple(r) for r in QUERIES["aggregate_median"](spark, folder).collect()}
+    assert rows == set(connect(folder).execute(ORACLES["aggregate_median"]).fetchall())

@@ -70,7 +70,9 @@ def group_quantiles(df: DataFrame, by: Sequence[str], column: str, percents: Seq
     run = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "p", "_piece").orderBy("_x")))
     first = lambda rank: F.min(F.when((F.col("_upto") > F.col(rank)) & (F.col("_before") <= F.col(rank)), F.col("_x")))
     ends = run.groupBy(*by, "p", "_r", "_low").agg(first("_low").alias("_u"), first("_high").alias("_v"))
-    return ends.select(*by, "p", (F.col("_u") + (F.col("_v") - F.col("_u")) * (F.col("_r") - F.col("_low"))).alias("value"))
+    # weighted ends: the middle of two values is then rounded once, and an end alone stays as it is
+    share = F.col("_r") - F.col("_low")
+    return ends.select(*by, "p", F.when(share == 0, F.col("_u")).otherwise(F.col("_u") * (1 - share) + F.col("_v") * share).alias("value"))
 
 
 def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -65,7 +65,9 @@ def aggregate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aggregate_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.aggregate(table(spark, sf_dir, "cells"), ["WellIndex"], "median", CELL_VALUES), *CELL_VALUES)
+    medians = ops.aggregate(table(spark, sf_dir, "cells"), ["WellIndex"], "median", CELL_VALUES)
+    # middles of values with six decimals end in a five: they are rounded as binary numbers, not by their decimal text
+    return medians.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in CELL_VALUES})
 
 
 def placed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
