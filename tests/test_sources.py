@@ -48,6 +48,17 @@ def test_quality_files(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1002, 1, 2, 1, 0.5)]
 
 
+def test_quality_rows_with_nan_alone_stay_as_in_the_sql(spark, tmp_path):
+    import duckdb
+    from oracle import connect
+
+    from wellforge.plans.files import ORACLES, QUERIES
+
+    duckdb.sql("SELECT * FROM (VALUES (1001::INT, 1::INT, 1::INT, 1::INT, 'nan'::DOUBLE, NULL::DOUBLE, NULL::DOUBLE), (1002, 1, 2, 1, NULL, NULL, NULL), (1003, 1, 3, 1, 0.25, 'nan', NULL)) t(\"WellIndex\", \"row\", \"column\", \"FOV\", ch1_percent_max, ch1_percent_median2sd, ch1_loglog_slope)").write_parquet(str(tmp_path / "imageqc.parquet"))
+    got = sorted(repr(tuple(r)) for r in QUERIES["quality_files"](spark, str(tmp_path)).collect())
+    assert got == sorted(map(repr, connect(str(tmp_path)).execute(ORACLES["quality_files"]).fetchall())) and len(got) == 2
+
+
 def test_segmentation_and_csv(spark, tmp_path):
     keys = [F.lit(1001).alias("WellIndex"), F.lit(1).alias("FOV")]
     one = spark.range(4).select("id", *keys)

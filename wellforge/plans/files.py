@@ -39,7 +39,7 @@ def quality_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["WellIndex", "row", "column", "FOV", "ch1_percent_max", "ch1_percent_median2sd", "ch1_loglog_slope"]
     path = _many_files(table(spark, sf_dir, "imageqc").select(*columns), "imageqc", 50, "csv")
     schema = "WellIndex int, row int, column int, FOV int, ch1_percent_max double, ch1_percent_median2sd double, ch1_loglog_slope double"
-    rows = src.read_quality(spark, path, schema, "*.csv")
+    rows = src.read_quality(spark, path, schema, "*.csv", nan_counts=True)
     return rows.select(*columns[:4], *(F.round(c, 6).alias(c) for c in columns[4:]))
 
 

@@ -17,11 +17,16 @@ def write_features(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def read_quality(spark: SparkSession, path: str, schema: str, glob: str = "*imageqc*") -> DataFrame:
-    """All CSV quality files below `path`, without rows that hold only keys, in the order of the keys."""
+def read_quality(spark: SparkSession, path: str, schema: str, glob: str = "*imageqc*", nan_counts: bool = False) -> DataFrame:
+    """All CSV quality files below `path`, without rows that hold only keys, in the order of the keys.
+
+    NaN is no value, like null; with `nan_counts` a row that has it stays, as in SQL.
+    """
     keys = ["WellIndex", "row", "column", "FOV"]
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).schema(schema).csv(path)
-    return rows.na.drop("all", subset=[c for c in rows.columns if c not in keys]).orderBy(*keys)
+    values = [c for c in rows.columns if c not in keys]
+    kept = rows.filter(F.greatest(*(F.col(c).isNotNull() for c in values), F.lit(False))) if nan_counts else rows.na.drop("all", subset=values)
+    return kept.orderBy(*keys)
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = True) -> None:
