@@ -157,3 +157,68 @@ def test_numbers_in_wide_digits_and_thai_claims_in_line(model):
 def test_stray_words_of_rough_translation_stay_with_the_sentence_before(model):
     parts = ["The ring is warm and the coil of it is cold. 的", "The plate is cold. cold.", "sealed sensors came here."]
     assert units(" ".join(parts), model) == parts
+
+
+def test_number_signs_that_are_no_decimal_digits(model):
+    parts = ["The plate has an area of 5 m².", "It is shown under ①.", "It is warm."]
+    assert units(" ".join(parts), model) == parts
+
+
+def test_work_of_splitting_and_counting_is_bounded(spark, model):
+    """Calls of functions are counted, as times differ from run to run: at most 0.9 and 0.25 for each character."""
+    import sys
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r["text"]]
+    size = sum(map(len, texts))
+
+    def calls(work):
+        seen = 0
+
+        def count(frame, event, arg):
+            nonlocal seen
+            seen += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            work()
+        finally:
+            sys.setprofile(None)
+        return seen / size
+
+    def counts():
+        held = s.defaultdict(s.Counter)
+        for t in texts:
+            s._gather(t, model, held)
+        s._counts(held)
+
+    calls(lambda: [s.split(t, model) for t in texts])  # from here on, the words are known
+    assert calls(lambda: [s.split(t, model) for t in texts]) < 0.9
+    assert calls(counts) < 0.25
+
+
+def test_quotations_are_looked_at_where_they_stand(model):
+    """A text is not copied up to each of its quotations: the characters copied grow with the text, not with its square."""
+
+    class Text(str):
+        copied = 0
+
+        def __getitem__(self, at):
+            part = str.__getitem__(self, at)
+            Text.copied += len(part)
+            return part
+
+    copied = []
+    for n in (500, 2000):
+        text, Text.copied = Text("He says “It is warm.” It is shut. " * n), 0
+        s.split(text, model)
+        copied.append(Text.copied)
+    assert copied[1] < 5 * copied[0]
+
+
+def test_words_are_counted_once_over_all_texts(model):
+    held = s.defaultdict(s.Counter)
+    for t in ("The ring is warm. The coil, e.g. this one, is cold.", "The ring is warm. It is shut, see fig. 3 here.\n\nThe end"):
+        s._gather(t, model, held)
+    seen = s._counts(held)
+    assert seen["word", "en", "ring"] == 2 and seen["ends", "en", "warm"] == 2 and seen["dot", "en", "g"] == 1 and seen["dot", "en", "fig"] == 1
+    assert seen["inside", "en", "The"] == 4 and seen["start", "en", "The"] == 3 and seen["alone", "", "The end"] == 1 and seen["begins", "", "The"] == 3

@@ -19,10 +19,11 @@ import math
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cache
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -41,37 +42,51 @@ DAMAGED = (("â€œ", "“¨¨"), ("â€ž", "„¨¨"), ("â€\x9d", "””
 WIDE = "。！？．｡"
 STOPS = ".!?…।॥|؟" + WIDE
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_SCRIPTS = (("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ko", re.compile("[가-힯ᄀ-ᇿ]")), ("ru", re.compile("[а-яА-ЯёЁ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
-_OTHER = re.compile("[^\x00-ɏ\u2000-\u206f]")
+#: Scripts with the first and last letters of their ranges; every character's class is 0 (Latin, general signs), 1 (other) or a script's place from 2 on.
+_SCRIPTS = (("th", "฀๿"), ("hi", "ऀॿ"), ("ko", "가힯ᄀᇿ"), ("ru", "аяАЯёёЁЁ"), ("ja", "぀ヿ"), ("zh", "㐀鿿"))
+_CLASSES = np.ones(1 << 16, np.uint8)
+_CLASSES[:0x250] = _CLASSES[0x2000:0x2070] = 0
+for _k, (_, _ends) in enumerate(_SCRIPTS, 2):
+    for _a, _b in zip(_ends[::2], _ends[1::2]):
+        _CLASSES[ord(_a) : ord(_b) + 1] = _k
 _CAPITAL = re.compile(r"[A-ZÀ-ÞА-ЯЁ][^\W\d_]*")
 _SIGNS = ".!?,;:()[]“”„«»\"'"
 _DEVANAGARI = re.compile("[ऀ-ॣ]+$")
 _MARK = re.compile(r"[\[\](){}（）［］【】〔〕「」『』《》〈〉«»“”„‹›\"]")
+_PAIRED = re.compile(_MARK.pattern + "(?:" + "|".join(rf"(?<=\{a})[^{_MARK.pattern[1:-1]}\n]*\{b}" for a, b in ("()", "[]", "（）", "「」")) + ")?")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _END = re.compile(r"[" + re.escape(STOPS) + r"](?!(?<=\d\.)\d|(?<=\.)[a-z]\.)[" + re.escape(STOPS) + r"]*(?:\s?[»]|[\"”“»」』）)\]】］›])*")
 _LABEL = re.compile(r"(?<![^\s。．.!?|।」）)])(?:\[\s*(\w+)\s+(\d{1,4})\s*\]|【([^\d\s】]{1,6})(\d{1,4})】|(\d{1,4})\s?(\.\s?[-–]|\.|\)|、|．))(?=\s|[^\W\d])")
-_FIRST_LABEL = re.compile(r"(?:^|\n)[^\S\n]*(\[\s*\w+\s+0*1\s*\]|【[^\d\s】]{1,6}0*1】|0*1\s?(?:\.|\)|、|．))")
+_FIRST_LABEL = re.compile(r"[^\S\n]*(\[\s*\w+\s+0*1\s*\]|【[^\d\s】]{1,6}0*1】|0*1\s?(?:\.|\)|、|．))")
+_FIRST_LABEL_LINE = re.compile(r"\n" + _FIRST_LABEL.pattern)
 _GOES_ON = re.compile(r"\.(?=[^\S\n]?(?:[a-zà-ÿа-яё,ऀ-ॿ฀-๿]|\d++(?!\s?(?:\.[\s-]|\)))))")
 _NUMBER = re.compile(r"\d[\d.,  ]*$")
+_PLACE = re.compile(f"({_END.pattern})\\s*([^\\W\\d_]*)")
 _WORD_AFTER = re.compile(r"[^\W\d_]+")
 _FOREIGN = re.compile(r"[぀-ヿ㐀-鿿]{1,3}(?=\s|$)")
 _GAP = re.compile(r"\s+")
+_TOKEN = re.compile(r"\S+")
+_DIGITS = re.compile(r"\d+")
 _NUMBERED = re.compile(r"\[\d+\]\s*$|^\[\d+\]")
-_NUMBERED_LINE = re.compile(r"(?<=\n)[^\S\n]*\[\d+\]\s")
+_NUMBERED_LINE = re.compile(r"\n(?=[^\S\n]*\[\d+\]\s)")
 _LABELLED = re.compile(r"(?:^|\n)[^\S\n]*\d+\s?$")
 _ACRONYM = re.compile(r"[A-ZА-Я]\.[A-ZА-Я]$")
 
 MOST_FORM = 200  # a longer line is no heading
-MOST_KEPT = 200_000  # words whose kinds a worker remembers
+MOST_KEPT = 30_000  # words of a language whose kinds a worker remembers
+MOST_COUNTED, MOST_READ = 300_000, 20_000_000  # different tokens, and characters read, after which a worker hands on its counts
 
 
 def script(text: str) -> str | None:
     """The script of most letters; None for Latin ones and for text without letters."""
-    if not text.isascii() and len(_OTHER.findall(text)) > 0.08 * len(text):
-        for name, letters in _SCRIPTS:
-            n = len(letters.findall(text))
-            if n > (0.08 if name == "ja" else 0.15) * len(text):
-                return name
+    # every other character has a byte more than Latin letters without accents, so few of these tell without a look at each
+    if not text.isascii() and len(text.encode("utf-8", "surrogatepass")) - len(text) > 0.08 * len(text):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        common, _, *letters = np.bincount(_CLASSES[np.minimum(codes, 0xFFFF)], minlength=2 + len(_SCRIPTS)).tolist()
+        if len(text) - common > 0.08 * len(text):
+            for (name, _), n in zip(_SCRIPTS, letters):
+                if n > (0.08 if name == "ja" else 0.15) * len(text):
+                    return name
     return None
 
 
@@ -89,42 +104,48 @@ class Model:
     moves: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
 
     memo: dict[tuple[str, ...], float] = field(default_factory=dict, init=False, repr=False, compare=False)
-    lasts: dict[tuple[str, str], tuple[str, str]] = field(default_factory=dict, init=False, repr=False, compare=False)
-    nexts: dict[tuple[str, str], str] = field(default_factory=dict, init=False, repr=False, compare=False)
+    tails: dict[tuple[str, bool], dict[str, tuple[str, str, str]]] = field(default_factory=lambda: defaultdict(dict), init=False, repr=False, compare=False)
+    nexts: dict[str, dict[str, tuple[str, str]]] = field(default_factory=lambda: defaultdict(dict), init=False, repr=False, compare=False)
+    usual: set[str] = field(default_factory=set, init=False, repr=False, compare=False)
 
     def last_word(self, lang: str, word: str) -> tuple[str, str]:
         """How often the word before a stop is an abbreviation, and how often it has a stop at all."""
         key = (lang, word)
-        if key not in self.lasts:
-            if len(self.lasts) > MOST_KEPT:
-                self.lasts.clear()
-            either = (self.abbreviation.get(key, self.abbreviation.get(("", word))), self.stopped.get(key, self.stopped.get(("", word))))
-            self.lasts[key] = _bucket(either[0], (-3.0, -1.5, -0.5, 0.5, 2.0)), _bucket(either[1], (0.1, 0.3, 0.7, 0.95))
-        return self.lasts[key]
-
-    def next_word(self, lang: str, word: str) -> str:
-        """How often the word after a stop begins paragraphs."""
-        key = (lang, word)
-        if key not in self.nexts:
-            if len(self.nexts) > MOST_KEPT:
-                self.nexts.clear()
-            self.nexts[key] = _bucket(self.starter.get(key, self.starter.get(("", word))), (-1.5, 0.0, 1.5))
-        return self.nexts[key]
+        either = (self.abbreviation.get(key, self.abbreviation.get(("", word))), self.stopped.get(key, self.stopped.get(("", word))))
+        return _bucket(either[0], (-3.0, -1.5, -0.5, 0.5, 2.0)), _bucket(either[1], (0.1, 0.3, 0.7, 0.95))
+
+    def tail(self, lang: str, dot: bool, token: str) -> tuple[str, str, str]:
+        """The form of the last word of a token before a stop, and, before a dot, what `last_word` says of it; kept for the next time."""
+        known = self.tails[lang, dot]
+        if len(known) > MOST_KEPT:
+            known.clear()
+        return known.setdefault(token, _tail(token, lang, dot, self))
+
+    def next_word(self, lang: str, word: str) -> tuple[str, str]:
+        """How often the word after a stop begins paragraphs, and its form; kept for the next time."""
+        key, known = (lang, word), self.nexts[lang]
+        if len(known) > MOST_KEPT:
+            known.clear()
+        shape = "1" if len(word) == 1 else "X" if word.isupper() else "Xx" if word[0].isupper() else "x"
+        return known.setdefault(word, (_bucket(self.starter.get(key, self.starter.get(("", word))), (-1.5, 0.0, 1.5)), shape))
 
     def weight(self, look: tuple[str, ...]) -> float:
-        """The log odds of a boundary at a place of this look."""
-        if look not in self.memo:
-            self.memo[look] = sum(self.weights.get(f, 0.0) for f in _features(look)) + self.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
-        return self.memo[look]
+        """The log odds of a boundary at a place of this look, within LIMIT."""
+        if (known := self.memo.get(look)) is None:
+            odds = sum(self.weights.get(f, 0.0) for f in _features(look)) + self.weights.get("gap" if look[0] == "gap" else "stop", 0.0)
+            known = self.memo[look] = max(-LIMIT, min(LIMIT, odds))
+        return known
 
-    def language(self, text: str, tokens: Iterable[str] | None = None) -> str:
+    def language(self, text: str, words: list[str] | None = None) -> str:
         """The script, or for Latin letters the language whose usual words the text holds; with none of them, the most frequent one."""
         if name := script(text):
             return name
         if not self.languages:
             return "latin"
-        held = set(text.split()) if tokens is None else tokens
-        score, name = max((sum(v for w, v in usual.items() if w in held), k) for k, usual in self.languages.items())
+        if not self.usual:
+            self.usual.update(*self.languages.values())
+        holds = self.usual.intersection(text.split() if words is None else words).__contains__
+        score, name = max((sum(compress(usual.values(), map(holds, usual))), k) for k, usual in self.languages.items())
         return name if score else next(iter(self.languages))
 
 
@@ -150,7 +171,7 @@ def _line(text: str, at: int) -> str:
 
 
 def _heading_form(line: str) -> str:
-    return re.sub(r"\d+", "9", " ".join(line.split()))
+    return _DIGITS.sub("9", " ".join(line.split()))
 
 
 def _char_class(c: str) -> str:
@@ -174,39 +195,53 @@ def _last_word(before: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFC", word)
 
 
-def _counts(text: str, languages: Model) -> Iterator[tuple[tuple[str, str, str], int]]:
-    """Observations of one document: ((kind, language, what), how often)."""
-    tokens = Counter(text.split())
-    lang = languages.language(text, tokens)
-    for m in _GOES_ON.finditer(text):
-        if 0 < len(last := _last_word(text[max(0, m.start() - 8) : m.start()])) <= 6:
-            yield ("dot", lang, last.lower()), 1
-    for token, n in tokens.items():
-        bare = token
-        if not token.isalpha():
-            bare = token.strip(_SIGNS)  # stripped of its signs
-            if not bare.isascii():
-                bare = unicodedata.normalize("NFC", bare)
-            if not bare.isalpha() and not (lang == "hi" and _DEVANAGARI.match(bare)):
-                continue
-        if len(bare) <= 6:
-            small = bare.lower()
-            yield ("word", lang, small), n
-            if token[-1] == ".":
-                yield ("ends", lang, small), n
-        if bare[0].isupper() and len(bare) <= 32:
-            yield ("inside", lang, bare), n
+def _gather(text: str, languages: Model, held: defaultdict[tuple[str, str], Counter]) -> None:
+    """Adds one document to the counts of tokens, words before a dot, words, lines and capitals that begin paragraphs, by (what, language)."""
+    words = text.split()
+    lang = languages.language(text, words)
+    held["token", lang].update(words)
+    held["dot", lang].update([text[max(0, m.start() - 8) : m.start()].rpartition(" ")[2] for m in _GOES_ON.finditer(text)])
+    alone, begins, starts = held["alone", ""], held["begins", ""], held["start", lang]
     for s in (0, *(m.end() for m in _PARAGRAPH.finditer(text))):
         line = _line(text, s)
-        form = _heading_form(line) if 0 < len(line) <= MOST_FORM else ""
-        if form and form[-1] not in STOPS + ",;":
-            yield ("alone", "", form), 1
-        if (word := re.match(r"\S+", text[s : s + 25])) and word.end() < 25:
-            yield ("begins", "", re.sub(r"\d+", "9", word.group())), 1
+        tip = line.rstrip()[-1:] if len(line) <= MOST_FORM else ""
+        if tip and tip not in STOPS + ",;":
+            alone[_heading_form(line)] += 1
+        if (word := _TOKEN.match(text, s, s + 25)) and word.end() < s + 25:
+            begins[word.group()] += 1
         skip = s + len(line) + 1  # the word after a heading begins a sentence as well
-        for at in (s, skip) if form and skip < len(text) else (s,):
+        for at in (s, skip) if tip and skip < len(text) else (s,):
             if first := _CAPITAL.match(text, at):
-                yield ("start", lang, first.group()), 1
+                starts[first.group()] += 1
+
+
+def _counts(held: dict[tuple[str, str], Counter]) -> dict[tuple[str, str, str], int]:
+    """(kind, language, what) -> how often, of what `_gather` has counted: each different token is looked at once."""
+    seen: defaultdict[tuple[str, str, str], int] = defaultdict(int)
+    for (what, lang), counted in held.items():
+        for token, n in counted.items():
+            if what == "dot":
+                if 0 < len(last := _last_word(token)) <= 6:
+                    seen["dot", lang, last.lower()] += n
+            elif what != "token":
+                seen[what, lang, _DIGITS.sub("9", token) if what == "begins" else token] += n
+            else:
+                bare = token
+                if not token.isalpha():
+                    bare = token.strip(_SIGNS)  # stripped of its signs
+                    if not bare.isascii():
+                        bare = unicodedata.normalize("NFC", bare)
+                    if not bare.isalpha() and not (lang == "hi" and _DEVANAGARI.match(bare)):
+                        continue
+                if len(bare) <= 6:
+                    small = bare.lower()
+                    seen["word", lang, small] += n
+                    if token[-1] == ".":
+                        seen["ends", lang, small] += n
+                if bare[0].isupper() and len(bare) <= 32:
+                    seen["inside", lang, bare] += n
+    return seen
+
 
 def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5, fit_documents: int = 6000) -> Model:
     """The model of a table (text, and lang if there is such a column). Null and empty texts are passed over.
@@ -226,16 +261,21 @@ def learn(documents: DataFrame, min_count: int = 3, min_share: float = 5e-5, fit
     known = sc.broadcast(Model({}, {}, {}, frozenset(), frozenset(), languages, {}))
 
     def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, str, str], int] = {}
+        def frame() -> pd.DataFrame:
+            seen = {("documents", "", ""): count} | _counts(held)
+            return pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
+
+        held: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
+        count = read = 0
         for b in batches:
-            seen["documents", "", ""] = seen.get(("documents", "", ""), 0) + len(b)
+            count += len(b)
             for text in b["text"]:
-                for k, n in _counts(text, known.value):
-                    seen[k] = seen.get(k, 0) + n
-            if len(seen) > 300_000:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
-                seen = {}
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["kind", "a", "b", "n"])
+                _gather(text, known.value, held)
+                read += len(text)
+            if read > MOST_READ or sum(map(len, held.values())) > MOST_COUNTED:
+                yield frame()
+                held, count, read = defaultdict(Counter), 0, 0
+        yield frame()
 
     rows = texts.select("text").mapInPandas(observe, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     rows = stored(rows, "sentence_counts")
@@ -378,23 +418,28 @@ def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []
     edge = iter([*edges, len(text) + 1])
     limit = next(edge)
-    for m in _MARK.finditer(text):
+    for m in _PAIRED.finditer(text):
         c, p = m.group(), m.start()
+        if len(c) > 1:  # a pair with no mark inside
+            out.append(m.span())
+            continue
         while p >= limit:
             stack, limit = [], next(edge)
+        if c not in CLOSE:
+            stack.append((c, p))
+            continue
         if c == '"':
             found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
         elif c == "“" and not any(s[0] == "„" for s in stack):
             found = None
-        elif c in CLOSE:
+        elif stack and PAIRS.get(stack[-1][0]) == c:
+            found = len(stack) - 1
+        else:
             found = next((k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == c or (c == "”" and stack[k][0] == "„")), None)
             if found is None:
                 continue
-        else:
-            found = None
         if found is None:
-            if c in PAIRS or c == '"':
-                stack.append((c, p))
+            stack.append((c, p))
             continue
         out.append((stack[found][1], p + 1))
         del stack[found:]
@@ -408,53 +453,70 @@ def _spans(text: str, edges: list[int]) -> list[tuple[int, int]]:
 
 def _claims(text: str, sure: set[int]) -> dict[int, int]:
     """Start -> number of the claims: the last run of labels 1, 2, 3 ... whose first begins a paragraph or line."""
-    if not (first := _FIRST_LABEL.search(text)):
+    if not (first := _FIRST_LABEL.match(text) or _FIRST_LABEL_LINE.search(text)):
         return {}
     labels = [(m.start(), int(m.group(2) or m.group(4) or m.group(5)), m.group(1) or m.group(3) or m.group(6)) for m in _LABEL.finditer(text, first.start(1))]
-    best: dict[int, int] = {}
     for k in range(len(labels) - 1, -1, -1):
         at, n, style = labels[k]
-        if n != 1 or not (at == 0 or text[:at].rstrip(" \t　").endswith("\n")):
+        if n != 1:
+            continue
+        head = _trimmed(text, at)
+        if not (at == 0 or at in sure or _PARAGRAPH.search(text, head, at) is not None):
+            continue
+        if not (at == 0 or text[_trimmed(text, at, " \t　") - 1 : at].startswith("\n")):
             continue
         run, want = {at: 1}, 2
         for p, v, own in labels[k + 1 :]:
             if v == want and own == style and _opens_claim(text, p):
                 run[p] = v
                 want += 1
-        before = text[:at].rstrip()
-        fits = at == 0 or at in sure or _PARAGRAPH.search(text[len(before) : at]) is not None
-        if fits and len(run) >= len(best) and not best:
-            best = run
-            if len(run) > 1:
-                break
-    return best
+        return run
+    return {}
+
+
+def _trimmed(text: str, end: int, blank: str | None = None) -> int:
+    """Where text[:end] ends without the white space, or the characters of `blank`, at its end; nothing is copied."""
+    while end and (text[end - 1].isspace() if blank is None else text[end - 1] in blank):
+        end -= 1
+    return end
 
 
 def _opens_claim(text: str, p: int) -> bool:
-    head = text[:p].rstrip()
-    if "ก" <= head[-1:] <= "๎":  # Thai sentences end without a sign
+    head = _trimmed(text, p)
+    last = text[max(0, head - 1) : head]
+    if "ก" <= last <= "๎":  # Thai sentences end without a sign
         return True
-    return text[p - 1 : p] == "\n" or head[-1:] in STOPS or head[-1:] in CLOSE or text[p] in "[【" or "\n" in text[len(head) : p]
+    return text[p - 1 : p] == "\n" or last in STOPS or last in CLOSE or text[p] in "[【" or "\n" in text[head:p]
 
 
 UNLIKELY, SURE, LIMIT = -1e9, 20.0, 6.0  # log odds beyond LIMIT say no more
 
 
-def _stops(text: str, lang: str, spans: list[tuple[int, int]], model: Model) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """(place, look) of every place behind a stop, with its closing marks and stray words, outside of paired marks."""
-    k = 0
-    for m in _END.finditer(text):
-        p = m.end()
-        while k < len(spans) and spans[k][1] <= m.start():
+def _stops(text: str, lang: str, spans: list[tuple[int, int]], model: Model) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """(place, where the text goes on, look) of every place behind a stop, with its closing marks and stray words, outside of paired marks."""
+    k, size, latin = 0, len(text), lang in model.languages or lang == "latin"
+    inner, outer = spans[0] if spans else (size, size)
+    for m in _PLACE.finditer(text):
+        s, p = m.span(1)
+        while outer <= s < size:
             k += 1
-        if k < len(spans) and spans[k][0] < p < spans[k][1]:
+            inner, outer = spans[k] if k < len(spans) else (size, size + 1)
+        if inner < p < outer:
             continue
-        group = spans[k] if k < len(spans) and spans[k][1] <= p else None
-        if lang == "th" and "." in m.group() and not re.search("[A-Za-z]{4}$", text[max(0, m.start() - 4) : m.start()]):
+        mark, word = m.group(1, 2)
+        if lang == "th" and "." in mark and not re.search("[A-Za-z]{4}$", text[max(0, s - 4) : s]):
             continue
-        if lang in model.languages or lang == "latin":
-            p = _stray(text, m, p)
-        yield p, _look(text, m, p, group, lang, model)
+        q, stray = m.start(2), False
+        first = max(0, s - 24)
+        token = text[max(first, text.rfind(" ", first, s) + 1) : s]
+        if latin and p < q < size and (first == s - len(token) or "぀" <= text[q] <= "鿿" or text.startswith(token, q) or "\n" in token):
+            end = _stray(text, s, p, q)
+            if stray := end != p:
+                p = q = end
+                while q < size and text[q].isspace():
+                    q += 1
+                word = m.group() if (m := _WORD_AFTER.match(text, q)) else ""
+        yield p, q, _look(text, mark, s, p, q, token, word, stray, (inner, outer) if outer <= p and k < len(spans) else None, lang, model)
 
 
 def _gaps(text: str) -> Iterator[tuple[int, tuple[str, ...]]]:
@@ -499,69 +561,77 @@ def _is_cjk(c: str) -> bool:
     return _CJK.match(c) is not None
 
 
-def _look(text: str, m: re.Match, p: int, group: tuple[int, int] | None, lang: str, model: Model) -> tuple[str, ...]:
+def _tail(before: str, lang: str, dot: bool, model: Model) -> tuple[str, str, str]:
+    """The form of the last word or number of a piece of text, how often the word is an abbreviation, and how often it has a stop."""
+    end = before[-1:]
+    last = _last_word(before)
+    if last and _is_cjk(end):
+        return "c", "-", "-"
+    if last:
+        size = ("I" if last.isupper() and len(last) == 1 else "W" if last.isupper() else "") + str(min(len(last), 5))
+        if len(last) == 1 and _ACRONYM.search(before):
+            size = "A"
+    elif end.isdecimal():
+        digits = _NUMBER.search(before).group().strip()
+        size = "N" if not digits.isdigit() or len(digits) > 2 else "#" if _LABELLED.search(before) else "n"
+    else:
+        size = " " if not end or end.isspace() else ")" if end in CLOSE or end in ")]%" else "-"
+    return size, *(model.last_word(lang, last.lower()) if dot and 0 < len(last) <= 6 else ("-", "-"))
+
+
+def _look(text: str, mark: str, s: int, p: int, q: int, token: str, word: str, stray: bool, group: tuple[int, int] | None, lang: str, model: Model) -> tuple[str, ...]:
     """The kinds of everything around a place: language, stop, closing mark, gap, what follows, the last word, how often it is an
-    abbreviation and has a stop, how often the next word begins paragraphs, the next word's form, and whether words are astray."""
-    mark = m.group().strip()
-    stop, kind = mark[0], _mark_kind(mark)
-    gap, size_of = p, len(text)
-    while gap < size_of and text[gap].isspace():
-        gap += 1
-    after = text[gap : gap + 1]
-    gap -= p
+    abbreviation and has a stop, how often the next word begins paragraphs, the next word's form, and whether words are astray.
+
+    The mark is at `s`, behind `token`, the place at `p`, and the text goes on with `word`, or another sign, at `q`."""
+    kind = _mark_kind(mark)
+    dot = kind == "."
+    after = text[q : q + 1]
     closed = ""
     if len(mark) > 1 and mark[-1] in CLOSE:
         closed = "x"
         if group is not None:
-            before = text[: group[0]][-40:]
+            before = text[max(0, group[0] - 40) : group[0]]
             head = before.rstrip()[-1:]
             opens = not head or head in STOPS or head in CLOSE or head == ":" and "\n" in before[len(before.rstrip()) :] or bool(_NUMBERED.search(before))
             closed = ("q" if text[group[0]] in QUOTES else "b") + str(int(opens))
     kind_after = _after_kind(after)
     if kind_after == "(":
-        if _NUMBERED.match(text[p + gap : p + gap + 12]):
+        if _NUMBERED.match(text[q : q + 12]):
             kind_after = "#"
         else:  # a bracket that ends with a stop holds sentences
-            close = text.find(PAIRS[after], p + gap)
+            close = text.find(PAIRS[after], q)
             kind_after = "S" if close > 0 and text[close - 1] in STOPS else "("
-    before = text[max(0, m.start() - 24) : m.start()]
-    if stop in "!?":
-        before = before.rstrip()
-    end = before[-1:]
-    last = _last_word(before)
-    small = last.lower()
-    if last and _is_cjk(end):
-        size = "c"
-    elif last:
-        size = ("I" if last.isupper() and len(last) == 1 else "W" if last.isupper() else "") + str(min(len(last), 5))
-        if len(last) == 1 and _ACRONYM.search(before):
-            size = "A"
-    elif end.isdigit():
-        digits = _NUMBER.search(before).group().strip()
-        size = "N" if not digits.isdigit() or len(digits) > 2 else "#" if _LABELLED.search(before) else "n"
+    end = token[-1:]
+    if not end or end.isdecimal() or end.isspace():  # numbers and gaps need more than the token
+        before = text[max(0, s - 24) : s]
+        size, abbr, stopped = _tail(before.rstrip() if mark[0] in "!?" else before, lang, dot, model)
+    elif end >= "぀" and _is_cjk(end) and end.isalpha():
+        size, abbr, stopped = "c", "-", "-"
     else:
-        size = " " if not end or end.isspace() else ")" if end in CLOSE or end in ")]%" else "-"
-    abbr, stopped = model.last_word(lang, small) if kind == "." and 0 < len(last) <= 6 and size != "c" else ("-", "-")
-    word = _WORD_AFTER.match(text, p + gap)
-    nxt = word.group() if word else ""
-    start = model.next_word(lang, nxt) if nxt else "-"
-    shape = "" if not nxt or kind_after in "co" else "1" if len(nxt) == 1 else "X" if nxt.isupper() else "Xx" if nxt[0].isupper() else "x"
-    return lang, kind, closed, "s" if gap else "0", kind_after, size, abbr, stopped, start, shape, str(int(p > m.end()))
+        size, abbr, stopped = model.tails[lang, dot].get(token) or model.tail(lang, dot, token)
+    start, shape = (model.nexts[lang].get(word) or model.next_word(lang, word)) if word else ("-", "")
+    if kind_after in "co":
+        shape = ""
+    return lang, kind, closed, "s" if q > p else "0", kind_after, size, abbr, stopped, start, shape, "1" if stray else "0"
 
 
 def _layout(text: str, model: Model) -> tuple[list[int], list[tuple[int, int]], list[int], list[int]]:
     """Where paragraphs begin, numbered lines among them, the paired marks, and the starts and ends of headings."""
-    edges = [m.start() for m in _PARAGRAPH.finditer(text)]
-    begins = sorted({0, *(m.end() for m in _PARAGRAPH.finditer(text)), *(m.start() for m in _NUMBERED_LINE.finditer(text))})
+    breaks = [m.span() for m in _PARAGRAPH.finditer(text)]
+    edges = [a for a, _ in breaks]
+    begins = sorted({0, *(b for _, b in breaks), *(m.end() for m in _NUMBERED_LINE.finditer(text))})
     starts, ends = [], []
     for s in begins:
         if end := _heading_end(text, s, model):
             ends.append(end)
     at = -1
     while (at := text.find("\n", at + 1)) >= 0:  # headings without a blank line before them
-        if text[at + 1 : at + 2] != "\n" and (end := _heading_end(text, at + 1, model)) and (text[:at].rstrip()[-1:] in STOPS or text[:at].rstrip()[-1:] in CLOSE):
-            starts.append(at + 1)
-            ends.append(end)
+        if (head := text[at + 1 : at + 2]) in model.first and head != "\n" and (end := _heading_end(text, at + 1, model)):
+            last = _trimmed(text, at)
+            if (sign := text[max(0, last - 1) : last]) in STOPS or sign in CLOSE:
+                starts.append(at + 1)
+                ends.append(end)
     return begins, _spans(text, edges), starts, ends
 
 
@@ -588,12 +658,14 @@ def candidates(text: str, model: Model) -> list[tuple[int, float, bool]]:
 
     for p in (*begins, *starts, *ends):
         put(p, SURE)
+    sure = {*weights, *ends}
     if lang == "th":
         for p, look in _gaps(text):
-            put(p, max(-LIMIT, min(LIMIT, model.weight(look))))
-    for p, look in _stops(text, lang, spans, model):
-        put(p, max(-LIMIT, min(LIMIT, model.weight(look))))
-    numbers = _claims(text, {p for p, w in weights.items() if w >= SURE} | set(ends))
+            put(p, model.weight(look))
+    for _, p, look in _stops(text, lang, spans, model):
+        if p < end and (w := model.weight(look)) > weights.get(p, UNLIKELY):
+            weights[p] = w
+    numbers = _claims(text, sure)
     out, k = [], 0
     for p in sorted({*weights, *numbers}):
         w = weights.get(p, UNLIKELY)
@@ -624,7 +696,7 @@ def _examples(text: str, model: Model) -> Iterator[tuple[bool, tuple[str, ...]]]
         if lang == "th":
             yield from ((False, look) for x in (part, _stripped(part)) for _, look in _gaps(x))
         else:
-            yield from ((False, look) for p, look in _stops(part, lang, _spans(part, []), model) if p < len(part))
+            yield from ((False, look) for p, _, look in _stops(part, lang, _spans(part, []), model) if p < len(part))
     for (left, _), (right, _) in zip(parts, parts[1:]):
         right = right[:300]
         if lang == "th":
@@ -633,7 +705,7 @@ def _examples(text: str, model: Model) -> Iterator[tuple[bool, tuple[str, ...]]]
                 yield from ((True, look) for p, look in _gaps(f"{x} {y}") if p == len(x) + 1)
             continue
         for one in {left + gap + x for gap in (" ", "") for x in (right, _NUMBERED.sub("", right).lstrip())}:
-            yield from ((True, look) for p, look in _stops(one, lang, _spans(one, []), model) if p == len(left))
+            yield from ((True, look) for p, _, look in _stops(one, lang, _spans(one, []), model) if p == len(left))
 
 
 def _stripped(text: str) -> str:
@@ -655,19 +727,16 @@ def _heading_end(text: str, s: int, model: Model) -> int:
     return 0
 
 
-def _stray(text: str, m: re.Match, p: int) -> int:
-    """The end of what rough translation left behind a stop: a lone word of another script, or the last word once more.
+def _stray(text: str, s: int, p: int, q: int) -> int:
+    """The end of what rough translation left behind the stop at `s`: a lone word of another script, or the last word once more.
 
-    Such words were put in after a word of the sentence, so they belong to the sentence before.
+    Such words were put in after a word of the sentence, so they belong to the sentence before. The gap is from `p` to `q`.
     """
-    gap = _GAP.match(text, p)
-    q = gap.end() if gap else p
-    if q == p or q == len(text):
-        return p
     first = text[q]
     if "぀" <= first <= "鿿" and (foreign := _FOREIGN.match(text, q)):
         return foreign.end()
-    k = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
+    k = text.rfind(" ", 0, s) + 1
+    k = max(k, text.rfind("\n", k, s) + 1)
     if first == text[k] and text.startswith(text[k:p], q):
         again = q + p - k
         if again == len(text) or text[again].isspace():
@@ -685,18 +754,18 @@ def viterbi(places: list[tuple[int, float, bool]], moves: tuple[float, float, fl
     places. Once in the claims, their labels start units and nothing else does.
     """
     inside, boundary, claims = 0.0, UNLIKELY, UNLIKELY
+    stay, open_, shut, again = moves
     back: list[tuple[int, int, int]] = []  # the state before, of inside (0), boundary (1) and claims (2)
     for _, w, label in places:
-        best = 1 if boundary > inside else 0
-        own = max(0.0, w)
-        to_inside = 1 if boundary + moves[2] > inside + moves[0] else 0
-        to_boundary = 1 if boundary + moves[3] > inside + moves[1] else 0
-        to_claims, prose = 2, max(inside, boundary)
+        to_claims = 2
         if label:
+            best, prose = (1, boundary) if boundary > inside else (0, inside)
             if prose + ENTER >= claims + NEXT:
                 to_claims = best
-            claims = max(prose + ENTER, claims + NEXT) + own
-        inside, boundary = max(inside + moves[0], boundary + moves[2]), max(inside + moves[1], boundary + moves[3]) + w
+            claims = max(prose + ENTER, claims + NEXT) + max(0.0, w)
+        kept, shuts, opens, repeats = inside + stay, boundary + shut, inside + open_, boundary + again
+        to_inside, inside = (1, shuts) if shuts > kept else (0, kept)
+        to_boundary, boundary = (1, repeats + w) if repeats > opens else (0, opens + w)
         back.append((to_inside, to_boundary, to_claims))
     out: list[int] = []
     state = 2 if claims >= max(inside, boundary) else 1 if boundary > inside else 0
@@ -732,8 +801,9 @@ def sentences(documents: DataFrame, model: Model | None = None) -> DataFrame:
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = fitted.value
         for b in batches:
-            out = [(doc, s, e) for doc, text in zip(b["doc_id"], b["text"]) if text for s, e in split(text, known)]
-            frame = pd.DataFrame(out, columns=["doc_id", "sent_start", "sent_end"])
+            units = [split(text, known) for text in b["text"]]
+            ends = np.fromiter(chain.from_iterable(chain.from_iterable(units)), np.int32).reshape(-1, 2)
+            frame = pd.DataFrame({"doc_id": b["doc_id"].to_numpy().repeat(np.fromiter(map(len, units), np.int64)), "sent_start": ends[:, 0], "sent_end": ends[:, 1]})
             yield frame.astype({"doc_id": "Int64"}) if frame["doc_id"].dtype.kind == "f" else frame
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tag, "doc_id long, sent_start int, sent_end int")
