@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 from wellforge.llm import leaks as k
 
@@ -34,6 +36,38 @@ def test_words_ignore_how_they_are_written():
     assert k.canonical("密封圈 ring 4个") == ["密", "封", "圈", "ring", "#4", "个"]
 
 
+def test_words_that_come_again_are_spelled_once(monkeypatch):
+    spelled, normalize = [], k.unicodedata.normalize
+    monkeypatch.setattr(k, "unicodedata", SimpleNamespace(normalize=lambda form, text: spelled.append(text) or normalize(form, text)))
+    texts = [f"Près du cœur n° {i}, la bague guidée" for i in range(200)]
+    assert k.canonical(texts[7]) == ["pres", "du", "cour", "n", "#7", "la", "bagu", "guidee"]
+    assert len({tuple(k.canonical(t)) for t in texts}) == 200 and len(spelled) < 20
+
+
+def test_parts_of_a_text_read_as_the_whole():
+    pick, signs = random.Random(3), ["-\n", "‐ \n\n", "－\n", "-´\n", "­\n", "\n", "ͺ", "　", "\x85", "が", "か゛", "カ゚", "・", "々", "漢字", "ﬁ", "½", "é", "e\u0301", "\u0301", "한글", "हिन्दी", "ไทยำ", "Ⅷ", "12", "#", "_", " ", "rn", "o", "e", "VV", "а"]
+    for _ in range(3000):
+        text = "".join(pick.choices(signs, k=pick.randrange(1, 25)))
+        whole = k._HYPHEN.sub("", k._plain(text))
+        for a, b in k.FOLDS:
+            whole = whole.replace(a, b)
+        found = k._TOKEN.findall(k._CJK.sub(r" \g<0> ", whole))
+        assert ".".join(w.lstrip("#") for w in k.canonical(text)) == ".".join(found)
+        assert [w for w in k.canonical(text) if w[0] != "#"] == [w for w in found if w.isalpha()]
+
+
+def test_letter_windows_of_several_texts_have_their_own_keys_and_counts():
+    texts = [" ".join("所谓中空电极是指锁定琦澜"), "ring 4 " + " ".join("所谓中空电极") + " ring " + " ".join("中空电极是指锁"), "ring", " ".join("极是指锁定琦澜")]
+    texts = [k.canonical(t) for t in texts]
+    which, at, keys = k.letter_keys([k._letters(" ".join(t)) for t in texts])
+    expected = [(i, p, x) for i, t in enumerate(texts) for p, x in k.letter_windows(k.words(t))]
+    assert list(zip(which.tolist(), at.tolist())) == [(i, p) for i, p, _ in expected]
+    assert len(set(keys.tolist())) == len({x for _, _, x in expected}) == len({(key, x) for key, (_, _, x) in zip(keys.tolist(), expected)})
+    counts = k._Counts(SimpleNamespace(value=k.KeySet(3, b"\xff")))
+    counts.add([([" ".join(t)], " ".join(t)) for t in texts])
+    assert dict(zip(*counts.taken())) == Counter(x for t in texts for x in {*k.words(t), *("=" + g for _, g in k.letter_windows(k.words(t)))})
+
+
 def test_windows_are_typed():
     ordinary = frozenset("the coil carries at a".split())
     one, other = (list(k.slot_windows(k.canonical(t), ordinary)) for t in ("the coil 7 carries skovetror 5 mm plinadax", "the coil 88 carries skovetror 9 kg morquadon"))

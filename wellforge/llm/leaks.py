@@ -19,7 +19,9 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,11 @@ _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _ACCENT = re.compile("[̀-ͯ]+")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+")
+_LETTER = re.compile("[" + "".join(c for c in map(chr, (*range(0x3040, 0x3100), *range(0x3400, 0xA000))) if c.isalnum()) + "]")
+_LETTER_TOKEN = re.compile(f"{_LETTER.pattern}+|[^\\W_぀-ヿ㐀-鿿]+")
+_NUMBER = re.compile("#[^ ]*")
+_NUMBERS = re.compile("#[^ ]+(?: #[^ ]+)+")
+_LONG = re.compile("[^ ]{2,}")
 _BROKEN = re.compile("[Â-ô][\u0080-¿Œ-Ÿˆ˜–-›€™]{1,3}")
 
 
@@ -59,36 +66,67 @@ def _latin(m: re.Match) -> str:
     return m.group().translate(LOOKALIKES)
 
 
+def _plain(text: str) -> str:
+    """The text without case, accents, letters of other alphabets and compatibility forms. Each part between white space stands alone."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", text))).casefold()
+    return _LOOKS.sub(_latin, text) if _LOOKS.search(text) else text
+
+
+def _tokens(text: str) -> str:
+    """The tokens of a text without case and accents, joined by spaces; numbers one by one."""
+    for a, b in FOLDS:
+        text = text.replace(a, b)
+    if text.isalpha() and (text.isascii() or not _CJK.search(text)):
+        return text
+    if text.isascii() or not _CJK.search(text):
+        return " ".join([w if w.isalpha() else "#" + w for w in _TOKEN.findall(text)])
+    return " ".join([" ".join(w) if _LETTER.match(w) else w if w.isalpha() else "#" + w for w in _LETTER_TOKEN.findall(text)])
+
+
+class _Spellings(dict):
+    """The tokens of each part of a text that stands between white space. Short parts come again and again and are kept, at most `most`."""
+
+    def __init__(self, most: int = 200_000, longest: int = 40):
+        self.most, self.longest = most, longest
+
+    def __missing__(self, part: str) -> str:
+        out = _tokens(_plain(part))
+        if len(part) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[part] = out
+        return out
+
+
+_spellings = _Spellings()
+#: What may stand at the end of a line whose last word goes on in the next one, and what is nothing or white space in a plain text.
+_HYPHENS = frozenset("-\u2010\u2011\ufe63\uff0d")
+_BLANKS = "".join(c for c in map(chr, (*range(0x3001), *range(0xFE00, 0x10000))) if not _plain(c).strip())
+
+
+def _parts(text: str) -> list[str]:
+    """The tokens of a text, part by part as they stand between white space; a text with words that go on in the next line as one part."""
+    if not text.isascii() and ("Ã" in text or "Â" in text or "â" in text):
+        text = _BROKEN.sub(_repair, text)
+    if "\n" in text and any(line.rstrip(_BLANKS)[-1:] in _HYPHENS for line in text.split("\n")[:-1]):
+        return list(filter(None, [_tokens(_HYPHEN.sub("", _plain(text)))]))
+    return list(filter(None, map(_spellings.__getitem__, text.split())))
+
+
+def _joined(parts: list[str]) -> str:
+    """The tokens of all parts, joined by spaces, neighbouring numbers as one."""
+    return _NUMBERS.sub(lambda m: m.group().replace(" #", "."), " ".join(parts))
+
+
 def canonical(text: str | None) -> list[str]:
     """The words of a text in a spelling that ignores case, accents, signs, spacing, line breaks and encoding damage.
 
     Words that hold a digit are numbers: '#' with their value, neighbouring ones as one. Chinese and Japanese letters are words.
     """
-    if not text:
-        return []
-    if not text.isascii():
-        if "Ã" in text or "Â" in text or "â" in text:
-            text = _BROKEN.sub(_repair, text)
-        text = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", text))).casefold()
-        if _LOOKS.search(text):
-            text = _LOOKS.sub(_latin, text)
-    else:
-        text = text.lower()
-    if "\n" in text:
-        text = _HYPHEN.sub("", text)
-    for a, b in FOLDS:
-        text = text.replace(a, b)
-    if _CJK.search(text):
-        text = _CJK.sub(r" \g<0> ", text)
-    out: list[str] = []
-    for w in _TOKEN.findall(text):
-        if w.isalpha():
-            out.append(w)
-        elif out and out[-1][0] == "#":
-            out[-1] += "." + w
-        else:
-            out.append("#" + w)
-    return out
+    parts = _parts(text) if text else []
+    return _joined(parts).split(" ") if parts else []
 
 
 def words(tokens: list[str]) -> list[str]:
@@ -113,32 +151,72 @@ def _is_name(w: str, ordinary: frozenset[str]) -> bool:
     return len(w) > 1 and w[0] != "#" and w not in ordinary
 
 
-def slot_windows(tokens: list[str], ordinary: frozenset[str], wanted=None) -> Iterator[tuple[int, int]]:
-    """(position among the words, key) of the typed windows to the left and right of every slot that holds a name.
+def slot_windows(tokens: list[str], ordinary: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """(position among the words, key) of the typed windows to the left and right of every slot that holds a name."""
+    yield from _windows_of(tokens, ordinary, {w for w in set(tokens) if _is_name(w, ordinary)})
 
-    `wanted`, if given, tells by the hash of a name whether its windows are needed at all.
-    """
-    typed, at = None, -1
-    for p, w in enumerate(tokens):
-        at += w[0] != "#"
-        if not _is_name(w, ordinary) or (wanted is not None and not wanted(_hash(b"|" + w.encode()))):
-            continue
-        if typed is None:
-            typed = ["\x03" if t[0] == "#" else "\x02" if t in UNITS else "\x01" if _is_name(t, ordinary) else t for t in tokens]
-        for side, part in (("<", typed[max(0, p - SIDE) : p]), (">", typed[p + 1 : p + 1 + SIDE])):
+
+def _name_key(w: str) -> int:
+    return _hash(b"|" + w.encode())
+
+
+def _windows_of(tokens: list[str], ordinary: frozenset[str], slots: set[str]) -> Iterator[tuple[int, int]]:
+    """The windows of `slot_windows` beside the names `slots`."""
+
+    def typed(t: str) -> str:
+        return "\x03" if t[0] == "#" else "\x02" if t in UNITS else "\x01" if _is_name(t, ordinary) else t
+
+    at, counted = -1, 0
+    for p in [p for p, w in enumerate(tokens) if w in slots]:
+        at, counted, w = at + sum(t[0] != "#" for t in tokens[counted : p + 1]), p + 1, tokens[p]
+        for side, part in (("<", tokens[max(0, p - SIDE) : p]), (">", tokens[p + 1 : p + 1 + SIDE])):
             if len(part) == SIDE:
-                yield at, _hash(f"{side}{w} {part[0]} {part[1]}".encode())
+                yield at, _hash(f"{side}{w} {typed(part[0])} {typed(part[1])}".encode())
+
+
+def _letters(canon: str) -> str:
+    """One sign for each word of a text in tokens: the word itself if it is a single letter."""
+    return _LONG.sub("\x02", _NUMBER.sub("", canon)).replace(" ", "")
 
 
 def letter_windows(own: list[str]) -> Iterator[tuple[int, str]]:
     """(position, letters) of every run of LETTERS single letters among the words."""
-    text = "".join(t if len(t) == 1 else "\x02" for t in own)
+    text = _letters(" ".join(own))
     for p in range(len(text) - LETTERS + 1):
         piece = text[p : p + LETTERS]
         if "\x02" not in piece:
             yield p, piece
 
 
+def letter_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of `letter_windows` of several texts as `_letters` gives them: which text, position, key."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    codes = np.frombuffer("\x02".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - LETTERS + 1)
+    keys, apart = np.full(n, 0x9E3779B97F4A7C15, np.uint64), np.zeros(n, bool)
+    for i in range(LETTERS):
+        keys = (keys ^ codes[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+        apart |= codes[i : i + n] == 2
+    at = np.flatnonzero(~apart)
+    which = np.searchsorted(ends, at, side="right")
+    return which, at - np.concatenate([[0], ends])[which], keys[at].view(np.int64)
+
+
+def _held_letters(texts: list[tuple[int, str]], keys: KeySet, most: int = 100_000) -> Iterator[tuple[int, int, int, str]]:
+    """(id, position, key, letters) of the windows of (id, letters) that are in a set, looked up together for about `most` letters."""
+    start = size = 0
+    for end, (_, letters) in enumerate(texts, 1):
+        size += len(letters)
+        if size >= most or end == len(texts):
+            group = texts[start:end]
+            which, at, own = letter_keys([x for _, x in group])
+            held = keys.held(own)
+            for t, p, k in zip(which[held].tolist(), at[held].tolist(), own[held].tolist()):
+                yield group[t][0], p, k, group[t][1][p : p + LETTERS]
+            start, size = end, 0
+
+
 def plain_windows(own: list[str]) -> Iterator[tuple[int, int]]:
     """(position, key) of every PLAIN words in a row."""
     for p in range(len(own) - PLAIN + 1):
@@ -260,6 +338,11 @@ class KeySet:
         k = key & self.mask
         return (self.body[k >> 3] >> (k & 7)) & 1 == 1
 
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """The indices of those of many keys that are in it."""
+        k = keys & self.mask
+        return np.flatnonzero((np.frombuffer(self.body, np.uint8)[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
+
 
 def key_set(keys: DataFrame, n: int, most_bits: int = 27) -> KeySet:
     """The bitmap of a table (key): 2048 bits a key, at most 2 ** most_bits (16 MB); beyond, more keys pass by chance, none is lost."""
@@ -295,23 +378,25 @@ def leaked_passages(
     ordinary, it has no slots and is found by its plain windows.
     Null and empty texts and null ids give no rows; a repeated document is reported under each of its ids, a repeated item too.
 
-    Scale: documents are reduced to their words once and written to the shared folder; one pass counts words, one looks for
-    windows, however many items there are. What is sent to the tasks is a bitmap of at most 16 MB and the ordinary words, of which
+    Scale: one pass reduces documents to their words, counts these and writes both to the shared folder, one looks for windows,
+    however many items there are. A word between white space is spelled once a worker, as long as it is among the 200,000 kept. What is sent to the tasks is a bitmap of at most 16 MB and the ordinary words, of which
     there are at most (different words of a text) / ordinary_share. Only windows that pass the bitmap are joined, salted by
     document, so that a passage in a third of all documents is spread; only documents with such a window are aligned.
     """
     sc = documents.sparkSession.sparkContext
-    docs = stored(_canonical(documents, "doc_id"), "leak_documents")
     ids = stored(_canonical(items, "item_id"), "leak_items")
     classes = ids.select(F.col("h").alias("item"), "canon").dropDuplicates(["item"])
 
     grams = classes.mapInPandas(_item_grams, "key long").distinct()
     gram_count = grams.count()
+    held = sc.broadcast(key_set(grams, gram_count)) if gram_count else None
+    read = stored(_rows(documents, "doc_id").mapInArrow(_reader(held), "doc_id long, h long, canon string, w string, n long"), "leak_documents")
+    docs = read.filter("doc_id is not null").select("doc_id", "h", "canon")
     parts = F.explode(F.split("text", r"(?<=[.!?])\s+(?=\p{Lu})|(?<=[。！？])"))
     sentences = _canonical(items.select("item_id", parts.alias("text")), "item_id").select("canon").distinct()
-    texts = docs.select("canon").unionByName(sentences)
-    counted = stored(texts.mapInPandas(_counter(sc.broadcast(key_set(grams, gram_count)) if gram_count else None), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "leak_words")
-    total = texts.count()
+    counts = read.filter("w is not null").select("w", "n").unionByName(sentences.mapInArrow(_counter(held), "w string, n long"))
+    counted = stored(counts.groupBy("w").agg(F.sum("n").alias("n")), "leak_words")
+    total = docs.count() + sentences.count()
     common = counted.filter(F.col("n") - 2 * F.sqrt("n") > F.lit(ordinary_share * total))
     ordinary = sc.broadcast(frozenset(r["w"] for r in common.collect()))
 
@@ -331,45 +416,90 @@ def leaked_passages(
     return best.select("doc_id", "item_id", "z.kind", "z.run", "z.errors", "z.numbers_same")
 
 
+def _rows(texts: DataFrame, id_col: str) -> DataFrame:
+    return texts.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")
+
+
 def _canonical(texts: DataFrame, id_col: str) -> DataFrame:
-    """(id, h, canon): the tokens of every text with an id, joined by spaces, and their hash. `id` is named doc_id for documents."""
-    name = "doc_id" if id_col == "doc_id" else "id"
+    """(id, h, canon): the tokens of every text with an id, joined by spaces, and their hash."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            canon = [" ".join(canonical(t)) for t in b["text"]]
-            yield pd.DataFrame({name: b[name], "h": [_hash(c.encode()) for c in canon], "canon": canon})
+            canon = [_joined(_parts(t)) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "h": [_hash(c.encode()) for c in canon], "canon": canon})
+
+    return _rows(texts, id_col).mapInPandas(read, "id long, h long, canon string").filter("canon != ''")
+
+
+class _Counts:
+    """How many texts hold each word and, after '=', each letter window of the items."""
+
+    def __init__(self, grams):
+        self.grams, self.seen = grams, Counter()
+
+    def add(self, texts: list[tuple[list[str], str]]) -> None:
+        """Texts as their parts and as a whole."""
+        letters = []
+        for i, (parts, canon) in enumerate(texts):
+            own = set(parts)
+            mixed = [x for x in own if not x.isalpha()]  # several tokens, or a number
+            own.difference_update(mixed)
+            own.update(_NUMBER.sub("", " ".join(mixed)).split())
+            self.seen.update(own)
+            if self.grams is not None and not canon.isascii() and _CJK.search(canon):
+                letters.append((i, _letters(canon)))
+        if letters:
+            self.seen.update(["=" + x for _, x in {(i, x) for i, _, _, x in _held_letters(letters, self.grams.value)}])
+
+    def taken(self) -> tuple[list[str], list[int]]:
+        seen, self.seen = self.seen, Counter()
+        return list(seen), list(seen.values())
+
 
-    rows = texts.filter(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).cast("long").alias(name), "text")
-    return rows.mapInPandas(read, f"{name} long, h long, canon string").filter("canon != ''")
+def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns.values()], names=list(columns))
 
 
-def _gram_key(piece: str) -> int:
-    return _hash(b"=" + piece.encode())
+def _reader(grams):
+    """(doc_id, h, canon, null, null) of every text with a token, and (null, null, null, w, n) of the words of many texts together."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, long, string = _Counts(grams), pa.int64(), pa.string()
+
+        def taken() -> pa.RecordBatch:
+            w, n = counts.taken()
+            none = [None] * len(w)
+            return _batch({"doc_id": (none, long), "h": (none, long), "canon": (none, string), "w": (w, string), "n": (n, long)})
+
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                parts = [_parts(t) for t in part.column("text").to_pylist()]
+                rows = [(i, p, _joined(p)) for i, p in zip(part.column("id").to_pylist(), parts) if p]
+                counts.add([x[1:] for x in rows])
+                none = [None] * len(rows)
+                yield _batch({"doc_id": ([i for i, _, _ in rows], long), "h": ([_hash(c.encode()) for _, _, c in rows], long), "canon": ([c for _, _, c in rows], string), "w": (none, string), "n": (none, long)})
+                if len(counts.seen) > 300_000:
+                    yield taken()
+        yield taken()
+
+    return read
 
 
 def _item_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The keys of the letter windows of items in Chinese or Japanese."""
     for b in batches:
-        own = (words(c.split(" ")) for c in b["canon"])
-        yield pd.DataFrame({"key": sorted({_gram_key(x) for w in own if is_letterwise(w) for _, x in letter_windows(w)})}).astype("int64")
+        own = [_letters(c) for c in b["canon"] if is_letterwise(words(c.split(" ")))]
+        yield pd.DataFrame({"key": np.unique(letter_keys(own)[2])}).astype("int64")
 
 
 def _counter(grams):
-    """How many texts hold each word and, after '=', each letter window of the items."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts(grams)
         for b in batches:
-            for canon in b["canon"]:
-                tokens = canon.split(" ")
-                seen.update({w for w in tokens if w[0] != "#"})
-                if grams is not None and _CJK.search(canon):
-                    seen.update({"=" + x for _, x in letter_windows(words(tokens)) if _gram_key(x) in grams.value})
-            if len(seen) > 300_000:
-                yield pd.DataFrame({"w": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        yield pd.DataFrame({"w": list(seen), "n": list(seen.values())}).astype({"w": "object", "n": "int64"})
+            counts.add([([c], c) for c in b.column("canon").to_pylist()])
+        w, n = counts.taken()
+        yield _batch({"w": (w, pa.string()), "n": (n, pa.int64())})
 
     return count
 
@@ -388,10 +518,10 @@ def _item_windows(ordinary, min_words: int, min_letters: int):
                     pieces = list(letter_windows(own))
                     rare = {p for p, x in pieces if "=" + x not in common}
                     bare = _bare([p in rare for p in range(len(own))], min_letters - LETTERS + 1)
-                    out += [(_gram_key(x), item, p, "slot" if p in rare else "letters") for p, x in pieces if p in rare or bare[p]]
+                    out += [(k, item, p, "slot" if p in rare else "letters") for (p, _), k in zip(pieces, letter_keys([_letters(canon)])[2].tolist()) if p in rare or bare[p]]
                 else:
                     out += [(k, item, p, "slot") for p, k in slot_windows(tokens, common)]
-                    out += [(_hash(b"|" + w.encode()), item, -1, "name") for w in set(own) if _is_name(w, common)]
+                    out += [(_name_key(w), item, -1, "name") for w in set(own) if _is_name(w, common)]
                     bare = _bare([_is_name(w, common) for w in own], min_words)
                     out += [(k, item, p, "plain") for p, k in plain_windows(own) if all(bare[p : p + PLAIN])]
             yield pd.DataFrame(out, columns=["key", "item", "pos", "kind"]).astype({"key": "int64", "item": "int64"})
@@ -399,20 +529,41 @@ def _item_windows(ordinary, min_words: int, min_letters: int):
     return cut
 
 
+class _Needed:
+    """The words beside which windows of items may stand. Those that are not needed come again and again and are kept, at most `most`."""
+
+    def __init__(self, ordinary: frozenset[str], keys: KeySet, most: int = 200_000):
+        self.ordinary, self.keys, self.most = ordinary, keys, most
+        self.idle: set[str] = set()
+
+    def among(self, own: set[str]) -> set[str]:
+        new = own - self.idle
+        out = {w for w in new if _is_name(w, self.ordinary) and _name_key(w) in self.keys}
+        if len(self.idle) >= self.most:
+            self.idle.clear()
+        self.idle |= new - out
+        return out
+
+
 def _seeker(ordinary, wanted, kinds: set[str]):
     """The documents with a window that some item may have, and where."""
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, keys = ordinary.value, wanted.value
+        needed = _Needed(common, keys)
         for b in batches:
             rows = []
-            for doc, h, canon in zip(b["doc_id"], b["h"], b["canon"]):
-                tokens = canon.split(" ")
-                hits = [(p, k) for p, k in slot_windows(tokens, common, keys.__contains__) if k in keys] if "slot" in kinds else []
+            letters = [(i, _letters(c)) for i, c in enumerate(b["canon"]) if not c.isascii() and _CJK.search(c)]
+            by_text: dict[int, list[tuple[int, int]]] = {}
+            for i, p, k, _ in _held_letters(letters, keys):
+                by_text.setdefault(i, []).append((p, k))
+            for i, (doc, h, canon) in enumerate(zip(b["doc_id"], b["h"], b["canon"])):
+                own = _NUMBER.sub("", canon).split()
+                slots = needed.among(set(own)) if "slot" in kinds else ()
+                hits = [(p, k) for p, k in _windows_of(canon.split(" "), common, slots) if k in keys] if slots else []
                 if "plain" in kinds:
-                    hits += [(p, k) for p, k in plain_windows(words(tokens)) if k in keys]
-                if _CJK.search(canon):
-                    hits += [(p, k) for p, k in ((p, _gram_key(x)) for p, x in letter_windows(words(tokens))) if k in keys]
+                    hits += [(p, k) for p, k in plain_windows(own) if k in keys]
+                hits += by_text.get(i, ())
                 if hits:
                     rows.append((doc, h, canon, [{"p": p, "key": k} for p, k in hits]))
             yield pd.DataFrame(rows, columns=["doc_id", "h", "canon", "hits"])
